@@ -5,13 +5,12 @@ the source. Whole copies are taken at once. What is left is a fraction per docum
 documents at a time, words move from one fraction to the other, in a random direction that
 keeps both expectations and their sum of words, until one fraction is 0 or 1. Hashed
 blocks of documents do this on their own and each hands one undecided document per source
-to a reduction tree; the last one of a source is rounded at random.
+to a reduction tree; the last one of a source is rounded
+to the nearer end, so that a source misses its target by half a document at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -160,12 +159,7 @@ def mix(
         decided.append(done.where("not open"))
         undecided = done.where("open")
 
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            draw = _draws(pdf["id"].fillna(-1).to_numpy(np.int64), seed + 99)
-            yield pdf.assign(fraction=(draw < pdf["fraction"].to_numpy(float)).astype(float))
-
-    decided.append(undecided.mapInPandas(last, SCHEMA))
+    decided.append(undecided)
     out = decided[0]
     for more in decided[1:]:
         out = out.unionAll(more)
