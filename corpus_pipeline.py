@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _fingerprint(text):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series(simhash.fingerprint(texts.tolist()).view("int64"))
