@@ -4,6 +4,8 @@ History rows have commit, author, file, insertions, deletions, is_fix and ts."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +126,6 @@ def strongest(weights: DataFrame, least: float = 0.5, n: int = 20) -> DataFrame:
 
 def thompson(weights: DataFrame, seed: int = 7) -> DataFrame:
     """Synapses with a draw from Beta(1 + 10w, 1 + 10(1 - w)), the same for the same seed and pair."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def draw(key: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([np.random.default_rng([seed, k & (1 << 63) - 1]).beta(1 + 10 * x, 1 + 10 * (1 - x)) for k, x in zip(key, w)])

@@ -1,6 +1,8 @@
-"""Registered queries of the library and the SQL that checks them."""
+"""All registered queries of the library and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quern.plans import change_queries, graph_queries  # noqa: F401
+from quern.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
