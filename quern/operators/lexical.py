@@ -177,7 +177,8 @@ def similar_pairs(docs: DataFrame, words: Column, least: float) -> DataFrame:
     Prefix filtering keeps it exact without comparing all pairs: a set's words are ordered
     by rarity, and two sets that are similar enough share one of the first
     n - ceil(least * n) + 1. Candidates meet on those words only. Sets without words, and
-    nulls, are in no pair; equal sets are paired as rows of one group by their first row."""
+    nulls, are in no pair. All pairs of n equal sets are n * n / 2 rows: for corpora with
+    many copies drop those first."""
     sets = docs.select("id", F.array_distinct(words).alias("w")).where(F.size("w") > 0)
     rarity = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     listed = sets.select("id", F.explode("w").alias("word")).join(rarity, "word")

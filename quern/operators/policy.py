@@ -1,16 +1,16 @@
-"""Search policies replayed over recorded exploration trees, one task per tree and policy.
+"""Search policies replayed over recorded exploration trees, a fold per tree.
 
-A tree is bounded by what one search explored, so a fold per (trajectory, policy) is the
-natural unit: thousands of trees run side by side."""
+A tree is bounded by what one search explored, so a fold per trajectory is the natural unit:
+thousands of trees run side by side."""
 
 from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,17 +37,12 @@ PRESETS = (
 BASELINE = PRESETS[0].name
 
 
-def as_frame(spark: SparkSession, policies=PRESETS) -> DataFrame:
-    return spark.createDataFrame([asdict(p) for p in policies], "name string, c_puct double, prune_cost_threshold int, max_depth int, penalty_weight double, branching_factor int, early_stop_reward double")
-
-
-def walk(tree: pd.DataFrame, policy: Policy) -> dict:
+def walk(rows: list[dict], policy: Policy) -> dict:
     """Best-first replay: the frontier node of the highest score is explored next, ties in the
     order they came. Costs of what is explored add up until a solution or enough reward."""
-    nodes = tree.to_dict("index")
-    by_id = {n["id"]: n for n in nodes.values()}
+    by_id = {n["id"]: n for n in rows}
     children: dict = {}
-    for n in sorted(nodes.values(), key=lambda n: n["id"]):
+    for n in sorted(rows, key=lambda n: n["id"]):
         parent = n["parent_id"] if n["parent_id"] in by_id else None
         children.setdefault(parent, []).append(n)
 
@@ -90,19 +85,19 @@ def walk(tree: pd.DataFrame, policy: Policy) -> dict:
 REPLAY = "trajectory_id long, policy string, steps long, tokens long, latency_ms long, solved boolean, pruned long, reward double"
 
 
-def replay(nodes: DataFrame, policies: DataFrame) -> DataFrame:
+def replay(nodes: DataFrame, policies: tuple[Policy, ...] = PRESETS) -> DataFrame:
     """One row of metrics per (trajectory, policy). nodes: trajectory_id, id, parent_id,
     cost_tokens, latency_ms, reward_score, visit_count, value_estimate, is_solution, note."""
-    names = [f.name for f in fields(Policy)]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        policy = Policy(*[first[f"policy_{n}"] for n in names])
-        tree = pdf.astype({"parent_id": object}).where(pdf.notna(), None)
-        return pd.DataFrame([{"trajectory_id": key[0], "policy": key[1]} | walk(tree, policy)])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parents = [None if pd.isna(p) else p for p in pdf["parent_id"]]
+        tree = pdf.drop(columns="parent_id").to_dict("records")
+        rows = [n | {"parent_id": p} for n, p in zip(tree, parents)]
+        key = pdf["trajectory_id"].iloc[0]
+        return pd.DataFrame([{"trajectory_id": key, "policy": p.name} | walk(rows, p) for p in policies])
 
-    crossed = nodes.crossJoin(F.broadcast(policies.select(*[F.col(n).alias(f"policy_{n}") for n in names])))  # a handful of policies
-    return crossed.groupBy("trajectory_id", "policy_name").applyInPandas(run, REPLAY)
+    used = ("trajectory_id", "id", "parent_id", "cost_tokens", "latency_ms", "reward_score", "visit_count", "value_estimate", "is_solution", "note")
+    return nodes.select(*used).groupBy("trajectory_id").applyInPandas(run, REPLAY)
 
 
 def compared(metrics: DataFrame, baseline: str = BASELINE) -> DataFrame:

@@ -52,10 +52,10 @@ def reverse_blast_radius(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT [CAST(1 AS BIGINT)] AS path, CAST(1 AS BIGINT) AS node, 0 AS hops
-  UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM p JOIN edges ON src = node WHERE hops < 9 AND node <> 8 AND NOT list_contains(path, dst))
-SELECT path, hops FROM p WHERE node = 8 AND hops > 0""")
+  UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM p JOIN edges ON src = node WHERE hops < 8 AND node <> 309 AND NOT list_contains(path, dst))
+SELECT path, hops FROM p WHERE node = 309 AND hops > 0""")
 def graph_paths(spark, d):
-    return G.simple_paths(edges(spark, d), 1, 8, 9, None)
+    return G.simple_paths(edges(spark, d), 1, 309, 8, None)
 
 
 UNDIRECTED = "both_ways AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
@@ -82,16 +82,16 @@ def stale_cascade(spark, d):
     return G.stale_cascade(e, memories, 8, "changed", 4)
 
 
-DAG = "dag AS (SELECT src, dst FROM edges WHERE src > dst AND src <= 300)"
+DAG = "dag AS (SELECT src, dst FROM edges WHERE src > dst)"
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {DAG}, n AS (SELECT p_partkey AS node FROM part WHERE p_partkey <= 300),
+@query(f"""WITH RECURSIVE {EDGES}, {DAG}, n AS (SELECT p_partkey AS node FROM part),
 w AS (SELECT node, 0 AS level FROM n UNION SELECT d.src, level + 1 FROM w JOIN dag d ON d.dst = w.node),
 l AS (SELECT node, max(level) AS level FROM w GROUP BY node)
 SELECT node, level, row_number() OVER (ORDER BY level, node) AS place FROM l""")
 def topological_order(spark, d):
-    e = edges(spark, d).where("src > dst and src <= 300")
-    return G.topological_order(load(spark, d, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("node")), e)
+    e = edges(spark, d).where("src > dst")
+    return G.topological_order(load(spark, d, "part").select(F.col("p_partkey").alias("node")), e)
 
 
 @query(f"""WITH {EDGES}, {FILES}, t AS (
@@ -221,17 +221,17 @@ def observation_timeline(spark, d):
 
 @query()
 def policy_replay(spark, d):
-    return P.replay(nodes(spark, d), P.as_frame(spark))
+    return P.replay(nodes(spark, d))
 
 
 @query()
 def policy_comparison(spark, d):
-    return P.compared(P.replay(nodes(spark, d), P.as_frame(spark)))
+    return P.compared(P.replay(nodes(spark, d)))
 
 
 @query()
 def policy_promotion(spark, d):
-    return P.promotion(P.replay(nodes(spark, d), P.as_frame(spark)), "fast_reflex")
+    return P.promotion(P.replay(nodes(spark, d)), "fast_reflex")
 
 
 @query(f"""WITH {NODES} SELECT id, round(value_estimate + sqrt(2) * sqrt(ln(40) / greatest(visit_count, 1)), 6) AS uct, round(value_estimate + 1.25 * 0.5 * sqrt(40) / (1 + visit_count), 6) AS puct,
