@@ -100,6 +100,13 @@ def _round_block(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     return rows.assign(fraction=fraction, open=undecided)
 
 
+def _decide(seed: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _round_block(rows, seed)
+
+    return run
+
+
 SCHEMA = "id long, source string, size long, source_size long, target double, whole int, fraction double, copy int, block long, open boolean"
 
 
@@ -149,13 +156,13 @@ def mix(
         F.when(F.col("size") > 0, F.col("ratio") - whole).otherwise(0.0).alias("fraction"), "copy",
         F.pmod(F.xxhash64("id", "copy"), F.lit(blocks)).alias("block"), F.lit(False).alias("open"),
     )
-    rows = materialize(rows.groupBy("block").applyInPandas(lambda pdf: _round_block(pdf, seed), SCHEMA), "mix-leaves")
+    rows = materialize(rows.groupBy("block").applyInPandas(_decide(seed), SCHEMA), "mix-leaves")
     decided, undecided = [rows.where("not open")], rows.where("open")
     level = 0
     while blocks > 1:
         blocks, level = -(-blocks // FAN_IN), level + 1
         merged = undecided.withColumn("block", F.floor(F.col("block") / FAN_IN))
-        done = materialize(merged.groupBy("source", "block").applyInPandas(lambda pdf, k=level: _round_block(pdf, seed + k), SCHEMA), "mix-tree")
+        done = materialize(merged.groupBy("source", "block").applyInPandas(_decide(seed + level), SCHEMA), "mix-tree")
         decided.append(done.where("not open"))
         undecided = done.where("open")
 
