@@ -63,24 +63,30 @@ def codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return bucket, form
 
 
-def index_vectors(rows: int, seed: int) -> np.ndarray:
-    """Sparse random vectors: ``NONZERO`` entries of +1 or -1 each."""
+def index_vectors(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse random vectors: for each row ``NONZERO`` places and their signs, +1 or -1."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((rows, WIDTH), np.float32)
-    at = rng.random((rows, WIDTH)).argsort(axis=1)[:, :NONZERO]
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), (rows, NONZERO)), 1)
-    return out
-
-
-def context_vectors(streams: list[np.ndarray], index: np.ndarray) -> np.ndarray:
-    """Index vectors plus the mean index vector of the neighbours seen within ``REACH``."""
-    total, seen = np.zeros(index.shape, np.float64), np.zeros(len(index))
-    for stream in streams:
-        for k in range(1, REACH + 1):
-            for a, b in ((stream[:-k], stream[k:]), (stream[k:], stream[:-k])):
-                np.add.at(total, a, index[b])
-                np.add.at(seen, a, 1)
-    return (index + total / np.maximum(seen, 1)[:, None]).astype(np.float32)
+    places = rng.random((rows, WIDTH)).argsort(axis=1)[:, :NONZERO]
+    return places, rng.choice(np.array([-1.0, 1.0]), (rows, NONZERO))
+
+
+def context_vectors(streams: list[np.ndarray], index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Index vectors plus the mean index vector of the neighbours seen within ``REACH`` words."""
+    places, signs = index
+    rows = len(places)
+    total, seen = np.zeros(rows * WIDTH), np.zeros(rows)
+    words = np.concatenate(streams) if streams else np.zeros(0, int)
+    text = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    for reach in range(1, REACH + 1):
+        same = text[:-reach] == text[reach:]
+        left, right = words[:-reach][same], words[reach:][same]
+        for word, neighbour in ((left, right), (right, left)):
+            seen += np.bincount(word, minlength=rows)
+            for k in range(NONZERO):
+                total += np.bincount(word * WIDTH + places[neighbour, k], signs[neighbour, k], rows * WIDTH)
+    own = np.zeros((rows, WIDTH))
+    np.put_along_axis(own, places, signs, 1)
+    return (own + total.reshape(rows, WIDTH) / np.maximum(seen, 1)[:, None]).astype(np.float32)
 
 
 @dataclass
