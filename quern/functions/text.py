@@ -37,6 +37,11 @@ def tokens(text: Column, least: int = 1) -> Column:
     return F.filter(found, lambda t: F.length(t) >= least) if least > 1 else found
 
 
+def strip(text: Column) -> Column:
+    """Without ASCII white space at the ends."""
+    return F.regexp_replace(text, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+
+
 def collapse(text: Column) -> Column:
     """Trimmed, runs of ASCII white space as one space."""
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
@@ -100,7 +105,7 @@ def tree_path(path: Column) -> Column:
 
 def noise_reason(text: Column) -> Column:
     """Why a text isn't worth remembering, by the first rule that holds; 'CLEAN' if it is."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     fences = F.regexp_count(t, F.lit("```"))
     trace = t.contains("Traceback (most recent call last)") | t.contains("at Object.<anonymous>") | t.startswith('File "')
     return (

@@ -158,7 +158,7 @@ WHEN starts_with(t, '```') OR (length(t) - length(replace(t, '```', ''))) / 3 >=
 WHEN contains(t, chr(27) || '[') THEN 'ANSI_ESCAPE' WHEN starts_with(t, '{') AND ends_with(t, '}') AND contains(t, ':') THEN 'RAW_JSON' ELSE 'CLEAN' END"""
 
 
-@query(f"WITH d AS (SELECT doc_id AS id, trim(coalesce(text, '')) AS t FROM documents) SELECT id, {NOISE} AS noise_type FROM d")
+@query(rf"WITH d AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS t FROM documents) SELECT id, {NOISE} AS noise_type FROM d")
 def noise_router(spark, d):
     return texts(spark, d).select("id", text.noise_reason(F.col("text")).alias("noise_type"))
 

@@ -93,14 +93,14 @@ def parse_history(entries: DataFrame) -> DataFrame:
 
 def markdown_memories(spark: SparkSession, root: str) -> DataFrame:
     """Memories from Markdown files with front matter."""
-    return parse_memories(spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).select(F.col("value").alias("text")))
+    return parse_memories(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("value").alias("text")))
 
 
 def parse_memories(texts: DataFrame) -> DataFrame:
     """(id, kind, status, severity, title, applies_to, tags, body): front matter of 'key: value'
     lines, lists inline or as bullets; files without front matter give no row."""
     front = F.regexp_extract("text", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
-    body = F.trim(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", ""))
+    body = T.strip(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", ""))
 
     def value(key: str) -> Column:
         return F.regexp_extract(front, rf"(?m)^{key}:[ \t]*[\"']?([^\n\"']*?)[\"']?[ \t]*$", 1)
