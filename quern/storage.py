@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -47,3 +47,10 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote to the shared folder.
+
+    Results read them when they are computed: call this after their last use."""
+    delete(spark, f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
