@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import scores
+from quern.ordering import with_place
 from quern.storage import materialize
 
 
@@ -153,7 +154,7 @@ def topological_order(nodes: DataFrame, edges: DataFrame, most_levels: int = 100
             break
         deps = materialize(deps.join(ready, F.col("dst") == F.col("node"), "left_anti"), "topo")
     out = reduce(DataFrame.unionAll, [*levels, left.withColumn("level", F.lit(None).cast("int"))])
-    return out.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("level"), "node")))
+    return with_place(out, F.asc_nulls_last("level"), F.asc("node"))
 
 
 #: Fixed order of roles: what others rest on comes first.
@@ -175,7 +176,7 @@ def refactor_order(files: DataFrame, edges: DataFrame) -> DataFrame:
     ranked = files.join(fan_in, F.col("node") == F.col("dst"), "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0))).withColumn("tier", role_tier(F.col("path")))
     key = [F.desc("fan_in"), F.desc("score"), "node"]
     ranked = ranked.withColumn("first", (F.row_number().over(W.partitionBy("tier").orderBy(*key)) > 1).cast("int"))
-    return ranked.select("node", "tier", F.row_number().over(W.orderBy("first", "tier", *key)).alias("place"))
+    return with_place(ranked, "first", "tier", *key).select("node", "tier", "place")
 
 
 def communities(edges: DataFrame, rounds: int = 4, least: float = 0.3) -> DataFrame:

@@ -105,19 +105,26 @@ def spike_pairs(events: DataFrame, by: str, item: str, ts: str = "ts", tie: str
     return pairs.where((F.col("src") != F.col("dst")) & (F.abs("dt") <= horizon))
 
 
-def synapses(pairs: DataFrame) -> DataFrame:
-    """Weight per (src, dst) by folding spike-timing updates in time order.
+def synapses(pairs: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """Weight per (src, dst) from spike-timing updates in time order.
 
-    The first update starts at 0.5; each adds a fifth of its delta, within bounds. The fold
-    holds one pair's updates; a pair with very many is folded from (ts, id, dt) alone."""
-    updates = F.array_sort(F.collect_list(F.struct("ts", "id", "dt")))
+    It starts at 0.5, and each update adds a fifth of its delta, held within 0.01 and 1. A
+    run of updates is itself a shift held within bounds: w -> min(hi, max(lo, w + c)). So
+    updates are folded by chunks of time first, and no task holds all of a busy pair."""
+    def run(s: Column, u: Column) -> Column:
+        shift = 0.2 * scores.synapse_delta(u["dt"])
+        return F.struct((s["c"] + shift).alias("c"), held(s["lo"] + shift).alias("lo"), held(s["hi"] + shift).alias("hi"))
 
-    def step(state: Column, u: Column) -> Column:
-        moved = F.when(state < 0, 0.5).otherwise(state) + 0.2 * scores.synapse_delta(u["dt"])
-        return F.least(F.lit(1.0), F.greatest(F.when(state < 0, 0.05).otherwise(0.01), moved))
+    def held(x: Column) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.01), x))
 
-    folded = pairs.groupBy("src", "dst").agg(updates.alias("u"))
-    return folded.select("src", "dst", F.aggregate("u", F.lit(-1.0), step).alias("weight"), F.size("u").alias("sample_count"))
+    none = F.struct(F.lit(0.0).alias("c"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    updates = F.array_sort(F.collect_list(F.struct("ts", "id", "dt")))
+    chunk = F.floor(F.col("ts").cast("double") / chunk_seconds)
+    chunks = pairs.groupBy("src", "dst", chunk.alias("chunk")).agg(F.aggregate(updates, none, run).alias("f"), F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "f")))
+    weight = F.aggregate(ordered, F.lit(0.5), lambda w, x: F.least(x["f"]["hi"], F.greatest(x["f"]["lo"], w + x["f"]["c"])))
+    return chunks.groupBy("src", "dst").agg(weight.alias("weight"), F.sum("n").cast("int").alias("sample_count"))
 
 
 def strongest(weights: DataFrame, least: float = 0.5, n: int = 20) -> DataFrame:

@@ -10,9 +10,11 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.ordering import with_place
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -123,8 +125,9 @@ def promotion(metrics: DataFrame, candidate: str, baseline: str = BASELINE, leas
     a = scored.where(F.col("policy") == candidate).select("trajectory_id", F.col("fitness").alias("f1"))
     b = scored.where(F.col("policy") == baseline).select("trajectory_id", F.col("fitness").alias("f0"))
     paired = a.join(b, "trajectory_id")
-    place = paired.select("*", F.percent_rank().over(Window.orderBy("trajectory_id")).alias("at"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    held = place.where((F.col("n") < 4) | (F.col("at") >= 0.7))
+    placed = with_place(paired, "trajectory_id")
+    n = placed.agg(F.count("*").alias("n"))
+    held = placed.crossJoin(F.broadcast(n)).where((F.col("n") < 4) | (F.col("place") > 0.7 * F.col("n")))  # one row
     return held.agg(F.count("*").alias("trees"), F.round(F.avg(F.col("f1") - F.col("f0")), 6).alias("gain")).withColumn("promoted", (F.col("trees") >= least_trees) & (F.col("gain") > 0))
 
 

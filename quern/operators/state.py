@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
+from quern.ordering import with_place
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -203,5 +204,5 @@ def first_mentions(rows: DataFrame) -> DataFrame:
     """(id, content, topic, confidence): the first row of each content (case ignored), in id order,
     0.95 falling by 0.05 a place to 0.60."""
     firsts = rows.groupBy(F.lower(F.trim("content")).alias("k")).agg(F.min("id").alias("id"), F.min_by("content", "id").alias("content"))
-    place = F.row_number().over(Window.orderBy("id")) - 1
-    return firsts.select("id", "content", text.topic_of(F.col("content")).alias("topic"), F.round(F.greatest(F.lit(0.60), 0.95 - 0.05 * place), 2).alias("confidence"))
+    confidence = F.round(F.greatest(F.lit(0.60), 0.95 - 0.05 * (F.col("place") - 1)), 2)
+    return with_place(firsts, "id").select("id", "content", text.topic_of(F.col("content")).alias("topic"), confidence.alias("confidence"))

@@ -106,10 +106,13 @@ def diversify(candidates: DataFrame, by: str | None = None, most: float = 0.88)
     return rows.groupBy("group").applyInPandas(fold, "group long, id long, score double")
 
 
-def redundant(vectors: DataFrame, least: float = 0.90) -> DataFrame:
+def redundant(vectors: DataFrame, least: float = 0.90, most_rows: int = 100_000) -> DataFrame:
     """(id, kept_id): greedy removal by id order of a bounded collection: a vector whose cosine
-    to an earlier kept one is ``least`` or more goes. One task folds it; for corpora use the
-    near-duplicate operators."""
+    to an earlier kept one is ``least`` or more goes. The order matters, so one task folds it;
+    a collection of more than ``most_rows`` is refused: corpora need the near-duplicate operators."""
+    if vectors.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} vectors for an ordered greedy pass")
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         unit, ids, kept, gone = _unit(np.array(pdf["embedding"].tolist(), np.float64)), pdf["id"].to_numpy(), [], []

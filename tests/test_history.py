@@ -64,3 +64,18 @@ def test_history_from_log(rows):
 def test_thompson_is_seeded(rows):
     w = rows("src string, dst string, weight double", ("a", "b", 0.9), ("a", "c", 0.1))
     assert H.thompson(w).collect() == H.thompson(w).collect()
+
+
+def test_synapse_chunks_equal_one_fold(rows):
+    import math
+    import random
+
+    rng = random.Random(4)
+    data = [("a", "b", t, k, rng.choice([1, -1]) * rng.random() * 900) for k, t in enumerate(sorted(rng.randrange(100_000) for _ in range(300)))]
+    pairs = rows("src string, dst string, ts long, id long, dt double", *data)
+    w = 0.5
+    for *_, dt in data:
+        w = min(1.0, max(0.01, w + 0.2 * (math.exp(-dt / 600) if dt > 0 else -0.5 * math.exp(dt / 300))))
+    for seconds in (1, 3600, 10**9):
+        r = H.synapses(pairs, seconds).first()
+        assert r.weight == pytest.approx(w, abs=1e-9) and r.sample_count == 300
