@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.components import components, spanning
 from quern.llm.groups import runs, whole_groups
@@ -25,6 +26,8 @@ SEED = 20_240_229
 #: task takes each pair of blocks.
 BLOCK = 4_096
 _BLOCKS = 1 << 10
+#: Split buckets (16 bytes each) that are broadcast; beyond, the join is a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -65,8 +68,8 @@ def bucket_keys(vectors: np.ndarray, tables: int = TABLES, seed: int = SEED) ->
     return out
 
 
-def _unit(rows: list[list[float] | None]) -> tuple[np.ndarray | None, np.ndarray]:
-    """Unit rows of one width in double precision, and which of the given rows they are."""
+def _unit(rows: list[list[float] | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Unit vectors in double precision of the rows that can link, and their places."""
     good, at = [], []
     for k, row in enumerate(rows):
         if row and None not in row:
@@ -87,32 +90,40 @@ def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(one, two)
 
 
-VECTORS = "vec_id long, key binary, dim int, unit binary"
+VECTORS = "vec_id long, key binary, dim int, vector binary"
 
 
-def _prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, key, dim, unit): a digest and the unit vector; null for those that link with nothing."""
+def _units(vectors: list[bytes], dtype: str, dim: int) -> np.ndarray:
+    """Stored vectors of one width as unit rows in double precision."""
+    v = np.frombuffer(b"".join(vectors), dtype).reshape(-1, dim).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _prepared(vectors: DataFrame, id_col: str, vec_col: str, dtype: str) -> DataFrame:
+    """(vec_id, key, dim, vector): a digest of the direction, and the components in the
+    precision that the table has; null for vectors that link with nothing."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).to_pylist()
             good, at = _unit(rows)
-            key, unit, dim = [None] * len(rows), [None] * len(rows), [None] * len(rows)
+            key, vector, dim = [None] * len(rows), [None] * len(rows), [None] * len(rows)
             for v, k in zip(good, at.tolist()):
-                unit[k], dim[k] = (v + 0.0).tobytes(), len(v)
-                key[k] = hashlib.blake2b(unit[k], digest_size=16).digest()
+                vector[k], dim[k] = np.array(rows[k], dtype).tobytes(), len(v)
+                key[k] = hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(key, pa.binary()), pa.array(dim, pa.int32()), pa.array(unit, pa.binary())], names=["vec_id", "key", "dim", "unit"]
+                [batch.column(0), pa.array(key, pa.binary()), pa.array(dim, pa.int32()), pa.array(vector, pa.binary())], names=["vec_id", "key", "dim", "vector"]
             )
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, VECTORS)
 
 
-ENTRIES = "bucket long, home boolean, rep long, n long, unit binary"
+ENTRIES = "bucket long, home boolean, rep long, n long, vector binary"
 
 
-def _entries(reps: DataFrame, tables: int) -> DataFrame:
+def _entries(reps: DataFrame, tables: int, dtype: str) -> DataFrame:
     """A row for each vector and bucket that it lives in or visits. Vectors of different
     width share no table of keys: the width is part of the key."""
 
@@ -123,35 +134,34 @@ def _entries(reps: DataFrame, tables: int) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 for k in range(0, part.num_rows, 1024):
                     rows = part.slice(k, 1024)
-                    unit = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-                    keys = bucket_keys(unit, tables)
-                    at = np.repeat(np.arange(len(unit)), tables * 3)
+                    keys = bucket_keys(_units(rows.column("vector").to_pylist(), dtype, dim), tables)
+                    at = np.repeat(np.arange(len(keys)), tables * 3)
                     spread = rows.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(keys.reshape(-1)),
-                            pa.array(np.tile([True, False, False], len(unit) * tables)),
+                            pa.array(np.tile([True, False, False], len(keys) * tables)),
                             spread.column("rep"),
                             spread.column("n"),
-                            spread.column("unit"),
+                            spread.column("vector"),
                         ],
-                        names=["bucket", "home", "rep", "n", "unit"],
+                        names=["bucket", "home", "rep", "n", "vector"],
                     )
 
     return reps.mapInArrow(run, ENTRIES)
 
 
-def _found(least: float, tables: int):
+def _found(least: float, tables: int, dtype: str):
     names = ["rep", "links", "root"]
 
-    def group(bucket: int, i: int, j: int, home: np.ndarray, rep: np.ndarray, n: np.ndarray, unit: list[bytes], block: np.ndarray):
-        width = len(unit[0])
-        if any(len(u) != width for u in unit):  # vectors of another width never link
-            for w in sorted({len(u) for u in unit}):
-                at = np.array([len(u) == w for u in unit])
-                yield from group(bucket, i, j, home[at], rep[at], n[at], [u for u in unit if len(u) == w], block[at])
+    def group(bucket: int, i: int, j: int, home: np.ndarray, rep: np.ndarray, n: np.ndarray, stored: list[bytes], block: np.ndarray):
+        width = len(stored[0])
+        if any(len(u) != width for u in stored):  # vectors of another width never link
+            for w in sorted({len(u) for u in stored}):
+                at = np.array([len(u) == w for u in stored])
+                yield from group(bucket, i, j, home[at], rep[at], n[at], [u for u in stored if len(u) == w], block[at])
             return
-        v = np.frombuffer(b"".join(unit), np.float64).reshape(len(unit), -1)
+        v = _units(stored, dtype, width // np.dtype(dtype).itemsize)
         xs, ys = [], []
         for k in range(0, len(v), 1024):
             x, y = np.nonzero(v[k : k + 1024] @ v.T >= least)
@@ -181,14 +191,14 @@ def _found(least: float, tables: int):
         for table in whole_groups(batches, "task"):
             task, home = table["task"].to_numpy(), table["home"].to_numpy()
             rep, n, block = table["rep"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy()
-            unit = table["unit"]
+            stored = table["vector"]
             out = []
             for a, b in zip(*runs(task)):
                 if b - a < 2 or not home[a:b].any():
                     continue
                 bucket, pair = divmod(int(task[a]), _BLOCKS * _BLOCKS)
                 i, j = divmod(pair, _BLOCKS)
-                out += group(bucket, i, j, home[a:b], rep[a:b], n[a:b], unit.slice(a, b - a).to_pylist(), block[a:b])
+                out += group(bucket, i, j, home[a:b], rep[a:b], n[a:b], stored.slice(a, b - a).to_pylist(), block[a:b])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=names)
 
@@ -207,21 +217,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     A pair that meets in several buckets counts in the one with the least key only, so
     counts need no distinct. A task returns counts and a spanning forest, not pairs.
     """
-    rows = materialize(_prepared(vectors, id_col, vec_col), "vectors")
+    dtype = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
+    rows = materialize(_prepared(vectors, id_col, vec_col, dtype), "vectors")
     reps = rows.where("key is not null").groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("unit").alias("unit")
+        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vector").alias("vector")
     )
     reps = materialize(reps.where("rep is not null"), "representatives")
-    entries = materialize(_entries(reps.select("rep", "n", "dim", "unit"), tables), "entries")
+    entries = materialize(_entries(reps.select("rep", "n", "dim", "vector"), tables, dtype), "entries")
     large = entries.groupBy("bucket").count().where(F.col("count") > BLOCK)
     large = large.select("bucket", F.ceil(F.col("count") / F.greatest(F.lit(BLOCK), F.ceil(F.col("count") / (_BLOCKS - 1)))).cast("int").alias("blocks"))
-    entries = entries.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = materialize(large, "large")
+    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    entries = entries.join(F.broadcast(large) if few else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     entries = entries.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     entries = entries.select("*", with_.alias("other"))
     pair = F.least("block", "other") * _BLOCKS + F.greatest("block", "other")
-    tasks = entries.select((F.col("bucket") * (_BLOCKS * _BLOCKS) + pair).alias("task"), "home", "rep", "n", "unit", "block")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_found(least, tables), "rep long, links long, root long")
+    tasks = entries.select((F.col("bucket") * (_BLOCKS * _BLOCKS) + pair).alias("task"), "home", "rep", "n", "vector", "block")
+    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_found(least, tables, dtype), "rep long, links long, root long")
     found = materialize(found, "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found.select("rep", "root"))
