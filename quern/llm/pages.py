@@ -11,6 +11,7 @@ from __future__ import annotations
 from html import unescape
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,13 +73,34 @@ def _cut(tag: str, attrs: str) -> bool:
     return bool(found) and (bool(found & CUT_ALWAYS) or not words & KEEP_WORDS)
 
 
+_P_END = re.compile(r"</p\s*>|<(?:p|div|ul|ol|table|h[1-6]|section|article|footer|nav|aside|header|form|main)[\s>/]|</(?:div|section|article|main|body|td)", re.I)
+_ITEM_END = re.compile(r"<(?:li|dt|dd|tr|td|th|option|article|main)(?=[\s>/])|</(?:li|dt|dd|tr|td|th|option|ul|ol|dl|table|tbody|select)\s*>", re.I)
+_MAIN = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+
+
+@lru_cache(maxsize=256)
+def _tags(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
+
+
+def _behind(page: str, tag: str, at: int) -> int:
+    """Where an element that begins before ``at`` ends. One that is never closed ends before
+    the next article or main element, or with the page."""
+    depth = 1
+    for m in _tags(tag).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if depth == 0:
+            return m.end()
+    next_main = _MAIN.search(page, at)
+    return next_main.start() if next_main else len(page)
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; a part of ``parts`` is a text, kept with the number of its
     characters inside links in ``linked``, or a node. Cut elements are left out."""
     root = node = Node("html", "", None)
     text: list[str] = []
-    in_link = linked = skipped = 0
-    skip: str | None = None
+    in_link = linked = 0
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -95,7 +117,7 @@ def parse(page: str) -> Node:
         lt = page.find("<", at)
         if lt < 0:
             lt = size
-        if lt > at and not skipped:
+        if lt > at:
             text.append(page[at:lt])
             if in_link:
                 linked += lt - at
@@ -103,20 +125,13 @@ def parse(page: str) -> Node:
             break
         m = _TAG.match(page, lt)
         if not m:
-            if not skipped:
-                text.append("<")
+            text.append("<")
             at = lt + 1
             continue
         at = m.end()
         if m[2] is None:
             continue
         closing, tag, attrs = m[1], m[2].lower(), m[3]
-        if skipped:  # inside an element that is cut: only its own tag counts
-            if tag == skip:
-                skipped += -1 if closing else (0 if attrs.endswith("/") and tag in ("svg", "math") else 1)
-            elif closing and tag in ("body", "html"):
-                skipped = 0
-            continue
         if not closing and tag not in VOID and _cut(tag, attrs):
             flush() if tag in BLOCKS or tag in ("form", "aside", "nav") else None
             if tag in RAW - {"svg", "math", "template"}:
@@ -126,11 +141,11 @@ def parse(page: str) -> Node:
                     at = m.end()
             elif tag == "head":
                 continue
+            elif tag == "p" or tag in _CLOSED_BY:  # closed by what follows, so only its own text is left out
+                end = (_P_END if tag == "p" else _ITEM_END).search(page, at)
+                at = size if end is None else end.end() if end[0].lower().startswith(f"</{tag}") else end.start()
             else:
-                skip, skipped = tag, 1
-                if tag == "p":  # closed by the next block, so only its own text is left out
-                    end = re.compile(r"</p\s*>|<(?:p|div|ul|ol|table|h[1-6]|section|article|footer|nav|aside|header|form|main)[\s>/]|</(?:div|section|article|main|body|td)", re.I).search(page, at)
-                    skipped, at = 0, (end.end() if end and end[0].lower().startswith("</p") else end.start() if end else size)
+                at = _behind(page, tag, at)
             continue
         if tag == "a":
             in_link = 0 if closing else 1

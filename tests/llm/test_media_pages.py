@@ -83,6 +83,7 @@ PROSE = "Some words, and more of them, in a row. " * 4
         (f"<div class=content><h2>T</h2><p>{PROSE}<p>short<br>line<div class='cookie-notice'>x</div></div><div id=sidebar><p>{PROSE}</p></div>", f"T\n\n{PROSE.strip()}\n\nshort line"),
         (f"<main><p>{PROSE}</p><section class=comments><p>{PROSE}{PROSE}</p></section><form><p>{PROSE}</form></main>", PROSE.strip()),
         (f"<div><p>{PROSE}</p><p>{PROSE}</p></div><div class=menu><p><a>{PROSE}</a></div>", f"{PROSE.strip()}\n\n{PROSE.strip()}"),
+        (f"<div class=ad>buy<article><p>{PROSE}</article>", PROSE.strip()), (f"<div class=ad><div>x</div>y</div><p>{PROSE}", PROSE.strip()),
         ("<article><p>tiny</article>", "tiny"), ("a < b <em>c</em> <", "a < b c <"), ("<p>x<!-- <p>no</p> -->y", "xy"), ("<p>cut <foo bar", "cut"),
     ],
 )
