@@ -102,6 +102,56 @@ def replay(nodes: DataFrame, policies: tuple[Policy, ...] = PRESETS) -> DataFram
     return nodes.select(*used).groupBy("trajectory_id").applyInPandas(run, REPLAY)
 
 
+def uct_search(rows: list[dict], simulations: int = 50, c: float = math.sqrt(2), threat_weight: float = 0.5, veto: bool = True) -> dict:
+    """Tree search over a recorded tree: select by mean value, exploration, a penalty for risky
+    notes and a bonus for solutions; expand the unvisited child of the highest estimate; the
+    reached node's reward goes back to the root. Vetoed are risky nodes of negative reward."""
+    by_id = {n["id"]: n for n in rows}
+    children: dict = {}
+    for n in sorted(rows, key=lambda n: (-n["value_estimate"], n["id"])):
+        risky = any(w in str(n["note"] or "").lower() for w in ("error", "fail"))
+        if not (veto and risky and n["reward_score"] < 0):
+            children.setdefault(n["parent_id"] if n["parent_id"] in by_id else None, []).append((n, risky))
+    visits, total = {}, {}
+
+    def value(entry: tuple[dict, bool], above: int) -> float:
+        n, risky = entry
+        seen = visits[n["id"]]
+        return total[n["id"]] / seen + c * math.sqrt(math.log(max(1, above)) / seen) - threat_weight * risky + 2.0 * bool(n["is_solution"])
+
+    for done in range(simulations):
+        path, options, above = [], children.get(None, []), done
+        while options:
+            fresh = next((e for e in options if e[0]["id"] not in visits), None)
+            entry = fresh or max(options, key=lambda e: value(e, above))
+            path.append(entry[0])
+            if fresh or entry[0]["is_solution"]:
+                break
+            above, options = visits[entry[0]["id"]], children.get(entry[0]["id"], [])
+        if not path:
+            break
+        for n in path:
+            visits[n["id"]] = visits.get(n["id"], 0) + 1
+            total[n["id"]] = total.get(n["id"], 0.0) + path[-1]["reward_score"]
+    best, options = [], children.get(None, [])
+    while options := [e for e in options if e[0]["id"] in visits]:
+        top = max(options, key=lambda e: (visits[e[0]["id"]], total[e[0]["id"]] / visits[e[0]["id"]]))[0]
+        best.append(top)
+        options = children.get(top["id"], [])
+    return {"path": [int(n["id"]) for n in best], "visited": len(visits), "solved": any(bool(by_id[k]["is_solution"]) for k in visits)}
+
+
+def search(nodes: DataFrame, simulations: int = 50) -> DataFrame:
+    """(trajectory_id, path, visited, solved): a tree search of each trajectory."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parents = [None if pd.isna(p) else p for p in pdf["parent_id"]]
+        rows = [n | {"parent_id": p} for n, p in zip(pdf.drop(columns="parent_id").to_dict("records"), parents)]
+        return pd.DataFrame([{"trajectory_id": pdf["trajectory_id"].iloc[0]} | uct_search(rows, simulations)])
+
+    used = ("trajectory_id", "id", "parent_id", "reward_score", "value_estimate", "is_solution", "note")
+    return nodes.select(*used).groupBy("trajectory_id").applyInPandas(run, "trajectory_id long, path array<long>, visited long, solved boolean")
+
+
 def compared(metrics: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Gain of each policy over the baseline, cost being tokens + 500 per step; optimal if it
     solves and either the baseline doesn't or the gain is a tenth or more."""

@@ -224,6 +224,11 @@ def policy_replay(spark, d):
     return P.replay(nodes(spark, d))
 
 
+@query()
+def policy_search(spark, d):
+    return P.search(nodes(spark, d))
+
+
 @query()
 def policy_comparison(spark, d):
     return P.compared(P.replay(nodes(spark, d)))

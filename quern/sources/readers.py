@@ -78,8 +78,8 @@ def without_files(rows: DataFrame, removed: DataFrame, *columns: str) -> DataFra
 def git_history(spark: SparkSession, repository: str, most: int = 500) -> DataFrame:
     """History rows (commit, author, ts, subject, is_fix, file, insertions, deletions) of the
     newest commits; binary files are left out. Git runs on the driver: ``most`` bounds it."""
-    out = subprocess.run(["git", "-C", repository, "log", f"-{int(most)}", "--numstat", "--format=%x01%H%x1f%an%x1f%at%x1f%s"], capture_output=True, text=True, check=True)
-    return parse_history(spark.createDataFrame([(e,) for e in out.stdout.split("\x01")[1:]], "entry string"))
+    log = _git(repository, "log", f"-{int(most)}", "--numstat", "--format=%x01%H%x1f%an%x1f%at%x1f%s")
+    return parse_history(spark.createDataFrame([(e,) for e in log.split("\x01")[1:]], "entry string"))
 
 
 def parse_history(entries: DataFrame) -> DataFrame:
@@ -91,6 +91,50 @@ def parse_history(entries: DataFrame) -> DataFrame:
     return rows.select("commit", "author", "ts", "subject", T.is_fix(F.col("subject")).alias("is_fix"), stat[2].alias("file"), stat[0].cast("long").alias("insertions"), stat[1].cast("long").alias("deletions"))
 
 
+def _git(repository: str, *arguments: str) -> str:
+    return subprocess.run(["git", "-C", repository, *arguments], capture_output=True, text=True, check=True).stdout
+
+
+def git_diff(spark: SparkSession, repository: str, before: str, after: str = "HEAD") -> DataFrame:
+    """(file, insertions, deletions) between two commits; binary files have nulls."""
+    lines = [tuple(x.split("\t", 2)) for x in _git(repository, "diff", "--numstat", "--no-renames", before, after).splitlines()]
+    rows = spark.createDataFrame(lines, "a string, d string, file string")
+    return rows.select("file", F.col("a").try_cast("long").alias("insertions"), F.col("d").try_cast("long").alias("deletions"))
+
+
+def git_blame(spark: SparkSession, repository: str, path: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """(line_no, commit, author, ts, line) of a file's lines from ``first`` to ``last``."""
+    out, head = [], {}
+    for x in _git(repository, "blame", "--line-porcelain", "-L", f"{first},{last or ''}", "--", path).splitlines():
+        if x.startswith("\t"):
+            out.append((int(head["number"]), head["commit"], head.get("author"), int(head.get("author-time", 0)), x[1:]))
+        elif len(words := x.split(" ")) >= 3 and len(words[0]) == 40 and words[2].isdigit():
+            head = {"commit": words[0], "number": words[2]}
+        else:
+            key, _, value = x.partition(" ")
+            head[key] = value
+    rows = spark.createDataFrame(out, "line_no int, commit string, author string, at long, line string")
+    return rows.select("line_no", "commit", "author", F.timestamp_seconds("at").alias("ts"), "line")
+
+
+def git_status(spark: SparkSession, repository: str) -> DataFrame:
+    """(state, file) of changes that aren't committed."""
+    rows = [(x[:2].strip(), x[3:]) for x in _git(repository, "status", "--porcelain").splitlines()]
+    return spark.createDataFrame(rows, "state string, file string")
+
+
+#: What a file at a folder's top says of it.
+MARKERS = {"Cargo.toml": "rust", "package.json": "javascript", "pyproject.toml": "python", "setup.py": "python", "go.mod": "go", "pom.xml": "java", "Dockerfile": "service"}
+
+
+def repository_roles(files: DataFrame) -> DataFrame:
+    """(folder, roles): folders that hold a marker file, and what the markers say."""
+    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/?[^/]*$", "")
+    role = F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair])[name]
+    marked = files.select(folder.alias("folder"), role.alias("role")).where("role is not null")
+    return marked.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+
+
 def markdown_memories(spark: SparkSession, root: str) -> DataFrame:
     """Memories from Markdown files with front matter."""
     return parse_memories(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("value").alias("text")))

@@ -95,6 +95,39 @@ def test_policy_replay(rows):
     assert {r.gain for r in policy.compared(policy.replay(n)).collect()} == {0.0}
 
 
+def test_tree_search_finds_the_solution(rows):
+    n = rows(
+        "trajectory_id long, id long, parent_id long, reward_score double, value_estimate double, is_solution boolean, note string",
+        (1, 1, None, 0.0, 0.0, False, ""), (1, 2, 1, -1.0, 0.9, False, "error"), (1, 3, 1, 0.2, 0.1, False, ""), (1, 4, 3, 1.0, 0.5, True, None), (1, 5, 1, 0.1, 0.2, False, ""),
+    )
+    r = policy.search(n).first()
+    assert r.solved and r.path == [1, 3, 4] and r.visited == 4
+
+
+def test_git_sources(spark, tmp_path):
+    import subprocess
+
+    def git(*a):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=Ann", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    git("add", "."), git("commit", "-qm", "start")
+    (tmp_path / "a.py").write_text("x = 1\ny = 2\n")
+    git("commit", "-qam", "fix: add y")
+    (tmp_path / "b.py").write_text("z\n")
+    assert {(r.subject, r.is_fix, r.insertions) for r in R.git_history(spark, str(tmp_path)).collect()} == {("start", False, 1), ("fix: add y", True, 1)}
+    assert [tuple(r) for r in R.git_diff(spark, str(tmp_path), "HEAD~1").collect()] == [("a.py", 1, 0)]
+    blame = R.git_blame(spark, str(tmp_path), "a.py", 2, 2).collect()
+    assert [(r.line_no, r.author, r.line) for r in blame] == [(2, "Ann", "y = 2")]
+    assert [tuple(r) for r in R.git_status(spark, str(tmp_path)).collect()] == [("??", "b.py")]
+
+
+def test_repository_roles(rows):
+    f = rows("path string", ("web/package.json",), ("web/Dockerfile",), ("core/Cargo.toml",), ("core/src/a.rs",), ("setup.py",))
+    assert {tuple(r) for r in R.repository_roles(f).collect()} == {("web", "javascript,service"), ("core", "rust"), ("", "python")}
+
+
 def test_source_tree_scan(spark, tmp_path):
     for name, body in {"src/a.py": "x = 1\n", "node_modules/b.js": "no", "c.min.js": "no", "docs/d.md": "---\nid: m1\nkind: gotcha\nseverity: high\napplies_to: [src/**, 'a.py']\ntags:\n  - one\n  - two\n---\nBody here\n", "skip/e.py": "no"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
