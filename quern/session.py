@@ -28,3 +28,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     zoneless = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches hold fewer rows: for queries over long texts, whose batches would
+    otherwise take hundreds of megabytes in the JVM and in each Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
