@@ -33,7 +33,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = materialize(docs, "counted")
     groups = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = docs.join(groups.where("n > 1"), "digest").where("doc_id > first")
+    groups = materialize(groups.where("n > 1"), "copied")  # so that both sides of the join can be dealt anew
+    copies = docs.join(groups, "digest").where("doc_id > first")
 
     def under(rows: DataFrame, version: str, column: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("n_tokens"), F.col("alnum").alias("new_tokens"))
