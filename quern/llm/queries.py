@@ -121,6 +121,15 @@ t AS (
   SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM d WHERE copy IS NOT TRUE
   UNION ALL SELECT source, lang, 'alnum-2', alnum FROM d WHERE copy IS NOT TRUE)
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL""",
+    # These pages hold their text in one article of headings and paragraphs.
+    "op2_html_extraction": r"""
+WITH a AS (
+  SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*?)(?:</article>|$)', 1, 's'), '<br>', ' ') AS x FROM pages),
+b AS (
+  SELECT page_id, url, list_filter(list_transform(string_split_regex(x, '</?(?:h1|p)>'), lambda s: trim(regexp_replace(
+    replace(regexp_replace(replace(replace(replace(regexp_replace(s, '<[^>]*(>|$)', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '&nbsp;', ' '),
+    '\s+', ' ', 'g'))), lambda s: s <> '') AS l FROM a)
+SELECT page_id, url, array_to_string(l, chr(10) || chr(10)) AS text, length(array_to_string(l, chr(10) || chr(10))) AS n_chars FROM b""",
     "op4_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
