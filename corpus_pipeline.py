@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import mixing, packing, quality, simhash
 from quern.llm.queries import vocabulary
-from quern.session import load
+from quern.session import load, small_batches
 from quern.storage import new_folder
 
 #: The stages hold a trained classifier and a random mixture: SQL can't express them.
@@ -17,6 +17,7 @@ ORACLE_SQL = None
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from ``labels``."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit_on(docs, load(spark, sf_dir, "labels")))
 
 
@@ -25,6 +26,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id are one document, and one of them stays. Rows without an id go if
     their group has a row with one; else they stay."""
+    small_batches(spark)
     found = simhash.near_duplicates(docs)
     gone = found.where("id is not null").groupBy("id").agg(F.min("component").alias("component")).where("id <> component").select("id")
     named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
@@ -48,6 +50,7 @@ def _fingerprint(text):
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
+    small_batches(spark)
     taken = mixing.mix(docs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source", "size", "copies"))).alias("taken"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
     # Rows that repeat an id are told apart by source and size, as the mix does.
@@ -61,6 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens; (part, doc_key) tells a document's copies apart."""
+    small_batches(spark)
     pieces = packing.pack(docs, vocabulary())
     return packing.number(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).drop("local_sequence")
 

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import encoder
+from quern.llm.workers import lean
 from quern.storage import materialize
 
 #: Tokens of a block; a longer document is a block of its own. Bounds a worker's memory.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 MOST_TRIPLES = 4_096
 END_ID = 0
 
@@ -190,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "do
             yield from close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, PIECES), "packed")
+    return materialize(rows.mapInArrow(lean(run), PIECES), "packed")
 
 
 def number(pieces: DataFrame) -> DataFrame:

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.workers import lean
+
 BUCKETS = 1 << 15
 SHAPES = 1 << 10
 WIDTH = 32
 NONZERO = 4
 REACH = 2
 MOST_ROWS = 6_000
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
@@ -58,7 +60,7 @@ def codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and shape of each white-space separated word; shape 0 repeats the word before."""
     words = (text or "").split()
     code = np.fromiter(map(_codes.__getitem__, words), np.int64, len(words))
-    bucket, form = code // SHAPES, code % SHAPES
+    bucket, form = (code // SHAPES).astype(np.int32), (code % SHAPES).astype(np.int32)
     form[1:][code[1:] == code[:-1]] = 0
     return bucket, form
 
@@ -75,15 +77,21 @@ def context_vectors(streams: list[np.ndarray], index: tuple[np.ndarray, np.ndarr
     places, signs = index
     rows = len(places)
     total, seen = np.zeros(rows * WIDTH), np.zeros(rows)
-    words = np.concatenate(streams) if streams else np.zeros(0, int)
-    text = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
-    for reach in range(1, REACH + 1):
-        same = text[:-reach] == text[reach:]
-        left, right = words[:-reach][same], words[reach:][same]
-        for word, neighbour in ((left, right), (right, left)):
-            seen += np.bincount(word, minlength=rows)
-            for k in range(NONZERO):
-                total += np.bincount(word * WIDTH + places[neighbour, k], signs[neighbour, k], rows * WIDTH)
+    part: list[np.ndarray] = []
+    for k, stream in enumerate(streams, 1):
+        part.append(stream)
+        if k < len(streams) and sum(map(len, part)) < 200_000:
+            continue
+        words = np.concatenate(part)
+        text = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        part = []
+        for reach in range(1, REACH + 1):
+            same = text[:-reach] == text[reach:]
+            left, right = words[:-reach][same], words[reach:][same]
+            for word, neighbour in ((left, right), (right, left)):
+                seen += np.bincount(word, minlength=rows)
+                for j in range(NONZERO):
+                    total += np.bincount(word * WIDTH + places[neighbour, j], signs[neighbour, j], rows * WIDTH)
     own = np.zeros((rows, WIDTH))
     np.put_along_axis(own, places, signs, 1)
     return (own + total.reshape(rows, WIDTH) / np.maximum(seen, 1)[:, None]).astype(np.float32)
@@ -210,9 +218,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             values = shared.value.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["doc_id", "held_out", "score"])
+        _codes.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -223,5 +232,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(text_col).to_pylist()) >= least))
+        _codes.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import binfile, chat, counts, lsh, media, mixing, packing, pages, quality, simhash
-from quern.session import load
+from quern.session import load as load_table
+from quern.session import small_batches
 from quern.storage import materialize
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """An input table, read for long texts."""
+    small_batches(spark)
+    return load_table(spark, sf_dir, table)
+
+
 def vocabulary(name: str = VOCABULARY) -> str:
     """Where the public vocabulary file is; a parameter of the operators."""
     import public_tokenizers

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components, spanning
 from quern.llm.groups import runs, whole_groups
+from quern.llm.workers import lean
 from quern.storage import materialize
 
 #: A fixed pattern; its blocks are the vantage points.
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(lean(run), "id long, fp long")
 
 
 def _blocks(levels: int) -> list[int]:
@@ -175,7 +176,7 @@ def links(fps: DataFrame, radius: int = 2, levels: int | None = None) -> DataFra
 
     parts = 1 << 16
     tasks = walk.select((F.col("leaf") * parts + F.col("part")).alias("task"), "home", "fp", "rep")
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(pairs, "a long, b long")
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(lean(pairs), "a long, b long")
 
 
 def near_duplicates(

@@ -78,7 +78,7 @@ class Encoder:
     ``most_words`` bounds the cache (about 200 bytes a word); words that come later are encoded anew each time.
     """
 
-    def __init__(self, vocabulary: str, most_words: int = 800_000):
+    def __init__(self, vocabulary: str, most_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
