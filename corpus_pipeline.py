@@ -51,12 +51,15 @@ def _fingerprint(text):
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     small_batches(spark)
-    taken = mixing.mix(docs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source", "size", "copies"))).alias("taken"))
+    # One key for the window and the join, null ids included, so that texts are shuffled once.
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    taken = mixing.mix(docs).withColumn("__key", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    taken = taken.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("source", "size", "copies"))).alias("taken"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
     # Rows that repeat an id are told apart by source and size, as the mix does.
-    place = Window.partitionBy("doc_id").orderBy("source", size, F.xxhash64("text"))
-    placed = docs.withColumn("__place", F.row_number().over(place))
-    joined = placed.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    place = Window.partitionBy("__key").orderBy("source", size, F.xxhash64("text"))
+    placed = keyed.withColumn("__place", F.row_number().over(place))
+    joined = placed.join(taken, "__key")
     times = F.element_at("taken", F.col("__place"))["copies"]
     often = joined.withColumn("__times", times).where("__times > 0")
     return often.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
