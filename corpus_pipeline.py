@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, packing, quality, simhash
+from quern.llm import jaccard, mixing, packing, quality, simhash
 from quern.llm.queries import vocabulary
 from quern.session import load, small_batches
 from quern.storage import new_folder
@@ -21,25 +21,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit_on(docs, load(spark, sf_dir, "labels")))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, near=simhash.near_duplicates, mark=None) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Rows that repeat an id are one document, and one of them stays. Rows without an id go if
-    their group has a row with one; else they stay."""
+    ``near`` gives (id, fp, component) and ``mark`` its fp of a text; op9's by default. Rows
+    that repeat an id are one document, and one of them stays. Rows without an id go if their
+    group has a row with one; else they stay."""
     small_batches(spark)
-    found = simhash.near_duplicates(docs)
+    found = near(docs)
     gone = found.where("id is not null").groupBy("id").agg(F.min("component").alias("component")).where("id <> component").select("id")
     named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     named = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
     unnamed = docs.where("doc_id is null")
-    known = found.where("id is not null").select("fp").distinct()
-    lone = found.where("id is null").join(known, "fp", "left_anti").select("fp").distinct()
-    marks = unnamed.withColumn("__fp", _fingerprint(F.col("text")))
+    lone = found.where("component is null").select("fp").distinct()
+    marks = unnamed.withColumn("__fp", (mark or _fingerprint)(F.col("text")))
     unnamed = marks.join(lone, F.col("__fp") == F.col("fp"), "left_semi").drop("__fp")
     return named.unionByName(unnamed.select(*named.columns))
 
 
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group linked by op9's 2 bits or by five-word Jaccard similarity >= 0.8."""
+    return one_of_each(spark, docs, sf_dir, jaccard.near_duplicates, jaccard.node_of)
+
+
 def _fingerprint(text):
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
@@ -74,7 +79,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", good_quality),
-    ("simhash_near_dedup", one_of_each),
+    ("simhash_near_dedup", no_near_copies),
     ("source_mixing", mixture),
     ("sequence_packing", packed),
 ]
