@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import history as H
 from quern.plans.registry import query
-from quern.plans.roles import HISTORY, edits, history
+from quern.plans.roles import HISTORY, edits, history, part_edits
 from quern.session import load
 
 CHURN = f"""WITH {HISTORY}, c AS (
@@ -79,6 +79,31 @@ def choreographies(spark, d):
     return H.choreographies(H.habits(H.sessions(edits(spark, d)), 0.08))
 
 
+PART_EDITS = """raw AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS file FROM lineitem),
+edits AS (SELECT * FROM raw WHERE commit IN (SELECT commit FROM raw GROUP BY commit HAVING count(*) >= 2))"""
+PART_RULES = f"""WITH {PART_EDITS}, pairs AS (
+  SELECT a.file AS trigger, b.file AS consequent, count(*) AS together FROM edits a JOIN edits b ON a.commit = b.commit AND a.file <> b.file GROUP BY ALL),
+r AS (SELECT trigger, consequent, together, n AS occurrences, together / n AS c FROM pairs JOIN (SELECT file, count(*) AS n FROM edits GROUP BY file) ON trigger = file
+      WHERE together >= 2 AND together / n >= 0.08),
+rules AS (SELECT trigger, consequent, together, occurrences, round(c, 6) AS confidence, row_number() OVER (PARTITION BY trigger ORDER BY c DESC, together DESC, consequent) AS place
+          FROM r QUALIFY place <= 5)"""
+
+
+@query(f"""WITH {PART_EDITS} SELECT a.file AS file_a, b.file AS file_b, count(*) AS together FROM edits a JOIN edits b ON a.commit = b.commit AND a.file < b.file GROUP BY ALL""")
+def part_co_changes(spark, d):
+    return H.co_changes(H.sessions(part_edits(spark, d)))
+
+
+@query(f"{PART_RULES} SELECT * FROM rules")
+def part_habits(spark, d):
+    return H.habits(H.sessions(part_edits(spark, d)), 0.08)  # no pair of these tables reaches the default 0.5
+
+
+@query(f"{PART_RULES} SELECT trigger, string_agg(consequent::VARCHAR, ',' ORDER BY place) AS choreography, max(confidence) AS confidence, max(occurrences) AS occurrences FROM rules GROUP BY trigger")
+def part_choreographies(spark, d):
+    return H.choreographies(H.habits(H.sessions(part_edits(spark, d)), 0.08))
+
+
 SPIKES = """WITH t AS (
   SELECT event_type AS src, lead(event_type) OVER w AS dst, ts, lead(ts) OVER w AS next_ts, lead(event_id) OVER w AS id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 p AS (SELECT src, dst, epoch_us(next_ts) / 1e6 - epoch_us(ts) / 1e6 AS dt, next_ts AS ts, id FROM t WHERE src <> dst),

@@ -26,10 +26,15 @@ HISTORY = """history AS (
 
 
 def edits(spark: SparkSession, d: str) -> DataFrame:
-    """Files per commit; a line's part, 40 parts to a file, so that files recur."""
+    """Files per commit; a line's part folded into 40 files, at any size, so that files recur."""
     return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 40).alias("file"))
 
 
+def part_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Files per commit; a line's part is a file, so that files grow with the data."""
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Two imports per part, by arithmetic on its key and size; weights in tenths."""
     part = load(spark, d, "part")

@@ -79,3 +79,12 @@ def test_synapse_chunks_equal_one_fold(rows):
     for seconds in (1, 3600, 10**9):
         r = H.synapses(pairs, seconds).first()
         assert r.weight == pytest.approx(w, abs=1e-9) and r.sample_count == 300
+
+
+def test_co_changes_of_real_parts(spark, sf_dir):
+    from quern.plans.catalog import QUERIES
+    from quern.session import load
+
+    pairs = QUERIES["part_co_changes"](spark, sf_dir)
+    seen = pairs.select("file_a").union(pairs.select("file_b")).distinct().count()
+    assert seen == load(spark, sf_dir, "lineitem").select("l_partkey").distinct().count() > 40
