@@ -169,14 +169,45 @@ def consolidated(memories: DataFrame) -> DataFrame:
     )
 
 
-def code_drift(added: DataFrame, rules: DataFrame) -> DataFrame:
+#: A rule without prohibited terms alerts on its keywords if it holds one of these.
+ENFORCING = r"never|do not|prohibited|deprecated|siempre|always|evitar|forbidden"
+#: Words of a rule that are no keywords.
+PLAIN_WORDS = ("never", "always", "with", "from", "that", "this", "have", "para", "siempre", "rule", "standard", "cents", "price", "prices")
+
+
+def _same_file(path: Column, rule_path: Column) -> Column:
+    """Whether one path holds the other or both end in the same name; no path matches all."""
+    def plain(p: Column) -> Column:
+        return F.lower(F.replace(F.coalesce(p, F.lit("")), F.lit("\\"), F.lit("/")))
+
+    a, b = plain(path), plain(rule_path)
+    name = r"[^/]+$"
+    named = (F.regexp_extract(a, name, 0) != "") & (F.regexp_extract(a, name, 0) == F.regexp_extract(b, name, 0))
+    return (a == "") | (b == "") | F.contains(a, b) | F.contains(b, a) | named
+
+
+def code_drift(added: DataFrame, rules: DataFrame, whole_words: bool = False) -> DataFrame:
     """(rule_id, id, line_no): the first added line that breaks each convention; added: id, line_no, line.
 
-    A line breaks a rule if it holds one of the rule's forbidden terms. Lines meet rules on
-    their words."""
-    terms = rules.select(F.col("id").alias("rule_id"), F.explode(text.prohibited_terms(F.col("content"))).alias("term")).distinct()
-    words = added.select("id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
-    return words.join(terms, "term").groupBy("rule_id").agg(F.min(F.struct("id", "line_no")).alias("at")).select("rule_id", "at.id", "at.line_no")
+    A line breaks a rule if it holds one of the rule's forbidden terms or, where a rule has
+    none but an enforcing word, one of its keywords. Terms are found anywhere in a line, or
+    as whole words only. Where both tables have a ``path``, rules meet lines of their file."""
+    low = F.lower("content")
+    terms = text.prohibited_terms(F.col("content"))
+    keyword = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: (F.octet_length(w) >= 3) & ~w.isin(*PLAIN_WORDS))
+    sought = F.when(F.size(terms) > 0, terms).when(low.rlike(ENFORCING), keyword)
+    paths = "path" in added.columns and "path" in rules.columns
+    asked = rules.select(F.col("id").alias("rule_id"), F.array_distinct(sought).alias("terms"), *([F.col("path").alias("rule_path")] if paths else []))
+    lines = added.withColumn("__low", F.lower("line"))
+    if whole_words:
+        words = F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        meets = F.arrays_overlap(words, F.col("terms"))
+    else:
+        meets = F.exists("terms", lambda t: F.contains(F.col("__low"), t))
+    if paths:
+        meets = meets & _same_file(F.col("path"), F.col("rule_path"))
+    hits = lines.crossJoin(asked.where("size(terms) > 0").coalesce(1)).where(meets)  # one part of rules: lines are read once
+    return hits.groupBy("rule_id").agg(F.min(F.struct("id", "line_no")).alias("at")).select("rule_id", "at.id", "at.line_no")
 
 
 def learned_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -214,7 +214,20 @@ def code_drift(spark, d):
     from quern.operators.lexical import lines
 
     rules = spark.createDataFrame([(1, "Never use erer."), (2, "Do not use thre or onre; always ask"), (3, "forbidden zzz")], "id long, content string")
-    return St.code_drift(lines(texts(spark, d)), rules)
+    return St.code_drift(lines(texts(spark, d)), rules, whole_words=True)  # as its SQL does; convention_drift holds the whole method
+
+
+@query(r"""WITH r AS (SELECT * FROM (VALUES (1, ['rer'], ''), (2, ['keep', 'onre', 'tidy'], ''), (3, ['deprecated', 'zzz'], ''), (4, ['thr'], 'en/'), (5, ['use', 'ere'], 'de/')) AS r(id, terms, path)),
+l AS (SELECT doc_id AS id, lang || '/' || source AS path, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS line_no FROM documents),
+h AS (SELECT r.id AS rule_id, l.id, line_no FROM l JOIN r ON len(list_filter(terms, lambda t: contains(lower(line), t))) > 0 AND (l.path IS NULL OR contains(lower(l.path), r.path)))
+SELECT CAST(rule_id AS BIGINT) AS rule_id, id, line_no FROM h QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY id, line_no) = 1""")
+def convention_drift(spark, d):
+    from quern.operators.lexical import lines
+
+    keyed = texts(spark, d).withColumn("id", F.struct("id", F.concat("lang", F.lit("/"), "source").alias("path")))
+    added = lines(keyed).select("id.id", "id.path", "line_no", "line")
+    rules = [(1, "Never use rer.", ""), (2, "Always keep onre tidy", ""), (3, "deprecated: zzz", None), (4, "Forbidden thr", "en/"), (5, "Siempre use ere", "de/"), (6, "keep erer", "")]
+    return St.code_drift(added, spark.createDataFrame(rules, "id long, content string, path string"))
 
 
 @query("""WITH b AS (SELECT p_brand AS path, p_name || p_partkey AS name, p_size AS line FROM part WHERE p_partkey % 9 <> 0), a AS (SELECT p_brand AS path, p_name || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN p_size + 3 ELSE p_size END AS line FROM part WHERE p_partkey % 8 <> 0),

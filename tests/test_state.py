@@ -75,6 +75,17 @@ def test_code_drift_first_line(rows):
     assert [tuple(r) for r in St.code_drift(added, rules).collect()] == [(7, 1, 3)]
 
 
+def test_code_drift_keywords_substrings_and_files(rows):
+    added = rows("id int, line_no int, line string, path string", (1, 1, "a.unwrap_or(b)", "src/a.rs"), (1, 2, "old_api(x)", "src/a.rs"), (2, 1, "print(x) # foo", "src/b.rs"), (3, 1, "print(y)", None))
+    rules = rows(
+        "id int, content string, path string",
+        (1, "Never unwrap", ""), (2, "Deprecated: old_api", None), (3, "always print", "lib\\\\B.rs"), (4, "always print", "c.rs"), (5, "prefer foo", ""), (6, "never foo", "src/a.rs"),
+    )
+    got = sorted(tuple(r) for r in St.code_drift(added, rules).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 3, 1)]
+    assert {r.rule_id for r in St.code_drift(added, rules, whole_words=True).collect()} == {2, 3, 4}
+
+
 def test_module_map(rows):
     files = rows("path string, language string", ("crates/core/src/a.rs", "rust"), ("crates/core/src/b.rs", "rust"), ("apps/web/src/x.ts", "ts"), ("top.py", "python"))
     edges = rows("src_path string, dst_path string", ("apps/web/src/x.ts", "crates/core/src/a.rs"), ("crates/core/src/b.rs", "crates/core/src/a.rs"))
