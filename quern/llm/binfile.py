@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import encoder
+from quern.llm.tokens import encoder, ship
 from quern.storage import materialize, new_folder
 
 MANIFEST = "part int, stem string, dtype string, n_docs long, n_tokens long"
@@ -88,10 +88,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id
     ids come first; repeated rows are written repeated, ordered by a hash of their text; an
     empty table gives no shard. Only the two named columns are read.
     """
-    folder = folder or new_folder(docs.sparkSession, "tokens")
+    folder, name = folder or new_folder(docs.sparkSession, "tokens"), ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, enc = TaskContext.get(), encoder(vocabulary)
+        context, enc = TaskContext.get(), encoder(name)
         dtype = "<u2" if enc.vocabulary_size <= 1 << 16 else "<u4"
         end = np.array([END_ID], dtype).tobytes()
         stem = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"

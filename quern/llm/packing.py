@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import encoder
+from quern.llm.tokens import encoder, ship
 from quern.llm.workers import lean
 from quern.storage import materialize
 
@@ -149,10 +149,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, id_col: str = "do
     table gives no pieces. Only the two named columns are read. Each input partition packs
     its own documents; ``number`` turns (part, local_sequence) into sequence ids.
     """
-    end = np.array([END_ID], "<u4").tobytes()
+    name, end = ship(docs.sparkSession, vocabulary), np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
+        part, encode = TaskContext.get().partitionId(), encoder(name).encode
         ids: list[bytes] = []
         keys: list[int | None] = []
         held = base = first = 0

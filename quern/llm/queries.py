@@ -26,34 +26,34 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Tokenizer versions of op1: one vocabulary is that of op7 and op8, as ranks.
+TOKENIZERS = {"byte-bpe-50k": "byte_bpe_50k.tiktoken", "byte-bpe-multi-50k": "byte_bpe_multi_50k.tiktoken"}
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after four batches: all documents
     inserted under two tokenizers, exact copies deleted (a text that a smaller id has too),
-    the second tokenizer's counts revised to leave punctuation out, and the first batch
-    delivered again, which changes nothing."""
-    text = F.coalesce("text", F.lit(""))
-    docs = load(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.md5(text).alias("digest"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
-        F.regexp_count(text, F.lit(r"[0-9A-Za-z]+|[^0-9A-Za-z\x20\x09-\x0D]")).alias("marks"),
-        F.regexp_count(text, F.lit(r"[0-9A-Za-z]+")).alias("alnum"),
-    )
-    docs = materialize(docs, "counted")
-    groups = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    the second tokenizer's counts revised to count an end id per document, and the first
+    batch delivered again, which changes nothing."""
+    counted = counts.token_counts(load(spark, sf_dir, "documents"), [vocabulary(f) for f in TOKENIZERS.values()])
+    docs = materialize(counted, "counted")
+    groups = docs.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     groups = materialize(groups.where("n > 1"), "copied")  # so that both sides of the join can be dealt anew
-    copies = docs.join(groups, "digest").where("doc_id > first")
+    copies = docs.join(groups, "digest").where("id > first")
+    one, two = TOKENIZERS
 
-    def under(rows: DataFrame, version: str, column: str) -> DataFrame:
-        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("n_tokens"), F.col("alnum").alias("new_tokens"))
+    def under(rows: DataFrame, version: str) -> DataFrame:
+        n = F.element_at("counts", list(TOKENIZERS).index(version) + 1)
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), n.alias("n_tokens"), (n + 1).alias("new_tokens"))
 
     ledger = counts.Ledger(spark)
-    first = [counts.inserted(under(docs, "words-1", "words")), counts.inserted(under(docs, "alnum-2", "marks"))]
+    first = [counts.inserted(under(docs, one)), counts.inserted(under(docs, two))]
     ledger.commit("load", *first)
-    ledger.commit("exact-copies", counts.deleted(under(copies, "words-1", "words")), counts.deleted(under(copies, "alnum-2", "marks")))
+    ledger.commit("exact-copies", counts.deleted(under(copies, one)), counts.deleted(under(copies, two)))
     # A copy's revision is taken back with the copy: what its delete did not know of.
-    change = counts.revised(under(docs, "alnum-2", "marks"))
-    back = counts.revised(under(copies, "alnum-2", "marks")).withColumn("n_tokens", -F.col("n_tokens"))
-    ledger.commit("alnum-2-revised", change, back)
+    change = counts.revised(under(docs, two))
+    back = counts.revised(under(copies, two)).withColumn("n_tokens", -F.col("n_tokens"))
+    ledger.commit("end-ids", change, back)
     ledger.commit("load", *first)
     return ledger.totals()
 
@@ -118,16 +118,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_token_counts": r"""
-WITH d AS (
-  SELECT source, lang, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+')) AS alnum
-  FROM documents),
-t AS (
-  SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM d WHERE copy IS NOT TRUE
-  UNION ALL SELECT source, lang, 'alnum-2', alnum FROM d WHERE copy IS NOT TRUE)
-SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL""",
     # These pages hold their text in one article of headings and paragraphs.
     "op2_html_extraction": r"""
 WITH a AS (

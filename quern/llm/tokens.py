@@ -12,9 +12,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from filecmp import cmp
 from functools import lru_cache
 
 import numpy as np
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 #: Letters, digits and white space below U+0250, as the pre-tokenizer sees them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -56,17 +59,29 @@ class _Words(dict):
 
     def __init__(self, tokenizer, most: int):
         super().__init__()
-        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.tokenizer, self.tokenize, self.most = tokenizer, tokenizer.model.tokenize, most
         stands = _printable_bytes()
         self.table = {c: "".join(stands[b] for b in chr(c).encode()) for c in range(0x250)}
-
-    def __missing__(self, word: str) -> bytes:
+        self.space = self.table[ord(" ")]
+        self.single = {chr(c): [t.id for t in self.tokenize(self.table[c])] for c in range(128)}
+
+    def _ids(self, word: str) -> list[int]:
+        if word.isascii():  # letters, with a line feed before or one other character behind: most words
+            if word.isalpha():
+                return [t.id for t in self.tokenize(self.space + word)]
+            if word[:-1].isalpha():
+                return [t.id for t in self.tokenize(self.space + word[:-1])] + self.single[word[-1]]
+            if word[:1] == "\n" and word[1:].isalpha():
+                return self.single["\n"] + [t.id for t in self.tokenize(word[1:])]
         text = word if word[:1] == "\n" else " " + word
         if BEYOND.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = [t.id for piece in PIECES.findall(text) for t in self.model.tokenize(piece.translate(self.table))]
-        found = array("I", ids).tobytes()
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if word.isalpha():
+            return [t.id for t in self.tokenize(text.translate(self.table))]
+        return [t.id for piece in PIECES.findall(text) for t in self.tokenize(piece.translate(self.table))]
+
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", self._ids(word)).tobytes()
         if len(word) <= 64 and len(self) < self.most:
             self[word] = found
         return found
@@ -78,7 +93,7 @@ class Encoder:
     ``most_words`` bounds the cache (about 200 bytes a word); words that come later are encoded anew each time.
     """
 
-    def __init__(self, vocabulary: str, most_words: int = 250_000):
+    def __init__(self, vocabulary: str, most_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -103,7 +118,22 @@ class Encoder:
         return first + b"".join(map(self.words.__getitem__, words[1:]))
 
 
+def ship(spark: SparkSession, vocabulary: str) -> str:
+    """Sends a vocabulary file of the driver's to all executors; the name that workers know it by."""
+    name = os.path.basename(vocabulary)
+    if name not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(vocabulary)
+    elif not cmp(SparkFiles.get(name), vocabulary, shallow=False):
+        raise ValueError(f"another vocabulary file was sent as {name}")
+    return name
+
+
+def local_path(name: str) -> str:
+    """Where the file is: a path as it stands, a shipped name in the worker's own copy."""
+    return name if os.path.isabs(name) else SparkFiles.get(name)
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; workers are reused between tasks."""
-    return Encoder(vocabulary)
+    """The worker's encoder for a shipped vocabulary; workers are reused between tasks."""
+    return Encoder(local_path(vocabulary))

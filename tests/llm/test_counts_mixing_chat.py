@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import chat, counts, mixing
+from tokenizers import Tokenizer
+
+from quern.llm import chat, counts, mixing, queries
 
 COUNTS = "source string, lang string, tokenizer string, n_tokens long, new_tokens long"
 
@@ -28,6 +30,87 @@ def test_signed_changes_and_repeated_commits(spark, rows):
     assert totals(ledger) == {("a", "en"): (2, 14), ("b", None): (1, 0)}
 
 
+def test_two_writers_of_one_batch(spark, rows, monkeypatch):
+    """The second writer begins and ends between the first one's check and its marker."""
+    folder = counts.Ledger(spark).folder
+    first, second = counts.Ledger(spark, folder), counts.Ledger(spark, folder)
+    change = counts.inserted(rows(COUNTS, ("a", "en", "t", 5, 5)))
+    publish, done = first._publish, []
+
+    def late(text, *parts):
+        done.append(second.commit("one", change))
+        return publish(text, *parts)
+
+    monkeypatch.setattr(first, "_publish", late)
+    assert not first.commit("one", change) and done == [True]
+    assert totals(first) == totals(second) == {("a", "en"): (1, 5)}
+    assert not second.commit("one", change)
+
+
+def test_a_dead_writer_leaves_nothing(spark, rows, monkeypatch):
+    ledger = counts.Ledger(spark)
+    change = counts.inserted(rows(COUNTS, ("a", "en", "t", 5, 5)))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(ledger, "_publish", die)
+        ledger.commit("one", change)
+    assert totals(ledger) == {} and not ledger.committed("one")
+    assert ledger.commit("one", change) and totals(ledger) == {("a", "en"): (1, 5)}
+    assert ledger.vacuum() == 1 and totals(ledger) == {("a", "en"): (1, 5)}
+
+
+def test_compaction_keeps_totals(spark, rows):
+    ledger = counts.Ledger(spark)
+    change = rows(COUNTS, ("a", "en", "t", 5, 6), (None, "en", "t", 2, 2))
+    ledger.commit("one", counts.inserted(change))
+    ledger.commit("two", counts.revised(change))
+    want = {("a", "en"): (1, 6), (None, "en"): (1, 2)}
+    assert ledger.compact() and totals(ledger) == want
+    assert not ledger.commit("one", counts.inserted(change)) and totals(ledger) == want
+    ledger.commit("three", counts.inserted(change))
+    assert totals(ledger) == {("a", "en"): (2, 11), (None, "en"): (2, 4)}
+    other = counts.Ledger(spark, ledger.folder)
+    assert ledger._publish("{}", "snapshots", "000000000009") and not other._publish("{}", "snapshots", "000000000009")
+
+
+def test_token_counts_query_against_libraries(spark, sf_dir):
+    """op1's rows from whole texts, counted one by one."""
+    import base64
+
+    import tiktoken
+
+    def encoding(name):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.vocabulary(name), "rb"))}
+        return tiktoken.Encoding("own", pat_str=counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    library.encode_special_tokens = True
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    first = {}
+    for r in docs:
+        first[r.text or ""] = min(r.doc_id, first.get(r.text or "", r.doc_id))
+    want, multi = {}, encoding("byte_bpe_multi_50k.tiktoken")
+    for r in docs:
+        if first[r.text or ""] == r.doc_id:
+            a, b = len(library.encode(r.text or "", add_special_tokens=False).ids), len(multi.encode_ordinary(r.text or "")) + 1
+            for version, n in (("byte-bpe-50k", a), ("byte-bpe-multi-50k", b)):
+                t = want.setdefault((r.source, r.lang, version), [0, 0])
+                t[0], t[1] = t[0] + 1, t[1] + n
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in queries.op1_token_counts(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_token_counts_of_odd_rows(spark, rows):
+    docs = rows("doc_id long, text string, source string, lang string, counts int", (1, None, None, None, 5), (1, "", "s", "en", 5), (None, "word " * 50_000, "s", "en", 5))
+    names = [queries.vocabulary(f) for f in queries.TOKENIZERS.values()]
+    got = counts.token_counts(docs, names).collect()
+    assert sorted(len(r.counts) and r.counts[0] for r in got) == [0, 0, 50_001]
+    assert counts.token_counts(docs.where(F.lit(False)), names).count() == 0
+
+
 def test_targets_share_the_excess():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
     t = mixing.targets({"b": 10, "a": 1000, "c": 0})

@@ -61,7 +61,7 @@ def test_queries_match_sql(spark, sf_dir, con, name):
     compare(con, queries.ORACLES[name], queries.QUERIES[name](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"op1_token_counts"}))
 def test_queries_return_whole_tables(spark, sf_dir, name):
     table, key = ("pages", "page_id") if name.startswith("op2") else ("documents", "doc_id")
     ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect()}
