@@ -20,7 +20,6 @@ from quern.llm.components import components, spanning
 from quern.llm.groups import runs, whole_groups
 from quern.storage import materialize
 
-TABLES = 6
 SEED = 20_240_229
 #: Rows of a bucket that one task compares; a larger bucket is split into blocks, and a
 #: task takes each pair of blocks.
@@ -30,6 +29,16 @@ _BLOCKS = 1 << 10
 MOST_BROADCAST = 100_000
 
 
+def padded_width(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def tables_for(dim: int) -> int:
+    """Tables by width: the chance that a pair at cosine 0.9 meets in one falls with every
+    doubling of the width, so wider vectors get more (6 up to 64 dimensions, 10 at 1,024)."""
+    return max(6, padded_width(dim).bit_length() - 1)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Rows times the Hadamard matrix, in n log n steps; the width is a power of two."""
     x, h = x.copy(), 1
@@ -40,10 +49,10 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_keys(vectors: np.ndarray, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
+def bucket_keys(vectors: np.ndarray, tables: int | None = None, seed: int = SEED) -> np.ndarray:
     """(rows, tables, 3) bucket keys: home, then the second axis of either hash."""
     n, dim = vectors.shape
-    width = 1 << max(1, (dim - 1).bit_length())
+    tables, width = tables or tables_for(dim), padded_width(dim)
     padded = np.zeros((n, width))
     padded[:, :dim] = vectors
     signs = np.random.default_rng([seed, width]).choice([-1.0, 1.0], (tables, 2, 3, width))
@@ -120,12 +129,12 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str, dtype: str) -> Data
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, VECTORS)
 
 
-ENTRIES = "bucket long, home boolean, rep long, n long, vector binary"
+ENTRIES = "bucket long, home boolean, node long, n long, vector binary"
 
 
-def _entries(reps: DataFrame, tables: int, dtype: str) -> DataFrame:
+def _entries(reps: DataFrame, tables: int | None, dtype: str) -> DataFrame:
     """A row for each vector and bucket that it lives in or visits. Vectors of different
-    width share no table of keys: the width is part of the key."""
+    width may meet in a bucket; they are told apart there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,31 +144,31 @@ def _entries(reps: DataFrame, tables: int, dtype: str) -> DataFrame:
                 for k in range(0, part.num_rows, 1024):
                     rows = part.slice(k, 1024)
                     keys = bucket_keys(_units(rows.column("vector").to_pylist(), dtype, dim), tables)
-                    at = np.repeat(np.arange(len(keys)), tables * 3)
+                    at = np.repeat(np.arange(len(keys)), keys.shape[1] * 3)
                     spread = rows.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(keys.reshape(-1)),
-                            pa.array(np.tile([True, False, False], len(keys) * tables)),
-                            spread.column("rep"),
+                            pa.array(np.tile([True, False, False], len(keys) * keys.shape[1])),
+                            spread.column("node"),
                             spread.column("n"),
                             spread.column("vector"),
                         ],
-                        names=["bucket", "home", "rep", "n", "vector"],
+                        names=["bucket", "home", "node", "n", "vector"],
                     )
 
     return reps.mapInArrow(run, ENTRIES)
 
 
-def _found(least: float, tables: int, dtype: str):
-    names = ["rep", "links", "root"]
+def _found(least: float, tables: int | None, dtype: str):
+    names = ["node", "links", "root"]
 
-    def group(bucket: int, i: int, j: int, home: np.ndarray, rep: np.ndarray, n: np.ndarray, stored: list[bytes], block: np.ndarray):
+    def group(bucket: int, i: int, j: int, home: np.ndarray, node: np.ndarray, n: np.ndarray, stored: list[bytes], block: np.ndarray):
         width = len(stored[0])
         if any(len(u) != width for u in stored):  # vectors of another width never link
             for w in sorted({len(u) for u in stored}):
                 at = np.array([len(u) == w for u in stored])
-                yield from group(bucket, i, j, home[at], rep[at], n[at], [u for u in stored if len(u) == w], block[at])
+                yield from group(bucket, i, j, home[at], node[at], n[at], [u for u in stored if len(u) == w], block[at])
             return
         v = _units(stored, dtype, width // np.dtype(dtype).itemsize)
         xs, ys = [], []
@@ -181,16 +190,16 @@ def _found(least: float, tables: int, dtype: str):
         if not len(x):
             return
         links = np.bincount(x, n[y], len(v)) + np.bincount(y, n[x], len(v))
-        order = np.argsort(rep[used], kind="stable")
+        order = np.argsort(node[used], kind="stable")
         place = np.argsort(order, kind="stable")
         root = order[np.array(spanning(len(used), place[bx].tolist(), place[by].tolist()))][place]
         some = links[used] > 0
-        yield rep[used][some], links[used][some].astype(np.int64), rep[used[root]][some]
+        yield node[used][some], links[used][some].astype(np.int64), node[used[root]][some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):
             task, home = table["task"].to_numpy(), table["home"].to_numpy()
-            rep, n, block = table["rep"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy()
+            node, n, block = table["node"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy()
             stored = table["vector"]
             out = []
             for a, b in zip(*runs(task)):
@@ -198,21 +207,23 @@ def _found(least: float, tables: int, dtype: str):
                     continue
                 bucket, pair = divmod(int(task[a]), _BLOCKS * _BLOCKS)
                 i, j = divmod(pair, _BLOCKS)
-                out += group(bucket, i, j, home[a:b], rep[a:b], n[a:b], stored.slice(a, b - a).to_pylist(), block[a:b])
+                out += group(bucket, i, j, home[a:b], node[a:b], n[a:b], stored.slice(a, b - a).to_pylist(), block[a:b])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=names)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, tables: int = TABLES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, tables: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with
     nothing, and so do vectors of different length. Equal vectors (same direction) are one
     node of the search: n_links counts all other rows linked directly, copies included.
-    Repeated ids are vectors of their own; a null id keeps its links, and its component is
-    the smallest id reached. Empty tables give no rows; other columns are not read.
+    Nodes are numbered, whatever their ids: rows that repeat an id are vectors of their own,
+    and rows without one link and join others like any row. component_id is the smallest id
+    reached, null (and kept false) where no row reached has one. Empty tables give no rows;
+    other columns are not read. ``tables`` is chosen from the width unless it is given.
 
     A pair that meets in several buckets counts in the one with the least key only, so
     counts need no distinct. A task returns counts and a spanning forest, not pairs.
@@ -220,30 +231,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dtype = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
     rows = materialize(_prepared(vectors, id_col, vec_col, dtype), "vectors")
     reps = rows.where("key is not null").groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vector").alias("vector")
+        F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vector").alias("vector")
     )
-    reps = materialize(reps.where("rep is not null"), "representatives")
-    entries = materialize(_entries(reps.select("rep", "n", "dim", "vector"), tables, dtype), "entries")
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")  # numbered once, as written
+    entries = materialize(_entries(reps.select("node", "n", "dim", "vector"), tables, dtype), "entries")
     large = entries.groupBy("bucket").count().where(F.col("count") > BLOCK)
     large = large.select("bucket", F.ceil(F.col("count") / F.greatest(F.lit(BLOCK), F.ceil(F.col("count") / (_BLOCKS - 1)))).cast("int").alias("blocks"))
     large = materialize(large, "large")
     few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     entries = entries.join(F.broadcast(large) if few else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     entries = entries.select("*", with_.alias("other"))
     pair = F.least("block", "other") * _BLOCKS + F.greatest("block", "other")
-    tasks = entries.select((F.col("bucket") * (_BLOCKS * _BLOCKS) + pair).alias("task"), "home", "rep", "n", "vector", "block")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_found(least, tables, dtype), "rep long, links long, root long")
+    tasks = entries.select((F.col("bucket") * (_BLOCKS * _BLOCKS) + pair).alias("task"), "home", "node", "n", "vector", "block")
+    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_found(least, tables, dtype), "node long, links long, root long")
     found = materialize(found, "links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    reached = components(found.select("rep", "root"))
-    per_key = (
-        reps.select("key", "rep", "n")
-        .join(counts, "rep", "left")
-        .join(reached, F.col("rep") == F.col("node"), "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    reached = components(found.select("node", "root")).withColumnRenamed("component", "root")
+    placed = reps.select("key", "node", "least", "n").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    per_key = placed.join(ids, "root").join(counts, "node", "left")
+    per_key = per_key.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "key").join(per_key, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

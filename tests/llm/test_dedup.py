@@ -131,15 +131,35 @@ def test_embeddings_recall_and_counts(rows, monkeypatch, block):
     assert all(got[k].n_links <= exact[k] for k in got)
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(1)
-    m = np.concatenate([vectors(60, 64, 0.9 + 1e-9, 9), rng.normal(size=(50, 64))])
-    u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    keys = lsh.bucket_keys(u)
-    want = pairs_of(m)
-    a, b = np.array(sorted(want)).T
-    met = lsh._meet(keys[a], keys[b]) < np.iinfo(np.int64).max
-    assert met.mean() >= 0.9
+@pytest.mark.parametrize("dim", [64, 256, 768, 1024, 1536])
+def test_recall_at_the_threshold(dim):
+    """Random pairs at cosine 0.9, the worst that have to be found, by width."""
+    rng, n = np.random.default_rng(dim), 1000
+    a, d = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    d -= (a * d).sum(axis=1, keepdims=True) * a
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * d
+    met = lsh._meet(lsh.bucket_keys(a), lsh.bucket_keys(b)) < np.iinfo(np.int64).max
+    print(dim, lsh.tables_for(dim), met.mean())
+    assert met.mean() >= 0.95
+
+
+def test_embeddings_without_ids_link_and_bridge(rows):
+    def at(degrees):
+        return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+
+    e = rows("vec_id long, embedding array<double>", (5, at(0)), (None, at(0.5)), (None, at(25)), (7, at(50)), (None, at(120)), (9, at(200)), (9, at(220)))
+    got = sorted(lsh.near_duplicates(e, tables=24).collect(), key=lambda r: (r.vec_id or 0, r.n_links, r.component_id or 0))
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [
+        (None, 0, None, False), (None, 2, 5, False), (None, 3, 5, False), (5, 2, 5, True), (7, 1, 5, False), (9, 1, 9, True), (9, 1, 9, True),
+    ]
+
+
+def test_different_vectors_of_one_id(rows):
+    e = rows("vec_id long, embedding array<double>", (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.02, 1.0]))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lsh.near_duplicates(e).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
 
 
 def test_embeddings_that_link_with_nothing(rows):
@@ -149,7 +169,7 @@ def test_embeddings_that_link_with_nothing(rows):
         (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.001]), (10, [1e-200, 0.0]),
     )
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in lsh.near_duplicates(e).collect())
-    # The row without an id is a node of its own only if its direction has an id elsewhere.
-    assert [g for g in got if g[0] in (1, 2, 10)] == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (10, 3, 1, False)]
+    # The row without an id links like any other.
+    assert [g for g in got if g[0] in (0, 1, 2, 10)] == [(0, 4, 1, False), (1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (10, 4, 1, False)]
     assert all(g[1] == 0 and g[3] for g in got if g[0] in (3, 4, 5, 6, 7, 8, 9))
     assert lsh.near_duplicates(e.where(F.lit(False))).count() == 0
