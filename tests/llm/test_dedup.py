@@ -82,6 +82,48 @@ def test_tree_loses_no_pair(rows, levels):
     assert all(got.get(k, k) == w for k, w in enumerate(want))
 
 
+@pytest.mark.parametrize("levels", [4, 5, 9, 16])
+def test_fitted_tree_meets_every_pair_once(levels):
+    """On clustered and biased fingerprints, fitted on few of them: each pair within the radius
+    shares exactly one leaf where one of them is at home."""
+    rng = np.random.default_rng(levels)
+    bits = rng.random((400, 64)) < rng.random(64)
+    base = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    flips = np.uint64(1) << rng.integers(0, 64, (400, 3)).astype(np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ flips[:, 0], base ^ flips[:, 1] ^ flips[:, 2]]))
+    tree = simhash.fit_tree(fps[::5], levels, 8)
+    assert len(tree.vantage) > 10 and set(tree.vantage.tolist()) <= set(fps.tolist()) and tree.nbytes < 1 << 20
+    at, leaf, home = tree.descend(fps, 2)
+    assert home.sum() == len(fps) and len(np.unique(np.stack([at, leaf]), axis=1)[0]) == len(at)
+    own = dict(zip(at[home].tolist(), leaf[home].tolist()))
+    visits = {}
+    for a, x in zip(at.tolist(), leaf.tolist()):
+        visits.setdefault(a, set()).add(x)
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
+    assert len(near) > 300
+    for a, b in near.tolist():
+        assert max(own[a], own[b]) in visits[a] & visits[b]
+    if levels == 5:
+        assert len(set(own.values())) > 100
+
+
+def test_depth_grows_with_the_table():
+    assert [simhash.levels_for(n) for n in (0, 10, 10**6, 10**7, 10**8, 10**9, 10**10, 10**15)] == [4, 4, 5, 7, 10, 12, 15, 16]
+
+
+def test_links_through_texts_without_an_id(spark, rows, monkeypatch):
+    marks = rows("id long, fp long", (4, 0), (None, 3), (9, 15), (None, 0x7FF << 40))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: marks)
+    got = {(r.id, r.fp): r.component for r in simhash.near_duplicates(marks).collect()}
+    assert got == {(4, 0): 4, (None, 3): 4, (9, 15): 4, (None, 0x7FF << 40): None}
+
+
+def test_a_very_long_text_is_counted_by_parts(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    texts = [" ".join(f"w{k % 13}" for k in range(n)) for n in (1, 3, 8, 9, 10, 50, 200)] + [None]
+    assert simhash.fingerprint(texts).tolist() == [plain_fingerprint(t) for t in texts]
+
+
 def test_large_leaves_are_split(rows, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_HOMES", 3)
     fps = [1 << a | 1 << b for a in range(8) for b in range(a)]
