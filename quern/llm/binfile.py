@@ -15,8 +15,6 @@ or a second attempt leaves at most files that nobody reads.
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -62,31 +60,41 @@ def _sink(url: str) -> Iterator:
 
 
 @contextmanager
-def mapped(url: str, dtype: str) -> Iterator[np.ndarray]:
-    """The file as a memory-mapped array; one that isn't on a mounted file system is fetched first."""
-    folder = None
-    path = _local(url)
-    if path is None:
+def mapped(url: str, dtype: str) -> Iterator:
+    """The file as something to slice: a memory-mapped array on a mounted file system, else
+    an object that reads the asked range from the store; nothing is copied to a local disk."""
+    if path := _local(url):
+        yield np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+    else:
         from pyarrow import fs
 
         store, remote = fs.FileSystem.from_uri(url)
-        folder = tempfile.mkdtemp(prefix="quern-")
-        path = os.path.join(folder, "data")
-        with store.open_input_stream(remote) as source, open(path, "wb") as file:
-            shutil.copyfileobj(source, file, 1 << 22)
-    try:
-        yield np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    finally:
-        if folder:
-            shutil.rmtree(folder, ignore_errors=True)
+        with store.open_input_file(remote) as file:
+            yield _Ranges(file, np.dtype(dtype))
+
+
+class _Ranges:
+    """Slices of a remote file of numbers."""
+
+    def __init__(self, file: pa.NativeFile, dtype: np.dtype):
+        self.file, self.dtype = file, dtype
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        begin, end, _ = part.indices(len(self))
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(0, end - begin) * size, begin * size), self.dtype)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents and returns the manifest.
 
     Each document is the ids of its whole text (null: empty) and an end id 0. Null document
-    ids come first; repeated rows are written repeated, ordered by a hash of their text; an
-    empty table gives no shard. Only the two named columns are read.
+    ids come first; rows of one id (or none) are ordered by a hash of their text, which also
+    deals them to shards, so that no id makes a shard of its own size; repeated rows are
+    written repeated; an empty table gives no shard. Only the two named columns are read.
     """
     folder, name = folder or new_folder(docs.sparkSession, "tokens"), ship(docs.sparkSession, vocabulary)
 
@@ -112,8 +120,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id
             row = [[context.partitionId()], [stem], [dtype], [len(ids)], [offsets[-1]]]
             yield pa.RecordBatch.from_pydict({c.split()[0]: v for c, v in zip(MANIFEST.split(", "), row)}, schema=SHARD)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark")
     shards = materialize(rows.mapInArrow(run, MANIFEST), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return shards.select(
@@ -124,32 +132,42 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id
 SHARD = pa.schema([("part", pa.int32()), ("stem", pa.string()), ("dtype", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def read_tokens(manifest: DataFrame, shards: int | None = None) -> DataFrame:
+#: Documents and ids that a reading task holds at once (a longer document is held whole).
+SLICE_DOCS, SLICE_IDS = 20_000, 4_000_000
+
+
+def read_tokens(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the memory-mapped files.
 
     start counts the ids of all documents before it; the crc32 is that of its ids as
-    little-endian unsigned 32-bit integers, end id included."""
+    little-endian unsigned 32-bit integers, end id included. Shards are dealt to as many
+    tasks as there are shards, unless ``tasks`` says otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield from _documents(row)
 
-    spread = manifest.repartition(shards) if shards else manifest.repartition("part")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number that is given is kept: adaptive execution would put the few bytes of a manifest into one task.
+    n = tasks or max(1, manifest.count())
+    return manifest.repartition(n, F.xxhash64("part")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _documents(row: dict) -> Iterator[pa.RecordBatch]:
-    n = row["n_docs"]
-    with mapped(f"{row['stem']}.offsets", "<i8") as view:
-        offsets = np.array(view)
-    with mapped(f"{row['stem']}.docs", "u1") as view:
-        ids, null = np.array(view[: 8 * n]).view("<i8"), np.array(view[8 * n :], bool)
-    crcs = np.empty(n, np.int64)
-    with mapped(f"{row['stem']}.tokens", row["dtype"]) as tokens:
-        for k in range(n):
-            crcs[k] = zlib.crc32(tokens[offsets[k] : offsets[k + 1]].astype("<u4").tobytes())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids, mask=null), pa.array(offsets[:-1] + row["token_base"]), pa.array(np.diff(offsets)), pa.array(crcs)],
-        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-    )
+    n, stem = row["n_docs"], row["stem"]
+    with mapped(f"{stem}.offsets", "<i8") as offsets, mapped(f"{stem}.docs", "u1") as docs, mapped(f"{stem}.tokens", row["dtype"]) as tokens:
+        at = 0
+        while at < n:
+            ends = np.array(offsets[at : min(n, at + SLICE_DOCS) + 1])
+            count = max(1, int(np.searchsorted(ends, ends[0] + SLICE_IDS, "right")) - 1)
+            ends = ends[: count + 1]
+            held = tokens[int(ends[0]) : int(ends[-1])]
+            place = (ends - ends[0]).tolist()
+            crcs = [zlib.crc32(held[a:b].astype("<u4").tobytes()) for a, b in zip(place, place[1:])]
+            ids = np.array(docs[8 * at : 8 * (at + count)]).view("<i8")
+            null = np.array(docs[8 * n + at : 8 * n + at + count], bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=null), pa.array(ends[:-1] + row["token_base"]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
+            at += count

@@ -107,6 +107,34 @@ def test_token_files(docs, library):
         assert isinstance(tokens, np.memmap) and len(tokens) == shard.n_tokens and tokens.dtype == np.uint16
 
 
+def test_files_are_read_in_slices_and_by_ranges(docs, monkeypatch):
+    manifest = binfile.write_tokens(docs, vocabulary())
+    want = sorted(map(tuple, binfile.read_tokens(manifest).collect()), key=lambda r: r[1])
+    rows = [r.asDict() for r in manifest.collect()]
+    monkeypatch.setattr(binfile, "SLICE_DOCS", 3)
+    monkeypatch.setattr(binfile, "SLICE_IDS", 50)
+
+    def read():
+        return sorted((tuple(r.values()) for row in rows for batch in binfile._documents(row) for r in batch.to_pylist()), key=lambda r: r[1])
+
+    assert read() == want
+    monkeypatch.setattr(binfile, "_local", lambda url: None)
+    assert read() == want
+
+
+def test_rows_of_one_id_are_dealt_to_several_shards(spark, rows, library):
+    docs = rows("doc_id long, text string", *[(7, f"text {k}") for k in range(400)], *[(None, f"t {k}") for k in range(400)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = binfile.write_tokens(docs, vocabulary())
+        assert manifest.count() > 2 and binfile.read_tokens(manifest).rdd.getNumPartitions() == manifest.count()
+        got = binfile.read_tokens(manifest).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.doc_id for r in got] == [None] * 400 + [7] * 400
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
 def test_null_ids_and_empty_tables(docs):
     got = binfile.read_tokens(binfile.write_tokens(docs.where("doc_id is null or doc_id = 2"), vocabulary())).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 2, 2]
