@@ -16,29 +16,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.ordering import with_place
 from quern.storage import materialize
 
 BLOCK_ROWS = 2_000
 FAN_IN = 16
+#: Equal rows that one array numbers.
+STEP = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Words to take per source: ``share`` of all words by repeating weights, in code point
-    order with null last; what would pass ``most`` times a source's words is shared anew."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    left, open_, out = share * sum(sizes.values()), list(names), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not above:
-            out |= {s: left * weight[s] / total for s in open_}
+def targets(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target) for sized rows (source, size): ``share`` of all words by
+    repeating weights, in code point order with null last; what would pass ``most`` times a
+    source's words is shared anew.
+
+    Sources may be many: they stay a table, ordered by ranges. The driver holds three sums a
+    round, and every round fixes at least one more source at its most."""
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = with_place(per, F.asc_nulls_last("source"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = materialize(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap")), "mix-sources")
+    words = per.agg(F.sum("source_size")).first()[0] or 0
+    left, open_weight, fixed = share * words, None, -1.0
+    level = -1.0  # words per unit of weight; sources whose cap per weight is below it are at their most
+    while True:
+        at_most = F.col("cap") < F.col("weight") * level
+        capped, open_weight, n = per.agg(F.sum(F.when(at_most, F.col("cap"))), F.sum(F.when(~at_most, F.col("weight"))), F.count_if(at_most)).first()
+        left = share * words - (capped or 0.0)
+        if n == fixed or not open_weight:
             break
-        out |= {s: float(most * sizes[s]) for s in above}
-        left -= sum(out[s] for s in above)
-        open_ = [s for s in open_ if s not in out]
-    return {s: max(0.0, out[s]) for s in names}
+        fixed, level = n, left / open_weight
+    target = F.when(at_most, F.col("cap")).otherwise(F.lit(left) * F.col("weight") / F.lit(open_weight or 1.0))
+    return per.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
 def pivot(fraction: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
@@ -92,7 +102,9 @@ def _round_block(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     rows = rows.sort_values(["size", "id", "copy"], ascending=[False, True, True], na_position="last").reset_index(drop=True)
     fraction, undecided = rows["fraction"].to_numpy(float).copy(), np.zeros(len(rows), bool)
     draw = _draws(rows["id"].fillna(-1).to_numpy(np.int64) + 1_000_003 * rows["copy"].to_numpy(np.int64), seed)
-    for _, at in rows.groupby(rows["source"].fillna("\0"), sort=True).indices.items():
+    kind = pd.factorize(rows["source"], use_na_sentinel=False)[0]
+    order = np.argsort(kind, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
         done, open_ = pivot(fraction[at], rows["size"].to_numpy(float)[at], draw[at])
         fraction[at] = done
         if open_ >= 0:
@@ -107,7 +119,7 @@ def _decide(seed: int):
     return run
 
 
-SCHEMA = "id long, source string, size long, source_size long, target double, whole int, fraction double, copy int, block long, open boolean"
+SCHEMA = "id long, source string, size long, source_size long, target double, whole int, fraction double, copy long, block long, open boolean"
 
 
 def mix(
@@ -127,10 +139,9 @@ def mix(
     last in order; null ids and repeated rows are decided each on its own; an empty table
     gives no rows. Only the id, text and source columns are read.
 
-    The driver holds one row per source. Blocks are hashed by id, so that neither a hot
-    source nor the order of files decides what meets; reruns give the same result.
+    Blocks are hashed by id, so that neither a hot source nor the order of files decides
+    what meets; reruns give the same result.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -138,18 +149,15 @@ def mix(
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
     )
     rows = materialize(rows, "mix-sizes")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
-    words = {r["source"]: r["words"] for r in per_source}
-    goal = targets(words, weights, share, most)
-    plan = spark.createDataFrame(
-        [(s, int(words[s]), float(goal[s]), goal[s] / words[s] if words[s] else 0.0) for s in goal],
-        "goal_source string, source_size long, target double, ratio double",
-    )
-    blocks = max(1, -(-sum(r["n"] for r in per_source) // BLOCK_ROWS))
+    plan = materialize(targets(rows, weights, share, most), "mix-targets")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = plan.select(F.col("source").alias("goal_source"), "source_size", "target", ratio.alias("ratio"))
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    # Rows that are alike in all that is read are told apart by a number, given by runs of STEP.
+    rows = rows.groupBy("id", "source", "size").count()
+    rows = rows.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(STEP).cast("long"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence("begin", F.least(F.col("begin") + STEP, F.col("count")) - 1)))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    # Rows that are alike in all that is read are told apart by a number.
-    rows = rows.groupBy("id", "source", "size", "source_size", "target", "ratio").count()
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))))
     whole = F.floor("ratio").cast("int")
     rows = rows.select(
         "id", "source", "size", "source_size", "target", whole.alias("whole"),
