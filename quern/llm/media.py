@@ -22,20 +22,36 @@ TILE_ROWS = 4096
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
 
 
+#: Samples of an image at most: a header may ask for any number.
+MOST_SAMPLES = 1 << 31
+
+
+def _shape(*sides: int) -> int:
+    count = 1
+    for n in sides:
+        count *= n
+    if not 0 < count <= MOST_SAMPLES:
+        raise ValueError(f"image of {' x '.join(map(str, sides))}"[:100])
+    return count
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width) or (height, width, 3); 8 bits a sample, 16 above maxval 255."""
+    """P1 to P6 as (height, width) or (height, width, 3): 8 bits a sample, 16 above maxval 255.
+    Samples of another maxval are scaled to the full 8 or 16 bits, and held within them."""
     kind = data[1:2]
-    if data[:1] != b"P" or kind not in b"123456":
+    if data[:1] != b"P" or kind not in b"123456" or not kind:
         raise ValueError("not a Netpbm file")
     at, fields = 2, []
     for _ in range(2 if kind in b"14" else 3):
-        if not (m := _FIELD.match(data, at)):
+        if not (m := _FIELD.match(data, at)) or len(m[1]) > 10:
             raise ValueError("broken Netpbm header")
         fields.append(int(m[1]))
         at = m.end()
     width, height, most = fields[0], fields[1], (fields + [1])[2]
+    if not 0 < most < 65_536:
+        raise ValueError(f"maxval {most}")
     shape = (height, width, 3) if kind in b"36" else (height, width)
-    count = int(np.prod(shape))
+    count = _shape(*shape)
     if kind == b"4":
         rows = np.frombuffer(data, np.uint8, -(-width // 8) * height, at + 1).reshape(height, -1)
         return (1 - np.unpackbits(rows, axis=1)[:, :width]) * np.uint8(255)
@@ -43,29 +59,47 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         bits = re.sub(rb"#[^\n]*|\s", b"", data[at:])[:count]
         return ((1 - (np.frombuffer(bits, np.uint8) - 48)) * 255).astype(np.uint8).reshape(shape)
     if kind in b"23":
-        values = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:count], np.int64)
-        return values.astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
-    dtype = np.dtype("u1") if most < 256 else np.dtype(">u2")
-    return np.frombuffer(data, dtype, count, at + 1).reshape(shape).astype(dtype.newbyteorder("="))
+        words = re.sub(rb"#[^\n]*", b"", data[at:]).split()[:count]
+        if any(len(w) > 10 for w in words):
+            raise ValueError("a sample beyond maxval")
+        values = np.array(words, np.int64).reshape(shape)
+    else:
+        values = np.frombuffer(data, "u1" if most < 256 else ">u2", count, at + 1).reshape(shape)
+    full, dtype = (255, np.uint8) if most < 256 else (65_535, np.uint16)
+    if most != full:
+        values = (np.minimum(values.astype(np.int64), most) * full + most // 2) // most
+    return np.clip(values, 0, full).astype(dtype)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits as (height, width, 3), red first."""
+    """Uncompressed BMP of 8 (palette), 16, 24 or 32 bits as (height, width, 3), red first;
+    bit fields are read by their masks, or the usual ones where there are none."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP file")
     start, head, width, height = struct.unpack_from("<IIii", data, 10)
     _, bits, packing = struct.unpack_from("<HHI", data, 26)
-    if packing not in (0, 3) or bits not in (8, 24, 32):
+    if packing not in (0, 3, 6) or bits not in (8, 16, 24, 32):
         raise ValueError(f"BMP with {bits} bits, compression {packing}")
     size = bits // 8
+    _shape(max(0, width), abs(height), 3)
     stride = -(-width * size // 4) * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     rows = (rows[::-1] if height > 0 else rows)[:, : width * size].reshape(abs(height), width, size)
     if bits == 8:
-        used = struct.unpack_from("<I", data, 46)[0] or 256
+        used = min(256, struct.unpack_from("<I", data, 46)[0] or 256)
         palette = np.frombuffer(data, np.uint8, 4 * used, 14 + head).reshape(-1, 4)
         return palette[rows[:, :, 0]][:, :, 2::-1]
-    return np.ascontiguousarray(rows[:, :, 2::-1])
+    if bits == 24 or (bits == 32 and packing == 0):
+        return np.ascontiguousarray(rows[:, :, 2::-1])
+    masks = struct.unpack_from("<III", data, 54) if packing else (0x7C00, 0x3E0, 0x1F)
+    pixels = np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4")[:, :, 0].astype(np.int64)
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        if mask:
+            low = mask & -mask
+            most = mask // low
+            out[:, :, k] = ((pixels & mask) // low * 255 + most // 2) // most
+    return out
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -86,21 +120,35 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area that each new pixel covers, from the integral image.
-
-    Between pixel corners the integral is linear, so areas that end inside a pixel are exact."""
-    whole = np.zeros((gray.shape[0] + 1, gray.shape[1] + 1))
-    whole[1:, 1:] = gray.cumsum(0, dtype=np.float64).cumsum(1)
-
-    def at(table: np.ndarray, n: int) -> np.ndarray:
-        x = np.arange(n + 1) * ((len(table) - 1) / n)
-        low = np.minimum(x.astype(int), len(table) - 2)
-        return table[low] + (x - low).reshape(-1, *[1] * (table.ndim - 1)) * (table[low + 1] - table[low])
-
-    corner = at(at(whole, height).T, width).T
-    area = gray.shape[0] / height * gray.shape[1] / width
-    return np.diff(np.diff(corner, axis=0), axis=1) / area
+def area_resize(pixels: np.ndarray, height: int, width: int, strip: int = 4096) -> np.ndarray:
+    """Mean luminance of the area that each new pixel covers, from the integral image.
+
+    Between pixel corners the integral is linear, so areas that end inside a pixel are exact.
+    The image is read by strips; of its integral only the rows beside the new pixels' edges
+    are kept."""
+    rows, columns = pixels.shape[:2]
+
+    def edges(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+        x = np.arange(new + 1) * (old / new)
+        low = np.minimum(x.astype(int), old - 1)
+        return low, x - low
+
+    y, part = edges(rows, height)
+    needed = np.unique([y, y + 1])
+    kept = np.zeros((len(needed), columns))  # sums of the rows above each
+    above = np.zeros(columns)
+    for k in range(0, rows, strip):
+        sums = luminance(pixels[k : k + strip]).cumsum(0, dtype=np.float64) + above
+        inside = np.flatnonzero((needed > k) & (needed <= k + len(sums)))
+        kept[inside] = sums[needed[inside] - k - 1]
+        above = sums[-1]
+    whole = np.zeros((len(needed), columns + 1))
+    whole[:, 1:] = kept.cumsum(1)
+    low = np.searchsorted(needed, y)
+    lines = whole[low] + part[:, None] * (whole[np.searchsorted(needed, y + 1)] - whole[low])
+    x, part = edges(columns, width)
+    corner = lines[:, x] + part * (lines[:, x + 1] - lines[:, x])
+    return np.diff(np.diff(corner, axis=0), axis=1) / (rows / height * columns / width)
 
 
 def luminance(pixels: np.ndarray) -> np.ndarray:
@@ -109,7 +157,7 @@ def luminance(pixels: np.ndarray) -> np.ndarray:
 
 def difference_hash(pixels: np.ndarray) -> str:
     """64 bits as 16 hex digits: whether each of 8 x 8 area means is below its right neighbour."""
-    small = np.round(area_resize(luminance(pixels), 8, 9), 6)
+    small = np.round(area_resize(pixels, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -153,7 +201,7 @@ def tile_media(media: DataFrame, id_col: str = "id", media_col: str = "media") -
                 try:
                     tiles.append(to_tiles(decode(data)) if data else None)
                     errors.append(None if data else "no media")
-                except (ValueError, IndexError, struct.error) as error:
+                except (ValueError, IndexError, OverflowError, struct.error) as error:
                     tiles.append(None)
                     errors.append(str(error)[:200])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string()), pa.array(tiles, pa.list_(pa.binary()))], names=["id", "media_error", "tiles"])

@@ -22,6 +22,8 @@ def test_netpbm_kinds():
     assert media.decode(b"P1\n3 1\n1 0 1\n").tolist() == [[0, 255, 0]]
     assert media.decode(b"P4\n3 1\n\xa0").tolist() == [[0, 255, 0]]
     assert media.decode(b"P5 1 1 65535 \x01\x02").tolist() == [[258]]
+    assert media.decode(b"P2 3 1 15 0 7 15").tolist() == [[0, 119, 255]] and media.decode(b"P5 2 1 3 \x01\x09").tolist() == [[85, 255]]
+    assert media.decode(b"P2 2 1 1000 500 1000").tolist() == [[32768, 65535]]
 
 
 def test_bmp_kinds():
@@ -34,6 +36,28 @@ def test_bmp_kinds():
     assert media.decode(palette).tolist() == [[[10, 20, 30]]]
 
 
+def test_bmp_bit_fields():
+    def bmp(bits, packing, masks, pixels):
+        return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54 + len(masks), 40, 1, 1, 1, bits, packing, 0, 0, 0, 0, 0) + masks + pixels
+
+    red_last = bmp(32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000), bytes([1, 2, 3, 0]))
+    assert media.decode(red_last).tolist() == [[[1, 2, 3]]]
+    assert media.decode(bmp(16, 0, b"", struct.pack("<HH", 0x7C00 | 0x1F, 0))).tolist() == [[[255, 0, 255]]]
+    assert media.decode(bmp(16, 3, struct.pack("<III", 0xF800, 0x7E0, 0x1F), struct.pack("<HH", 0x07E0, 0))).tolist() == [[[0, 255, 0]]]
+
+
+def test_area_resize_by_strips_and_in_colour():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 256, (50, 24, 3)).astype(np.uint8)
+    grey = media.luminance(a)
+    fine = np.repeat(np.repeat(grey, 72, 0), 72, 1)
+    want = fine.reshape(8, fine.shape[0] // 8, 9, fine.shape[1] // 9).mean(axis=(1, 3))
+    for strip in (1, 7, 4096):
+        assert np.allclose(media.area_resize(a, 8, 9, strip), want)
+    bits = np.round(want, 6)
+    assert media.difference_hash(a) == "".join(f"{int(''.join('01'[int(x < y)] for x, y in zip(r, r[1:])), 2):02x}" for r in bits.tolist())
+
+
 def test_area_resize_is_the_mean_of_covered_area():
     rng = np.random.default_rng(1)
     for h, w in ((16, 18), (5, 7), (1, 1), (8, 9), (100, 24)):
@@ -51,6 +75,21 @@ def test_payload_round_trip(text):
     assert pixels.tobytes() == payload and len(payload) % 576 == 0 and payload and payload[:n] == text.encode() and set(payload[n:]) <= {255}
 
 
+def plain_hash(pixels):
+    """The difference hash with every area mean summed pixel by pixel."""
+    grey = media.luminance(pixels).astype(float)
+    h, w = grey.shape
+    means = np.zeros((8, 9))
+    for i in range(8):
+        for j in range(9):
+            top, bottom, left, right = i * h / 8, (i + 1) * h / 8, j * w / 9, (j + 1) * w / 9
+            ys = np.clip(np.minimum(np.arange(h) + 1, bottom) - np.maximum(np.arange(h), top), 0, 1)
+            xs = np.clip(np.minimum(np.arange(w) + 1, right) - np.maximum(np.arange(w), left), 0, 1)
+            means[i, j] = ys @ grey @ xs / (h / 8 * w / 9)
+    means = np.round(means, 6)
+    return np.packbits(means[:, :-1] < means[:, 1:]).tobytes().hex()
+
+
 def test_features_of_documents(rows):
     texts = [None, "", "a", "b" * 576, "c" * 577, "é" * 5000, "a"]
     docs = rows("doc_id long, text string, media string", *[(k, t, "clash") for k, t in enumerate(texts)], (None, "x", None))
@@ -60,16 +99,17 @@ def test_features_of_documents(rows):
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert len(r.feature) == 16
+        assert r.feature == plain_hash(media.from_tiles(media.to_tiles(media.decode(media.media_of(payload)))))
     assert got[2].media_sha256 == got[6].media_sha256 and None in got
     assert media.tile_media(media.text_media(docs.where(F.lit(False)))).count() == 0
 
 
 def test_broken_media_say_why(rows):
-    m = rows("id long, media binary", (1, b"GIF89a"), (2, None), (3, b"BM"), (4, b"P5 9 9 255 x"))
+    broken = [b"P5 99999999999999999999 1 255 x", b"P2 1 1 255 99999999999999999999", b"P5 0 4 255 ", b"P5 1 1 0 x", b"P", b"P5 4000000000 4000000000 255 x", media.encode_bmp(np.zeros((1, 1, 3), np.uint8))[:18] + bytes(20)]
+    m = rows("id long, media binary", (1, b"GIF89a"), (2, None), (3, b"BM"), (4, b"P5 9 9 255 x"), *[(9 + k, b) for k, b in enumerate(broken)])
     got = {r.id: r.media_error for r in media.tile_media(m).collect()}
     assert all(got.values()) and got[2] == "no media"
-    assert media.features(media.tile_media(m)).where("feature is null").count() == 4
+    assert media.features(media.tile_media(m)).where("feature is null").count() == 4 + len(broken)
 
 
 PROSE = "Some words, and more of them, in a row. " * 4
