@@ -23,6 +23,8 @@ from quern.storage import materialize
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 LOSS_ROLE = "assistant"
+#: Token counts stay at this: a part may claim any size.
+MOST_TOKENS = 1 << 62
 
 
 def escape(text: str) -> str:
@@ -75,7 +77,7 @@ class Flattener:
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         reference = next((str(part[k]) for k in ("url", "path", "id") if part.get(k) is not None), None)
-        self.attachments.append({"kind": kind, "reference": reference, "position": self.chars, "tokens": max(1, tokens)})
+        self.attachments.append({"kind": kind, "reference": reference, "position": self.chars, "tokens": min(MOST_TOKENS, max(1, tokens))})
         self.write(f"<|{kind}_{len(self.attachments)}|>")
 
 
@@ -96,10 +98,10 @@ def flatten(text: str | None, parts: str | None = None) -> Flattener:
 
 
 OUT = (
-    "conv_id long, turn long, role string, formatted string, loss_start int, loss_chars int, "
-    "attachments array<struct<kind:string,reference:string,position:int,tokens:int>>, expanded_tokens int"
+    "conv_id long, turn long, role string, formatted string, loss_start long, loss_chars long, "
+    "attachments array<struct<kind:string,reference:string,position:long,tokens:long>>, expanded_tokens long"
 )
-ATTACHMENT = pa.struct([("kind", pa.string()), ("reference", pa.string()), ("position", pa.int32()), ("tokens", pa.int32())])
+ATTACHMENT = pa.struct([("kind", pa.string()), ("reference", pa.string()), ("position", pa.int64()), ("tokens", pa.int64())])
 
 
 def format_turns(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
@@ -123,8 +125,8 @@ def format_turns(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
                 tokens.append(sum(a["tokens"] for a in content.attachments))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(roles), pa.array(formatted), pa.array(starts, pa.int32()), pa.array(chars, pa.int32()),
-                    pa.array(attached, pa.list_(ATTACHMENT)), pa.array(tokens, pa.int32()),
+                    batch.column(0), batch.column(1), pa.array(roles), pa.array(formatted), pa.array(starts, pa.int64()), pa.array(chars, pa.int64()),
+                    pa.array(attached, pa.list_(ATTACHMENT)), pa.array([min(n, MOST_TOKENS) for n in tokens], pa.int64()),
                 ],
                 names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_chars", "attachments", "expanded_tokens"],
             )
@@ -171,7 +173,7 @@ def digests(output: DataFrame) -> DataFrame:
                 state["loss_chars"] += len(masked)
                 state["formatted_chars"] += len(formatted)
                 state["attachments"] += len(attached)
-                state["expanded_tokens"] += tokens
+                state["expanded_tokens"] = min(MOST_TOKENS, state["expanded_tokens"] + tokens)
             if len(done) > 5_000:
                 yield _digest_rows(done)
                 done = []
@@ -180,8 +182,7 @@ def digests(output: DataFrame) -> DataFrame:
         if done:
             yield _digest_rows(done)
 
-    rows = output.withColumn("text", F.col("formatted"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text")
+    rows = output.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return rows.mapInArrow(run, DIGESTS)
 
 

@@ -109,11 +109,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's operator over typed parts: each turn is its text between an image whose size
+    comes from the text's length and, in answers, a document of as many pages as the turn's number."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n, kind = F.length("text"), "type string, url string, width long, height long, text string, pages long"
+    image = F.struct(F.lit("image").alias("type"), F.concat(F.lit("img/"), "conv_id").alias("url"), n.alias("width"), F.lit(56).alias("height"))
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    paper = F.struct(F.lit("document").alias("type"), (F.col("turn") + 1).alias("pages"))
+    listed = [F.from_json(F.to_json(x), kind) for x in (image, text, paper)]
+    parts = F.when(F.col("role") == "assistant", F.array(*listed)).otherwise(F.array(*listed[:2]))
+    written = chat.format_turns(turns.withColumn("parts", F.to_json(parts)), "parts")
+    return chat.digests(written).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "attachments", "expanded_tokens")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_html_extraction, op3_media_columns, op4_embedding_near_dedup, op5_source_mixing,
         op6_quality_classifier, op7_sequence_packing, op8_token_files, op9_simhash_near_dedup, op10_chat_formatting,
+        chat_typed_parts,
     )
 }
 
@@ -154,4 +169,12 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
        CAST(sum(length(role) + length(body) + 12 + 1 + 10 + 1) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "chat_typed_parts": r"""
+WITH t AS (
+  SELECT conv_id, turn, role, role = 'assistant' AS answer, coalesce(text, '') AS text,
+         '<|image_1|>' || coalesce(text, '') || CASE WHEN role = 'assistant' THEN '<|document_2|>' ELSE '' END AS body FROM conversations)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN answer THEN length(body) ELSE 0 END) AS BIGINT) AS loss_chars, CAST(sum(CASE WHEN answer THEN 2 ELSE 1 END) AS BIGINT) AS attachments,
+       CAST(sum(2 * ceil(greatest(1, length(text)) / 28) + CASE WHEN answer THEN 256 * (turn + 1) ELSE 0 END) AS BIGINT) AS expanded_tokens
+FROM t GROUP BY conv_id""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import chat, counts, mixing, queries
+from tests.oracle import connect
 
 COUNTS = "source string, lang string, tokenizer string, n_tokens long, new_tokens long"
 
@@ -111,11 +112,53 @@ def test_token_counts_of_odd_rows(spark, rows):
     assert counts.token_counts(docs.where(F.lit(False)), names).count() == 0
 
 
-def test_targets_share_the_excess():
-    assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
-    t = mixing.targets({"b": 10, "a": 1000, "c": 0})
-    assert t["c"] == 0 and all(t[s] <= 2 * n for s, n in {"b": 10, "a": 1000, "c": 0}.items()) and sum(t.values()) == pytest.approx(1515)
-    assert mixing.targets({}) == {} and mixing.targets({"x": 0}) == {"x": 0.0}
+def plain_targets(sizes, weights=(3, 1, 2)):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(names), {}
+    while above := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * sizes[s]]:
+        for s in above:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+    return out | {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+
+
+def test_targets_share_the_excess(rows):
+    rng = np.random.default_rng(4)
+    many = {f"s{k:03d}": int(rng.pareto(0.5) * 10) + (k % 5 == 0) for k in range(60)}
+    for sizes in ({"a": 100, "b": 100, None: 100}, {"b": 10, "a": 1000, "c": 0}, {}, {"x": 0}, {"\0": 5, None: 7, "": 9, "é": 3, "z": 40}, many):
+        table = rows("source string, size long", *[(s, n - n // 3) for s, n in sizes.items()], *[(s, n // 3) for s, n in sizes.items()])
+        got = {r.source: (r.source_size, r.target) for r in mixing.targets(table).collect()}
+        assert {s: t for s, (_, t) in got.items()} == pytest.approx(plain_targets(sizes)) and {s: n for s, (n, _) in got.items()} == sizes
+
+
+def test_mixing_query_sizes_and_targets(spark, sf_dir):
+    """size, source_size and target of op5 against SQL, and what is taken against its bounds."""
+    got = queries.op5_source_mixing(spark, sf_dir).collect()
+    con = connect(sf_dir)
+    sizes = con.execute(r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents").fetchall()
+    assert sorted((r.doc_id, r.source or "", r["size"]) for r in got) == sorted((i, s or "", n) for i, s, n in sizes)
+    per = {}
+    for _, s, n in sizes:
+        per[s] = per.get(s, 0) + n
+    want, taken = plain_targets(per), dict.fromkeys(per, 0)
+    for r in got:
+        assert r.source_size == per[r.source] and r.target == pytest.approx(want[r.source])
+        assert r.taken == r.copies * r["size"] and r.copies in (0, 1, 2)
+        taken[r.source] += r.taken
+    longest = max(n for _, _, n in sizes)
+    assert all(abs(taken[s] - want[s]) <= longest for s in per)
+
+
+def test_many_equal_rows_are_numbered_by_parts(rows, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 4)
+    docs = rows("doc_id long, text string, source string", *[(None, "a b", "s")] * 23, *[(1, "c", None)] * 5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 28 and sum(r.source is None for r in got) == 5
+    for source, words in (("s", 2), (None, 1)):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * words for r in mine) - mine[0].target) <= words
 
 
 def test_pivot_keeps_the_sum_and_the_mean():
@@ -173,6 +216,13 @@ def test_parts_become_placeholders():
     assert "".join(chat.flatten("plain", "not json").out) == "not json" and "".join(chat.flatten(None).out) == ""
 
 
+def test_parts_of_any_size(rows):
+    parts = ['[{"type": "image", "width": 1000000000, "height": 1000000000}, {"type": "document", "pages": 1e300}]', '[{"type": "audio", "seconds": -1}, {"type": "image", "width": "x"}]', "[]", "[[1]]"]
+    turns = rows("conv_id long, turn long, role string, text string, parts string", *[(k, 0, "user", "t", p) for k, p in enumerate(parts)])
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(turns, "parts")).collect()}
+    assert got[0].expanded_tokens == chat.MOST_TOKENS and [got[k].attachments for k in range(4)] == [2, 2, 0, 0] and got[1].expanded_tokens == 26
+
+
 def test_conversations_round_trip(spark, rows):
     data = [(1, 0, "system", "be\nkind"), (1, 1, "user", None), (1, 2, "assistant", "<|im_end|>é"), (1, 2, "assistant", "<|im_end|>é"), (2, 0, None, "x<\\|"), (None, None, "assis\ntant<|", ""), (3, 1, "assistant", "b"), (3, None, "assistant", "a")]
     turns = rows("conv_id long, turn long, role string, text string, formatted string", *[(*d, "clash") for d in data])
