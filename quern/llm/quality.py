@@ -7,7 +7,8 @@ A document is the mean of its words' vectors beside the mean of its word shapes'
 with one hidden layer maps that to a logit; a temperature fitted on labelled rows apart from
 the network's own makes probabilities of it.
 
-Fitting reads a bounded sample of labelled rows (``most_rows``); scoring reads every text.
+Fitting reads a bounded sample of labelled rows (``most_rows``, ``most_bytes``), drawn at the
+labels' own shares at every size; scoring reads every text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.workers import lean
+from quern.storage import materialize
 
 BUCKETS = 1 << 15
 SHAPES = 1 << 10
@@ -30,13 +32,15 @@ WIDTH = 32
 NONZERO = 4
 REACH = 2
 MOST_ROWS = 6_000
+#: Bytes of sampled texts that the driver holds at most.
+MOST_BYTES = 64 << 20
 MOST_WORDS = 200_000
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters, digits and any other character, each written once."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
     return _RUN.sub(r"\1", "".join(kinds))
 
 
@@ -191,19 +195,31 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most ``most_rows`` labelled rows outside the held-out fold, half of
-    each label where there are so many; which ones, a hash of the id decides.
+def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> Model:
+    """A model from at most ``most_rows`` labelled rows outside the held-out fold; which ones,
+    a hash of the id decides, so that labels keep their shares whatever the table's size.
 
-    Labels that are null or contradict each other on one id are not used."""
+    Whole texts are taken in the hash's order while they fit in ``most_bytes``; a text that
+    alone passes a quarter of that is left out. Labels that are null or contradict each other
+    on one id are not used."""
     known = labels.where(f"{id_col} is not null and quality is not null").groupBy(id_col).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     known = known.where("low = high").where(fold(id_col) != 1).select(F.col(id_col).alias("label_id"), F.col("low").alias("quality"))
-    some = [known.where(F.col("quality") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows // 2) for q in (0, 1)]
-    picked = some[0].unionAll(some[1])
-    # Bounded by most_rows on both sides: ids to the executors, texts to the driver.
+    picked = known.withColumn("order", F.xxhash64("label_id")).orderBy("order", "label_id").limit(most_rows)
+    # Bounded by most_rows: ids to the executors, texts to a small table.
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(picked), "label_id").groupBy("label_id", "quality").agg(F.min("text").alias("text"))
-    sample = sorted(rows.collect(), key=lambda r: r["label_id"])
+    rows = rows.join(F.broadcast(picked), "label_id").groupBy("label_id", "quality", "order").agg(F.min("text").alias("text"))
+    rows = materialize(rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "labelled")
+    sizes = sorted((r["order"], r["label_id"], r["bytes"]) for r in rows.select("order", "label_id", "bytes").collect())
+    total, used = 0, []
+    for _, key, n in sizes:
+        if n <= most_bytes // 4:
+            total += n
+            if total > most_bytes:
+                break
+            used.append(key)
+    wanted = set(used)
+    some = rows if len(used) == len(sizes) else rows.where(F.col("label_id").isin(used))  # most_rows at most
+    sample = sorted((r for r in some.collect() if r["label_id"] in wanted), key=lambda r: r["label_id"])
     return fit([r["text"] for r in sample], [r["quality"] for r in sample])
 
 

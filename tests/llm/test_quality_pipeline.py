@@ -39,6 +39,23 @@ def test_fit_without_both_labels():
     assert quality.fit(["a", "b"], [1, 1]).score(["x"])[0] > 0.9
 
 
+def test_sample_keeps_shares_and_bytes(rows, monkeypatch):
+    texts, _ = sample(200)
+    docs = rows("doc_id long, text string", *enumerate(texts), (9_000, "x" * 100_000))
+    marks = rows("doc_id long, quality int", *[(k, int(k % 10 > 0)) for k in range(400)], (9_000, 0))
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda t, y: seen.update(texts=t, labels=y))
+    for most in (60, 120, 400):
+        quality.fit_on(docs, marks, most, most_bytes=200_000)
+        assert len(seen["labels"]) <= most and 0.8 <= np.mean(seen["labels"]) <= 0.97 and all(len(t) < 50_000 for t in seen["texts"])
+    quality.fit_on(docs, marks, 400, most_bytes=20_000)
+    assert 10 < len(seen["texts"]) < 200 and sum(len(t.encode()) for t in seen["texts"]) <= 20_000
+
+
+def test_shape_is_of_the_whole_word():
+    assert quality.shape("a" * 100 + "9" + "中" * 500 + "!") == "a0a!"
+
+
 def test_score_of_odd_rows(rows):
     texts, labels = sample(40)
     docs = rows("doc_id long, text string, score string", *[(k, t, "clash") for k, t in enumerate(texts)], (None, None, None), (0, texts[0], None), (7000, "x" * 100_000, None))
