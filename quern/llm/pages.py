@@ -3,7 +3,12 @@
 Paragraph-like blocks earn points for length and commas and pass them to their ancestors,
 the parent in full, the grandparent half, others less. A container's points are discounted
 by the share of its text inside links. The best container is kept, with those siblings that
-score near it or read like prose. Menus, forms, adverts, notices and comments are cut first.
+score near it or read like prose.
+
+Elements that look like menus, forms, adverts, notices or comments are suspects: the rest of
+the page is scored without them. A suspect that holds far more prose than all the rest (a form
+around the page, an advert that is never closed) is a suspect no more, so that scoring, not a
+name, decides where the text is.
 """
 
 from __future__ import annotations
@@ -26,16 +31,24 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "button", "select", "object", "embed", "head"} | RAW
-CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+#: Elements that never hold text to read; if closed, they are skipped whole.
+SKIPPED = {"button", "select", "object", "embed", "template", "svg", "math"}
+SUSPECT_TAGS = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}
+SUSPECT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 CUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertorial adsense banner banners breadcrumb breadcrumbs comment comments commentary respond reply replies disqus consent cookie cookies gdpr notice notices notification notifications alert popup modal overlay promo promos promotion sponsor sponsored sponsors newsletter subscribe subscription signup login share sharing social sidebar sidebars rail menu menus nav navbar navigation footer foot header masthead topbar toolbar pagination pager related recommended recommendations widget widgets hidden outbrain taboola skip".split()
 )
-KEEP_WORDS = {"article", "story", "post", "entry", "content", "main", "body", "text"}
-#: Of the words above, those that cut even beside a word to keep ("post-comments").
-CUT_ALWAYS = {"comment", "comments", "ad", "ads", "advert", "advertisement", "cookie", "cookies", "sidebar", "nav", "navigation", "menu", "related", "footer", "header", "share", "social", "newsletter", "promo", "sponsored", "respond"}
+#: Words that say nothing beside one of those above ("site-footer", "related-posts").
+NEUTRAL_WORDS = set("site page global main top bottom left right primary secondary wrapper wrap container box area block section inner outer list item items group row col column bar links link posts buttons button icons form policy message widget thread count title heading text id js the a my new".split())
+#: Words for the text itself: beside them the last word decides ("post-comments", "article-footer").
+TEXT_WORDS = {"article", "story", "post", "entry", "content", "main", "body", "blog", "news"}
+COMMENT_WORDS = {"comment", "comments", "commentary", "respond", "reply", "replies", "disqus"}
+#: What a suspect is: a header may belong to the text, comments never do.
+ORDINARY, HEADER, COMMENTS = 1, 2, 3
 SCORED = {"p", "pre", "blockquote", "td", "li", "dd", "div", "section", "article", "main"}
 CONTAINERS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "table", "dl"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
 
@@ -43,39 +56,42 @@ _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 class Node:
     """A block element: in ``parts``, texts of its own and child nodes in page order."""
 
-    __slots__ = ("attrs", "linked", "parent", "parts", "score", "tag")
+    __slots__ = ("attrs", "closed", "linked", "parent", "parts", "score", "suspect", "tag")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    def __init__(self, tag: str, attrs: str, parent: Node | None, suspect: int = 0):
+        self.tag, self.attrs, self.parent, self.suspect = tag, attrs, parent, suspect
         self.parts: list = []
         self.linked: list[int] = []
-        self.score = 0.0
-
-
-def _cut(tag: str, attrs: str) -> bool:
-    """Whether an element is known not to hold main text."""
-    if tag in CUT:
-        return True
-    if not attrs.strip() or tag in ("body", "html"):
-        return False
-    words: set[str] = set()
+        self.score, self.closed = 0.0, False
+
+
+def _named(token: str) -> int:
+    """What a class or id says: a word for boilerplate alone, or among words that say nothing."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    found = [w for w in words if w in CUT_WORDS]
+    if not found or any(w not in CUT_WORDS and w not in NEUTRAL_WORDS and w not in TEXT_WORDS and not w.isdigit() for w in words):
+        return 0
+    if any(w in TEXT_WORDS for w in words) and words[-1] not in CUT_WORDS:
+        return 0
+    return COMMENTS if COMMENT_WORDS & set(found) else HEADER if words[-1] == "header" else ORDINARY
+
+
+@lru_cache(maxsize=4096)
+def _suspect(tag: str, attrs: str) -> int:
+    """Whether, by its name or marks, an element isn't part of the text."""
+    if tag in ("body", "html"):
+        return 0
+    kind = (HEADER if tag == "header" else ORDINARY) if tag in SUSPECT_TAGS else 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORDS.findall(value))
-        elif name == "role" and value.strip().lower() in CUT_ROLES:
-            return True
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            named = {_named(t) for t in value.split()}
+            kind = next((k for k in (COMMENTS, ORDINARY, HEADER) if k in named or k == kind), 0)
+        elif name == "role" and value.strip().lower() in SUSPECT_ROLES or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            kind = kind if kind == COMMENTS else ORDINARY
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    found = words & CUT_WORDS
-    return bool(found) and (bool(found & CUT_ALWAYS) or not words & KEEP_WORDS)
-
-
-_P_END = re.compile(r"</p\s*>|<(?:p|div|ul|ol|table|h[1-6]|section|article|footer|nav|aside|header|form|main)[\s>/]|</(?:div|section|article|main|body|td)", re.I)
-_ITEM_END = re.compile(r"<(?:li|dt|dd|tr|td|th|option|article|main)(?=[\s>/])|</(?:li|dt|dd|tr|td|th|option|ul|ol|dl|table|tbody|select)\s*>", re.I)
-_MAIN = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+            kind = kind if kind == COMMENTS else ORDINARY
+    return kind
 
 
 @lru_cache(maxsize=256)
@@ -83,25 +99,24 @@ def _tags(tag: str) -> re.Pattern:
     return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
 
 
-def _behind(page: str, tag: str, at: int) -> int:
-    """Where an element that begins before ``at`` ends. One that is never closed ends before
-    the next article or main element, or with the page."""
+def _behind(page: str, tag: str, at: int) -> int | None:
+    """Where an element that begins before ``at`` ends; None if it is never closed."""
     depth = 1
     for m in _tags(tag).finditer(page, at):
         depth += -1 if m[1] else 1
         if depth == 0:
             return m.end()
-    next_main = _MAIN.search(page, at)
-    return next_main.start() if next_main else len(page)
+    return None
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; a part of ``parts`` is a text, kept with the number of its
-    characters inside links in ``linked``, or a node. Cut elements are left out."""
+    characters inside links in ``linked``, or a node."""
     root = node = Node("html", "", None)
     text: list[str] = []
     in_link = linked = 0
     at, size = 0, len(page)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -132,28 +147,30 @@ def parse(page: str) -> Node:
         if m[2] is None:
             continue
         closing, tag, attrs = m[1], m[2].lower(), m[3]
-        if not closing and tag not in VOID and _cut(tag, attrs):
-            flush() if tag in BLOCKS or tag in ("form", "aside", "nav") else None
-            if tag in RAW - {"svg", "math", "template"}:
-                end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+        if tag in VOID or closing and tag not in BLOCKS and tag != "a":
+            if tag == "br" or tag == "img":
+                text.append(" ")
+            elif tag == "hr":
+                flush()
+            continue
+        if not closing and tag in RAW - SKIPPED:
+            end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+            if end or tag != "title":
                 at = page.find(">", end.start()) + 1 or size if end else size
-                if end is None and tag == "title":
-                    at = m.end()
-            elif tag == "head":
-                continue
-            elif tag == "p" or tag in _CLOSED_BY:  # closed by what follows, so only its own text is left out
-                end = (_P_END if tag == "p" else _ITEM_END).search(page, at)
-                at = size if end is None else end.end() if end[0].lower().startswith(f"</{tag}") else end.start()
-            else:
-                at = _behind(page, tag, at)
+            continue
+        block = tag in BLOCKS
+        suspect = 0 if closing else _suspect(tag, attrs if len(attrs) < 2000 else "") if attrs or tag in SUSPECT_TAGS else 0
+        if not closing and not block and (suspect or tag in SKIPPED):
+            if tag not in unclosed:  # an element that never ends says nothing of what follows
+                end = _behind(page, tag, at)
+                if end is None:
+                    unclosed.add(tag)
+                else:
+                    at = end
             continue
         if tag == "a":
             in_link = 0 if closing else 1
-        elif tag == "br" or tag == "img":
-            text.append(" ")
-        if tag == "hr":
-            flush()
-        if tag not in BLOCKS:
+        if not block:
             continue
         flush()
         in_link = 0 if closing else in_link
@@ -162,11 +179,12 @@ def parse(page: str) -> Node:
             while up is not root and up.tag != tag:
                 up = up.parent
             if up.tag == tag and up is not root:
+                up.closed = True
                 node = up.parent
             continue
         if tag in ("html", "body"):
             continue
-        if node.tag == "p" or (re.fullmatch("h[1-6]", node.tag) and re.fullmatch("h[1-6]", tag)):
+        if node.tag == "p" or (node.tag in HEADINGS and tag in HEADINGS):
             node = node.parent
         closed, scope, up = _CLOSED_BY.get(tag, ()), _SCOPES.get(tag, ()), node
         while closed and up is not root and up.tag not in scope:
@@ -174,7 +192,7 @@ def parse(page: str) -> Node:
                 node = up.parent
                 break
             up = up.parent
-        child = Node(tag, attrs, node)
+        child = Node(tag, attrs, node, suspect)
         node.parts.append(child)
         node.linked.append(0)
         node = child
@@ -202,34 +220,133 @@ def _lengths(root: Node) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _texts(node: Node, lengths: dict[int, tuple[int, int]]) -> list[str]:
-    """Blocks in page order, without lists of links."""
+def points(text: str, linked: int) -> float:
+    return 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) // 100, 3) if len(text) - linked >= 25 else 0
+
+
+def _prose(root: Node) -> dict[int, tuple[float, int]]:
+    """Points and unlinked characters below each node (by id), without what is under comments."""
+    out: dict[int, tuple[float, int]] = {}
+    for node in reversed(list(_walk(root))):
+        gain, chars = 0.0, 0
+        for part, link in zip(node.parts, node.linked):
+            if isinstance(part, Node):
+                a, b = out[id(part)] if part.suspect != COMMENTS else (0.0, 0)
+            else:
+                a, b = points(part, link), len(part) - link
+            gain, chars = gain + a, chars + b
+        out[id(node)] = gain, chars
+    return out
+
+
+def _settle(root: Node) -> None:
+    """Clears suspects that hold the page's prose, from the outermost in.
+
+    The rest of the page is what is under no suspect. A suspect that is never closed has to
+    hold one and a half times the rest's points and characters; a closed one three times, and
+    prose of some length unless it is a form; one that is a menu, header, footer or side note
+    by its tag also an article or main element. Comments are never cleared, and nothing is
+    beside an article or main element that is no suspect."""
+    if not any(n.suspect for n in _walk(root)):
+        return
+    prose, cleared = _prose(root), set()
+    for _ in range(50):
+        gain, chars, marked, tops = 0.0, 0, False, []
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            for part, link in zip(node.parts, node.linked):
+                if not isinstance(part, Node):
+                    if id(node) in cleared and not points(part, link):
+                        continue  # an advert's own few words
+                    gain, chars = gain + points(part, link), chars + len(part) - link
+                elif part.suspect:
+                    tops.append(part)
+                else:
+                    marked = marked or part.tag in CONTAINERS
+                    stack.append(part)
+        tops = [n for n in tops if n.suspect != COMMENTS]
+        if not tops or marked:
+            return
+        top = max(tops, key=lambda n: prose[id(n)])
+        g, c = prose[id(top)]
+        open_ = not top.closed and top.tag not in _CLOSED_BY and top.tag != "p"
+        often = 1.5 if open_ else 3.0
+        most = g >= often * max(gain, 1.0) and c >= often * chars
+        if open_:
+            clear = most
+        elif top.tag in ("form", "fieldset"):
+            clear = most or (c > 0 and not chars)
+        else:
+            clear = most and g >= 10 and (top.tag not in SUSPECT_TAGS or any(n.tag in CONTAINERS and prose[id(n)][0] for n in _walk(top)))
+        if not clear:
+            return
+        cleared.add(id(top))
+        top.suspect = 0
+        top.parts, top.linked = _without_asides(top)
+
+
+def _without_asides(node: Node) -> tuple[list, list[int]]:
+    """A cleared suspect's parts without words of its own that earn nothing, if others do."""
+    pairs = list(zip(node.parts, node.linked))
+    kept = [(p, k) for p, k in pairs if isinstance(p, Node) or points(p, k)]
+    kept = kept if any(isinstance(p, Node) or points(p, k) for p, k in kept) else pairs
+    return [p for p, _ in kept], [k for _, k in kept]
+
+
+def _own_header(node: Node, lengths: dict[int, tuple[int, int]]) -> bool:
+    """Whether a header inside the text belongs to it: a heading, few links and no menu."""
+    n, linked = lengths[id(node)]
+    inside = list(_walk(node))
+    return n > 0 and linked <= 0.3 * n and any(x.tag in HEADINGS for x in inside) and not any(x.tag == "nav" for x in inside)
+
+
+def _texts(node: Node, lengths: dict[int, tuple[int, int]], headers: bool = True) -> list[str]:
+    """Blocks in page order without suspects, and without lists of links that are menus: those
+    before the first prose and, outside articles, those of short items."""
     out: list[str] = []
+    begun = False
+    strict = node.tag not in CONTAINERS
     stack: list = [node]
     while stack:
         part = stack.pop()
         if isinstance(part, str):
             out.append(part)
-        elif not (part is not node and part.tag in ("ul", "ol", "table", "dl") and lengths[id(part)][1] > 0.8 * lengths[id(part)][0]):
-            stack += reversed(part.parts)
+            begun = begun or len(part) >= 25
+            continue
+        if part is not node:
+            if part.suspect and not (part.suspect == HEADER and headers and _own_header(part, lengths)):
+                continue
+            n, linked = lengths[id(part)]
+            if part.tag in LISTS and linked > 0.8 * n:
+                items = sum(isinstance(p, Node) for p in part.parts) or 1
+                if not begun or (strict and n / items < 25):
+                    continue
+        stack += reversed(part.parts)
     return out
 
 
-def points(text: str, linked: int) -> float:
-    return 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) // 100, 3) if len(text) - linked >= 25 else 0
-
-
 def main_text(page: str | None) -> str:
     """Blocks of the main container joined by an empty line; '' for null, empty or textless pages.
 
-    An article or main element around the best container is kept whole. Where no block earns
-    points, the longest article or main element counts, else all that was not cut."""
+    An article or main element around the best container is kept whole, with other articles
+    that score at least half as much. Where no block earns points, the longest article or
+    main element counts, else all that is no suspect."""
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     lengths = _lengths(root)
     candidates: dict[int, Node] = {}
-    for node in _walk(root):
+    visible: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.suspect:
+            continue
+        visible.append(node)
+        stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
+    for node in visible:
         if node.tag not in SCORED and not (node is root):
             continue
         for part, linked in zip(node.parts, node.linked):
@@ -247,22 +364,40 @@ def main_text(page: str | None) -> str:
         n, linked = lengths[id(node)]
         return node.score * (1 - linked / n) if n else 0.0
 
-    marked = [n for n in _walk(root) if n.tag in CONTAINERS and lengths[id(n)][0]]
+    def written(*nodes: Node) -> str:
+        return "\n\n".join(t for n in nodes for t in _texts(n, lengths))
+
+    marked = [n for n in visible if n.tag in CONTAINERS and lengths[id(n)][0]]
     if not candidates:
         best = max(marked, key=lambda n: lengths[id(n)][0] - lengths[id(n)][1], default=root)
-        return "\n\n".join(_texts(best, lengths))
+        return "\n\n".join(_texts(best, lengths, best is not root))
     best = max(candidates.values(), key=final)
     inside = best
     while inside and inside.tag not in CONTAINERS:
         inside = inside.parent
-    if inside:
-        return "\n\n".join(_texts(inside, lengths))
-    if marked:
+    if not inside and marked:
         top = max(marked, key=final)
         if final(top) >= 0.5 * final(best) and lengths[id(top)][0] >= 0.5 * lengths[id(best)][0]:
-            return "\n\n".join(_texts(top, lengths))
+            inside = top
+    if inside:
+        if inside.tag != "article":
+            own = [n for n in marked if n.tag == "article" and _above(inside, n)]
+            outer = [n for n in own if not any(_above(x, n) for x in own)]
+            prose = _prose(inside)
+            if not own or sum(prose[id(n)][0] for n in outer) < 0.8 * prose[id(inside)][0]:
+                return written(inside)
+            inside = max(own, key=final)
+        # Articles beside it, none inside another that is kept.
+        kept: list[Node] = []
+        for n in marked:
+            up = n.parent
+            while up and up not in kept:
+                up = up.parent
+            if n is inside or (n.tag == "article" and not up and not _above(n, inside) and not _above(inside, n) and final(n) >= 0.5 * final(inside)):
+                kept.append(n)
+        return written(*kept)
     if best is root or not best.parent:
-        return "\n\n".join(_texts(best, lengths))
+        return "\n\n".join(_texts(best, lengths, False))
     out: list[str] = []
     least = max(10.0, 0.2 * final(best))
     for part, linked in zip(best.parent.parts, best.parent.linked):
@@ -271,13 +406,20 @@ def main_text(page: str | None) -> str:
         elif isinstance(part, Node):
             n, link = lengths[id(part)]
             share = link / n if n else 1
-            if final(part) >= least or re.fullmatch("h[1-6]", part.tag) or (part.tag in ("p", "pre", "blockquote") and share < 0.25 and n):
+            if not part.suspect and (final(part) >= least or part.tag in HEADINGS or (part.tag in ("p", "pre", "blockquote") and share < 0.25 and n)):
                 out += _texts(part, lengths)
         elif len(part) - linked >= 25:
             out.append(part)
     return "\n\n".join(out)
 
 
+def _above(a: Node, b: Node) -> bool:
+    up = b.parent
+    while up and up is not a:
+        up = up.parent
+    return up is a
+
+
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """``pages`` with the main text of each row; other columns stay, a column of that name is replaced.
 

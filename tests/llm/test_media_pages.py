@@ -131,11 +131,49 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
+P = PROSE.strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # Names and structures around the text don't cut it.
+        (f"<body><form><div class=content><h1>T</h1><p>{P}</p><p>{P}</p></div><footer>c</footer></form></body>", f"T\n\n{P}\n\n{P}"),
+        (f'<div class="with-sidebar"><article><p>{P}</p></article></div>', P),
+        (f'<div class="comment-free"><p>{P}</p><p>{P}</p></div>', f"{P}\n\n{P}"),
+        (f'<div class="related-story"><p>{P}</p></div>', P),
+        (f"<div class=ad>buy now<p>{P}</p><p>{P}</p>", f"{P}\n\n{P}"),
+        (f"<h1>Title</h1><div class=ad>buy now<p>{P}</p><p>{P}</p>", f"Title\n\n{P}\n\n{P}"),
+        (f'<article><p>{P}</p><p class="social-theory">Short, but kept.</p><p id="notice-period">Kept as well.</p></article>', f"{P}\n\nShort, but kept.\n\nKept as well."),
+        (f"<header><a href=/>Site</a></header><article><header><h1>Headline</h1><p>By A. Writer</p></header><p>{P}</p></article>", f"Headline\n\nBy A. Writer\n\n{P}"),
+        (f"<article><p>{P}</p><h2>References</h2><ul><li><a href=1>Smith 2001</a><li><a href=2>Jones, a longer title</a></ul></article>", f"{P}\n\nReferences\n\nSmith 2001\n\nJones, a longer title"),
+        (f"<main><article><h2>A</h2><p>{P}</p></article><article><h2>B</h2><p>{P}</p></article><article><p>teaser, short, but of some length here</p></article></main>", f"A\n\n{P}\n\nB\n\n{P}"),
+        # Boilerplate goes, with and without an article to go by.
+        (f"<div id=page><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div class=post><h2>T</h2><p>{P}</p><p>{P}</p></div><div class='site-footer'><p>{P}</p></div></div>", f"T\n\n{P}\n\n{P}"),
+        (f"<div class=post><p>{P}</p><p>{P}</p><div id=comments><h3>2 comments</h3><p>{P}</p><p>{P}</p><p>{P}</p></div></div>", f"{P}\n\n{P}"),
+        (f"<article><p>tiny</p></article><section class='post-comments'><p>{P}</p><p>{P}</p></section>", "tiny"),
+        (f"<p>Short body text.</p><div class='cookie-notice'>We use cookies to, well, keep you here, and more.</div>", "Short body text."),
+        (f"<div class=wrap><div class=menu><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class=text><ul><li><a href=1>Home</a><li><a href=2>Here</a></ul><p>{P}</p><p>{P}</p></div></div>", f"{P}\n\n{P}"),
+        (f"<div><form action=/s>Search <input><p>Find, if you can, what you look for here</p></form><p>{P}</p><p>{P}</p></div>", f"{P}\n\n{P}"),
+        (f"<nav><p>{P}</p></nav><aside><p>{P}</p></aside><div><p>{P}</p><p>{P}</p></div><dialog><p>{P}</p></dialog>", f"{P}\n\n{P}"),
+        (f"<div style='display:none'><p>{P}</p></div><div><p>{P}</p></div>", P), (f"<div id=app style='visibility:hidden'><div><h1>T</h1><p>{P}</p></div></div>", f"T\n\n{P}"),
+        (f"<nav><a href=/>Home</a><div><h1>T</h1><p>{P}</p><p>{P}</p>", f"T\n\n{P}\n\n{P}"),
+        (f"<table><tr><td><a href=1>x</a></td><td><p>{P}</p><p>{P}</p></td></tr></table>", f"{P}\n\n{P}"),
+        ("<section class=comments><p>All there is, a reader's word on it.</p></section>", ""),
+        (f"<nav><p>{P}</p></nav><article></article><footer>Copyright, and other notes, of some length.</footer>", ""), ("<footer>Copyright, and other notes, of some length.</footer>", ""),
+        (f"<div class=overlay><main><h1>T</h1><p>{P}</p></main></div>", f"T\n\n{P}"),
+        (f"<p>{P}<span class=ad>buy</span> <button>Go</button>more</p><p>{P}</p>", f"{P} more\n\n{P}"), (f"<p>{P}</p><p><span class=ad>never closed, but text</p>", f"{P}\n\nnever closed, but text"),
+    ],
+)
+def test_scoring_decides(html, text):
+    assert pages.main_text(html) == text
+
+
 def test_hostile_pages_end_soon():
     import time
 
     start = time.time()
-    for page in ("<a " + "x" * 200_000 + '"', "<div>" * 20_000 + "deep", "<" * 100_000, "<p>" * 50_000 + "x", "&amp" * 50_000):
+    for page in ("<a " + "x" * 200_000 + '"', "<div>" * 20_000 + "deep", "<" * 100_000, "<p>" * 50_000 + "x", "&amp" * 50_000, "<form>" * 5_000 + PROSE, "<span class=ad>" * 20_000, "<div class=ad><p>" * 3_000 + PROSE):
         pages.main_text(page)
     assert time.time() - start < 30
 
