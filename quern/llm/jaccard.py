@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import simhash
@@ -78,12 +78,20 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return _mixed((_mixed(least.reshape(-1, BANDS, ROWS)) * _BAND).sum(axis=2, dtype=np.uint64))
 
 
+#: Columns that tell a row's text: two hashes of it, 96 bits.
+TEXT_KEY = ("text_hash", "text_hash2")
+
+
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(TEXT_KEY[0]), F.hash(text).alias(TEXT_KEY[1])]
+
+
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, fp, bands) per row: fp is op9's SimHash; texts without words have no bands."""
+    """(id, text_hash, text_hash2, node, fp, bands) per row: fp is op9's SimHash; texts without words have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             keys: list = [None] * len(texts)
             node = np.zeros(len(texts), np.uint64)
             held: list[np.ndarray] = []
@@ -107,11 +115,12 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     close()
                     size = 0
             close()
-            columns = [batch.column(0), pa.array(node.view(np.int64)), pa.array(simhash.fingerprint(texts).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "fp", "bands"])
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(node.view(np.int64)), pa.array(simhash.fingerprint(texts).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *TEXT_KEY, "node", "fp", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "id long, node long, fp long, bands array<long>")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *text_key(text), text.alias("text"))
+    return rows.mapInArrow(lean(run), "id long, text_hash long, text_hash2 int, node long, fp long, bands array<long>")
 
 
 def alike(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -191,17 +200,24 @@ def node_of(text):
     return node(text)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): one row per row of ``docs``; fp is the node.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, text_hash2, grp): one row per row of ``docs``; rows of a group are near-duplicates.
 
     Linked are texts of equal words, of Jaccard similarity >= 0.8 on runs of five words, or
-    within op9's 2 bits of SimHash. component is the smallest id that links reach, null
-    where they reach none; rows without an id link like the others."""
+    within op9's 2 bits of SimHash, whatever the rows' ids: rows without an id link like the
+    others, and different texts that repeat an id are rows of their own. Texts without words,
+    null ones among them, are one group; an empty table gives no rows."""
     found = materialize(marks(docs, id_col, text_col), "jaccard")
     fps = found.groupBy("fp").agg(F.min("node").alias("rep"))
     same = found.select("fp", "node").distinct().join(fps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     edges = links(docs, found, text_col).unionAll(simhash.links(fps)).unionAll(same)
     groups = components(edges)
-    marked = found.select("id", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    least = marked.groupBy("group").agg(F.min("id").alias("first"))
-    return marked.join(least, "group").select("id", F.col("node").alias("fp"), F.col("first").alias("component"))
+    return found.select("id", *TEXT_KEY, "node").join(groups, "node", "left").select("id", *TEXT_KEY, F.coalesce("component", "node").alias("grp"))
+
+
+def kept_rows(groups: DataFrame) -> DataFrame:
+    """(no_id, id, text_hash, text_hash2, n): the row that stays of each group, that of the
+    smallest id (rows without one last) and hash; ``n`` rows of it are equal in id and text."""
+    rows = groups.groupBy("grp", "id", *TEXT_KEY).agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), *TEXT_KEY, "n")).alias("best")
+    return rows.groupBy("grp").agg(best).select("best.*")

@@ -52,3 +52,10 @@ def test_near_copies_without_an_id(spark, rows):
     docs = rows("doc_id long, text string", (5, " ".join(base)), (None, " ".join(near)), (None, "lone text of its own here"))
     got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, None).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 5] and any(r.text.startswith("lone") for r in got)
+
+
+def test_texts_of_one_id_are_rows_of_their_own(spark, rows):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = rows("doc_id long, text string, lang string", (1, a, "en"), (1, b, "en"), (1, a, "de"), (1, a, "en"), (2, b, "en"), (None, a, None), (None, "", None), (None, None, None))
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, None).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (1, b), (0, "")])

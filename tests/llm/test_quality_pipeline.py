@@ -1,6 +1,7 @@
 """The classifier's held-out accuracy, the registered queries and the pipeline."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -8,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import queries, quality, simhash
+from quern.llm import queries, quality
+from tests.llm.test_counts_mixing_chat import plain_targets
 from tests.llm.test_dedup import grouped, plain_fingerprint
+from tests.llm.test_jaccard import plain_shingles, similarity
 from tests.oracle import compare, connect
 
 
@@ -97,14 +100,21 @@ def test_stages_against_brute_force(spark, sf_dir):
     scores = {r.doc_id: r.predicted for r in queries.QUERIES["op6_quality_classifier"](spark, sf_dir).collect()}
     kept = good.collect()
     assert {r.doc_id for r in kept} == {k for k, p in scores.items() if p}
-    ids, fps = [r.doc_id for r in kept], [plain_fingerprint(r.text) for r in kept]
-    want = grouped(len(ids), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2, ids)
-    one = corpus_pipeline.one_of_each(spark, good, sf_dir)
+    ids, fps, sets = [r.doc_id for r in kept], [plain_fingerprint(r.text) for r in kept], [plain_shingles(r.text) for r in kept]
+    want = grouped(len(ids), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 or similarity(sets[a], sets[b]) >= 0.8, ids)
+    one = corpus_pipeline.no_near_copies(spark, good, sf_dir)
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(want)) and one.columns == docs.columns
     mixed = corpus_pipeline.mixture(spark, one, sf_dir)
-    plan = {r.id: r.copies for r in corpus_pipeline.mixing.mix(one).collect()}
     times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert times == {k: c for k, c in plan.items() if c}
+    sizes = {r.doc_id: (r.source, len(re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode()))) for r in one.collect()}
+    per = {}
+    for source, n in sizes.values():
+        per[source] = per.get(source, 0) + n
+    assert set(times) <= set(sizes) and max(times.values()) <= 2
+    for source, target in plain_targets(per).items():
+        taken = sum(times.get(k, 0) * n for k, (s, n) in sizes.items() if s == source)
+        assert abs(taken - target) <= max(n for s, n in sizes.values() if s == source)
+    assert times == {r.doc_id: r["count"] for r in corpus_pipeline.mixture(spark, one.repartition(5), sf_dir).groupBy("doc_id").count().collect()}
     packed = corpus_pipeline.packed(spark, mixed, sf_dir).groupBy("doc_id").agg(F.countDistinct("part", "doc_key").alias("n"))
     assert {r.doc_id: r.n for r in packed.collect()} == times
 
@@ -112,11 +122,14 @@ def test_stages_against_brute_force(spark, sf_dir):
 def test_stages_on_odd_rows(spark, sf_dir, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = rows(schema, (1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (None, "a b c d", None, None, None), (None, "lone text of its own", None, None, None), (2, None, None, None, None), (3, "", None, None, 0), (4, "z " * 50_000, None, "s", 1))
-    one = corpus_pipeline.one_of_each(spark, docs, sf_dir)
+    one = corpus_pipeline.no_near_copies(spark, docs, sf_dir)
     assert sorted((r.doc_id or 0) for r in one.collect()) == [0, 1, 2, 4]
     mixed = corpus_pipeline.mixture(spark, docs, sf_dir)
     assert mixed.columns == docs.columns and all(mixed.where(f"doc_id = {k}").count() <= 2 for k in (2, 3, 4))
+    equal = rows(schema, *[(None, "a b c", "en", "s", 5)] * 40, *[(7, "d e", "en", None, 3)] * 10)
+    times = {r.source: r["count"] for r in corpus_pipeline.mixture(spark, equal, sf_dir).groupBy("source").count().collect()}
+    goal = plain_targets({"s": 120, None: 20})
+    assert abs(times["s"] * 3 - goal["s"]) <= 3 and abs(times[None] * 2 - goal[None]) <= 2
     empty = docs.where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
-    assert simhash.levels_for(10) == 4
