@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm import jaccard, mixing, packing, quality, simhash
+from quern.llm import jaccard, mixing, packing, quality
 from quern.llm.queries import vocabulary
 from quern.session import load, small_batches
-from quern.storage import new_folder
+from quern.storage import materialize, new_folder
 
 #: The stages hold a trained classifier and a random mixture: SQL can't express them.
 ORACLE_SQL = None
@@ -21,53 +21,49 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit_on(docs, load(spark, sf_dir, "labels")))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, near=simhash.near_duplicates, mark=None) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
-
-    ``near`` gives (id, fp, component) and ``mark`` its fp of a text; op9's by default. Rows
-    that repeat an id are one document, and one of them stays. Rows without an id go if their
-    group has a row with one; else they stay."""
-    small_batches(spark)
-    found = near(docs)
-    gone = found.where("id is not null").groupBy("id").agg(F.min("component").alias("component")).where("id <> component").select("id")
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    unnamed = docs.where("doc_id is null")
-    lone = found.where("component is null").select("fp").distinct()
-    marks = unnamed.withColumn("__fp", (mark or _fingerprint)(F.col("text")))
-    unnamed = marks.join(lone, F.col("__fp") == F.col("fp"), "left_semi").drop("__fp")
-    return named.unionByName(unnamed.select(*named.columns))
-
-
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group linked by op9's 2 bits or by five-word Jaccard similarity >= 0.8."""
-    return one_of_each(spark, docs, sf_dir, jaccard.near_duplicates, jaccard.node_of)
+    """One document of each group linked by op9's 2 bits or by five-word Jaccard similarity >= 0.8.
 
+    It is the one with the smallest id, rows without an id coming last. Rows are told by id
+    and text, so different texts that repeat an id, or have none, stand for themselves; of
+    rows equal in both, one stays."""
+    small_batches(spark)
+    kept = materialize(jaccard.kept_rows(jaccard.near_groups(docs)), "kept")
+    names = ["no_id", "id", *jaccard.TEXT_KEY]
+    text = F.col("text").cast("string")
+    known = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), *jaccard.text_key(text))
+    alone = known.join(kept.where("n = 1"), names, "left_semi").select("row.*")
+    # Rows that are equal in id and text: summed up before they are dealt, as they may be very many.
+    equal = known.join(kept.where("n > 1"), names, "left_semi").groupBy(*names).agg(F.max_by("row", _digest("row", docs)).alias("row")).select("row.*")
+    return alone.unionByName(equal)
 
-def _fingerprint(text):
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(simhash.fingerprint(texts.tolist()).view("int64"))
 
-    return fingerprint(text)
+def _digest(row: str, docs: DataFrame):
+    """A hash of a row's plain columns."""
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[F.col(row)[c] for c in plain])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    A row's key is a hash of its columns: the mix draws by it, so that reruns agree whatever
+    the files' layout, and its copies find their row by it. Rows that are equal in all columns
+    are summed up and share what is taken of them."""
     small_batches(spark)
-    # One key for the window and the join, null ids included, so that texts are shuffled once.
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    taken = mixing.mix(docs).withColumn("__key", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    taken = taken.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("source", "size", "copies"))).alias("taken"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
-    # Rows that repeat an id are told apart by source and size, as the mix does.
-    place = Window.partitionBy("__key").orderBy("source", size, F.xxhash64("text"))
-    placed = keyed.withColumn("__place", F.row_number().over(place))
-    joined = placed.join(taken, "__key")
-    times = F.element_at("taken", F.col("__place"))["copies"]
-    often = joined.withColumn("__times", times).where("__times > 0")
-    return often.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"))
+    keyed = whole.withColumn("__key", _digest("row", docs))
+    mixed = mixing.mix(keyed.select(F.col("__key"), F.col("row.text").alias("text"), F.col("row.source").alias("source")), "__key")
+    taken = mixed.groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("n"), F.sum("copies").alias("times"))
+    taken = materialize(taken.where("times > 0"), "taken")
+    alone = keyed.join(taken.where("n = 1"), "__key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__k"))
+    equal = keyed.join(taken.where("n > 1"), "__key").groupBy("__key", F.col("row.doc_id").alias("__id"))
+    equal = equal.agg(F.count("*").alias("m"), F.max("n").alias("n"), F.max("times").alias("times"), F.first("row").alias("row"))
+    share = F.round(F.col("times") * F.col("m") / F.col("n")).cast("long")  # all, unless two rows' hashes collide
+    step = F.lit(10_000).cast("long")
+    parts = equal.withColumn("share", share).where("share > 0").withColumn("begin", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share"), step)))
+    equal = parts.select("row", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + step - 1, F.col("share")))).alias("__k"))
+    return alone.unionAll(equal).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
