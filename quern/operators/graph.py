@@ -7,8 +7,10 @@ so that lineage stays short, and a node is visited at its least depth only."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,16 +35,34 @@ def neighbors(edges: DataFrame, node) -> DataFrame:
     return out.unionAll(into).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): nodes within ``depth`` steps of the seeds (column node), at least depth.
+#: Edges that one task may walk; larger graphs are walked by rounds of joins.
+ONE_TASK = 500_000
+
+
+def _small(edges: DataFrame) -> bool:
+    return edges.limit(ONE_TASK + 1).count() <= ONE_TASK
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, depth): nodes within ``depth`` steps of the seeds (column node), at least depth;
+    without a depth, all that can be reached.
 
     A round joins the newest nodes with the edges and drops those seen before, so cycles end
-    and dense graphs don't multiply rows."""
+    and dense graphs don't multiply rows. Without a depth the rounds are as many as the
+    longest way is long; a graph of at most ``ONE_TASK`` edges, as counted, is walked in one task."""
     hops = edges.select("src", "dst").distinct()
     seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
+    if depth is None:
+        hops = materialize(hops.where("src is not null and dst is not null"), "hops")
+        if _small(hops) and _small(seen):
+            return _walked(hops, seen)
     layers, frontier = [seen], seen
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         found = frontier.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        if len(layers) > 50:  # a plan of very many folders is slow to make
+            layers = [materialize(reduce(DataFrame.unionAll, layers), "reach")]
         known = reduce(DataFrame.unionAll, layers).select("node")
         frontier = materialize(found.join(known, "node", "left_anti").withColumn("depth", F.lit(k)), "reach")
         if frontier.isEmpty():
@@ -51,6 +71,33 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.unionAll, layers)
 
 
+def _walked(hops: DataFrame, seeds: DataFrame) -> DataFrame:
+    kind = dict(seeds.dtypes)["node"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        table = pd.concat(rows)
+        after = table[table["b"].notna()].groupby("a")["b"].apply(list).to_dict()
+        begin = table[table["b"].isna()]["a"].tolist()
+        depth, frontier = dict.fromkeys(begin, 0), begin
+        while frontier:
+            found = []
+            for x in frontier:
+                for y in after.get(x, ()):
+                    if y not in depth:
+                        depth[y] = depth[x] + 1
+                        found.append(y)
+            frontier = found
+        yield pd.DataFrame({"node": list(depth), "depth": list(depth.values())})
+
+    text = [hops.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))]
+    text.append(seeds.select(F.col("node").cast("string").alias("a"), F.lit(None).cast("string").alias("b")).where("a is not null"))
+    walked = reduce(DataFrame.unionAll, text).coalesce(1).mapInPandas(run, "node string, depth int")
+    return walked.select(F.col("node").cast(kind).alias("node"), "depth")
+
+
 def impact(edges: DataFrame, seeds: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
     """What a change reaches and how badly: (node, depth, severity).
 
@@ -115,10 +162,11 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: floa
     return best.withColumn("weight", F.round(F.col("weight") * F.pow(F.lit(decay), F.col("depth") - 1), 6))
 
 
-def stale_cascade(edges: DataFrame, memories: DataFrame, file, reason: str, depth: int = 10) -> DataFrame:
+def stale_cascade(edges: DataFrame, memories: DataFrame, file, reason: str, depth: int | None = None) -> DataFrame:
     """Memories that a changed file makes stale, with old and new confidence.
 
-    Seeds are the memories next to the file; staleness spreads along supersedes and derived_from."""
+    Seeds are the memories next to the file; staleness spreads along supersedes and
+    derived_from until nothing new is reached (or ``depth`` steps far)."""
     near = neighbors(edges, file).select("node").join(memories, F.col("node") == F.col("id"), "left_semi")
     along = edges.where(F.col("edge_type").isin("supersedes", "derived_from"))
     hit = reach(along, near, depth)
@@ -128,35 +176,71 @@ def stale_cascade(edges: DataFrame, memories: DataFrame, file, reason: str, dept
 
 
 def coupling(edges: DataFrame, n: int | None = 20) -> DataFrame:
-    """(node, fan_in, fan_out, score): degrees, highest sum first."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select("dst", F.lit(0), F.lit(1)))
+    """(node, fan_in, fan_out, score): degrees, highest sum first. Edges whose target isn't
+    resolved (null dst) count for their source alone."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.where("dst is not null").select("dst", F.lit(0), F.lit(1)))
     degrees = ends.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out")).withColumn("score", F.col("fan_in") + F.col("fan_out"))
     return degrees.orderBy(F.desc("score"), "node").limit(n) if n else degrees
 
 
-def topological_order(nodes: DataFrame, edges: DataFrame, most_levels: int = 1000) -> DataFrame:
+def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, place): dependencies (dst) before dependents (src); a node's level is one
-    above its highest dependency, and nodes of cycles come last, with a null level.
+    above its highest dependency, and nodes of cycles, and above them, come last, with a null level.
 
-    Levels are peeled off; place orders by level and name over all nodes."""
+    Levels are peeled off until none is left, however many there are; a graph of at most
+    ``ONE_TASK`` edges, as counted, in one task. place orders by level and name over all nodes."""
     left = materialize(nodes.select("node").distinct(), "topo")
     deps = edges.where("src <> dst").select("src", "dst").distinct()
     deps = materialize(deps.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "topo")
+    if _small(deps):
+        levels = _peeled(deps, dict(left.dtypes)["node"])
+        tied = left.join(levels, "node", "left").withColumn("level", F.when(F.col("known").isNull(), 0).otherwise(F.col("level"))).drop("known")
+        return with_place(tied, F.asc_nulls_last("level"), F.asc("node"))
     levels = []
-    for k in range(most_levels):
+    k = 0
+    while True:
         ready = left.join(deps, F.col("node") == F.col("src"), "left_anti")
         ready = materialize(ready.withColumn("level", F.lit(k)), "topo")
         if ready.isEmpty():
             break
-        levels.append(ready)
+        levels = [*levels, ready] if len(levels) < 50 else [materialize(reduce(DataFrame.unionAll, [*levels, ready]), "topo")]
         left = materialize(left.join(ready, "node", "left_anti"), "topo")
         if left.isEmpty():
             break
         deps = materialize(deps.join(ready, F.col("dst") == F.col("node"), "left_anti"), "topo")
+        k += 1
     out = reduce(DataFrame.unionAll, [*levels, left.withColumn("level", F.lit(None).cast("int"))])
     return with_place(out, F.asc_nulls_last("level"), F.asc("node"))
 
 
+def _peeled(deps: DataFrame, kind: str) -> DataFrame:
+    """(node, level, known) of the nodes that have edges; level null in and above cycles."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        table = pd.concat(rows)
+        waits = table.groupby("src").size().to_dict()
+        users = table.groupby("dst")["src"].apply(list).to_dict()
+        level = {x: 0 for x in users if x not in waits}
+        frontier = list(level)
+        while frontier:
+            found = []
+            for x in frontier:
+                for y in users.get(x, ()):
+                    waits[y] -= 1
+                    if not waits[y]:
+                        level[y] = level[x] + 1
+                        found.append(y)
+            frontier = found
+        names = list(dict.fromkeys([*users, *waits]))
+        yield pd.DataFrame({"node": names, "level": pd.array([level.get(x) for x in names], "Int32"), "known": True})
+
+    text = deps.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    peeled = text.coalesce(1).mapInPandas(run, "node string, level int, known boolean")
+    return peeled.select(F.col("node").cast(kind).alias("node"), "level", "known")
+
+
 #: Fixed order of roles: what others rest on comes first.
 ROLES = ("schema|model|entity|dto", "service|core|engine|logic", "api|route|controller|handler", "ui|view|page|component", "test|spec")
 
@@ -235,25 +319,53 @@ def subtree(tree: DataFrame, prefix: str) -> DataFrame:
     return tree.where(below).orderBy(F.desc("q_value"), F.desc("visits"), "node_id")
 
 
-def ancestors(nodes: DataFrame, most: int = 100) -> DataFrame:
-    """(node, ancestor, distance) over parent pointers (id, parent_id), each node its own at 0."""
-    up = nodes.select(F.col("id").alias("child"), "parent_id")
-    layer = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"))
-    layers = [layer.withColumn("distance", F.lit(0))]
-    for k in range(1, most + 1):
-        layer = layer.join(up, F.col("ancestor") == F.col("child")).where("parent_id is not null").select("node", F.col("parent_id").alias("ancestor"))
-        layer = materialize(layer, "ancestors")
-        if layer.isEmpty():
-            break
-        layers.append(layer.withColumn("distance", F.lit(k)))
-    return reduce(DataFrame.unionAll, layers)
+def _jumps(nodes: DataFrame) -> Iterator[DataFrame]:
+    """(id, up): parent pointers (id, parent_id), then pointers over 2, 4, 8 ... generations, as
+    long as any leads to a node. Pointers that never end are a cycle, which raises."""
+    known = nodes.select("id")
+    up = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
+    up = materialize(up.join(known.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"), "jumps")
+    most, length = nodes.count(), 1
+    while not up.isEmpty():
+        if length > most:
+            raise ValueError("parent pointers run in a cycle")
+        yield up
+        above = up.select(F.col("id").alias("up"), F.col("up").alias("above"))
+        up = materialize(up.join(above, "up").select("id", F.col("above").alias("up")), "jumps")
+        length *= 2
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) over parent pointers (id, parent_id), each node its own at 0.
+
+    Rounds double the distance, so a chain of n generations takes log n of them; there are as
+    many rows as pairs of a node and an ancestor. Parents that are no node are left out."""
+    pairs = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    for k, up in enumerate(_jumps(nodes)):
+        further = pairs.join(up, F.col("ancestor") == F.col("id")).select("node", F.col("up").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
+        pairs = materialize(pairs.unionAll(further), "ancestors")
+    return pairs
+
+
+def subtree_sums(nodes: DataFrame, **values: Column) -> DataFrame:
+    """(id, *values): for each node (id, parent_id) the sums over itself and all its descendants.
+
+    In round k a node's sum is over descendants less than 2^k generations down, and those at
+    exactly 2^k hand theirs on, so every round has a row per node and there are log(depth)."""
+    names = list(values)
+    sums = materialize(nodes.select("id", *[v.alias(n) for n, v in values.items()]), "sums")
+    for up in _jumps(nodes):
+        below = up.join(sums, "id").groupBy("up").agg(*[F.sum(n).alias(f"__{n}") for n in names])
+        joined = sums.join(below, F.col("id") == F.col("up"), "left")
+        sums = materialize(joined.select("id", *[(F.col(n) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in names]), "sums")
+    return sums
 
 
 def backpropagate(nodes: DataFrame) -> DataFrame:
     """(id, visits, value): visits are a node and its descendants, value their mean reward."""
-    closure = ancestors(nodes)
-    rewards = nodes.select(F.col("id").alias("node"), "reward")
-    return closure.join(rewards, "node").groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("visits"), F.round(F.avg("reward"), 6).alias("value"))
+    reward = F.coalesce("reward", F.lit(0.0))
+    sums = subtree_sums(nodes, visits=F.lit(1).cast("long"), total=reward, known=F.col("reward").isNotNull().cast("long"))
+    return sums.select("id", "visits", F.round(F.when(F.col("known") > 0, F.col("total") / F.col("known")), 6).alias("value"))
 
 
 def ucb_tree(nodes: DataFrame, c: float = math.sqrt(2)) -> DataFrame:
@@ -265,9 +377,16 @@ def ucb_tree(nodes: DataFrame, c: float = math.sqrt(2)) -> DataFrame:
     return joined.select("id", "parent_id", F.round(scores.uct(F.col("value"), F.col("visits"), above, c), 6).alias("uct"))
 
 
-def speculative_contracts(edges: DataFrame, symbols: DataFrame, file, per_file: int = 5) -> DataFrame:
-    """Symbols (node, name, start_line) of a file's neighbours, the first five of each."""
+def speculative_contracts(edges: DataFrame, symbols: DataFrame, file, per_file: int = 5, files: DataFrame | None = None, siblings: int = 3) -> DataFrame:
+    """Symbols (node, name, start_line) of a file's neighbours, the first five of each.
+
+    A file without neighbours has, where ``files`` (node, path) are given, those of the first
+    few files of its folder."""
     near = neighbors(edges, file).select("node").distinct()
+    if files is not None and near.isEmpty():
+        folder = F.regexp_replace("path", "[^/]*$", "")
+        own = files.where(F.col("node") == file).select(folder.alias("folder"))
+        near = files.where(F.col("node") != file).join(F.broadcast(own.limit(1)), folder == F.col("folder"), "left_semi").orderBy("path").limit(siblings).select("node")
     place = W.partitionBy("node").orderBy("start_line", "name")
     return symbols.join(near, "node", "left_semi").withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_file)
 

@@ -40,6 +40,13 @@ def recent_changes(history: DataFrame, as_of: Column, hours: int = 24) -> DataFr
     return recent.groupBy("commit", "author").agg(F.max("ts").alias("ts"), F.countDistinct("file").alias("files")).orderBy(F.desc("ts"), "commit")
 
 
+def symbol_scars(failures: DataFrame, symbols: DataFrame, gain: float = 0.05) -> DataFrame:
+    """(path, name, threat_score): each symbol of a file that failed: the file's scar and a
+    little more, 1 at most. symbols: path, name."""
+    counts = failures.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("incidents"))
+    return symbols.select("path", "name").distinct().join(counts, "path").select("path", "name", F.least(F.lit(1.0), F.round(scores.scar(F.col("incidents")) + gain, 2)).alias("threat_score"))
+
+
 def threat_scars(failures: DataFrame) -> DataFrame:
     """Threat per file from failure rows (file, id, message): grows with their number, and
     keeps the first three different messages."""
@@ -65,15 +72,28 @@ def sessions(history: DataFrame, least: int = 2, assets: str = r"(?i)\.(png|jpe?
     return edits.join(sizes, "commit").select("commit", "file")
 
 
+#: Files of a commit that meet in one group; a larger commit is cut into blocks, and all pairs of blocks meet.
+COMMIT_BLOCK = 512
+
+
 def co_changes(edits: DataFrame, most_files: int | None = None) -> DataFrame:
     """(file_a, file_b, together): how often two files change in one commit, a before b.
 
-    Pairs are formed inside a commit. ``most_files`` leaves out sweeping commits, as an
-    explicit choice of the caller; by default none is left out."""
+    Pairs are formed inside a commit, those of a sweeping one by pairs of blocks, so that no
+    key holds more than two blocks. ``most_files`` leaves out sweeping commits, as an explicit
+    choice of the caller; by default none is left out."""
+    sizes = edits.groupBy("commit").agg(F.count("*").alias("n"))
     if most_files:
-        edits = edits.join(edits.groupBy("commit").count().where(F.col("count") <= most_files), "commit", "left_semi")
-    a, b = edits.select("commit", F.col("file").alias("file_a")), edits.select("commit", F.col("file").alias("file_b"))
-    return a.join(b, "commit").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("together"))
+        edits = edits.join(sizes.where(F.col("n") <= most_files), "commit", "left_semi")
+    large = sizes.where(F.col("n") > COMMIT_BLOCK).select("commit", F.ceil(F.col("n") / COMMIT_BLOCK).cast("int").alias("parts"))
+    placed = edits.join(large, "commit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("commit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "file")
+    a = placed.select("commit", "i", "j", F.col("own").alias("own_a"), F.col("file").alias("file_a"))
+    b = placed.select("commit", "i", "j", F.col("own").alias("own_b"), F.col("file").alias("file_b"))
+    mine = (F.least("own_a", "own_b") == F.col("i")) & (F.greatest("own_a", "own_b") == F.col("j"))  # in one group only
+    return a.join(b, ["commit", "i", "j"]).where((F.col("file_a") < F.col("file_b")) & mine).groupBy("file_a", "file_b").agg(F.count("*").alias("together"))
 
 
 def habits(edits: DataFrame, least_confidence: float = 0.5, least_pairs: int = 2, most: int = 5) -> DataFrame:

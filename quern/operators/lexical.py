@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
+from quern.ordering import with_place
+from quern.storage import materialize
 
 
 def bm25(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | None = None, n: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -15,7 +18,8 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | N
 
     ``fields`` maps columns to weights; a term's weighted frequency is summed over columns.
     Lengths, document counts and idf are over the whole table; ``keep`` filters before the
-    limit. Only documents with a query term are exploded: postings of a query are small."""
+    limit. Texts are cut into tokens once: lengths and frequencies, a few numbers a document,
+    are written, and both statistics and hits are read from there."""
     terms = list(dict.fromkeys(t.lower() for t in _words(query)))
     if not terms:
         return docs.select("id").limit(0).withColumn("score", F.lit(0.0))
@@ -27,6 +31,7 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | N
         return reduce(Column.__add__, [w * F.size(F.filter(f"t{k}", lambda t: t == term)) for k, w in enumerate(fields.values())])
 
     rows = marked.select("id", "keep", length.alias("length"), *[frequency(t).cast("double").alias(f"f{k}") for k, t in enumerate(terms)])
+    rows = materialize(rows, "bm25")
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"), *[F.sum((F.col(f"f{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms))])
     hits = rows.where(reduce(Column.__and__, [F.col(f"f{k}") > 0 for k in range(len(terms))]) & F.col("keep")).crossJoin(F.broadcast(stats))  # one row
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
@@ -40,19 +45,17 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | N
 
 
 def _words(query: str) -> list[str]:
-    import re
-
     return re.findall(r"[^\W_]+", query)
 
 
 def search(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | None = None, n: int = 10) -> DataFrame:
     """BM25, or where it finds nothing, rows that contain the query in a field, newest id first (score 0)."""
-    best = bm25(docs, query, fields, keep, n)
+    best = materialize(bm25(docs, query, fields, keep, n), "search")
+    if not best.isEmpty():
+        return best.orderBy(F.desc("score"), "id")
     inside = reduce(Column.__or__, [F.contains(F.lower(F.col(c)), F.lit(query.lower())) for c in fields])
     kept = docs.where(keep) if keep is not None else docs
-    fallback = kept.where(inside).select("id", F.lit(0.0).alias("score")).orderBy(F.desc("id")).limit(n)
-    none = best.limit(1).agg((F.count("*") == 0).alias("none"))
-    return best.unionAll(fallback.crossJoin(F.broadcast(none)).where("none").drop("none"))
+    return kept.where(inside).select("id", F.lit(0.0).alias("score")).orderBy(F.desc("id")).limit(n)
 
 
 def substring_scores(rows: DataFrame, query: str, name: str, path: str | None = None, whole: tuple[int, int] = (100, 50), each: tuple[int, int] = (15, 10), n: int = 20) -> DataFrame:
@@ -118,15 +121,22 @@ def search_literal(docs: DataFrame, pattern: str, context: int = 1, regex: bool
 
     With a budget, lines are returned while the running sum of their estimated tokens stays
     within it, over all documents in that order."""
-    order = Window.partitionBy("id").orderBy("line_no")
-    around = lines(docs, column).withColumns(
-        {
-            "before": F.array_join(F.collect_list("line").over(order.rowsBetween(-context, -1)), "\n"),
-            "after": F.array_join(F.collect_list("line").over(order.rowsBetween(1, context)), "\n"),
-        }
-    )
-    hit = F.col("line").rlike(pattern) if regex else F.contains(F.col("line"), F.lit(pattern))
-    return within_budget(around.where(hit), budget) if budget else around.where(hit)
+    listed = docs.select("id", F.split(F.coalesce(F.col(column), F.lit("")), "\r?\n").alias("l"))
+
+    def hit(line: Column) -> Column:
+        return line.rlike(pattern) if regex else F.contains(line, F.lit(pattern))
+
+    def found(i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("line_no"), F.get("l", i).alias("line"),
+            F.array_join(F.slice("l", F.greatest(i - context, F.lit(0)) + 1, F.least(F.lit(context), i)), "\n").alias("before"),
+            F.array_join(F.slice("l", i + 2, F.lit(context)), "\n").alias("after"),
+        )
+
+    # Lines stay in their document's row: nothing is exchanged, and only hits leave it.
+    places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: hit(F.get("l", i)))
+    hits = listed.select("id", F.explode(F.transform(places, found)).alias("h")).select("id", "h.*")
+    return within_budget(hits, budget) if budget else hits
 
 
 def within_budget(rows: DataFrame, budget: int, cost: Column | None = None, order: tuple = ("id", "line_no")) -> DataFrame:
@@ -142,6 +152,7 @@ def within_budget(rows: DataFrame, budget: int, cost: Column | None = None, orde
 
 def references(docs: DataFrame, symbol: str, column: str = "text") -> DataFrame:
     """(kind, id, line_no, line): lines with a symbol as a whole word: definition, import or use."""
+    symbol = re.escape(symbol)
     word = rf"\b{symbol}\b"
     line = F.col("line")
     kind = (
@@ -171,58 +182,128 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
     return rows.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
-def similar_pairs(docs: DataFrame, words: Column, least: float) -> DataFrame:
-    """(a, b, similarity): pairs a < b whose word sets have a Jaccard similarity of ``least`` or more.
-
-    Prefix filtering keeps it exact without comparing all pairs: a set's words are ordered
-    by rarity, and two sets that are similar enough share one of the first
-    n - ceil(least * n) + 1. Candidates meet on those words only. Sets without words, and
-    nulls, are in no pair. All pairs of n equal sets are n * n / 2 rows: for corpora with
-    many copies drop those first."""
-    sets = docs.select("id", F.array_distinct(words).alias("w")).where(F.size("w") > 0)
-    rarity = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    listed = sets.select("id", F.explode("w").alias("word")).join(rarity, "word")
-    ordered = listed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("w"))
-    prefix = F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.size("w") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-    keyed = ordered.select("id", "w", F.explode(prefix).alias("key"))
-    a, b = keyed.select(F.col("id").alias("a"), F.col("w").alias("wa"), "key"), keyed.select(F.col("id").alias("b"), F.col("w").alias("wb"), "key")
-    sized = (F.size("wa") >= F.size("wb") * least) & (F.size("wb") >= F.size("wa") * least)
-    shared = F.array_intersect("wa", "wb")
-    met = a.join(b, "key").where((F.col("a") < F.col("b")) & sized & (F.element_at(shared, 1) == F.col("key")))
-    common = F.size(shared)
-    similarity = common / (F.size("wa") + F.size("wb") - common)
-    return met.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+def set_classes(docs: DataFrame, words: Column, *also: str) -> DataFrame:
+    """(id, class_id, words, n): rows in classes of equal word sets (and equal columns ``also``).
+
+    class_id is the smallest id of a class of ``n`` rows, which alone carries the sorted
+    words: copies are joined by their digest. Sets without words, and nulls, are in no class."""
+    rows = docs.select("id", *also, F.array_sort(F.array_distinct(words)).alias("words")).where(F.size("words") > 0)
+    rows = materialize(rows.withColumn("digest", F.sha2(F.to_json(F.struct("words", *also)), 256)), "sets")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    joined = rows.join(classes, "digest")
+    own = F.when(F.col("id") == F.col("class_id"), F.col("words"))
+    return materialize(joined.select("id", *also, "class_id", own.alias("words"), "n"), "classes")
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """(id, p, size): words as their places by rarity, ascending: rare words come first."""
+    listed = sets.select("id", F.explode("words").alias("word"))
+    rarity = listed.groupBy("word").agg(F.count("*").alias("df"))
+    places = with_place(rarity, "df", "word").select("word", "place")
+    placed = listed.join(places.hint("merge"), "word")  # a frequent word is a long run of rows, which is split
+    return materialize(placed.groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("p")).withColumn("size", F.size("p")), "placed")
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity): pairs a < b of different ``sets`` (id, words) whose Jaccard similarity
+    is ``least`` or more.
+
+    Prefix filtering keeps it exact without comparing all pairs: words are ordered by rarity,
+    and two sets that are similar enough share one of the first n - ceil(least * n) + 1, early
+    enough for the rest to reach the threshold. Candidates meet on such words alone, as three
+    numbers a row; whole sets are brought once for each candidate pair. No side is broadcast."""
+    placed = _placed(sets)
+    short = (F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)) + 1).cast("int")
+    keyed = placed.select("id", "size", F.posexplode(F.slice("p", F.lit(1), short)).alias("at", "key"))
+    a = keyed.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"), "key")
+    b = keyed.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"), "key")
+    sized = (F.col("sa") >= F.col("sb") * least - 1e-9) & (F.col("sb") >= F.col("sa") * least - 1e-9)
+    room = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) + F.least("ia", "ib")
+    enough = room >= F.lit(least / (1 + least)) * (F.col("sa") + F.col("sb")) - 1e-6
+    met = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & sized & enough).select("a", "b").distinct()
+    left, right = placed.select(F.col("id").alias("a"), F.col("p").alias("pa")), placed.select(F.col("id").alias("b"), F.col("p").alias("pb"))
+    both = met.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    common = F.size(F.array_intersect("pa", "pb"))
+    similarity = common / (F.size("pa") + F.size("pb") - common)
+    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+
+
+def linked_rows(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, n_links): each row with its class and the number of other rows that it is
+    linked to, given pairs (a, b) of classes; the rows of one class are linked with each other."""
+    sizes = classes.where("id = class_id").select("class_id", "n")
+    ends = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
+    met = ends.join(sizes.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("more"))
+    return classes.join(met, "class_id", "left").select("id", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+
+
+def similar_rows(docs: DataFrame, words: Column, least: float) -> DataFrame:
+    """(id, class_id, n_links): rows with words, their class of equal word sets, and how many
+    other rows have a Jaccard similarity of ``least`` or more. Copies are never paired."""
+    classes = set_classes(docs, words)
+    return linked_rows(classes, similar_sets(classes.where("id = class_id").select("id", "words"), least))
 
 
 def wire_memories(memories: DataFrame, least: float = 0.35) -> DataFrame:
     """(src, dst, edge_type, weight) between similar memories (id, title, error_context, solution).
 
     If exactly one of a pair is marked obsolete, the other supersedes it, weight 1; else the
-    first reinforces the second by their similarity."""
+    first reinforces the second by their similarity. Memories of equal words and mark are a
+    class: pairs are of classes' first memories, and the first reinforces each of its copies."""
     body = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("error_context", F.lit("")), F.coalesce("solution", F.lit(""))))
     words = F.filter(F.split(body, r"\s+"), lambda w: F.octet_length(w) > 3)
-    marks = memories.select("id", text.has_any(body, text.OBSOLETE_WORDS).alias("old"))
-    pairs = similar_pairs(memories, words, min(0.99, max(0.2, least)))
+    marked = memories.select("*", text.has_any(body, text.OBSOLETE_WORDS).alias("old"))
+    classes = set_classes(marked, words, "old")
+    firsts = classes.where("id = class_id")
+    pairs = similar_sets(firsts.select("id", "words"), min(0.99, max(0.2, least)))
+    marks = firsts.select("id", "old")
     pairs = pairs.join(marks.select(F.col("id").alias("a"), F.col("old").alias("old_a")), "a").join(marks.select(F.col("id").alias("b"), F.col("old").alias("old_b")), "b")
     one = F.col("old_a") != F.col("old_b")
-    return pairs.select(
+    wired = pairs.select(
         F.when(F.col("old_a") & one, F.col("b")).otherwise(F.col("a")).alias("src"),
         F.when(F.col("old_a") & one, F.col("a")).otherwise(F.col("b")).alias("dst"),
         F.when(one, "supersedes").otherwise("reinforces").alias("edge_type"),
         F.when(one, 1.0).otherwise(F.round("similarity", 6)).alias("weight"),
     )
-
-
-def frequency_cosine(docs: DataFrame, least: float = 0.88) -> DataFrame:
-    """(a, b, cosine): pairs of one category whose token counts have a cosine of ``least`` or more.
-
-    docs: id, category, text. Pairs meet on their shared tokens; each adds its product."""
-    counts = docs.select("id", "category", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("id", "category", "token").agg(F.count("*").alias("n"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    a, b = counts.select(F.col("id").alias("a"), "category", "token", F.col("n").alias("na")), counts.select(F.col("id").alias("b"), "category", "token", F.col("n").alias("nb"))
-    dots = a.join(b, ["category", "token"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    joined = dots.join(norms.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), "a").join(norms.select(F.col("id").alias("b"), F.col("norm").alias("norm_b")), "b")
-    return joined.select("a", "b", F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), 6).alias("cosine")).where(F.col("cosine") >= least)
+    copies = classes.where("id <> class_id")
+    return wired.unionAll(copies.select(F.col("class_id").alias("src"), F.col("id").alias("dst"), F.lit("reinforces").alias("edge_type"), F.lit(1.0).alias("weight")))
+
+
+def cosine_rows(docs: DataFrame, least: float = 0.88) -> DataFrame:
+    """(id, class_id, n_links): rows (id, category, text) with tokens, their class of equal
+    tokens in one category (null counts as ''), and how many other rows of it have token counts at a cosine of
+    ``least`` or more.
+
+    Exact by prefixes: tokens are ordered by rarity, and a row's prefix ends where the rest of
+    its unit vector is shorter than ``least``; rows that share no token of both prefixes stay
+    below it. Only candidates meet on all their tokens."""
+    bag = F.array_sort(text.tokens(F.col("text")))
+    category = F.coalesce(F.col("category").cast("string"), F.lit("")).alias("category")
+    rows = docs.select("id", category, bag.alias("bag")).where(F.size("bag") > 0)
+    rows = materialize(rows.withColumn("digest", F.sha2(F.to_json(F.struct("category", "bag")), 256)), "bags")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    classes = materialize(rows.join(classes, "digest").select("id", "category", "class_id", "n", F.when(F.col("id") == F.col("class_id"), F.col("bag")).alias("bag")), "classes")
+    counts = classes.where("id = class_id").select("id", "category", F.explode("bag").alias("token")).groupBy("id", "category", "token").agg(F.count("*").alias("c"))
+    places = with_place(counts.groupBy("token").agg(F.count("*").alias("df")), "df", "token").select("token", "place")
+    counts = materialize(counts.join(places.hint("merge"), "token").select("id", "category", "place", "c"), "counts")
+    listed = F.array_sort(F.collect_list(F.struct("place", "c")))
+    vectors = counts.groupBy("id", "category").agg(listed.alias("v"), F.sum(F.col("c") * F.col("c")).alias("square"))
+    # From the last token back, how many can go while their length stays below the threshold.
+    room = F.col("square") * (least * least * (1 - 1e-9))
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("drop"))
+    fits = lambda s, x: s["sum"] + x["c"] * x["c"] < room
+    step = lambda s, x: F.struct(F.when(fits(s, x), s["sum"] + x["c"] * x["c"]).otherwise(s["sum"] + room.cast("long") + 1).alias("sum"), (s["drop"] + fits(s, x).cast("int")).alias("drop"))
+    drop = F.aggregate(F.reverse("v"), zero, step)["drop"]
+    keyed = vectors.select("id", "category", F.explode(F.slice("v", F.lit(1), F.size("v") - drop)).alias("x")).select("id", "category", F.col("x.place").alias("place"))
+    a, b = keyed.select(F.col("id").alias("a"), "category", "place"), keyed.select(F.col("id").alias("b"), "category", "place")
+    met = a.join(b.hint("merge"), ["category", "place"]).where("a < b").select("a", "b").distinct()
+    mine = counts.select(F.col("id").alias("a"), "place", F.col("c").alias("ca"))
+    theirs = counts.select(F.col("id").alias("b"), "place", F.col("c").alias("cb"))
+    dots = met.join(mine.hint("merge"), "a").join(theirs.hint("merge"), ["b", "place"]).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    squares = counts.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).alias("square"))
+    joined = dots.join(squares.select(F.col("id").alias("a"), F.col("square").alias("qa")), "a").join(squares.select(F.col("id").alias("b"), F.col("square").alias("qb")), "b")
+    pairs = joined.where(F.col("dot") / (F.sqrt("qa") * F.sqrt("qb")) >= least - 1e-9).select("a", "b")
+    return linked_rows(classes, pairs)
 
 
 def gotchas_for(path: str, gotchas: DataFrame, n: int = 3) -> DataFrame:
@@ -233,14 +314,25 @@ def gotchas_for(path: str, gotchas: DataFrame, n: int = 3) -> DataFrame:
 
 
 def duplicate_blocks(docs: DataFrame, size: int = 4, column: str = "text") -> DataFrame:
-    """(block, copies, places): windows of ``size`` trimmed non-empty lines that occur more than once.
-
-    Windows are grouped by digest; only those of repeated blocks carry their text."""
-    kept = lines(docs, column).withColumn("line", F.trim("line")).where("line <> ''")
-    order = Window.partitionBy("id").orderBy("line_no")
-    framed = kept.withColumn("w", F.collect_list("line").over(order.rowsBetween(0, size - 1))).where(F.size("w") == size)
-    block = framed.select("id", "line_no", F.array_join("w", "\n").alias("block"))
-    return block.groupBy("block").agg(F.count("*").alias("copies"), F.min(F.struct("id", "line_no")).alias("first")).where("copies > 1").select("block", "copies", F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line")).orderBy(F.desc("copies"), "block")
+    """(block, copies, first_id, first_line): windows of ``size`` trimmed non-empty lines that occur more than once.
+
+    Windows are made in their document's row and counted by digest; the text of a repeated
+    block is read from the place where it is first."""
+    def windows(rows: DataFrame) -> DataFrame:
+        trimmed = F.transform(F.split(F.coalesce(F.col(column), F.lit("")), "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("line")))
+        kept = rows.select("id", F.filter(trimmed, lambda x: x["line"] != "").alias("l")).where(F.size("l") >= size)
+
+        def block(i: Column) -> Column:
+            return F.struct(F.get("l", i)["line_no"].alias("line_no"), F.array_join(F.transform(F.slice("l", i + 1, F.lit(size)), lambda x: x["line"]), "\n").alias("block"))
+
+        return kept.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - size), block)).alias("w")).select("id", "w.*")
+
+    marks = windows(docs).select(F.sha2("block", 256).alias("digest"), "id", "line_no")
+    repeated = marks.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "line_no")).alias("first")).where("copies > 1")
+    repeated = materialize(repeated.select("copies", F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line")), "blocks")
+    firsts = windows(docs.join(repeated.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi"))
+    found = repeated.join(firsts, (F.col("first_id") == F.col("id")) & (F.col("first_line") == F.col("line_no")))
+    return found.select("block", "copies", "first_id", "first_line").orderBy(F.desc("copies"), "block")
 
 
 def rerank(candidates: DataFrame, affinity: Column, arch: Column, noise: Column, k: int = 5, least: float = 0.40) -> DataFrame:

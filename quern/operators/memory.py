@@ -135,26 +135,48 @@ def pressure(activities: DataFrame, critical: float = 100.0) -> DataFrame:
     return activities.groupBy("key").agg(total.alias("load")).select("key", "load", F.round(F.col("load") / critical, 4).alias("pressure"), (F.col("load") >= critical).alias("rest"))
 
 
-def modulators(events: DataFrame) -> DataFrame:
+def modulators(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Drive and alertness per key after a log (key, at, id, kind in reward or pain, amount), in order.
 
     A reward moves drive by 0.30 of what it exceeds 0.50 by and lowers alertness by 0.15; a
-    pain raises alertness by 0.25 of it and lowers drive by 0.20. Both start at 0.50 and 0.20."""
+    pain raises alertness by 0.25 of it and lowers drive by 0.20. Both start at 0.50 and 0.20
+    and stay within bounds, in thousandths. A run of such steps is itself a shift held within
+    bounds, so a log is folded by chunks of time first, and no task holds all of a busy key."""
     log = F.array_sort(F.collect_list(F.struct("at", "id", "kind", "amount")))
 
-    def held(x: Column, least: float) -> Column:
-        return F.greatest(F.lit(least), F.least(F.lit(1.0), F.round(x, 3)))
+    def thousandths(x: Column) -> Column:
+        return F.round(1000 * x).cast("long")
 
-    def step(s: Column, e: Column) -> Column:
+    def moves(e: Column) -> dict[str, tuple[Column, Column]]:
+        """Per state: the shift of one event and the lower bound that it holds to."""
         good = e["kind"] == "reward"
-        drive = F.when(good, held(s["drive"] + 0.30 * F.round(e["amount"] - 0.5, 3), 0.01)).otherwise(held(s["drive"] - 0.20 * e["amount"], 0.05))
-        alert = held(F.when(good, s["alert"] - 0.15).otherwise(s["alert"] + 0.25 * e["amount"]), 0.05)
-        return F.struct(drive.alias("drive"), alert.alias("alert"))
+        return {
+            "drive": (F.when(good, thousandths(0.30 * F.round(e["amount"] - 0.5, 3))).otherwise(thousandths(-0.20 * e["amount"])), F.when(good, 10).otherwise(50).cast("long")),
+            "alert": (F.when(good, -150).otherwise(thousandths(0.25 * e["amount"])).cast("long"), F.lit(50).cast("long")),
+        }
+
+    def held(x: Column, least: Column) -> Column:
+        return F.least(F.lit(1000).cast("long"), F.greatest(least, x))
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct(*[
+            F.struct((s[n]["c"] + shift).alias("c"), held(s[n]["lo"] + shift, least).alias("lo"), held(s[n]["hi"] + shift, least).alias("hi")).alias(n)
+            for n, (shift, least) in moves(e).items()
+        ])
+
+    far = 1 << 40
+    none = F.struct(*[F.struct(F.lit(0).cast("long").alias("c"), F.lit(-far).alias("lo"), F.lit(far).alias("hi")).alias(n) for n in ("drive", "alert")])
+    chunk = F.floor(F.col("at").cast("double") / chunk_seconds)
+    chunks = events.groupBy("key", chunk.alias("chunk")).agg(F.aggregate(log, none, step).alias("f"))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "f")))
+
+    def state(name: str, start: int) -> Column:
+        run = lambda w, x: F.least(x["f"][name]["hi"], F.greatest(x["f"][name]["lo"], w + x["f"][name]["c"]))
+        return (F.aggregate(ordered, F.lit(start).cast("long"), run) / 1000).alias(name)
 
-    start = F.struct(F.lit(0.5).alias("drive"), F.lit(0.2).alias("alert"))
-    folded = events.groupBy("key").agg(F.aggregate(log, start, step).alias("s"))
-    threshold = F.greatest(F.lit(0.25), F.round(0.80 - 0.45 * F.col("s.alert"), 2))
-    return folded.select("key", F.round("s.drive", 3).alias("drive"), F.round("s.alert", 3).alias("alert"), threshold.alias("threat_threshold"))
+    folded = chunks.groupBy("key").agg(state("drive", 500), state("alert", 200))
+    threshold = F.greatest(F.lit(0.25), F.round(0.80 - 0.45 * F.col("alert"), 2))
+    return folded.select("key", F.round("drive", 3).alias("drive"), F.round("alert", 3).alias("alert"), threshold.alias("threat_threshold"))
 
 
 def replay_rule(error: Column) -> Column:
@@ -167,7 +189,7 @@ def replay_rule(error: Column) -> Column:
 
 
 def diagnostic_kind(message: Column, code: Column) -> Column:
-    """Category of a compiler's or checker's message, by the first rule that holds."""
+    """Category of a compiler's or checker's message, by the first rule that holds: fixed values."""
     low = F.lower(message)
     return (
         F.when(message.rlike(r"INVARIANT\[|\[CRITICAL_VETO|NEVER OVERWRITE"), "INVARIANT_VIOLATION")

@@ -90,24 +90,43 @@ def stale_lessons(lessons: DataFrame, scanned: DataFrame, files: DataFrame, symb
     return gone.unionAll(lost.select("id", F.lit("symbol_removed").alias("stale_reason")))
 
 
-def reflexes(events: DataFrame) -> DataFrame:
+def reflexes(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Reflex per key from a log (key, at, id, threat; null threat: a clean run), folded in order.
 
     A threat raises occurrences, sets threat to min(1, max(old, new) + 0.05), the first to
-    itself, and ends extinction; clean runs extinguish by a sigmoid."""
+    itself, and ends extinction; clean runs extinguish by a sigmoid. A run of hits is itself
+    min(1, max(old + rise, floor)), so a key's log is folded by chunks of time first, and no
+    task holds all of a busy key."""
     log = F.array_sort(F.collect_list(F.struct("at", "id", "threat")))
 
     def step(s: Column, e: Column) -> Column:
-        hit = e["threat"].isNotNull()
-        raised = F.when(s["occurrences"] == 0, e["threat"]).otherwise(F.least(F.lit(1.0), F.greatest(s["threat"], e["threat"]) + 0.05))
+        hit, first = e["threat"].isNotNull(), s["hits"] == 0
+        after = F.greatest(s["rest"] + 0.05, e["threat"] + 0.05)
         return F.struct(
-            F.when(hit, raised).otherwise(s["threat"]).alias("threat"),
-            (s["occurrences"] + hit.cast("int")).alias("occurrences"),
-            F.when(hit, 0).otherwise(s["clean_runs"] + 1).alias("clean_runs"),
+            (s["hits"] + hit.cast("int")).alias("hits"),
+            F.when(hit & first, e["threat"]).otherwise(s["first"]).alias("first"),
+            F.when(hit & first, F.lit(float("-inf"))).when(hit, after).otherwise(s["rest"]).alias("rest"),
+            F.when(hit, 0).otherwise(s["clean"] + 1).alias("clean"),
         )
 
-    zero = F.struct(F.lit(0.0).alias("threat"), F.lit(0).alias("occurrences"), F.lit(0).alias("clean_runs"))
-    folded = events.groupBy("key").agg(F.aggregate(log, zero, step).alias("s")).select("key", "s.*")
+    zero = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("first"), F.lit(float("-inf")).alias("rest"), F.lit(0).alias("clean"))
+    chunk = F.floor(F.col("at").cast("double") / chunk_seconds)
+    chunks = events.groupBy("key", chunk.alias("chunk")).agg(F.aggregate(log, zero, step).alias("f"))
+
+    def join(s: Column, c: Column) -> Column:
+        f = c["f"]
+        start = F.when(s["occurrences"] == 0, f["first"]).otherwise(F.greatest(s["threat"], f["first"]) + 0.05)
+        raised = F.least(F.lit(1.0), F.greatest(F.least(F.lit(1.0), start) + 0.05 * (f["hits"] - 1), f["rest"]))
+        raised = F.when((s["occurrences"] == 0) & (f["hits"] == 1), f["first"]).otherwise(raised)
+        return F.struct(
+            F.when(f["hits"] > 0, raised).otherwise(s["threat"]).alias("threat"),
+            (s["occurrences"] + f["hits"]).alias("occurrences"),
+            F.when(f["hits"] > 0, f["clean"]).otherwise(s["clean_runs"] + f["clean"]).alias("clean_runs"),
+        )
+
+    none = F.struct(F.lit(0.0).alias("threat"), F.lit(0).alias("occurrences"), F.lit(0).alias("clean_runs"))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "f")))
+    folded = chunks.groupBy("key").agg(F.aggregate(ordered, none, join).alias("s")).select("key", "s.*")
     effective = scores.effective_threat(F.col("threat"), F.col("clean_runs"))
     return folded.where("occurrences > 0").withColumn("effective", F.round(effective, 6)).withColumn("verdict", scores.threat_verdict(effective))
 
@@ -148,9 +167,14 @@ def queue_counters(queue: DataFrame) -> DataFrame:
     )
 
 
-def promoted(nodes: DataFrame, least: float = 0.85) -> DataFrame:
-    """Insights from search nodes that did well: (id, kind, title, confidence)."""
-    return nodes.where(F.col("q_value") >= least).select(F.concat(F.lit("insight-"), F.col("node_id").cast("string")).alias("id"), F.lit("insight").alias("kind"), "title", F.col("q_value").alias("confidence"))
+def promoted(nodes: DataFrame, least: float = 0.85, warned: float = 0.70) -> DataFrame:
+    """Insights from search nodes that did well, and a gotcha from each of those whose threat is
+    ``warned`` or more, where nodes have one: (id, kind, title, confidence)."""
+    def rows(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{kind}-"), F.col("node_id").cast("string")).alias("id"), F.lit(kind).alias("kind"), "title", F.col("q_value").alias("confidence"))
+
+    good = nodes.where(F.col("q_value") >= least)
+    return rows(good, "insight").unionAll(rows(good.where(F.col("threat") >= warned), "gotcha")) if "threat" in nodes.columns else rows(good, "insight")
 
 
 def active_tags(tags: DataFrame, as_of: Column, prefix: str = "", ttl: int = 1800, tau: float = 900.0) -> DataFrame:
@@ -220,12 +244,6 @@ def learned_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", "name", kind.alias("kind"), confidence.alias("confidence")).where("kind is not null")
 
 
-def sequential(rows: DataFrame, by: list[str], order: list, start: Column, step) -> DataFrame:
-    """A fold per key in order: the general form of the folds above."""
-    log = F.array_sort(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in by and c not in order])))
-    return rows.groupBy(*by).agg(F.aggregate(log, start, step).alias("state"))
-
-
 def union_projects(projects: dict[str, DataFrame]) -> DataFrame:
     """Rows of several projects with the project's name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("project", F.lit(p)) for p, df in projects.items()])

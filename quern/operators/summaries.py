@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
-from quern.operators.graph import ancestors
+from quern.operators.graph import subtree_sums
 
 
 def graph_summary(files: DataFrame, functions: DataFrame, lessons: DataFrame, edges: DataFrame, below: str | None = None) -> DataFrame:
@@ -65,8 +65,8 @@ def diagnosis(nodes: DataFrame) -> DataFrame:
         F.count("*").alias("total_nodes"), F.sum("cost_tokens").alias("total_tokens"), F.count_if(slow).alias("bottlenecks"),
         F.count_if((F.col("reward_score") < 0) & ~F.col("is_pruned")).alias("unpruned_negative"), F.round(c, 6).alias("advised_c"),
     )
-    solved = nodes.where("is_solution").select(F.col("id").alias("node"))
-    on_path = ancestors(nodes).join(solved, "node").select(F.col("ancestor").alias("id")).distinct()
+    solved = subtree_sums(nodes, solutions=F.coalesce(F.col("is_solution"), F.lit(False)).cast("long"))
+    on_path = solved.where("solutions > 0").select("id")
     useful = nodes.join(on_path, "id").groupBy("trajectory_id").agg(F.sum("cost_tokens").alias("useful"))
     share = F.when(F.col("total_tokens") > 0, F.coalesce("useful", F.lit(0)) / F.col("total_tokens")).otherwise(0.0)
     return totals.join(useful, "trajectory_id", "left").withColumn("token_efficiency", F.round(share, 6)).drop("useful")
@@ -136,7 +136,7 @@ def candidate_files(files: DataFrame, goal: str, impact: DataFrame, semantic: Da
 
 
 def phases(files: DataFrame) -> DataFrame:
-    """(phase, files): a context plan: files in four bins by what they are for."""
+    """(phase, path): a context plan: files in four bins by what they are for, a row each."""
     low = F.lower("path")
     phase = F.when(low.rlike("test|spec"), "verify").when(low.rlike("schema|model|entity|type|interface"), "contracts").when(low.rlike("page|view|component|ui|api|route"), "surface").otherwise("logic")
-    return files.groupBy(phase.alias("phase")).agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files"))
+    return files.select(phase.alias("phase"), "path")

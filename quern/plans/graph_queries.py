@@ -73,13 +73,13 @@ TYPED = "typed AS (SELECT src, dst, CASE WHEN (src + dst) % 2 = 0 THEN 'supersed
 
 @query(f"""WITH RECURSIVE {EDGES}, {TYPED}, m AS (SELECT p_partkey AS id, p_size / 50 AS confidence FROM part),
 near AS (SELECT dst AS node FROM typed WHERE src = 8 UNION SELECT src FROM typed WHERE dst = 8),
-walk AS (SELECT node, 0 AS depth FROM near UNION SELECT e.dst, depth + 1 FROM walk JOIN typed e ON e.src = node AND edge_type = 'supersedes' WHERE depth < 4),
+walk AS (SELECT node, 0 AS depth FROM near UNION SELECT e.dst, depth + 1 FROM walk JOIN typed e ON e.src = node AND edge_type = 'supersedes' WHERE depth < 60),
 r AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
 SELECT id, depth, confidence AS old_confidence, greatest(0.1, confidence / 2) AS confidence, true AS stale, 'invalidated by 8: changed' AS stale_reason FROM m JOIN r ON r.node = m.id""")
 def stale_cascade(spark, d):
     e = edges(spark, d).withColumn("edge_type", F.when((F.col("src") + F.col("dst")) % 2 == 0, "supersedes").otherwise("applies_to"))
     memories = load(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50).alias("confidence"))
-    return G.stale_cascade(e, memories, 8, "changed", 4)
+    return G.stale_cascade(e, memories, 8, "changed")
 
 
 DAG = "dag AS (SELECT src, dst FROM edges WHERE src > dst)"

@@ -125,7 +125,12 @@ def load_pressure(spark, d):
     return M.pressure(load(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("kind"), (F.floor("value") % 5).alias("weight")))
 
 
-@query()
+MODULATED = """e AS (SELECT user_id AS key, list({'d': CASE WHEN event_type = 'error' THEN CAST(round(-200 * ((floor(value) % 10) / 10)) AS BIGINT) ELSE CAST(round(300 * round((floor(value) % 10) / 10 - 0.5, 3)) AS BIGINT) END,
+  'a': CASE WHEN event_type = 'error' THEN CAST(round(250 * ((floor(value) % 10) / 10)) AS BIGINT) ELSE -150 END, 'l': CASE WHEN event_type = 'error' THEN 50::BIGINT ELSE 10 END} ORDER BY ts, event_id) AS u FROM events GROUP BY user_id),
+f AS (SELECT key, list_reduce(list_prepend({'d': 500::BIGINT, 'a': 200::BIGINT, 'l': 0::BIGINT}, u), lambda s, x: {'d': least(1000, greatest(x.l, s.d + x.d)), 'a': least(1000, greatest(50, s.a + x.a)), 'l': 0::BIGINT}) AS s FROM e)"""
+
+
+@query(f"WITH {MODULATED} SELECT key, s.d / 1000 AS drive, s.a / 1000 AS alert, greatest(0.25, round(0.80 - 0.45 * (s.a / 1000), 2))::DOUBLE AS threat_threshold FROM f")
 def modulator_state(spark, d):
     kind = F.when(F.col("event_type") == "error", "pain").otherwise("reward")
     return M.modulators(load(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), kind.alias("kind"), ((F.floor("value") % 10) / 10).alias("amount")))

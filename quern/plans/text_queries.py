@@ -114,25 +114,28 @@ u AS (SELECT id, unnest(w) AS word FROM m), c AS (SELECT x.id AS a, y.id AS b, c
 pairs AS (SELECT a, b, n / (len(x.w) + len(y.w) - n) AS s, x.old AS oa, y.old AS ob FROM c JOIN m x ON x.id = a JOIN m y ON y.id = b)"""
 
 
-@query(f"""WITH {PAIRS} SELECT CASE WHEN oa AND NOT ob THEN b ELSE a END AS src, CASE WHEN oa AND NOT ob THEN a ELSE b END AS dst, CASE WHEN oa <> ob THEN 'supersedes' ELSE 'reinforces' END AS edge_type,
-CASE WHEN oa <> ob THEN 1.0 ELSE round(s, 6) END::DOUBLE AS weight FROM pairs WHERE s >= 0.35""")
+@query(f"""WITH {PAIRS}, k AS (SELECT id, old, min(id) OVER (PARTITION BY list_sort(w), old) AS first FROM m WHERE len(w) > 0)
+SELECT CASE WHEN oa AND NOT ob THEN b ELSE a END AS src, CASE WHEN oa AND NOT ob THEN a ELSE b END AS dst, CASE WHEN oa <> ob THEN 'supersedes' ELSE 'reinforces' END AS edge_type,
+CASE WHEN oa <> ob THEN 1.0 ELSE round(s, 6) END::DOUBLE AS weight FROM pairs WHERE s >= 0.35 AND a IN (SELECT first FROM k) AND b IN (SELECT first FROM k)
+UNION ALL SELECT first, id, 'reinforces', 1.0 FROM k WHERE id <> first""")
 def auto_wired_memories(spark, d):
     m = texts(spark, d).select("id", F.lit("").alias("title"), F.col("text").alias("error_context"), F.lit("").alias("solution"))
     return L.wire_memories(m, 0.35)
 
 
-@query(f"WITH {PAIRS} SELECT a, b, round(s, 6) AS similarity FROM pairs WHERE s >= 0.8")
+@query(f"""WITH {PAIRS}, l AS (SELECT a AS id FROM pairs WHERE s >= 0.8 UNION ALL SELECT b FROM pairs WHERE s >= 0.8), n AS (SELECT id, count(*) AS n FROM l GROUP BY id)
+SELECT m.id, min(m.id) OVER (PARTITION BY list_sort(w)) AS class_id, coalesce(n, 0) AS n_links FROM m LEFT JOIN n ON n.id = m.id WHERE len(w) > 0""")
 def similar_texts(spark, d):
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.octet_length(w) > 3)
-    return L.similar_pairs(texts(spark, d), words, 0.8).withColumn("similarity", F.round("similarity", 6))
+    return L.similar_rows(texts(spark, d), words, 0.8)
 
 
-@query(f"""WITH t AS (SELECT item_id AS id, item_id % 3 AS category, unnest({toks('text')}) AS token FROM benchmark), c AS (SELECT id, category, token, count(*) AS n FROM t GROUP BY ALL),
-m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.category = b.category AND a.token = b.token AND a.id < b.id GROUP BY ALL)
-SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE round(dot / (x.norm * y.norm), 6) >= 0.3""")
+@query(f"""WITH b AS (SELECT doc_id AS id, coalesce(lang, '') AS category, list_sort({toks('text')}) AS bag FROM documents), t AS (SELECT id, category, unnest(bag) AS token FROM b), c AS (SELECT id, category, token, count(*) AS n FROM t GROUP BY ALL),
+m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.category = b.category AND a.token = b.token AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT a AS id, count(*) AS n FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE dot / (x.norm * y.norm) >= 0.88 - 1e-9 GROUP BY a)
+SELECT b.id, min(b.id) OVER (PARTITION BY category, bag) AS class_id, coalesce(n, 0) AS n_links FROM b LEFT JOIN l ON l.id = b.id WHERE len(bag) > 0""")
 def frequency_cosine(spark, d):
-    b = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 3).alias("category"), "text")
-    return L.frequency_cosine(b, 0.3)
+    return L.cosine_rows(texts(spark, d).withColumnRenamed("lang", "category"), 0.88)
 
 
 @query("""WITH g AS (SELECT p_partkey AS id, ['critical', 'high', 'medium', 'low'][CAST(p_size % 4 + 1 AS INT)] AS severity, CASE WHEN p_size % 2 = 0 THEN 'active' ELSE 'resolved' END AS status, p_retailprice AS created_at,
@@ -210,7 +213,7 @@ def capability_map(spark, d):
 
 
 @query(f"""WITH {FILES}, x AS (SELECT path, CASE WHEN regexp_matches(path, 'test|spec') THEN 'verify' WHEN regexp_matches(path, 'schema|model|entity|type|interface') THEN 'contracts'
-WHEN regexp_matches(path, 'page|view|component|ui|api|route') THEN 'surface' ELSE 'logic' END AS phase FROM files) SELECT phase, string_agg(path, ',' ORDER BY path) AS files FROM x GROUP BY phase""")
+WHEN regexp_matches(path, 'page|view|component|ui|api|route') THEN 'surface' ELSE 'logic' END AS phase FROM files) SELECT phase, path FROM x""")
 def context_phases(spark, d):
     return S.phases(files(spark, d))
 

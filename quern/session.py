@@ -31,6 +31,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches hold fewer rows: for queries over long texts, whose batches would
-    otherwise take hundreds of megabytes in the JVM and in each Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Lets Arrow batches of the session hold at most ``rows`` rows, for queries over long texts,
+    whose batches would otherwise take hundreds of megabytes in the JVM and in each Python
+    worker. The setting is read when a result is computed, so it stays; a smaller one of the
+    caller's is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)

@@ -1,8 +1,9 @@
 """Tables written to the folder that the driver and all executors share.
 
 A written table cuts lineage: a lost executor costs a re-read, not a recomputation.
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests,
-local runs) a temporary folder is made and given to the session.
+The folder is the session's ``spark.checkpoint.dir``, or the one given to
+``setCheckpointDir``. Only a local session without either gets a temporary folder; on a
+cluster that would be each machine's own, so there its lack is an error.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, context = spark.sparkContext.applicationId, spark.sparkContext
+    if app not in _own and (set_ := context.getCheckpointDir()):
+        return set_.rstrip("/")
     if app not in _own:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own[app] = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(_own[app])
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)

@@ -34,16 +34,43 @@ def test_auto_wire(rows):
     assert got["m1", "m2"][0] == "reinforces" and got["m1", "m3"] == ("supersedes", 1.0) and got["m2", "m3"] == ("supersedes", 1.0)
 
 
-def test_similar_pairs_equal_brute_force(spark, rows):
+def test_similar_rows_equal_brute_force(spark, rows):
     import random
 
     rng = random.Random(3)
-    data = [(k, " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randrange(0, 9)))) for k in range(60)]
+    data = [(k, " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randrange(0, 9)))) for k in range(60)] + [(99, None)]
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    got = {(r.a, r.b) for r in L.similar_pairs(rows("id int, text string", *data), words, 0.6).collect()}
-    sets = {k: set(t.split()) for k, t in data}
-    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    assert got == want and want
+    docs = rows("id int, text string", *data)
+    sets = {k: frozenset((t or "").split()) for k, t in data}
+    for least in (0.35, 0.6, 1.0):
+        got = {r.id: (r.class_id, r.n_links) for r in L.similar_rows(docs, words, least).collect()}
+        linked = {a: sum(b != a and bool(sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least for b in sets) for a in sets if sets[a]}
+        assert got == {a: (min(b for b in sets if sets[b] == sets[a]), n) for a, n in linked.items()} and any(linked.values())
+    assert L.similar_rows(docs.where(F.lit(False)), words, 0.6).count() == 0
+
+
+def test_similarity_joins_broadcast_no_sets(rows):
+    docs = rows("id int, text string", *[(k, f"a b c {k}") for k in range(30)])
+    classes = L.set_classes(docs, F.split("text", " "))
+    plan = L.similar_sets(classes.select("id", "words"), 0.5)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_cosine_rows_equal_brute_force(rows):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    data = [(k, "ab"[k % 2], " ".join(rng.choice("pqrstuv") for _ in range(rng.randrange(0, 25)))) for k in range(80)] + [(200, "a", None), (201, None, "p q"), (202, None, "q p")]
+    bags = {k: (c or "", Counter((t or "").split())) for k, c, t in data}
+    norm = {k: sum(n * n for n in b.values()) ** 0.5 for k, (_, b) in bags.items()}
+
+    def cosine(x, y):
+        return sum(n * bags[y][1][t] for t, n in bags[x][1].items()) / (norm[x] * norm[y])
+
+    got = {r.id: (r.class_id, r.n_links) for r in L.cosine_rows(rows("id int, category string, text string", *data), 0.8).collect()}
+    want = {k: (min(x for x in bags if bags[x] == bags[k]), sum(x != k and norm[x] > 0 and bags[x][0] == bags[k][0] and cosine(k, x) >= 0.8 - 1e-9 for x in bags)) for k in bags if norm[k]}
+    assert got == want and max(n for _, n in want.values()) > 3
 
 
 def test_redaction_and_noise(rows):
