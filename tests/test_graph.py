@@ -81,3 +81,66 @@ def test_cone_falls_back_to_nearest(rows):
 
 def test_mermaid(rows):
     assert G.mermaid(rows("src string, dst string", ("a", "b"))).splitlines() == ["graph LR", '    n0["a"]', '    n1["b"]', "    n0 --> n1"]
+
+
+CHAIN = 1500
+
+
+def chain(rows, edge_type=None):
+    return rows("src long, dst long, edge_type string", *[(k, k + 1, edge_type) for k in range(CHAIN)])
+
+
+def test_stale_cascade_reaches_the_end_of_a_chain(rows):
+    memories = rows("id long, confidence double", *[(k, 0.9) for k in range(1, CHAIN + 1)])
+    edges = chain(rows, "derived_from").unionAll(rows("src long, dst long, edge_type string", (0, 1, "applies_to")))
+    got = {r.id: r.depth for r in G.stale_cascade(edges.where("not (src = 0 and edge_type = 'derived_from')"), memories, 0, "x").collect()}
+    assert got == {k: k - 1 for k in range(1, CHAIN + 1)}
+
+
+def test_reach_by_rounds_equals_one_task(rows, monkeypatch):
+    edges = rows("src string, dst string", ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("d", None))
+    seeds = rows("node string", ("a",), ("q",), (None,))
+    one = {(r.node, r.depth) for r in G.reach(edges, seeds).where("node is not null").collect()}
+    monkeypatch.setattr(G, "ONE_TASK", 0)
+    rounds = {(r.node, r.depth) for r in G.reach(edges, seeds).where("node is not null").collect()}
+    assert one == rounds == {("a", 0), ("q", 0), ("b", 1), ("c", 2), ("d", 3)}
+
+
+def test_topological_order_of_a_long_chain_and_cycles(rows, monkeypatch):
+    nodes = rows("node long", *[(k,) for k in range(CHAIN + 4)])
+    loop = rows("src long, dst long, edge_type string", (CHAIN + 1, CHAIN + 2, None), (CHAIN + 2, CHAIN + 1, None), (CHAIN + 3, CHAIN + 1, None))
+    got = {r.node: r.level for r in G.topological_order(nodes, chain(rows).unionAll(loop)).collect()}
+    assert got == {k: CHAIN - k for k in range(CHAIN + 1)} | dict.fromkeys(range(CHAIN + 1, CHAIN + 4))
+    few = rows("src long, dst long", (1, 2), (2, 3), (4, 4), (5, 6), (6, 5), (7, 5), (1, 99))
+    some = rows("node long", *[(k,) for k in range(1, 9)])
+    want = sorted(map(tuple, G.topological_order(some, few).collect()), key=str)
+    monkeypatch.setattr(G, "ONE_TASK", 0)
+    assert sorted(map(tuple, G.topological_order(some, few).collect()), key=str) == want
+
+
+def test_sums_and_ancestors_of_deep_trees(rows):
+    import random
+
+    rng = random.Random(2)
+    parent = {k: rng.randrange(k) if k > 700 else k - 1 for k in range(1, 900)} | {0: None, 5000: 4999}
+    tree = rows("id long, parent_id long, reward double", *[(k, p, float(k % 7)) for k, p in parent.items()])
+    visits, total = dict.fromkeys(parent, 0), dict.fromkeys(parent, 0.0)
+    for k in parent:
+        up = k
+        while up in parent:
+            visits[up], total[up] = visits[up] + 1, total[up] + k % 7
+            up = parent[up]
+    got = {r.id: (r.visits, r.value) for r in G.backpropagate(tree).collect()}
+    assert {k: v for k, (v, _) in got.items()} == visits and all(abs(got[k][1] - total[k] / visits[k]) < 1e-6 for k in parent)
+    small = tree.where("id <= 40")
+    pairs = {(r.node, r.ancestor, r.distance) for r in G.ancestors(small).collect()}
+    assert pairs == {(a, b, a - b) for a in range(41) for b in range(a + 1)}
+    with pytest.raises(ValueError):
+        G.backpropagate(rows("id long, parent_id long, reward double", (1, 2, 0.0), (2, 1, 0.0), (3, None, 1.0)))
+
+
+def test_speculative_contracts_of_a_lonely_file(rows):
+    files = rows("node long, path string", (1, "a/x.py"), (2, "a/y.py"), (3, "b/z.py"))
+    symbols = rows("node long, name string, start_line long", (2, "f", 1), (3, "g", 1))
+    none = rows("src long, dst long", (3, 3))
+    assert [r.name for r in G.speculative_contracts(none, symbols, 1, files=files).collect()] == ["f"]

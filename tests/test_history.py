@@ -88,3 +88,16 @@ def test_co_changes_of_real_parts(spark, sf_dir):
     pairs = QUERIES["part_co_changes"](spark, sf_dir)
     seen = pairs.select("file_a").union(pairs.select("file_b")).distinct().count()
     assert seen == load(spark, sf_dir, "lineitem").select("l_partkey").distinct().count() > 40
+
+
+def test_sweeping_commits_are_cut_into_blocks(rows, monkeypatch):
+    edits = rows("commit long, file long", *[(1, k) for k in range(25)], *[(2, k) for k in range(0, 25, 5)], (3, 1))
+    want = {tuple(r) for r in H.co_changes(edits).collect()}
+    monkeypatch.setattr(H, "COMMIT_BLOCK", 4)
+    assert {tuple(r) for r in H.co_changes(edits).collect()} == want and len(want) == 300
+
+
+def test_symbol_scars(rows):
+    failures = rows("file string, id long, message string", ("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z"))
+    got = {(r.path, r.name): r.threat_score for r in H.symbol_scars(failures, rows("path string, name string", ("a", "f"), ("c", "g"), ("b", "h"))).collect()}
+    assert got == {("a", "f"): 0.75, ("b", "h"): 0.6}

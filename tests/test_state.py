@@ -91,3 +91,34 @@ def test_module_map(rows):
     edges = rows("src_path string, dst_path string", ("apps/web/src/x.ts", "crates/core/src/a.rs"), ("crates/core/src/b.rs", "crates/core/src/a.rs"))
     got = {r.module: (r.files, r.functions, r.depends_on) for r in S.capability_map(files, rows("path string", ("top.py",), ("top.py",)), edges).collect()}
     assert got == {"core": (2, 0, ""), "web": (1, 0, "core"), "root": (1, 2, "")}
+
+
+def test_reflexes_and_modulators_equal_a_fold_in_order(rows):
+    import math
+    import random
+
+    from quern.operators import memory as M
+
+    rng = random.Random(8)
+    log = [(rng.choice("abc"), rng.randrange(0, 20_000), k, rng.choice([None, None, 0.1, 0.35, 0.8, 0.95])) for k in range(300)] + [("z", 5, 900, None)]
+    events = rows("key string, at long, id long, threat double", *log)
+    got = {r.key: (round(r.threat, 9), r.occurrences, r.clean_runs) for r in St.reflexes(events, 1000).collect()}
+    want = {}
+    for key, _, _, threat in sorted(log, key=lambda e: e[1:3]):
+        t, n, clean = want.get(key, (0.0, 0, 0))
+        want[key] = (t, n, clean + 1) if threat is None else (threat if n == 0 else min(1.0, max(t, threat) + 0.05), n + 1, 0)
+    assert got == {k: (round(t, 9), n, c) for k, (t, n, c) in want.items() if n}
+
+    moods = [(key, at, k, rng.choice(["reward", "pain"]), rng.randrange(11) / 10) for key, at, k, _ in log]
+    state = {}
+    for key, _, _, kind, x in sorted(moods, key=lambda e: e[1:3]):
+        d, a = state.get(key, (500, 200))
+        half = lambda v: math.floor(abs(v) + 0.5 + 1e-9) * (1 if v >= 0 else -1)
+        state[key] = (min(1000, max(10, d + half(300 * (x - 0.5)))), max(50, a - 150)) if kind == "reward" else (min(1000, max(50, d - half(200 * x))), min(1000, max(50, a + half(250 * x))))
+    table = rows("key string, at long, id long, kind string, amount double", *moods)
+    assert {r.key: (round(1000 * r.drive), round(1000 * r.alert)) for r in M.modulators(table, 1000).collect()} == state
+
+
+def test_threatened_nodes_leave_a_gotcha(rows):
+    nodes = rows("node_id long, title string, q_value double, threat double", (1, "a", 0.9, 0.8), (2, "b", 0.9, 0.1), (3, "c", 0.2, 0.9))
+    assert sorted(r.id for r in St.promoted(nodes).collect()) == ["gotcha-1", "insight-1", "insight-2"]
