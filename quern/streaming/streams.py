@@ -5,7 +5,10 @@ watermarks need it."""
 
 from __future__ import annotations
 
+import json
 import math
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from quern.operators.state import latest
+from quern.storage import materialize
 
 
 def folder_source(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 100) -> DataFrame:
@@ -40,37 +44,98 @@ def once(events: DataFrame, keys: list[str], late: str = "30 minutes") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def keyed_sink(path: str, keys: list[str], order: list[str], deleted: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps a keyed table by versions: version k is the last
-    committed one with the batch's newest rows in place. A batch that is delivered again
-    finds its version and writes nothing; readers use ``keyed_table``."""
+BUCKET, GONE = "bucket_no", "__deleted"
+
+
+def keyed_sink(path: str, keys: list[str], order: list[str], deleted: str | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps a keyed table: a key's row is the one of the highest
+    ``order`` over all batches, so an older row that comes late changes nothing; of equal ones
+    the later batch's. Rows flagged ``deleted`` hide their key until a newer row comes.
+
+    Keys are hashed to buckets, and a batch writes only those that it touches. A version counts
+    once its manifest, which says where each bucket is, has appeared by one rename; a batch
+    that is delivered again finds its manifest and writes nothing. Readers use ``keyed_table``;
+    folders that the last two manifests don't name are removed."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        paths = spark.sparkContext._jvm.org.apache.hadoop.fs
-        fs = paths.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        target = f"{path}/v={batch_id}"
-        if fs.exists(paths.Path(f"{target}/_SUCCESS")):
+        done = _manifests(spark, path)
+        if batch_id in done:
             return
-        newest = latest(batch, keys, order)
-        now = keyed_table(spark, path)
-        live = newest.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else newest
-        if now is not None:
-            live = now.join(newest.select(*keys), keys, "left_anti").unionByName(live, allowMissingColumns=True)
-        live.write.mode("overwrite").parquet(target)
+        places = _manifest(spark, path, max(done)) if done else {}
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        rows = batch.drop(deleted) if deleted else batch
+        marked = batch.withColumn(GONE, gone)
+        marked = marked.drop(deleted) if deleted else marked
+        marked = latest(marked.withColumn("__batch", F.lit(batch_id).cast("long")), keys, [*order, "__batch"])
+        marked = materialize(marked, "keyed")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in marked.select(bucket).distinct().collect()]  # at most ``buckets``
+        stored = [f"{path}/{places[str(k)]}" for k in touched if str(k) in places]
+        if stored:
+            before = spark.read.option("mergeSchema", "true").parquet(*stored)
+            marked = latest(before.unionByName(marked, allowMissingColumns=True), keys, [*order, "__batch"])
+        folder = f"data/k{batch_id}-{uuid.uuid4().hex[:8]}"
+        if touched:
+            marked.withColumn(BUCKET, bucket).repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+        places = places | {str(k): f"{folder}/{BUCKET}={k}" for k in touched}
+        _publish(spark, path, batch_id, places, rows.schema.json())
+        _sweep(spark, path)
 
     return write
 
 
-def keyed_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest committed version written by ``keyed_sink``, or None."""
+def _fs(spark: SparkSession, path: str):
     paths = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = paths.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    return paths, paths.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    paths, fs = _fs(spark, path)
+    root = paths.Path(f"{path}/manifests")
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, version: int, part: str = "places"):
+    paths, fs = _fs(spark, path)
+    stream = fs.open(paths.Path(f"{path}/manifests/{version}"))
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())[part]
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, version: int, places: dict, schema: str) -> None:
+    paths, fs = _fs(spark, path)
+    draft = paths.Path(f"{path}/manifests/.{version}-{uuid.uuid4().hex[:8]}")
+    stream = fs.create(draft, True)
+    stream.write(bytearray(json.dumps({"places": places, "schema": schema}).encode()))
+    stream.close()
+    fs.rename(draft, paths.Path(f"{path}/manifests/{version}"))
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Removes versions that neither of the last two manifests names."""
+    paths, fs = _fs(spark, path)
+    versions = _manifests(spark, path)
+    used = {p.split("/")[1] for v in versions[-2:] for p in _manifest(spark, path, v).values()}
+    root = paths.Path(f"{path}/data")
+    for s in fs.listStatus(root) if fs.exists(root) else []:
+        if s.getPath().getName() not in used:
+            fs.delete(s.getPath(), True)
+
+
+def keyed_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that ``keyed_sink`` keeps, as of its last committed batch, or None."""
+    versions = _manifests(spark, path)
+    if not versions:
         return None
-    versions = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [int(v[2:]) for v in versions if v.startswith("v=") and fs.exists(paths.Path(f"{path}/{v}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v={max(done)}") if done else None
+    schema = StructType.fromJson(json.loads(_manifest(spark, path, versions[-1], "schema")))
+    places = _manifest(spark, path, versions[-1])
+    if not places:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{p}" for p in places.values()])
+    return rows.where(~F.col(GONE)).select(*[c for c in rows.columns if c in schema.names])
 
 
 def tag_stream(tags: DataFrame, ttl_seconds: int = 1800, late: str = "30 minutes") -> DataFrame:
@@ -112,18 +177,48 @@ def synapse_stream(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").applyInPandasWithState(step, out, "weight double, count long", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(queue: DataFrame, handler: Callable[[pd.DataFrame], list[str | None]], path: str) -> Callable[[DataFrame, int], None]:
+DRAINED = "id long, attempt long, retry_count int, status string, error_message string, due timestamp"
+
+
+def drain(queue: DataFrame, handler: Callable[[pd.DataFrame], list[str | None]], path: str, most: int = 5, now: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for an event queue: the handler gets batches of events on the
-    executors and returns an error or None for each; outcomes are kept by event id, so an
-    event delivered twice keeps one row. An event counts as processed only on success."""
+    executors and returns an error or None for each; outcomes and events are kept by event id.
+
+    An event counts as PROCESSED only on success and is not handled again. One that fails is
+    PENDING and is tried again, in the first batch after a back-off of 2^retries seconds, until
+    it has failed ``most`` times: then it is FAILED. ``queue`` gives the events' schema."""
+    columns = [c for c in queue.columns if c != "id"]
+    schema = ", ".join([DRAINED, *(f"{c} {queue.schema[c].dataType.simpleString()}" for c in columns)])
     sink = keyed_sink(path, ["id"], ["attempt"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark, moment = batch.sparkSession, float(now())
+        events = batch.select("id", *columns).dropDuplicates(["id"]).withColumn("retry_count", F.lit(0))
+        kept = keyed_table(spark, path)
+        if kept is not None:
+            again = kept.where((F.col("status") == "PENDING") & (F.col("due") <= F.timestamp_seconds(F.lit(moment)))).select("id", *columns, "retry_count")
+            events = events.join(kept.select("id"), "id", "left_anti").unionByName(again)
+
         def handled(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in pdfs:
-                errors = handler(pdf)
-                yield pd.DataFrame({"id": pdf["id"], "attempt": batch_id, "status": ["PROCESSED" if e is None else "PENDING" for e in errors], "error_message": errors})
+                errors = handler(pdf.drop(columns="retry_count"))
+                failed = [e is not None for e in errors]
+                tries = pdf["retry_count"] + failed
+                out = pd.DataFrame({"id": pdf["id"], "attempt": batch_id, "retry_count": tries, "status": ["PROCESSED" if not f else "FAILED" if t >= most else "PENDING" for f, t in zip(failed, tries)], "error_message": errors})
+                out["due"] = pd.to_datetime([moment + 2.0 ** min(t, 30) for t in tries], unit="s")
+                yield out.join(pdf[columns])
 
-        sink(batch.mapInPandas(handled, "id long, attempt long, status string, error_message string"), batch_id)
+        sink(events.mapInPandas(handled, schema), batch_id)
+
+    return run
+
+
+def delta_stream(files: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for a stream of file states (path, at, sha256, text; a null
+    sha256 is a deletion): keeps the index by path, whatever order states come in."""
+    sink = keyed_sink(path, ["path"], ["at"], deleted="__gone")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sink(batch.select(*files.columns).withColumn("__gone", F.col("sha256").isNull()), batch_id)
 
     return run

@@ -67,12 +67,51 @@ def test_keyed_sink_is_idempotent(spark, rows, tmp_path):
     assert {(r.id, r.v) for r in S.keyed_table(spark, path).collect()} == {(1, "b"), (3, "n")}
 
 
-def test_drain_keeps_failures_pending(spark, rows, tmp_path):
+def test_keyed_sink_keeps_the_newest_whatever_comes_last(spark, rows, tmp_path):
+    path = f"{tmp_path}/table"
+    write = S.keyed_sink(path, ["id"], ["at"], "gone", 2)
+    schema = "id int, at int, v string, gone boolean"
+    write(rows(schema, (1, 10, "new", False), (2, 10, "x", False), (4, 1, "y", False)), 0)
+    write(rows(schema, (1, 5, "old", False), (2, 20, None, True)), 1)
+    write(rows(schema, (2, 15, "late", False), (3, 1, "z", False), (4, 1, "same time", False)), 2)
+    assert {(r.id, r.v) for r in S.keyed_table(spark, path).collect()} == {(1, "new"), (3, "z"), (4, "same time")}
+    write(rows(schema, (2, 30, "back", False)), 3)
+    write(rows(schema), 4)
+    assert {(r.id, r.v) for r in S.keyed_table(spark, path).collect()} == {(1, "new"), (2, "back"), (3, "z"), (4, "same time")}
+    folders = {p.name.split("-")[0] for p in (tmp_path / "table" / "data").iterdir()}
+    assert "k0" not in folders and S.keyed_table(spark, f"{tmp_path}/none") is None
+
+
+def test_drain_retries_after_a_while_and_fails_at_last(spark, rows, tmp_path):
     def handler(pdf):
         return ["bad" if p == "x" else None for p in pdf["payload"]]
 
-    run_batch = S.drain(None, handler, f"{tmp_path}/q")
-    run_batch(rows("id long, payload string", (1, "ok"), (2, "x")), 0)
-    run_batch(rows("id long, payload string", (2, "ok")), 1)
-    got = {r.id: (r.status, r.attempt) for r in S.keyed_table(spark, f"{tmp_path}/q").collect()}
-    assert got == {1: ("PROCESSED", 0), 2: ("PROCESSED", 1)}
+    path, clock = f"{tmp_path}/q", [1000.0]
+    schema = "id long, payload string"
+    none = rows(schema)
+    run_batch = S.drain(none, handler, path, most=3, now=lambda: clock[0])
+
+    def state():
+        return {r.id: (r.status, r.retry_count) for r in S.keyed_table(spark, path).collect()}
+
+    run_batch(rows(schema, (1, "ok"), (2, "x"), (2, "x")), 0)
+    assert state() == {1: ("PROCESSED", 0), 2: ("PENDING", 1)}
+    run_batch(rows(schema, (2, "ok"), (3, "ok")), 1)  # delivered again, and not due yet
+    assert state() == {1: ("PROCESSED", 0), 2: ("PENDING", 1), 3: ("PROCESSED", 0)}
+    clock[0] += 2.5
+    run_batch(none, 2)
+    assert state()[2] == ("PENDING", 2)
+    clock[0] += 4.5
+    run_batch(none, 3)
+    assert state()[2] == ("FAILED", 3)
+    clock[0] += 100
+    run_batch(none, 4)
+    assert state() == {1: ("PROCESSED", 0), 2: ("FAILED", 3), 3: ("PROCESSED", 0)}
+
+
+def test_delta_stream_keeps_the_index(spark, rows, tmp_path):
+    schema = "path string, at long, sha256 string, text string"
+    index = S.delta_stream(rows(schema), f"{tmp_path}/index")
+    index(rows(schema, ("a", 1, "1", "x"), ("b", 1, "2", "y")), 0)
+    index(rows(schema, ("a", 3, None, None), ("b", 2, "3", "z"), ("a", 2, "9", "late")), 1)
+    assert [(r.path, r.text) for r in S.keyed_table(spark, f"{tmp_path}/index").collect()] == [("b", "z")]
