@@ -85,6 +85,12 @@ def find_by_keyword(files: DataFrame, keyword: str, n: int = 20) -> DataFrame:
     return files.select("path").where(F.contains(F.lower("path"), F.lit(keyword.lower()))).orderBy(F.length("path"), "path").limit(n)
 
 
+def complete_path(files: DataFrame, fragment: str = "", n: int | None = None) -> DataFrame:
+    """Paths that contain a fragment, case ignored, in order; without a fragment all of them."""
+    found = files.select("path").where(F.contains(F.lower("path"), F.lit(fragment.lower()))).orderBy("path")
+    return found.limit(n) if n else found
+
+
 def find_by_tokens(files: DataFrame, query: str, n: int = 20) -> DataFrame:
     """(path, score): 10 per query token among the path's tokens, 3 where one contains the other (4 characters or more)."""
     query_tokens = F.array(*[F.lit(w.lower()) for w in dict.fromkeys(_words(query))]) if _words(query) else F.array().cast("array<string>")

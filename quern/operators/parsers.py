@@ -33,6 +33,7 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 def table_references(files: DataFrame) -> DataFrame:
     """(path, table, operation, line_no): DDL in SQL files, table names of mapped models elsewhere."""
+    # The patterns of statements and of models.
     name = r"(?:IF\s+(?:NOT\s+)?EXISTS\s+)?([A-Za-z0-9_.\"`]+)"
     ddl = {
         "CREATE": rf"(?i)\bCREATE\s+(?:UNLOGGED\s+|TEMP\s+|TEMPORARY\s+)?TABLE\s+{name}",
@@ -112,6 +113,7 @@ def api_routes(files: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("line_no").rowsBetween(1, 5)
     name = F.regexp_extract("line", r"(?i)(?:async\s+)?(?:def|fn)\s+([A-Za-z0-9_]+)\s*\(", 1)
     rows = rows.withColumn("next_def", F.first_value(F.when(name != "", name), F.lit(True)).over(order))
+    # The names of routers and the verbs.
     python = r"(?i)@(?:app|router|api_router)\.(get|post|put|delete|patch|options|head)\s*\(\s*[\"']([^\"']*)[\"']"
     script = r"(?i)\b(?:app|router)\.(get|post|put|delete|patch|all)\s*\(\s*[\"']([^\"']+)[\"'](?:\s*,\s*([A-Za-z0-9_]+))?"
     decorated = rows.where(F.col("line").rlike(python))
@@ -126,6 +128,7 @@ def api_routes(files: DataFrame) -> DataFrame:
 
 def endpoint_consumers(files: DataFrame) -> DataFrame:
     """(path, method, raw, canonical, symbol, line_no): calls of endpoints in client code."""
+    # The names of callers and of base addresses.
     quote = "[\"'`]"
     target = r"((?:/api/|https?://[^/'\"`]+/api/|\$\{(?:API_URL|NEXT_PUBLIC_API_URL|BASE_URL|API_BASE)\}/api/)[^\"'`\s]+)"
     fetch = rf"(?i)\b(?:fetch|resilientFetch|authFetch|customFetch|useSWR)\s*(?:<[^>]+>)?\s*\(\s*{quote}{target}{quote}"
@@ -261,17 +264,26 @@ def _top_level(arguments: str) -> list[str]:
 
 
 def call_arity(line: str, symbol: str) -> int | None:
-    """Arguments of the first call of a symbol on a line; None if there is no call."""
-    m = re.search(rf"\b{re.escape(symbol)}\s*\(", line)
-    if not m:
-        return None
-    depth, end = 1, len(line)
-    for k in range(m.end(), len(line)):
-        depth += (line[k] == "(") - (line[k] == ")")
-        if depth == 0:
-            end = k
-            break
-    return len(_top_level(line[m.end() : end]))
+    """Arguments of the first call of a symbol in a text; None if there is no call."""
+    return next((n for _, n in calls(line, symbol)), None)
+
+
+def calls(body: str, symbol: str) -> Iterator[tuple[int, int]]:
+    """(where a call of a symbol begins, its number of arguments), for every call, over lines."""
+    for m in re.finditer(rf"(?<![\w.]){re.escape(symbol)}\s*\(|(?<=\.){re.escape(symbol)}\s*\(", body):
+        depth, quote, end = 1, "", len(body)
+        for k in range(m.end(), len(body)):
+            c = body[k]
+            if quote:
+                quote = "" if c == quote and body[k - 1] != "\\" else quote
+            elif c in "\"'`":
+                quote = c
+            else:
+                depth += (c == "(") - (c == ")")
+                if depth == 0:
+                    end = k
+                    break
+        yield m.start(), len(_top_level(body[m.end() : end]))
 
 
 def signature(line: str) -> dict | None:
@@ -290,19 +302,20 @@ def patch_breakages(files: DataFrame, declaration: str) -> DataFrame:
     new = signature(declaration)
     if not new:
         return files.sparkSession.createDataFrame([], "path string, line_no int, breakage string")
-    word = re.compile(rf"\b{re.escape(new['name'])}\s*\(")
+    declared = re.compile(r"\b(?:def|fn|function|func)\s+$")
 
     def rows(path: str, body: str) -> list[tuple]:
         out = []
-        for k, line in enumerate(body.splitlines(), 1):
-            if not word.search(line) or re.search(rf"\b(def|fn|function|func)\s+{re.escape(new['name'])}\b", line):
+        for at, n in calls(body, new["name"]):
+            before = body[body.rfind("\n", 0, at) + 1 : at]
+            if declared.search(before):
                 continue
-            n = call_arity(line, new["name"])
+            k = body.count("\n", 0, at) + 1
             if n < new["required"]:
                 out.append((path, k, "too_few_arguments"))
             elif n > new["total"]:
                 out.append((path, k, "too_many_arguments"))
-            elif new["is_async"] and "await" not in line:
+            elif new["is_async"] and not re.search(r"\bawait\s+[\w.]*$", before):
                 out.append((path, k, "missing_await"))
         return out
 
@@ -359,6 +372,64 @@ def diagnostics(files: DataFrame, most: int = 10) -> DataFrame:
     return _per_file(files, rows, "path string, line_no int, severity string, message string")
 
 
+def symbol_sources(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, wanted, name, start_line, end_line, source): the text of a symbol for each (path,
+    wanted): of that name, else of that name but for case, else whose dotted end it is
+    ("Class.method" finds method); of several the first. Symbols that aren't found have no row."""
+    asked = wanted.groupBy("path").agg(F.collect_set("wanted").alias("wanted"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, body, names in zip(pdf["path"], pdf["text"], pdf["wanted"]):
+                body = body or ""
+                found, lines = symbols_of(path, body)[1], body.splitlines()
+                for want in sorted(names):
+                    last = want.rsplit(".", 1)[-1]
+                    hit = next((s for key in (lambda n: n == want, lambda n: n.lower() == want.lower(), lambda n: n == last) for s in found if key(s[0])), None)
+                    if hit:
+                        out.append((path, want, hit[0], hit[2], hit[3], "\n".join(lines[hit[2] - 1 : hit[3]])))
+            yield pd.DataFrame(out, columns=["path", "wanted", "name", "start_line", "end_line", "source"])
+
+    schema = "path string, wanted string, name string, start_line int, end_line int, source string"
+    return files.select("path", "text").join(asked, "path").mapInPandas(run, schema)
+
+
+def replaced_symbols(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """(path, text, replaced): the texts of ``files`` after edits (path, wanted, code) that put new
+    code in a symbol's lines; nothing is written to disk. Edits whose symbol isn't found are left
+    out of ``replaced``; a file's edits are applied from its end, so that lines stay in place."""
+    asked = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("wanted", "code"))).alias("edits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, body, todo in zip(pdf["path"], pdf["text"], pdf["edits"]):
+                lines, done = (body or "").splitlines(), 0
+                found = symbols_of(path, body or "")[1]
+                places = []
+                for e in todo if todo is not None else ():
+                    last = e["wanted"].rsplit(".", 1)[-1]
+                    hit = next((s for key in (lambda n: n == e["wanted"], lambda n: n.lower() == e["wanted"].lower(), lambda n: n == last) for s in found if key(s[0])), None)
+                    if hit:
+                        places.append((hit[2], hit[3], e["code"]))
+                for a, b, code in sorted(places, reverse=True):
+                    lines[a - 1 : b] = code.splitlines()
+                    done += 1
+                out.append((path, "\n".join(lines) if done else body, done))
+            yield pd.DataFrame(out, columns=["path", "text", "replaced"])
+
+    return files.select("path", "text").join(asked, "path", "left").mapInPandas(run, "path string, text string, replaced int")
+
+
+def directory_tree(files: DataFrame) -> DataFrame:
+    """(folder, depth, files, below): each folder above a file, with the files right in it and below it."""
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), n.alias("depth"), (n == F.size(parts) - 1).cast("int").alias("own")))
+    rows = files.where(F.size(parts) > 0).select(F.explode(folders).alias("f")).select("f.*")
+    return rows.groupBy("folder", "depth").agg(F.sum("own").alias("files"), F.count("*").alias("below"))
+
+
 def test_counts(outputs: DataFrame, column: str = "output") -> DataFrame:
     """Passed, failed and ignored tests in runner output (id, output); missing numbers are 0."""
     def number(pattern: str) -> Column:

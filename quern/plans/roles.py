@@ -94,3 +94,81 @@ FILES = """files AS (
   SELECT p_partkey AS node, ['crates', 'apps', 'src', 'docs'][CAST(p_partkey % 4 + 1 AS INT)] || '/m' || (p_size % 7) || '/' ||
          ['src', 'model', 'view', 'api', 'test'][CAST(p_partkey % 5 + 1 AS INT)] || '/part' || p_partkey || '.py' AS path,
          lower(p_brand) AS language, p_size AS functions, p_partkey % 3 AS lessons, p_retailprice AS score FROM part)"""
+
+
+#: Source files of four kinds, one per part: ``{x}`` is an expression over the part's number k.
+#: They have no single quotes or backslashes, so that one SQL text serves both engines.
+SOURCE_FILES = (
+    (
+        "svc/m{k % 7}/part{k}.py",
+        """import os
+from m{k % 7}.part{k + 4} import load{k + 4}
+router = APIRouter(prefix="/api/m{k % 7}")
+
+@router.get("/items/{{id}}")
+async def load{k}(a, b=1):
+    return query{k % 3}(a)
+
+class Model{k}:
+    __tablename__ = "t{k % 50}\"""",
+    ),
+    (
+        "web/part{k}.tsx",
+        """import {{ api }} from "./part{k + 4}"
+export function Page{k}() {{
+  fetch(`/api/m{(k - 1) % 7}/items/{{id}}`, {{
+    method: "POST"
+  }})
+  axios.get("/api/m{k % 7}/list?page=2")
+  {CASE WHEN k % 2 = 0 THEN '' ELSE 'await ' END}loadAll({CASE k % 3 WHEN 0 THEN '1' WHEN 1 THEN '1, f(2, 3)' ELSE '1,' || chr(10) || '    [2, 3], f(4)' END}); loadAll(1)
+}}""",
+    ),
+    (
+        "db/v{k}.sql",
+        """-- part {k}; create table no(id)
+CREATE TABLE {CASE WHEN k % 3 = 0 THEN 'IF NOT EXISTS ' ELSE '' END}s.t{k % 50} (id int, o int REFERENCES t{k % 7}(id));
+-- {CASE WHEN k % 5 = 0 THEN 'ALLOW_DESTRUCTIVE' ELSE 'note' END}
+DROP TABLE IF EXISTS old_{k % 50};
+ALTER TABLE ONLY t{k % 50} ADD COLUMN c int;""",
+    ),
+    (
+        "log/run{k}.txt",
+        """{k % 9} passed, {k % 3} failed, {k % 2} skipped in 1s
+# Key Learnings:
+- learned {k}
+1. also {k % 7}
+# Next
+- no""",
+    ),
+)
+
+
+def _sql(template: str) -> str:
+    """A template as an SQL expression of concatenated literals and casts."""
+    out, literal, at = [], "", 0
+    while at < len(template):
+        c = template[at]
+        if template[at : at + 2] in ("{{", "}}"):
+            literal, at = literal + c, at + 2
+        elif c == "{":
+            end = template.index("}", at)
+            out += [f"'{literal}'", f"CAST({template[at + 1 : end]} AS VARCHAR(200))"]
+            literal, at = "", end + 1
+        elif c == "\n":
+            out += [f"'{literal}'", "chr(10)"]
+            literal, at = "", at + 1
+        else:
+            literal, at = literal + c, at + 1
+    return " || ".join(x for x in [*out, f"'{literal}'"] if x != "''")
+
+
+SOURCE_PATH = "CASE k % 4 " + " ".join(f"WHEN {n} THEN {_sql(p)}" for n, (p, _) in enumerate(SOURCE_FILES)) + " END"
+SOURCE_TEXT = "CASE k % 4 " + " ".join(f"WHEN {n} THEN {_sql(t)}" for n, (_, t) in enumerate(SOURCE_FILES)) + " END"
+SOURCES = f"""k AS (SELECT p_partkey AS k, p_size AS size FROM part),
+sources AS (SELECT k, {SOURCE_PATH} AS path, {SOURCE_TEXT} AS text FROM k)"""
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """(k, path, text): parts as source files: services, pages, migrations and logs of test runs."""
+    k = load(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    return k.select("k", F.expr(SOURCE_PATH).alias("path"), F.expr(SOURCE_TEXT).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import subprocess
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,13 @@ def noise_decision(path: Column, length: Column, most: int = MOST_BYTES) -> Colu
     return F.when(folder, "NoiseDir").when(name.isin(*LOCK_FILES), "LockFile").when(ends(BUNDLED), "MinifiedOrBundle").when(ends(DATA_ENDINGS), "LargeOrBinaryData").when(length > most, "ExceedsSizeLimit").otherwise("Process")
 
 
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether a path is under an ignore pattern: equal, below it, one of its folders or names, or by ending ('*.x')."""
+#: Folder names that are ignored only outside a source root.
+OUTSIDE_SOURCES = ("data", "temp")
+
+
+def ignored(path: Column, patterns: list[str], outside: tuple[str, ...] = ()) -> Column:
+    """Whether a path is under an ignore pattern: equal, below it, one of its folders or names, or
+    by ending ('*.x'). Folders named in ``outside`` are ignored unless a 'src' folder is above them."""
     out = F.lit(False)
     for p in (p.strip().strip("/") for p in patterns):
         if not p or p.startswith("#"):
@@ -46,6 +52,10 @@ def ignored(path: Column, patterns: list[str]) -> Column:
             out = out | path.endswith(p[1:])
         else:
             out = out | (path == p) | path.startswith(p + "/") | F.array_contains(F.split(path, "/"), p)
+    for name in outside:
+        at = F.array_position(F.split(path, "/"), name)
+        source = F.array_position(F.split(path, "/"), "src")
+        out = out | ((at > 0) & (at < F.size(F.split(path, "/"))) & ((source == 0) | (source > at)))
     return out
 
 
@@ -68,6 +78,30 @@ def file_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", state.alias("state"))
 
 
+def stale_files(index: DataFrame, listed: DataFrame) -> DataFrame:
+    """(path, state) of files whose index is out of date: Changed (another mtime), Added, Deleted.
+
+    Both tables have path and modified: listing needs no content, so this is the cheap check
+    that says whether a scan is due."""
+    both = index.select("path", F.col("modified").alias("old")).join(listed.select("path", F.col("modified").alias("new")), "path", "full_outer")
+    state = F.when(F.col("new").isNull(), "Deleted").when(F.col("old").isNull(), "Added").when(F.col("old") != F.col("new"), "Changed")
+    return both.select("path", state.alias("state")).where("state is not null")
+
+
+def refreshed(index: DataFrame, scanned: DataFrame, derived: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame], tuple[str, ...]]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The file index (path, sha256, ...) and the tables derived from it after a scan.
+
+    ``derived`` maps a name to (rows, function that makes rows of changed files, path columns).
+    Rows of deleted and changed files go, on either end; rows are made anew for added and
+    changed files alone. An unchanged file costs a comparison of digests."""
+    delta = file_delta(index, scanned)
+    changed = delta.where("state = 'Indexed'").select("path")
+    gone = delta.where("state <> 'Unchanged'").select("path")
+    fresh = scanned.join(changed, "path", "left_semi")
+    files = without_files(index, gone).unionByName(fresh.select(*index.columns))
+    return files, {n: without_files(rows, gone, *columns).unionByName(make(fresh)) for n, (rows, make, columns) in derived.items()}
+
+
 def without_files(rows: DataFrame, removed: DataFrame, *columns: str) -> DataFrame:
     """Rows of an index without removed paths, in any of the columns (both ends of edges)."""
     for c in columns or ("path",):
@@ -171,19 +205,34 @@ def memory_markdown(rows: DataFrame) -> DataFrame:
 
 
 def write_bundle(rows: DataFrame, path: str) -> str:
-    """JSON lines and their digest: sha256 over the sorted digests of rows, free of file order.
-
-    Row digests are folded by pairs of hex prefixes first, so that the last sort sees 4096 of them."""
+    """JSON lines and their digest: sha256 over the sorted digests of rows, free of file order."""
     packed = rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
     packed.write.text(path)
     return bundle_digest(rows.sparkSession.read.text(path))
 
 
+#: Rows that a group of the digest's tree holds, about.
+DIGEST_ROWS = 4_000
+
+
 def bundle_digest(lines: DataFrame) -> str:
-    """The digest that ``write_bundle`` returned, computed from the written lines."""
+    """The digest that ``write_bundle`` returned, computed from the written lines.
+
+    A tree over hex prefixes, as deep as the number of rows asks for: rows' sha256 are sorted
+    and hashed in groups of equal prefix, and groups by shorter prefixes, three digits at a
+    time, so that no group grows with the bundle."""
     each = lines.select(F.sha2("value", 256).alias("h"))
-    buckets = each.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return hashlib.sha256("".join(r["b"] + r["d"] for r in buckets.orderBy("b").collect()).encode()).hexdigest()
+    n, depth = lines.count(), 0
+    while n > DIGEST_ROWS * 16**depth:
+        depth += 1
+    rows = each.select(F.substring("h", 1, depth).alias("b"), "h")
+    while True:
+        rows = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+        if depth <= 3:
+            break
+        depth -= 3
+        rows = rows.select(F.substring("b", 1, depth).alias("b"), F.concat("b", "h").alias("h"))
+    return hashlib.sha256("".join(r["b"] + r["h"] for r in rows.orderBy("b").collect()).encode()).hexdigest()  # 4,096 rows at most
 
 
 def read_bundle(spark: SparkSession, path: str, schema: str, digest: str) -> DataFrame:
