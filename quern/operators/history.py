@@ -40,6 +40,30 @@ def recent_changes(history: DataFrame, as_of: Column, hours: int = 24) -> DataFr
     return recent.groupBy("commit", "author").agg(F.max("ts").alias("ts"), F.countDistinct("file").alias("files")).orderBy(F.desc("ts"), "commit")
 
 
+def changes_with_impact(history: DataFrame, edges: DataFrame, n: int = 5, depth: int = 1) -> DataFrame:
+    """(commit, file, node, depth): the files of the newest commits, and what each reaches along
+    edges (src, dst); node null for files that reach nothing.
+
+    Only the touched files are seeds, so the walk sees their surroundings, not the graph."""
+    from quern.storage import materialize
+
+    newest = history.groupBy("commit").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "commit").limit(n)
+    touched = materialize(history.select("commit", "file").distinct().join(F.broadcast(newest.select("commit")), "commit", "left_semi"), "touched")  # n commits
+    walk = touched.select("file", F.col("file").alias("node"), F.lit(0).alias("depth")).distinct()
+    hops, layers = edges.select("src", "dst").distinct(), walk
+    for k in range(1, depth + 1):
+        walk = walk.join(hops, F.col("node") == F.col("src")).select("file", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
+        walk = materialize(walk.join(layers.select("file", "node"), ["file", "node"], "left_anti").select("file", "node", "depth"), "impact")
+        layers = layers.unionAll(walk)
+    return touched.join(layers.where("depth > 0"), "file", "left").select("commit", "file", "node", "depth")
+
+
+def commits_since(history: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """(file, insertions, deletions, commits): what the commits of the last hours changed, in one."""
+    recent = history.where((F.col("ts") <= as_of) & (F.col("ts") >= as_of - F.make_interval(hours=F.lit(hours))))
+    return recent.groupBy("file").agg(F.sum(F.coalesce("insertions", F.lit(0))).alias("insertions"), F.sum(F.coalesce("deletions", F.lit(0))).alias("deletions"), F.countDistinct("commit").alias("commits"))
+
+
 def symbol_scars(failures: DataFrame, symbols: DataFrame, gain: float = 0.05) -> DataFrame:
     """(path, name, threat_score): each symbol of a file that failed: the file's scar and a
     little more, 1 at most. symbols: path, name."""

@@ -34,6 +34,57 @@ def search_observations(rows: DataFrame, needle: str, n: int = 20, **equal: str)
     return newest(rows.where("deleted_at is null"), n, hit)
 
 
+def recorded_lessons(lessons: DataFrame, new: DataFrame) -> DataFrame:
+    """Lessons (id, file_path, symbol_name, kind, error_context, solution) with new rows (at, and the
+    same but for id) numbered behind them in order; texts are trimmed, and rows without a
+    solution aren't recorded."""
+    from quern.ordering import with_place
+
+    kept = new.where(F.trim(F.coalesce("solution", F.lit(""))) != "")
+    top = lessons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rows = with_place(kept, "at", "file_path", "solution").crossJoin(F.broadcast(top))  # one row
+    fresh = rows.select(
+        (F.col("top") + F.col("place")).alias("id"), "file_path", F.coalesce("symbol_name", F.lit("")).alias("symbol_name"),
+        F.coalesce("kind", F.lit("lesson")).alias("kind"), F.trim("error_context").alias("error_context"), F.trim("solution").alias("solution"),
+    )
+    return lessons.select(*fresh.columns).unionByName(fresh)
+
+
+def lesson_counts(lessons: DataFrame) -> DataFrame:
+    """(file_path, lessons) per file."""
+    return lessons.groupBy("file_path").agg(F.count("*").alias("lessons"))
+
+
+def diagnostics_of(rows: DataFrame, path: str | None = None, n: int = 20) -> DataFrame:
+    """Newest diagnostics (id, file_path, ...), of one file or of all; 1 to 100 of them."""
+    return newest(rows, n, F.col("file_path") == path if path is not None else None)
+
+
+def telemetry_of(rows: DataFrame, path: str) -> DataFrame:
+    """Rows on a file, stored under that path or a longer one that ends in it."""
+    return rows.where((F.col("file_path") == path) | F.col("file_path").endswith("/" + path))
+
+
+def smart_search(symbols: DataFrame, lessons: DataFrame, semantic: DataFrame, query: str, n: int = 10, least: float = 0.3) -> DataFrame:
+    """(part, id, rank, score): symbols whose name holds the query, lessons by BM25, and the nearest
+    lessons (id, similarity) of ``least`` or more, each list on its own, not fused."""
+    low = F.lit(query.lower())
+    named = symbols.where(F.contains(F.lower("name"), low)).select("id", F.lit(1.0).alias("score"))
+    found = lexical.search(lessons, query, {"error_context": 1.0, "solution": 1.0}, n=n)
+    near = semantic.where(F.col("similarity") >= least).select("id", F.col("similarity").alias("score"))
+    parts = []
+    for name, rows in (("symbols", named), ("lessons", found), ("semantic", near)):
+        first = rows.orderBy(F.desc("score"), "id").limit(n)
+        parts.append(first.select(F.lit(name).alias("part"), "id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "score"))  # n rows
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def fused_tiers(words: DataFrame, dense: DataFrame, failures: DataFrame, n: int = 5, k: int = 60) -> DataFrame:
+    """(id, score): three ranked lists (id, rank) fused by reciprocal ranks; the lexical one gives
+    twice as many as the others."""
+    return lexical.fuse(words.where(F.col("rank") <= 2 * n), dense.where(F.col("rank") <= n), failures.where(F.col("rank") <= n), k=k, n=n)
+
+
 def active_threats(gotchas: DataFrame, n: int = 10) -> DataFrame:
     return gotchas.where(F.col("severity").isin("high", "critical")).orderBy(F.desc("created_at"), "id").limit(n)
 

@@ -167,6 +167,14 @@ def fitness(solved: Column, ratio: Column, prune_errors: Column, saved: Column)
     return 100 * solved.cast("int") - 25 * ratio - 150 * prune_errors + F.least(F.lit(30.0), F.greatest(F.lit(-20.0), saved / 500))
 
 
+def sweep(metrics: DataFrame) -> DataFrame:
+    """(policy, fitness, trees, solved, cost, rank): policies by their mean fitness, best first."""
+    cost = F.col("tokens") + 500 * F.col("steps")
+    each = metrics.withColumn("cost", cost).withColumn("f", fitness(F.col("solved"), F.col("steps") / 10, F.lit(0), 2000 - F.col("cost")))
+    per = each.groupBy("policy").agg(F.round(F.avg("f"), 6).alias("fitness"), F.count("*").alias("trees"), F.count_if("solved").alias("solved"), F.sum("cost").alias("cost"))
+    return with_place(per, F.desc("fitness"), F.asc("policy"), name="rank")
+
+
 def promotion(metrics: DataFrame, candidate: str, baseline: str = BASELINE, least_trees: int = 3) -> DataFrame:
     """Whether a candidate beats the baseline on the held-out last 30 % of trajectories (all, if
     fewer than four), by the mean of paired fitness differences."""

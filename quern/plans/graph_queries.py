@@ -109,10 +109,11 @@ def communities(spark, d):
     return G.communities(edges(spark, d))
 
 
-@query()
+@query("""SELECT l_orderkey AS change, count(DISTINCT p_size % 7) AS communities, count(DISTINCT p_size % 7) > 1 AS alert FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey""")
 def cross_domain_changes(spark, d):
+    """Changes against given labels; ``communities`` gives those of a graph."""
     changes = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("change"), F.col("l_partkey").alias("node"))
-    return G.crosses_domains(changes, G.communities(edges(spark, d)))
+    return G.crosses_domains(changes, load(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 7).alias("community")))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {UNDIRECTED}, {_reach('8', 3, table='both_ways')},
@@ -229,14 +230,39 @@ def policy_search(spark, d):
     return P.search(nodes(spark, d))
 
 
-@query()
+#: Metrics of two policies: all of a tree, and its first levels.
+METRICS = f"""{NODES}, m AS (SELECT trajectory_id, p.policy, count(*) AS steps, CAST(sum(cost_tokens) AS BIGINT) AS tokens, bool_or(is_solution) AS solved FROM nodes, (VALUES ('balanced_mcts_default', 99), ('fast_reflex', 3)) AS p(policy, most) WHERE depth <= most GROUP BY trajectory_id, p.policy),
+costs AS (SELECT *, tokens + 500 * steps AS cost FROM m)"""
+
+
+def _metrics(spark, d):
+    policies = spark.createDataFrame([("balanced_mcts_default", 99), ("fast_reflex", 3)], "policy string, most int")
+    rows = nodes(spark, d).join(F.broadcast(policies), F.col("depth") <= F.col("most"))  # two rows
+    return rows.groupBy("trajectory_id", "policy").agg(F.count("*").alias("steps"), F.sum("cost_tokens").alias("tokens"), F.bool_or("is_solution").alias("solved"))
+
+
+@query(f"""WITH {METRICS}, b AS (SELECT trajectory_id, cost AS base_cost, solved AS base_solved FROM costs WHERE policy = 'balanced_mcts_default'), g AS (SELECT c.*, base_solved, CASE WHEN base_cost > 0 THEN (base_cost - cost) / base_cost ELSE 0 END AS gain FROM costs c JOIN b USING (trajectory_id))
+SELECT trajectory_id, policy, cost, solved, round(gain, 6) AS gain, solved AND (NOT base_solved OR gain >= 0.10) AS optimal FROM g""")
 def policy_comparison(spark, d):
-    return P.compared(P.replay(nodes(spark, d)))
+    return P.compared(_metrics(spark, d))
 
 
-@query()
+@query(f"""WITH {METRICS}, f AS (SELECT trajectory_id, policy, 100 * CAST(solved AS INT) - 25 * (steps / 10) + least(30.0, greatest(-20.0, (2000 - cost) / 500)) AS f FROM costs),
+p AS (SELECT a.trajectory_id, a.f - b.f AS gain, row_number() OVER (ORDER BY a.trajectory_id) AS k, count(*) OVER () AS n FROM f a JOIN f b ON a.trajectory_id = b.trajectory_id AND a.policy = 'fast_reflex' AND b.policy = 'balanced_mcts_default')
+SELECT count(*) AS trees, round(avg(gain), 6) AS gain, count(*) >= 3 AND avg(gain) > 0 AS promoted FROM p WHERE n < 4 OR k > 0.7 * n""")
 def policy_promotion(spark, d):
-    return P.promotion(P.replay(nodes(spark, d)), "fast_reflex")
+    return P.promotion(_metrics(spark, d), "fast_reflex")
+
+
+@query()
+def policy_replay_comparison(spark, d):
+    return P.compared(P.replay(nodes(spark, d)))
+
+
+@query(f"""WITH {METRICS}, b AS (SELECT policy, round(avg(100 * CAST(solved AS INT) - 25 * (steps / 10) + least(30.0, greatest(-20.0, (2000 - cost) / 500))), 6) AS fitness, count(*) AS trees, count(*) FILTER (solved) AS solved, CAST(sum(cost) AS BIGINT) AS cost FROM costs GROUP BY policy)
+SELECT *, row_number() OVER (ORDER BY fitness DESC, policy) AS rank FROM b""")
+def policy_sweep(spark, d):
+    return P.sweep(_metrics(spark, d))
 
 
 @query(f"""WITH {NODES} SELECT id, round(value_estimate + sqrt(2) * sqrt(ln(40) / greatest(visit_count, 1)), 6) AS uct, round(value_estimate + 1.25 * 0.5 * sqrt(40) / (1 + visit_count), 6) AS puct,

@@ -9,6 +9,7 @@ from quern.operators import memory as M
 from quern.operators import vector as V
 from quern.plans.registry import query
 from quern.plans.roles import EDGES, FILES, edges, files, texts
+from quern.plans.text_queries import BM25
 from quern.session import load
 
 TURNS = """t AS (SELECT conv_id * 1000 + turn AS id, role AS title, coalesce(text, '') AS content, 'k' || (conv_id % 7) AS topic_key, conv_id % 5 AS project, CASE WHEN turn % 5 = 4 THEN 'now' END AS deleted_at FROM conversations)"""
@@ -159,14 +160,38 @@ def stale_projects(spark, d):
     return M.stale_projects(c.select(F.col("c_custkey").alias("id"), status.alias("status"), opened.alias("last_opened")), F.lit("2024-01-31").cast("date")).select("id")
 
 
-@query()
+POINTS = """pts AS (SELECT p_partkey AS k, p_name || p_partkey AS path, [p_size / 80, (p_partkey % 7) / 20, -(p_partkey % 5) / 20] AS q FROM part),
+duo AS (SELECT a.path AS a, b.path AS b, a.q AS u, b.q AS v FROM pts a JOIN pts b ON b.k = a.k + 1),
+dist AS (SELECT a, b, acosh(greatest(1.0, 1 + 2 * list_sum([(u[i] - v[i]) * (u[i] - v[i]) for i in [1, 2, 3]]) / ((1 - list_sum([x * x for x in u])) * (1 - list_sum([x * x for x in v]))))) AS h FROM duo)"""
+
+
+@query(f"WITH {POINTS} SELECT a, b, round(exp(-h / 0.8), 6) AS coupling FROM dist")
 def hyperbolic_coupling(spark, d):
+    """Coupling of given points; ``path_points`` gives those of paths."""
+    p, k = load(spark, d, "part"), F.col("p_partkey")
+    pts = p.select(k.alias("k"), F.concat("p_name", k).alias("path"), F.array(F.col("p_size") / 80, (k % 7) / 20, -(k % 5) / 20).alias("point"))
+    pairs = pts.select(F.col("path").alias("a"), (F.col("k") + 1).alias("k")).join(pts.select("k", F.col("path").alias("b")), "k").select("a", "b")
+    return M.hyperbolic_coupling(pts, pairs, 0.8).withColumn("coupling", F.round("coupling", 6))
+
+
+@query()
+def path_coupling(spark, d):
     f = files(spark, d)
     pairs = f.select(F.col("path").alias("a"), (F.col("node") + 1).alias("k")).join(f.select(F.col("node").alias("k"), F.col("path").alias("b")), "k").select("a", "b")
     return M.hyperbolic_coupling(V.path_points(f), pairs)
 
 
-@query()
+SKETCH = r"""t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents UNION ALL SELECT -1, unnest(['the', 'of', 'that'])), h AS (SELECT id, token, sha256(token) AS h FROM t),
+c AS (SELECT id, CAST(('0x' || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT % 384 AS INT) AS place, CASE WHEN ('0x' || h[6:6])::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM h),
+v AS (SELECT id, place, sum(s) AS v FROM c GROUP BY ALL), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id), e AS (SELECT id, place, CAST(v / n AS FLOAT)::DOUBLE AS x FROM v JOIN n USING (id) WHERE n > 0),
+z AS (SELECT id, sqrt(sum(x * x)) AS z FROM e GROUP BY id), near AS (SELECT d.id, round(greatest(0, least(1, sum(d.x * q.x) / (any_value(zd.z) * any_value(zq.z)))), 6) AS sim FROM e d JOIN e q ON q.id = -1 AND q.place = d.place JOIN z zd ON zd.id = d.id JOIN z zq ON zq.id = -1 WHERE d.id >= 0 GROUP BY d.id),
+dense AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM (SELECT * FROM near ORDER BY sim DESC, id LIMIT 15))"""
+
+
+@query(f"""{BM25}, lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 15)), {SKETCH},
+fused AS (SELECT id, round(sum(1.0 / (60 + rank)), 6) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM dense) GROUP BY id ORDER BY s DESC, id LIMIT 10),
+w AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda t: len(t) >= 2)) AS t, lower(coalesce(text, '')) AS x FROM documents WHERE doc_id IN (SELECT id FROM fused))
+SELECT id, round(least(1.0, 0.75 * len(list_intersect(['the', 'of', 'that'], t)) / 3 + CASE WHEN contains(x, 'the of that') THEN 0.25 ELSE 0 END), 6)::DOUBLE AS score FROM w ORDER BY score DESC, id LIMIT 5""".replace("\\\\", "\\"))
 def deep_search(spark, d):
     docs, fields = texts(spark, d), {"text": 2.0, "source": 1.0}
     words = L.ranked(L.bm25(docs, "the of that", fields, n=15), F.desc("score"), "id")

@@ -69,16 +69,24 @@ def vector_rerank(spark, d):
     return L.rerank(near, label / 10, (label == 3).cast("int"), 0.3 * (label == 4).cast("int"))
 
 
-@query()
+GREEDY = """kept AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS l UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(l, near)) > 0 THEN l ELSE list_append(l, i + 1) END FROM kept JOIN close ON rank = i + 1)"""
+COS = "list_cosine_similarity(list_transform({}, lambda x: x::DOUBLE), list_transform({}, lambda x: x::DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT vec_id AS id, embedding AS e, {SIM.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 3)')} AS sim FROM embeddings ORDER BY sim DESC, id LIMIT 100),
+r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM c), close AS (SELECT a.rank, coalesce(list(b.rank) FILTER (b.rank IS NOT NULL), []) AS near FROM r a LEFT JOIN r b ON b.rank < a.rank AND {COS.format('a.e', 'b.e')} > 0.3 GROUP BY a.rank), {GREEDY}
+SELECT 0::BIGINT AS "group", id, sim::DOUBLE AS score FROM r WHERE list_contains((SELECT l FROM kept ORDER BY i DESC LIMIT 1), rank)""")
 def diversified_results(spark, d):
     e = load(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     near = V.nearest(e, e.where("id = 3").first()["embedding"], 100).join(e.select("id", "embedding"), "id")
-    return V.diversify(near.select("id", F.col("similarity").alias("cosine"), F.col("similarity").alias("rerank"), "embedding", (-F.col("similarity")).alias("rank")))
+    return V.diversify(near.select("id", F.col("similarity").alias("cosine"), F.col("similarity").alias("rerank"), "embedding", (-F.col("similarity")).alias("rank")), most=0.3)
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT vec_id AS id, embedding AS e, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE embedding IS NOT NULL), pairs AS (SELECT a.rank, b.rank AS before FROM r a JOIN r b ON b.rank < a.rank AND {COS.format('a.e', 'b.e')} >= 0.45 - 1e-12),
+close AS (SELECT r.rank, coalesce(list(before) FILTER (before IS NOT NULL), []) AS near FROM r LEFT JOIN pairs p ON p.rank = r.rank GROUP BY r.rank), {GREEDY}, k AS (SELECT l FROM kept ORDER BY i DESC LIMIT 1)
+SELECT r.id, s.id AS kept_id FROM r JOIN close USING (rank), k, r s WHERE NOT list_contains(l, r.rank) AND s.rank = list_min(list_intersect(l, near))""")
 def redundant_vectors(spark, d):
-    return V.redundant(load(spark, d, "embeddings").withColumnRenamed("vec_id", "id"))
+    return V.redundant(load(spark, d, "embeddings").withColumnRenamed("vec_id", "id"), 0.45)
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores, text
 from quern.operators import lexical as L
-from quern.operators import parsers, state
+from quern.operators import state
 from quern.operators import summaries as S
 from quern.plans.registry import query
 from quern.plans.roles import FILES, files, texts
@@ -246,12 +246,6 @@ def attention_weights(spark, d):
     return texts(spark, d).select("id", scores.attention(F.col("text")).alias("w")).select("id", "w.*")
 
 
-@query()
-def page_endpoints(spark, d):
-    p = load(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("text"))
-    return parsers.endpoint_consumers(p)
-
-
 @query(r"""SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(trim(regexp_extract(url, '^https?://[^/]+(.*)$', 1)), '[?#].*$', ''), '\$?\{[^}]+\}', ':id', 'g'), '/+$', '') AS canonical FROM pages""")
 def canonical_endpoints(spark, d):
     p = load(spark, d, "pages")
