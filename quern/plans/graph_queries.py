@@ -162,15 +162,15 @@ def speculative_contracts(spark, d):
     return G.speculative_contracts(edges(spark, d), s, 8)
 
 
-ENDPOINTS = """endpoints AS (SELECT p_type AS path, CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, p_size > 48 AS tagged, p_partkey % 50 AS file FROM part WHERE p_partkey <= 60),
-consumers AS (SELECT p_partkey AS id, p_type AS path, CASE WHEN p_size % 3 = 0 THEN 'GET' ELSE 'POST' END AS method, p_size > 25 AS tagged, p_partkey % 50 AS file FROM part WHERE p_partkey > 60)"""
+ENDPOINTS = """endpoints AS (SELECT p_type AS path, CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, p_size > 48 AS tagged, p_partkey % 50 AS file FROM part WHERE p_size % 5 = 0),
+consumers AS (SELECT p_partkey AS id, p_type AS path, CASE WHEN p_size % 3 = 0 THEN 'GET' ELSE 'POST' END AS method, p_size > 25 AS tagged, p_partkey % 50 AS file FROM part WHERE p_size % 5 <> 0)"""
 
 
 def contracts(spark, d):
     p = load(spark, d, "part")
     def side(rows, third):
         return rows.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("path"), F.when(F.col("p_size") % third == 0, "GET").otherwise("POST").alias("method"), (F.col("p_size") > (48 if third == 2 else 25)).alias("tagged"), (F.col("p_partkey") % 50).alias("file"))
-    return side(p.where("p_partkey <= 60"), 2), side(p.where("p_partkey > 60"), 3)
+    return side(p.where("p_size % 5 = 0"), 2), side(p.where("p_size % 5 <> 0"), 3)
 
 
 @query(f"""WITH {ENDPOINTS}, k AS (SELECT path, list(DISTINCT method) AS methods, bool_or(tagged) AS b FROM endpoints GROUP BY path),

@@ -48,14 +48,14 @@ def nearest_across_collections(spark, d):
     return scored.withColumn("place", F.row_number().over(place)).where("place <= 3").drop("place")
 
 
-SKETCH = r"""t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark), h AS (SELECT id, sha256(token) AS h FROM t),
+SKETCH = r"""t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents), h AS (SELECT id, sha256(token) AS h FROM t),
 c AS (SELECT id, CAST(('0x' || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT % 384 AS INT) AS place, CASE WHEN ('0x' || h[6:6])::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM h),
 v AS (SELECT id, place, sum(s) AS v FROM c GROUP BY ALL), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id)"""
 
 
 @query(f"WITH {SKETCH} SELECT id, place, round(v / n, 4)::DOUBLE AS value FROM v JOIN n USING (id) WHERE v <> 0")
 def hashed_embeddings(spark, d):
-    e = V.hashed_embedding(load(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    e = V.hashed_embedding(texts(spark, d).where("text rlike '[\\\\p{L}\\\\p{N}_]'").select("id", "text"))
     return e.select("id", F.posexplode("embedding").alias("place", "v")).where("v <> 0").select("id", "place", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
@@ -153,12 +153,12 @@ def reflexes(spark, d):
     return St.reflexes(e.select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), threat.alias("threat"))).withColumn("threat", F.round("threat", 6))
 
 
-@query("""WITH o AS (SELECT p_partkey AS trigger, p_brand AS c, p_size / 50 AS f, p_size AS n FROM part WHERE p_partkey <= 1000), w AS (SELECT p_partkey AS trigger, p_type AS c, 0.5 AS f FROM part WHERE p_partkey > 500)
+@query("""WITH o AS (SELECT p_partkey AS trigger, p_brand AS c, p_size / 50 AS f, p_size AS n FROM part WHERE p_size <= 30), w AS (SELECT p_partkey AS trigger, p_type AS c, 0.5 AS f FROM part WHERE p_size > 15)
 SELECT coalesce(o.trigger, w.trigger) AS trigger, coalesce(w.c, o.c) AS choreography, greatest(coalesce(o.f, 0), coalesce(w.f, 0))::DOUBLE AS confidence, CAST(coalesce(n, 0) + CASE WHEN w.c IS NULL THEN 0 ELSE 1 END AS BIGINT) AS occurrences FROM o FULL JOIN w USING (trigger)""")
 def merged_habits(spark, d):
     p = load(spark, d, "part")
-    old = p.where("p_partkey <= 1000").select(F.col("p_partkey").alias("trigger"), F.col("p_brand").alias("choreography"), (F.col("p_size") / 50).alias("confidence"), F.col("p_size").cast("long").alias("occurrences"))
-    return St.merged_habits(old, p.where("p_partkey > 500").select(F.col("p_partkey").alias("trigger"), F.col("p_type").alias("choreography"), F.lit(0.5).alias("confidence")))
+    old = p.where("p_size <= 30").select(F.col("p_partkey").alias("trigger"), F.col("p_brand").alias("choreography"), (F.col("p_size") / 50).alias("confidence"), F.col("p_size").cast("long").alias("occurrences"))
+    return St.merged_habits(old, p.where("p_size > 15").select(F.col("p_partkey").alias("trigger"), F.col("p_type").alias("choreography"), F.lit(0.5).alias("confidence")))
 
 
 @query("""WITH b AS (SELECT p_partkey AS id, p_size AS v FROM part WHERE p_partkey % 7 <> 0), a AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN p_size + 1 ELSE p_size END AS v, p_partkey % 13 = 0 AS x FROM part)
@@ -248,10 +248,10 @@ def learned_changes(spark, d):
     return St.learned_changes(p.where("p_partkey % 9 <> 0").drop("p_partkey"), after.drop("p_partkey"))
 
 
-@query("""SELECT p_partkey AS id, p_brand AS v FROM part WHERE p_partkey <= 1000 AND p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, p_type FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 <> 0""")
+@query("""SELECT p_partkey AS id, p_brand AS v FROM part WHERE p_size <= 40 AND p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, p_type FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 <> 0""")
 def keyed_upsert(spark, d):
     p = load(spark, d, "part")
-    base = p.where("p_partkey <= 1000").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"))
+    base = p.where("p_size <= 40").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"))
     delta = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("v"), (F.col("p_partkey") % 3 == 0).alias("gone"))
     return St.upsert(base, delta, ["id"], "gone")
 

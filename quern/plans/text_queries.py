@@ -179,10 +179,10 @@ def redacted_texts(spark, d):
     return texts(spark, d).select("id", F.md5(clean).alias("digest"), (clean != F.col("text")).alias("changed"))
 
 
-@query("""WITH c AS (SELECT p_partkey AS id, unnest(string_split(p_name || p_type, '')) AS c FROM part), n AS (SELECT id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT id, sum(n) AS t FROM n GROUP BY id)
-SELECT id, round(-sum(n / t * log2(n / t)), 6) + 0 AS entropy FROM n JOIN t USING (id) GROUP BY id""")
+@query("""WITH c AS (SELECT doc_id AS id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), t AS (SELECT id, sum(n) AS t FROM n GROUP BY id),
+e AS (SELECT id, round(-sum(n / t * log2(n / t)), 6) + 0 AS entropy FROM n JOIN t USING (id) GROUP BY id) SELECT doc_id AS id, coalesce(entropy, 0.0) AS entropy FROM documents LEFT JOIN e ON e.id = doc_id""")
 def token_entropy(spark, d):
-    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(text.entropy(F.concat("p_name", "p_type")), 6).alias("entropy"))
+    return texts(spark, d).select("id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query(r"""SELECT doc_id AS id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f]+', ' ', 'g')))) AS normalized_hash,
@@ -219,12 +219,12 @@ def context_phases(spark, d):
 
 
 @query(f"""WITH {FILES}, r AS (SELECT path, 4.0 * len(list_intersect(list_distinct({toks('path')}), ['model', 'm3'])) AS points, 'goal' AS reason FROM files
-UNION ALL SELECT path, CASE WHEN node % 2 = 0 THEN 6 ELSE 4 END, 'impact' FROM files WHERE node % 97 = 5 UNION ALL SELECT path, greatest(5, round(7 * (functions / 50))), 'semantic' FROM files WHERE functions > 47
+UNION ALL SELECT path, CASE WHEN node % 2 = 0 THEN 6 ELSE 4 END, 'impact' FROM files WHERE functions % 9 = 5 UNION ALL SELECT path, greatest(5, round(7 * (functions / 50))), 'semantic' FROM files WHERE functions > 47
 UNION ALL SELECT path, 3, 'changed' FROM files WHERE lessons = 2)
 SELECT path, sum(points)::DOUBLE AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM r WHERE points > 0 GROUP BY path ORDER BY score DESC, path LIMIT 20""")
 def candidate_files(spark, d):
     f = files(spark, d)
-    impact = f.where("node % 97 = 5").select("path", (F.col("node") % 2 + 1).alias("depth"))
+    impact = f.where("functions % 9 = 5").select("path", (F.col("node") % 2 + 1).alias("depth"))
     semantic = f.where("functions > 47").select("path", (F.col("functions") / 50).alias("similarity"))
     return S.candidate_files(f, "model m3", impact, semantic, f.where("lessons = 2").select("path"))
 
