@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +47,6 @@ def _node(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), 7)
 
 
-def nodes(texts: list[str | None]) -> np.ndarray:
-    """Signed digest of each text's words: texts of equal words are one node."""
-    return np.array([_node(words_of(t)) for t in texts], np.uint64).view(np.int64)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -171,8 +165,10 @@ def links(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFram
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tasks = placed.withColumn("other", other).select("node", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
 
-    texts = docs.select(node_of(F.col(text_col).cast("string")).alias("node"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # One text stands for each node; rows are found by the hashes of their text, in the JVM.
+    chosen = found.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*TEXT_KEY)).alias("k")).select("node", "k.*")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(*text_key(text), text.alias("text")).join(chosen, list(TEXT_KEY)).groupBy("node").agg(F.first("text").alias("text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):
@@ -192,14 +188,6 @@ def links(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFram
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lean(compare), "a long, b long")
 
 
-def node_of(text):
-    @F.pandas_udf("long")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series(nodes(texts.tolist()))
-
-    return node(text)
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, text_hash2, grp): one row per row of ``docs``; rows of a group are near-duplicates.
 
