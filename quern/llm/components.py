@@ -6,6 +6,7 @@ neighbours on smaller ones until each component is a star around its smallest no
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +73,25 @@ def spanning(n: int, left, right):
         if x != y:
             parent[max(x, y)] = min(x, y)
     return [find(x) for x in range(n)]
+
+
+class Forest:
+    """Components of ``n`` items under pairs that come in blocks, in memory for the items alone.
+
+    ``root`` holds the least item of each one's component at any time."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Joins x[i] with y[i]; pairs that are joined already cost a comparison."""
+        a, b = self.root[x], self.root[y]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b, n = a[apart], b[apart], len(self.root)
+        low, high = np.divmod(np.unique(np.minimum(a, b) * n + np.maximum(a, b)), n)
+        used = np.unique(np.concatenate([low, high]))
+        new = np.arange(n)
+        new[used] = used[spanning(len(used), np.searchsorted(used, low).tolist(), np.searchsorted(used, high).tolist())]
+        self.root = new[self.root]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.components import components, spanning
+from quern.llm.components import Forest, components
 from quern.llm.groups import runs, whole_groups
 from quern.storage import materialize
 
@@ -25,6 +25,8 @@ SEED = 20_240_229
 #: task takes each pair of blocks.
 BLOCK = 4_096
 _BLOCKS = 1 << 10
+#: Rows that are compared with a block's at once.
+ROWS = 256
 #: Split buckets (16 bytes each) that are broadcast; beyond, the join is a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -171,30 +173,29 @@ def _found(least: float, tables: int | None, dtype: str):
                 yield from group(bucket, i, j, home[at], node[at], n[at], [u for u in stored if len(u) == w], block[at])
             return
         v = _units(stored, dtype, width // np.dtype(dtype).itemsize)
-        xs, ys = [], []
-        for k in range(0, len(v), 1024):
-            x, y = np.nonzero(v[k : k + 1024] @ v.T >= least)
+        links, forest = np.zeros(len(v)), Forest(len(v))
+        keys, have = None, np.zeros(len(v), bool)
+        for k in range(0, len(v), ROWS):
+            x, y = np.nonzero(v[k : k + ROWS] @ v.T >= least)
             x = x + k
             keep = (x < y) & (home[x] | home[y])
             keep &= (block[x] != block[y]) if i != j else True
-            xs.append(x[keep])
-            ys.append(y[keep])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        if not len(x):
-            return
-        used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-        keys = bucket_keys(v[used], tables)
-        bx, by = back[: len(x)], back[len(x) :]
-        first = np.concatenate([_meet(keys[bx[k : k + 65_536]], keys[by[k : k + 65_536]]) for k in range(0, len(x), 65_536)]) == bucket
-        x, y, bx, by = x[first], y[first], bx[first], by[first]
-        if not len(x):
-            return
-        links = np.bincount(x, n[y], len(v)) + np.bincount(y, n[x], len(v))
-        order = np.argsort(node[used], kind="stable")
-        place = np.argsort(order, kind="stable")
-        root = order[np.array(spanning(len(used), place[bx].tolist(), place[by].tolist()))][place]
-        some = links[used] > 0
-        yield node[used][some], links[used][some].astype(np.int64), node[used[root]][some]
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            fresh = np.unique(np.concatenate([x, y]))
+            fresh = fresh[~have[fresh]]
+            if len(fresh):
+                found = bucket_keys(v[fresh], tables)
+                keys = np.zeros((len(v), *found.shape[1:]), np.int64) if keys is None else keys
+                keys[fresh], have[fresh] = found, True
+            first = np.concatenate([_meet(keys[x[c : c + 16_384]], keys[y[c : c + 16_384]]) for c in range(0, len(x), 16_384)]) == bucket
+            x, y = x[first], y[first]
+            links += np.bincount(x, n[y], len(v)) + np.bincount(y, n[x], len(v))
+            forest.join(x, y)
+        some = links > 0
+        if some.any():
+            yield node[some], links[some].astype(np.int64), node[forest.root[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):

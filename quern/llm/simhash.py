@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import components, spanning
+from quern.llm.components import Forest, components
 from quern.llm.groups import runs, whole_groups
 from quern.llm.workers import lean
 from quern.storage import materialize
@@ -38,7 +38,7 @@ CHUNK = 1 << 17
 #: Homes of a leaf that one task takes; a larger leaf is split into several.
 LEAF_HOMES = 50_000
 #: Cells of one comparison matrix.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 
 def fingerprint(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -257,17 +257,11 @@ def links(fps: DataFrame, radius: int = 2, levels: int | None = None) -> DataFra
     names = ["a", "b"]
 
     def leaf_edges(fp: np.ndarray, rep: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
-        at = np.flatnonzero(home)
-        left, right = [], []
+        at, forest = np.flatnonzero(home), Forest(len(fp))
         for v, h in near(fp[at], fp, radius):
-            keep = v != at[h]
-            left.append(v[keep])
-            right.append(at[h][keep])
-        v, h = np.concatenate(left), np.concatenate(right)
-        used, back = np.unique(np.concatenate([v, h]), return_inverse=True)
-        root = np.array(spanning(len(used), back[: len(v)].tolist(), back[len(v) :].tolist()), int)
-        child = np.flatnonzero(root != np.arange(len(used)))
-        return [rep[used[child]], rep[used[root[child]]]]
+            forest.join(v, at[h])
+        child = np.flatnonzero(forest.root != np.arange(len(fp)))
+        return [rep[child], rep[forest.root[child]]]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):
