@@ -74,11 +74,18 @@ def hashed_embedding(docs: DataFrame, dim: int = 384, column: str = "text") -> D
     unit length. Texts without tokens, or whose signs cancel out, are the first axis.
     Built-in functions only; one small group per document."""
     low = F.lower(F.coalesce(F.col(column), F.lit("")))
-    tokens = docs.select("id", F.explode_outer(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token"))
-    digest = F.sha2("token", 256)
-    number = F.conv(F.concat(*[F.substring(digest, 2 * k + 1, 2) for k in reversed(range(8))]), 16, 10).cast("decimal(20,0)")
-    sign = F.when(F.conv(F.substring(digest, 6, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = tokens.select("id", (number % dim).cast("int").alias("place"), F.when(F.col("token").isNotNull(), sign).otherwise(0).alias("v"))
+    # Dealt by document once: all groupings below hold the id, so none of them exchanges rows.
+    listed = docs.select("id", F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("t")).repartition("id")
+    tokens = listed.select("id", F.explode_outer("t").alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    tokens = tokens.withColumn("h", F.sha2("token", 256))
+
+    def number(first: int) -> Column:
+        """Four bytes of the digest, the last one first, as a number."""
+        return F.conv(F.concat(*[F.substring("h", 2 * k + 1, 2) for k in reversed(range(first, first + 4))]), 16, 10).cast("long")
+
+    place = F.pmod(F.pmod(number(4), F.lit(dim)) * ((1 << 32) % dim) + F.pmod(number(0), F.lit(dim)), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring("h", 6, 1), 16, 10).cast("int") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
+    cells = tokens.select("id", place.alias("place"), F.when(F.col("token").isNotNull(), sign).otherwise(0).alias("v"))
     sums = cells.groupBy("id", F.coalesce("place", F.lit(0)).alias("place")).agg(F.sum("v").alias("v"))
     per_doc = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     axis = F.transform(
