@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import binfile, chat, counts, lsh, media, mixing, packing, pages, quality, simhash
+from quern.llm import binfile, chat, counts, lsh, media, mixing, packing, pages, phrases, quality, simhash
 from quern.session import load as load_table
 from quern.session import small_batches
 from quern.storage import materialize
@@ -109,6 +109,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10's operator over typed parts: each turn is its text between an image whose size
     comes from the text's length and, in answers, a document of as many pages as the turn's number."""
@@ -128,7 +132,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_html_extraction, op3_media_columns, op4_embedding_near_dedup, op5_source_mixing,
         op6_quality_classifier, op7_sequence_packing, op8_token_files, op9_simhash_near_dedup, op10_chat_formatting,
-        chat_typed_parts,
+        op12_phrase_collocations, chat_typed_parts,
     )
 }
 
@@ -169,6 +173,37 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
        CAST(sum(length(role) + length(body) + 12 + 1 + 10 + 1) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op12_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+t AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 5)) AS m)),
+f AS (
+  SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (
+  SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (
+  SELECT lang, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * k.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k.k + 1:], ' ')),
+b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, (SELECT unnest(range(2, 4)) AS n) z, (SELECT unnest(range(1, 4)) AS i) y WHERE n < m AND i + n - 1 <= m GROUP BY ALL),
+d AS (
+  SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""",
     "chat_typed_parts": r"""
 WITH t AS (
   SELECT conv_id, turn, role, role = 'assistant' AS answer, coalesce(text, '') AS text,
