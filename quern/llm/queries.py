@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import binfile, chat, counts, lsh, media, mixing, packing, pages, phrases, quality, simhash
+from quern.llm import binfile, chat, codes, counts, lsh, media, mixing, packing, pages, phrases, quality, simhash, urls
 from quern.session import load as load_table
 from quern.session import small_batches
 from quern.storage import materialize
@@ -109,10 +109,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+#: Rules of op11.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    return urls.judge(load(spark, sf_dir, "pages"), rules)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(load(spark, sf_dir, "embeddings"))
+
+
 def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10's operator over typed parts: each turn is its text between an image whose size
     comes from the text's length and, in answers, a document of as many pages as the turn's number."""
@@ -127,12 +140,40 @@ def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "attachments", "expanded_tokens")
 
 
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """op13 with its rounds written out."""
+    nearest = """a{k} AS (
+  SELECT v.vec_id, v.label, v.p, v.x, e, d FROM (
+    SELECT v.vec_id, v.p, b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) AS d
+    FROM v JOIN b{k} b ON b.p = v.p) z JOIN v ON v.vec_id = z.vec_id AND v.p = z.p
+  QUALIFY row_number() OVER (PARTITION BY v.vec_id, v.p ORDER BY d, e) = 1),"""
+    book = """s{k} AS (
+  SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, 1025)) AS i) WHERE i <= len(x) GROUP BY ALL),
+b{next} AS (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY p, e) m ON m.p = b.p AND m.e = b.e),"""
+    steps = [nearest.format(k=k) + "\n" + book.format(k=k, next=k + 1) for k in range(rounds)]
+    return "\n".join(["""
+WITH q AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 4096) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS (
+  SELECT vec_id, label, p, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS x FROM q, (SELECT unnest(range(0, 8)) AS p)),
+b0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM v QUALIFY e < 16),""", *steps, nearest.format(k=rounds), f"""
+h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+c AS (
+  SELECT vec_id, label, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_html_extraction, op3_media_columns, op4_embedding_near_dedup, op5_source_mixing,
         op6_quality_classifier, op7_sequence_packing, op8_token_files, op9_simhash_near_dedup, op10_chat_formatting,
-        op12_phrase_collocations, chat_typed_parts,
+        op11_url_filters, op12_phrase_collocations, op13_vector_codes, chat_typed_parts,
     )
 }
 
@@ -173,6 +214,16 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
        CAST(sum(length(role) + length(body) + 12 + 1 + 10 + 1) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op11_url_filters": r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, p, v))
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1""",
+    "op13_vector_codes": _codes_sql(),
     "op12_phrase_collocations": r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
