@@ -27,10 +27,14 @@ from quern.llm.bits import bit_array, is_set
 from quern.llm.workers import lean
 from quern.storage import materialize
 
-#: Words whose equal suffixes are added up at once.
+#: Words whose equal suffixes are added up at once, and their bytes (both may be passed by one text).
 CHUNK = 1 << 20
-#: Rows that the stack takes at once.
+CHUNK_BYTES = 64 << 20
+#: Words of the corpus to a task that counts prefixes.
+TASK_WORDS = 2_000_000
+#: Suffixes that the stack takes at once, and shuffle keys of a chunk that are sent at once.
 ROWS = 1 << 15
+GROUPS = 1 << 12
 #: Bits of the filter of frequent words at most (64 MB), and per word below that.
 MOST_BITS = 1 << 29
 BITS = 16
@@ -55,17 +59,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np
     """(words by id, ids, language of each, languages) of about ``CHUNK`` words of whole texts.
 
     A-Z are lower-cased; ids of 0 stand between pieces, and after each text."""
-    ids, langs, parts, kinds, seen = _Ids({b",": 0}), {}, [], [], 0
+    ids, langs, parts, kinds, seen, size = _Ids({b",": 0}), {}, [], [], 0, 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = text.translate(_TABLE).replace(b",", b" , ").split()
             words.append(b",")
             parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
             kinds.append(langs.setdefault(lang, len(langs)))
-            seen += len(words)
-            if seen >= CHUNK:
+            seen, size = seen + len(words), size + len(text)
+            if seen >= CHUNK or size >= CHUNK_BYTES:
                 yield list(ids), np.concatenate(parts), np.repeat(kinds, [len(p) for p in parts]), list(langs)
-                ids, langs, parts, kinds, seen = _Ids({b",": 0}), {}, [], [], 0
+                ids, langs, parts, kinds, seen, size = _Ids({b",": 0}), {}, [], [], 0, 0
     if parts:
         yield list(ids), np.concatenate(parts), np.repeat(kinds, [len(p) for p in parts]), list(langs)
 
@@ -99,7 +103,8 @@ def _bloom_places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _suffixes(max_n: int, frequent, hot):
-    """Distinct suffixes of a chunk with their number and the words in their shuffle key."""
+    """Distinct suffixes of a chunk and their number, in a row for each first word (or longer key):
+    a line has the other words, each and a space behind it (empty where the suffix has ended), and the number."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +136,21 @@ def _suffixes(max_n: int, frequent, hot):
             sort = at[np.lexsort([*[c[at] for c in columns[::-1]], lang[at]])]
             columns = [c[sort] for c in columns]
             begins = _begins(lang[sort], *columns)
-            n = np.diff(np.append(begins, len(sort)))
+            n, depth = np.diff(np.append(begins, len(sort))), depth[sort[begins]]
+            columns, lang = [c[begins] for c in columns], lang[sort[begins]]
+            # A row for each shuffle key: its suffixes in lines.
+            ahead = [np.where(depth > k, c, 0) for k, c in enumerate(columns)]
+            edges = np.append(_begins(lang, *ahead), len(n))
             vocabulary = pa.array(words, pa.binary()).cast(pa.string())
-            for a in range(0, len(begins), ROWS):
-                b = begins[a : a + ROWS]
-                first = pa.array(_named(words, langs, columns[0][b], lang[sort[b]]), pa.binary()).cast(pa.string())
-                rest = [vocabulary.take(pa.array(c[b])) for c in columns[1:]]
-                arrays = [first, *rest, pa.array(n[a : a + ROWS]), pa.array(depth[sort[b]].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["first", *[f"w{k}" for k in range(1, max_n)], "n", "depth"])
+            for a in range(0, len(edges) - 1, GROUPS):
+                group = edges[a : a + GROUPS + 1]
+                at, row = group[:-1], slice(group[0], group[-1])
+                rest = [vocabulary.take(pa.array(c[row])) for c in columns[1:]]
+                lines = pc.binary_join_element_wise(*rest, pa.array(n[row]).cast(pa.string()), " ")
+                lines = pc.binary_join(pa.ListArray.from_arrays(pa.array((group - group[0]).astype(np.int32)), lines), "\n")
+                key = pc.binary_join_element_wise(*[vocabulary.take(pa.array(c[at])) for c in ahead[1:]], " ")
+                first = pa.array(_named(words, langs, columns[0][at], lang[at]), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([first, key, pa.array(depth[at].astype(np.int32)), lines], names=["first", "key", "depth", "lines"])
 
     return run
 
@@ -153,8 +165,10 @@ class _Stack:
 
     def push(self, rows: pa.Table) -> Iterator[tuple[list[str], int, list[int]]]:
         """(first, phrase, number) of the prefixes that these suffixes close."""
-        columns = [rows.column(k).combine_chunks() for k in range(self.max_n)]
-        n, depth = rows.column("n").to_numpy(), rows.column("depth").to_numpy()
+        fields = pc.list_flatten(pc.split_pattern(rows.column("line").combine_chunks(), " "))
+        places = np.arange(len(rows)) * self.max_n
+        columns = [rows.column("first").combine_chunks(), *[fields.take(pa.array(places + k)) for k in range(self.max_n - 1)]]
+        n, depth = fields.take(pa.array(places + self.max_n - 1)).cast(pa.int64()).to_numpy(), rows.column("depth").to_numpy()
         same = np.ones(len(n), bool)
         begin, last = [c[0].as_py() for c in columns], [c[-1].as_py() for c in columns]
         popped = []
@@ -236,11 +250,11 @@ def frequent_phrases(docs: DataFrame, max_n: int = 4, least: int = 30, lang_col:
     bits = bit_array(often.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("position")), size)
     hot = words.where(F.col("n") > max(LEAST_HOT, (counted[0] or 0) // SHARE)).select("first").collect()  # fewer than SHARE rows
     shared = spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast({r["first"].encode() for r in hot})
-    rest = [f"w{k}" for k in range(1, max_n)]
-    schema = ", ".join(["first string", *[f"{w} string" for w in rest], "n long", "depth int"])
-    suffixes = texts.mapInArrow(lean(_suffixes(max_n, *shared)), schema)
-    key = F.xxhash64("first", *[F.when(F.col("depth") > k, F.col(w)) for k, w in enumerate(rest, 1)])
-    dealt = suffixes.repartition(key).sortWithinPartitions(*[F.desc(c) for c in ("first", *rest)])
+    suffixes = texts.mapInArrow(lean(_suffixes(max_n, *shared)), "first string, key string, depth int, lines string")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(counted[0] or 0) // TASK_WORDS))
+    dealt = suffixes.repartition(tasks, "first", "key").select("first", "depth", F.explode(F.split("lines", "\n")).alias("line"))
+    # Every word has a space behind it, so that equal words in front stand together in byte order.
+    dealt = dealt.sortWithinPartitions(F.desc("first"), F.desc("line"))
     prefixes = dealt.mapInArrow(lean(_count_prefixes(max_n, least)), "first string, rest string, words int, n long")
     summed = prefixes.groupBy("first", "rest", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     phrase = F.concat_ws(" ", F.substring_index("first", "\n", 1), F.when(F.col("words") > 1, F.col("rest")))

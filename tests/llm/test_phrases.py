@@ -87,8 +87,8 @@ def test_chunks_and_blocks(monkeypatch):
         stack, got = phrases._Stack(4, 1), Counter()
         for a in range(0, len(rows), block):
             part = rows[a : a + block]
-            columns = [pa.array([s[k] for s, _ in part]) for k in range(4)]
-            closed = list(stack.push(pa.table([*columns, pa.array([n for _, n in part]), pa.array(np.ones(len(part), np.int32))], names=["a", "b", "c", "d", "n", "depth"])))
+            lines = [" ".join([*s[1:], str(n)]) for s, n in part]
+            closed = list(stack.push(pa.table([pa.array([s[0] for s, _ in part]), pa.array(lines), pa.array(np.ones(len(part), np.int32))], names=["first", "line", "depth"])))
             for k, words, n in [*closed, *(stack.close() if a + block >= len(rows) else ())]:
                 for i, count in enumerate(n):
                     key = tuple(w[i].as_py() for w in words)
