@@ -20,7 +20,7 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | N
     Lengths, document counts and idf are over the whole table; ``keep`` filters before the
     limit. Texts are cut into tokens once: lengths and frequencies, a few numbers a document,
     are written, and both statistics and hits are read from there."""
-    terms = list(dict.fromkeys(t.lower() for t in _words(query)))
+    terms = query_words(query)
     if not terms:
         return docs.select("id").limit(0).withColumn("score", F.lit(0.0))
     cols = [F.coalesce(F.col(c), F.lit("")) for c in fields]
@@ -34,14 +34,24 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, float], keep: Column | N
     rows = materialize(rows, "bm25")
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"), *[F.sum((F.col(f"f{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms))])
     hits = rows.where(reduce(Column.__and__, [F.col(f"f{k}") > 0 for k in range(len(terms))]) & F.col("keep")).crossJoin(F.broadcast(stats))  # one row
+    return hits.select("id", F.round(bm25_score(len(terms), k1, b), 6).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
+def bm25_score(terms: int, k1: float = 1.2, b: float = 0.75) -> Column:
+    """The score of a row with frequencies f0, f1 ..., its length, and the table's n_docs, mean
+    length and document frequencies df0, df1 ..."""
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
 
     def part(k: int) -> Column:
         idf = F.greatest(F.ln((F.col("n_docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
         return idf * F.col(f"f{k}") * (k1 + 1) / (F.col(f"f{k}") + norm)
 
-    score = reduce(Column.__add__, [part(k) for k in range(len(terms))])
-    return hits.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+    return reduce(Column.__add__, [part(k) for k in range(terms)])
+
+
+def query_words(query: str) -> list[str]:
+    """Its distinct words in small letters, in their order."""
+    return list(dict.fromkeys(t.lower() for t in _words(query)))
 
 
 def _words(query: str) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import lexical as L
 from quern.operators import memory as M
 from quern.operators import vector as V
+from quern.plans.indexes import FIELDS, text_index
 from quern.plans.registry import query
 from quern.plans.roles import EDGES, FILES, edges, files, texts
 from quern.plans.text_queries import BM25
@@ -193,8 +194,8 @@ fused AS (SELECT id, round(sum(1.0 / (60 + rank)), 6) AS s FROM (SELECT * FROM l
 w AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda t: len(t) >= 2)) AS t, lower(coalesce(text, '')) AS x FROM documents WHERE doc_id IN (SELECT id FROM fused))
 SELECT id, round(least(1.0, 0.75 * len(list_intersect(['the', 'of', 'that'], t)) / 3 + CASE WHEN contains(x, 'the of that') THEN 0.25 ELSE 0 END), 6)::DOUBLE AS score FROM w ORDER BY score DESC, id LIMIT 5""".replace("\\\\", "\\"))
 def deep_search(spark, d):
-    docs, fields = texts(spark, d), {"text": 2.0, "source": 1.0}
-    words = L.ranked(L.bm25(docs, "the of that", fields, n=15), F.desc("score"), "id")
+    docs = texts(spark, d)
+    words = L.ranked(text_index(spark, d).bm25("the of that", FIELDS, n=15), F.desc("score"), "id")
     sketch = V.hashed_embedding(docs.select("id", "text"))
     probe = V.hashed_embedding(spark.createDataFrame([(0, "the of that")], "id int, text string")).first()["embedding"]
     return M.deep_search(L.ranked(V.nearest(sketch, probe, 15), F.desc("similarity"), "id"), words, docs, "the of that")

@@ -8,6 +8,7 @@ from quern.functions import scores, text
 from quern.operators import lexical as L
 from quern.operators import state
 from quern.operators import summaries as S
+from quern.plans.indexes import FIELDS, path_index, text_index
 from quern.plans.registry import query
 from quern.plans.roles import FILES, files, texts
 from quern.session import load
@@ -20,17 +21,20 @@ def toks(expr: str, least: int = 1) -> str:
     return TOKENS.format(f"coalesce({expr}, '')", least)
 
 
-BM25 = f"""WITH d AS (SELECT doc_id AS id, source, {toks('text')} AS t, {toks('source')} AS s FROM documents),
+def bm25_sql(table: str = "documents") -> str:
+    return f"""d AS (SELECT doc_id AS id, source, {toks('text')} AS t, {toks('source')} AS s FROM {table}),
 f AS (SELECT id, source, len(t) + len(s) AS l, {', '.join(f"2.0 * len(list_filter(t, lambda x: x = '{w}')) + len(list_filter(s, lambda x: x = '{w}')) AS f{k}" for k, w in enumerate(QUERY.split()))} FROM d),
 g AS (SELECT count(*) AS n, avg(l) AS m, {', '.join(f'count(*) FILTER (f{k} > 0) AS d{k}' for k in range(3))} FROM f),
 scored AS (SELECT id, source, round({' + '.join(f'greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * l / m))' for k in range(3))}, 6) AS score
   FROM f, g WHERE f0 > 0 AND f1 > 0 AND f2 > 0)"""
-FIELDS = {"text": 2.0, "source": 1.0}
+
+
+BM25 = f"WITH {bm25_sql()}"
 
 
 @query(f"{BM25} SELECT id, score FROM scored WHERE source <> 'src0' ORDER BY score DESC, id LIMIT 10")
 def bm25_search(spark, d):
-    return L.bm25(texts(spark, d), QUERY, FIELDS, F.col("source") != "src0")
+    return text_index(spark, d).bm25(QUERY, FIELDS, F.col("source") != "src0")
 
 
 @query("SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'tione') OR contains(lower(source), 'tione') ORDER BY id DESC LIMIT 10")
@@ -59,7 +63,8 @@ s AS (SELECT path, list_sum(list_transform(['crates', 'm3', 'part77'], lambda q:
   WHEN len(q) >= 4 AND len(list_filter(p, lambda x: len(x) >= 4 AND (contains(x, q) OR contains(q, x)))) > 0 THEN 3 ELSE 0 END)) AS score FROM t)
 SELECT path, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, length(path), path LIMIT 20""")
 def files_by_tokens(spark, d):
-    return L.find_by_tokens(files(spark, d), "crates/m3 part77")
+    found = path_index(spark, d).by_tokens("crates/m3 part77").withColumnRenamed("id", "path")
+    return found.orderBy(F.desc("score"), F.length("path"), "path").limit(20)
 
 
 @query(f"WITH {FILES} SELECT path, 4 AS tier FROM files WHERE ends_with(path, '/part77.py') ORDER BY length(path), path LIMIT 1")
@@ -101,7 +106,7 @@ recent AS (SELECT id, row_number() OVER (ORDER BY id DESC) AS rank FROM (SELECT
 @query(f"{RANKS} SELECT id, round(sum(1.0 / (60 + rank)), 6)::DOUBLE AS score FROM (SELECT * FROM lexical UNION ALL SELECT * FROM recent) GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def rank_fusion(spark, d):
     docs = texts(spark, d)
-    a = L.ranked(L.bm25(docs, QUERY, FIELDS, n=20), F.desc("score"), "id")
+    a = L.ranked(text_index(spark, d).bm25(QUERY, FIELDS, n=20), F.desc("score"), "id")
     b = L.ranked(docs.select("id").orderBy(F.desc("id")).limit(20), F.desc("id"))
     return L.fuse(a, b)
 

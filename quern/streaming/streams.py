@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import math
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from quern.operators.state import latest
+from quern.sources.versions import Versions
 from quern.storage import materialize
 
 
@@ -44,97 +44,83 @@ def once(events: DataFrame, keys: list[str], late: str = "30 minutes") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-BUCKET, GONE = "bucket_no", "__deleted"
+BUCKET, GONE, COMMIT = "bucket_no", "__deleted", "__commit"
 
 
-def keyed_sink(path: str, keys: list[str], order: list[str], deleted: str | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+def keyed_sink(path: str, keys: list[str], order: list[str], deleted: str | None = None, buckets: int = 16, writer: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps a keyed table: a key's row is the one of the highest
     ``order`` over all batches, so an older row that comes late changes nothing; of equal ones
-    the later batch's. Rows flagged ``deleted`` hide their key until a newer row comes.
+    the one that was committed later. Rows flagged ``deleted`` hide their key until a newer row comes.
 
-    Keys are hashed to buckets, and a batch writes only those that it touches. A version counts
-    once its manifest, which says where each bucket is, has appeared by one rename; a batch
-    that is delivered again finds its manifest and writes nothing. Readers use ``keyed_table``;
-    folders that the last two manifests don't name are removed."""
+    Several writers may keep one table: batches are known by writer and number. The writer is
+    the streaming query (its id stays over restarts from one checkpoint; a new checkpoint is a
+    new writer), or the name given. A batch that is delivered again writes nothing.
+
+    Keys are hashed to buckets, and a batch writes only those that it touches, into a folder of
+    its own, which counts once a new state names it (``Versions``); a writer that loses a race
+    merges anew with the winner's rows. Readers use ``keyed_table``; folders that the last two
+    states don't name, but an earlier one did, are removed."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _manifests(spark, path)
-        if batch_id in done:
+        name = writer or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        versions = Versions(spark, path)
+        if batch_id <= ((versions.newest()[1] or {}).get("done", {})).get(name, -1):
             return
-        places = _manifest(spark, path, max(done)) if done else {}
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         rows = batch.drop(deleted) if deleted else batch
-        marked = batch.withColumn(GONE, gone)
-        marked = marked.drop(deleted) if deleted else marked
-        marked = latest(marked.withColumn("__batch", F.lit(batch_id).cast("long")), keys, [*order, "__batch"])
-        marked = materialize(marked, "keyed")
+        marked = rows.withColumn(GONE, gone) if not deleted else batch.withColumn(GONE, gone).drop(deleted)
+        marked = materialize(latest(marked, keys, order), "keyed")
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         touched = [r[0] for r in marked.select(bucket).distinct().collect()]  # at most ``buckets``
-        stored = [f"{path}/{places[str(k)]}" for k in touched if str(k) in places]
-        if stored:
-            before = spark.read.option("mergeSchema", "true").parquet(*stored)
-            marked = latest(before.unionByName(marked, allowMissingColumns=True), keys, [*order, "__batch"])
-        folder = f"data/k{batch_id}-{uuid.uuid4().hex[:8]}"
-        if touched:
-            marked.withColumn(BUCKET, bucket).repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
-        places = places | {str(k): f"{folder}/{BUCKET}={k}" for k in touched}
-        _publish(spark, path, batch_id, places, rows.schema.json())
-        _sweep(spark, path)
+        lost = []
+
+        def step(state: dict | None) -> dict | None:
+            versions.remove(*lost)
+            state = state or {"places": {}, "done": {}, "commit": 0}
+            if batch_id <= state["done"].get(name, -1):
+                return None
+            commit, places = state["commit"] + 1, state["places"]
+            merged = marked.withColumn(COMMIT, F.lit(commit).cast("long"))
+            stored = [f"{path}/{places[str(k)]}" for k in touched if str(k) in places]
+            if stored:
+                before = spark.read.option("mergeSchema", "true").parquet(*stored)
+                merged = latest(before.unionByName(merged, allowMissingColumns=True), keys, [*order, COMMIT])
+            folder = versions.new("keyed")
+            if touched:
+                merged.withColumn(BUCKET, bucket).repartition(F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+            lost[:] = [folder]
+            places = places | {str(k): f"{folder}/{BUCKET}={k}" for k in touched}
+            return {"places": places, "schema": rows.schema.json(), "done": state["done"] | {name: batch_id}, "commit": commit}
+
+        versions.change(step)
+        _sweep(versions)
 
     return write
 
 
-def _fs(spark: SparkSession, path: str):
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
-    return paths, paths.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _manifests(spark: SparkSession, path: str) -> list[int]:
-    paths, fs = _fs(spark, path)
-    root = paths.Path(f"{path}/manifests")
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return sorted(int(n) for n in names if n.isdigit())
-
-
-def _manifest(spark: SparkSession, path: str, version: int, part: str = "places"):
-    paths, fs = _fs(spark, path)
-    stream = fs.open(paths.Path(f"{path}/manifests/{version}"))
-    try:
-        return json.loads(bytes(stream.readAllBytes()).decode())[part]
-    finally:
-        stream.close()
-
-
-def _publish(spark: SparkSession, path: str, version: int, places: dict, schema: str) -> None:
-    paths, fs = _fs(spark, path)
-    draft = paths.Path(f"{path}/manifests/.{version}-{uuid.uuid4().hex[:8]}")
-    stream = fs.create(draft, True)
-    stream.write(bytearray(json.dumps({"places": places, "schema": schema}).encode()))
-    stream.close()
-    fs.rename(draft, paths.Path(f"{path}/manifests/{version}"))
+def _folders(state: dict) -> set[str]:
+    return {"/".join(p.split("/")[:2]) for p in state["places"].values()}
 
 
-def _sweep(spark: SparkSession, path: str) -> None:
-    """Removes versions that neither of the last two manifests names."""
-    paths, fs = _fs(spark, path)
-    versions = _manifests(spark, path)
-    used = {p.split("/")[1] for v in versions[-2:] for p in _manifest(spark, path, v).values()}
-    root = paths.Path(f"{path}/data")
-    for s in fs.listStatus(root) if fs.exists(root) else []:
-        if s.getPath().getName() not in used:
-            fs.delete(s.getPath(), True)
+def _sweep(versions: Versions) -> None:
+    """Removes states before the last two, and what only those name. A folder that a writer is
+    about to name is in none of them, and stays."""
+    *old, before, last = [-1, -1, *versions.numbers()]
+    kept = set().union(*(_folders(versions.at(n)) for n in (before, last) if n > 0))
+    for n in old:
+        if n > 0:
+            versions.remove(*(_folders(versions.at(n)) - kept), f"states/{n:012d}")
 
 
 def keyed_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows that ``keyed_sink`` keeps, as of its last committed batch, or None."""
-    versions = _manifests(spark, path)
-    if not versions:
+    """The rows that ``keyed_sink`` keeps, as of the last commit, or None."""
+    state = Versions(spark, path).newest()[1]
+    if state is None:
         return None
-    schema = StructType.fromJson(json.loads(_manifest(spark, path, versions[-1], "schema")))
-    places = _manifest(spark, path, versions[-1])
-    if not places:
+    schema = StructType.fromJson(json.loads(state["schema"]))
+    if not state["places"]:
         return spark.createDataFrame([], schema)
-    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{p}" for p in places.values()])
+    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{p}" for p in state["places"].values()])
     return rows.where(~F.col(GONE)).select(*[c for c in rows.columns if c in schema.names])
 
 
@@ -177,19 +163,21 @@ def synapse_stream(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").applyInPandasWithState(step, out, "weight double, count long", "update", GroupStateTimeout.NoTimeout)
 
 
-DRAINED = "id long, attempt long, retry_count int, status string, error_message string, due timestamp"
+DRAINED = "id long, settled boolean, retry_count int, status string, error_message string, due timestamp"
 
 
 def drain(queue: DataFrame, handler: Callable[[pd.DataFrame], list[str | None]], path: str, most: int = 5, now: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for an event queue: the handler gets batches of events on the
     executors and returns an error or None for each; outcomes and events are kept by event id.
+    Outcomes are kept once; the handler itself sees a batch of events again if a task dies after
+    it ran, and must bear that.
 
     An event counts as PROCESSED only on success and is not handled again. One that fails is
     PENDING and is tried again, in the first batch after a back-off of 2^retries seconds, until
     it has failed ``most`` times: then it is FAILED. ``queue`` gives the events' schema."""
     columns = [c for c in queue.columns if c != "id"]
     schema = ", ".join([DRAINED, *(f"{c} {queue.schema[c].dataType.simpleString()}" for c in columns)])
-    sink = keyed_sink(path, ["id"], ["attempt"])
+    sink = keyed_sink(path, ["id"], ["retry_count", "settled"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, moment = batch.sparkSession, float(now())
@@ -204,7 +192,8 @@ def drain(queue: DataFrame, handler: Callable[[pd.DataFrame], list[str | None]],
                 errors = handler(pdf.drop(columns="retry_count"))
                 failed = [e is not None for e in errors]
                 tries = pdf["retry_count"] + failed
-                out = pd.DataFrame({"id": pdf["id"], "attempt": batch_id, "retry_count": tries, "status": ["PROCESSED" if not f else "FAILED" if t >= most else "PENDING" for f, t in zip(failed, tries)], "error_message": errors})
+                out = pd.DataFrame({"id": pdf["id"], "retry_count": tries, "status": ["PROCESSED" if not f else "FAILED" if t >= most else "PENDING" for f, t in zip(failed, tries)], "error_message": errors})
+                out["settled"] = out["status"] != "PENDING"
                 out["due"] = pd.to_datetime([moment + 2.0 ** min(t, 30) for t in tries], unit="s")
                 yield out.join(pdf[columns])
 
