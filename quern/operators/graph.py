@@ -1,8 +1,8 @@
 """Typed dependency and memory graphs as edge tables.
 
-Edges have src and dst; weighted ones a weight, typed ones an edge_type. Traversals are
-loops of joins between a frontier and the edges; each round is written to the shared folder
-so that lineage stays short, and a node is visited at its least depth only."""
+Edges have src and dst; weighted ones a weight, typed ones an edge_type. Traversals are joins
+in a row with one row a node after each; what takes more hops than fit one plan is written
+to the shared folder in between, so that lineage stays short."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import math
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,67 +34,98 @@ def neighbors(edges: DataFrame, node) -> DataFrame:
     return out.unionAll(into).distinct()
 
 
-#: Edges that one task may walk; larger graphs are walked by rounds of joins.
-ONE_TASK = 500_000
+#: Hops that one plan joins in a row, before its rows are written and looked at.
+HOPS = 8
 
 
-def _small(edges: DataFrame) -> bool:
-    return edges.limit(ONE_TASK + 1).count() <= ONE_TASK
+def _hops(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+
+def _relaxed(rows: DataFrame, hops: DataFrame, begin: int, n: int) -> DataFrame:
+    """(node, depth, fresh) after ``n`` more hops along (src, dst, weight), in one plan: each hop
+    joins the edges to the rows whose depth the hop before has lowered (fresh), and a node
+    keeps its least depth. Rows pass on beside what they reach, so each hop reads them once."""
+    for k in range(begin, begin + n):
+        joined = rows.join(hops, (F.col("node") == F.col("src")) & (F.col("fresh") == k), "left")
+        own = F.struct("node", F.struct("depth", "fresh").alias("d"))
+        found = F.struct(F.col("dst").alias("node"), F.struct((F.col("depth") + F.col("weight")).alias("depth"), F.lit(k + 1).alias("fresh")).alias("d"))
+        both = joined.select(F.explode(F.array(own, found)).alias("r")).select("r.*").where("node is not null")
+        rows = both.groupBy("node").agg(F.min("d").alias("d")).select("node", "d.depth", "d.fresh")
+    return rows
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth): nodes within ``depth`` steps of the seeds (column node), at least depth;
-    without a depth, all that can be reached.
-
-    A round joins the newest nodes with the edges and drops those seen before, so cycles end
-    and dense graphs don't multiply rows. Without a depth the rounds are as many as the
-    longest way is long; a graph of at most ``ONE_TASK`` edges, as counted, is walked in one task."""
-    hops = edges.select("src", "dst").distinct()
-    seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
-    if depth is None:
-        hops = materialize(hops.where("src is not null and dst is not null"), "hops")
-        if _small(hops) and _small(seen):
-            return _walked(hops, seen)
-    layers, frontier = [seen], seen
-    k = 0
+    without a depth, all that can be reached. Null seeds, and edges with a null end, are left
+    out; seeds without edges reach themselves.
+
+    Hops are joins in a row, ``HOPS`` to a plan, with one row a node after each, so cycles end
+    and dense graphs don't multiply rows. Up to that depth nothing is written or counted in
+    between. A walk without a depth that isn't over then goes on over chains drawn together:
+    see ``_reach_far``."""
+    hops = _hops(edges).withColumn("weight", F.lit(1))
+    rows = seeds.select("node").where("node is not null").distinct().select("node", F.lit(0).alias("depth"), F.lit(0).alias("fresh"))
+    if depth is not None and depth <= HOPS:
+        return _relaxed(rows, hops, 0, depth).select("node", "depth")
+    hops, k = materialize(hops, "hops"), 0
     while depth is None or k < depth:
-        k += 1
-        found = frontier.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        if len(layers) > 50:  # a plan of very many folders is slow to make
-            layers = [materialize(reduce(DataFrame.unionAll, layers), "reach")]
-        known = reduce(DataFrame.unionAll, layers).select("node")
-        frontier = materialize(found.join(known, "node", "left_anti").withColumn("depth", F.lit(k)), "reach")
-        if frontier.isEmpty():
+        n = HOPS if depth is None else min(HOPS, depth - k)
+        rows, k = materialize(_relaxed(rows, hops, k, n), "reach"), k + n
+        if rows.where(F.col("fresh") == k).isEmpty():
+            break
+        if depth is None:
+            return _reach_far(hops, rows.where("depth = 0").select("node"))
+    return rows.select("node", "depth")
+
+
+def _reach_far(hops: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``reach`` without a depth. A node with one edge in, that is no seed, is one step behind
+    that edge's source, so it hangs on the first node above that isn't such a node, at a
+    distance found by doubling pointers; edges from it become longer edges from there. This
+    is repeated as long as it takes away a tenth of the nodes; the walk goes over the rest."""
+    seeds = materialize(seeds.select(F.col("node").alias("seed")), "seeds")
+    hung = []
+    while True:
+        into = hops.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up"), F.min("weight").alias("steps"))
+        single = into.where("n = 1").join(seeds, F.col("dst") == F.col("seed"), "left_anti").select(F.col("dst").alias("node"), "up", "steps")
+        single = materialize(single, "single")
+        if not (n := single.count()) or n * 10 < into.count():
+            break
+        rooted = _hung(single)
+        hung.append(rooted)
+        moved = hops.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(single.select(F.col("node").alias("src"), F.lit(1).alias("one")), "src", "left")
+        moved = moved.join(rooted.select(F.col("node").alias("src"), "root", "steps"), "src", "left").where("one is null or root is not null")
+        moved = moved.select(F.coalesce("root", "src").alias("src"), "dst", (F.col("weight") + F.coalesce("steps", F.lit(0))).alias("weight")).where("src <> dst")
+        hops = materialize(moved.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "hops")
+    rows, k = seeds.select(F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("fresh")), 0
+    while True:
+        rows, k = materialize(_relaxed(rows, hops, k, HOPS), "reach"), k + HOPS
+        if rows.where(F.col("fresh") == k).isEmpty():
             break
-        layers.append(frontier)
-    return reduce(DataFrame.unionAll, layers)
-
-
-def _walked(hops: DataFrame, seeds: DataFrame) -> DataFrame:
-    kind = dict(seeds.dtypes)["node"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        table = pd.concat(rows)
-        after = table[table["b"].notna()].groupby("a")["b"].apply(list).to_dict()
-        begin = table[table["b"].isna()]["a"].tolist()
-        depth, frontier = dict.fromkeys(begin, 0), begin
-        while frontier:
-            found = []
-            for x in frontier:
-                for y in after.get(x, ()):
-                    if y not in depth:
-                        depth[y] = depth[x] + 1
-                        found.append(y)
-            frontier = found
-        yield pd.DataFrame({"node": list(depth), "depth": list(depth.values())})
-
-    text = [hops.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))]
-    text.append(seeds.select(F.col("node").cast("string").alias("a"), F.lit(None).cast("string").alias("b")).where("a is not null"))
-    walked = reduce(DataFrame.unionAll, text).coalesce(1).mapInPandas(run, "node string, depth int")
-    return walked.select(F.col("node").cast(kind).alias("node"), "depth")
+    rows = rows.select("node", "depth")
+    for rooted in reversed(hung):
+        below = rooted.join(rows.select(F.col("node").alias("root"), "depth"), "root").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
+        rows = materialize(rows.unionAll(below), "reach")
+    return rows
+
+
+def _hung(single: DataFrame) -> DataFrame:
+    """(node, root, steps): for nodes with one pointer (node, up, steps), the first above that
+    has none, and the sum of steps to it. Pointers double each round; nodes whose pointers run
+    in a cycle, or into one, are left out."""
+    most, length = single.count(), 1
+    live, done = single.select("node", F.col("up").alias("root"), "steps"), []
+    while True:
+        above = reduce(DataFrame.unionAll, [live.withColumn("ended", F.lit(False)), *(d.withColumn("ended", F.lit(True)) for d in done)])
+        above = above.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"), "ended")
+        joined = live.join(above, "root", "left").withColumn("ended", F.coalesce("ended", F.lit(True)))
+        joined = joined.select("node", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "ended")
+        joined = materialize(joined, "pointers")
+        done.append(joined.where("ended").drop("ended"))
+        live, length = joined.where("not ended").drop("ended"), 2 * length
+        if length > 2 * most or live.isEmpty():
+            return reduce(DataFrame.unionAll, done)
 
 
 def impact(edges: DataFrame, seeds: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
@@ -183,62 +213,130 @@ def coupling(edges: DataFrame, n: int | None = 20) -> DataFrame:
     return degrees.orderBy(F.desc("score"), "node").limit(n) if n else degrees
 
 
+def _raised(rows: DataFrame, deps: DataFrame, begin: int, n: int) -> DataFrame:
+    """(node, level, hops) after ``n`` more hops along (src, dst, weight), in one plan: hops is the
+    length of the longest walk down so far, and level the greatest weight of one; nodes whose
+    walks have just grown hand theirs up."""
+    for k in range(begin, begin + n):
+        joined = rows.join(deps, (F.col("node") == F.col("dst")) & (F.col("hops") == k), "left")
+        found = F.struct(F.col("src").alias("node"), (F.col("level") + F.col("weight")).alias("level"), F.lit(k + 1).alias("hops"))
+        both = joined.select(F.explode(F.array(F.struct("node", "level", "hops"), found)).alias("r")).select("r.*").where("node is not null")
+        rows = both.groupBy("node").agg(F.max("level").alias("level"), F.max("hops").alias("hops"))
+    return rows
+
+
+def _levels(nodes: DataFrame, deps: DataFrame, most_hops: int | None = None) -> tuple[DataFrame, bool]:
+    """(node, level), null in and above cycles, and whether that is the end: nodes with a walk of
+    k hops down get fewer with k, and once they stay as many as before they are those of cycles."""
+    rows, k = nodes.select("node", F.lit(0).alias("level"), F.lit(0).alias("hops")), 0
+    while True:
+        rows, k = materialize(_raised(rows, deps, k, HOPS), "levels"), k + HOPS
+        last, before = rows.agg(F.sum((F.col("hops") >= k).cast("int")), F.sum((F.col("hops") >= k - 1).cast("int"))).first()
+        ended = not last or last == before
+        if ended or (most_hops and k >= most_hops):
+            return rows.select("node", F.when(F.col("hops") < k, F.col("level")).alias("level")), ended
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, place): dependencies (dst) before dependents (src); a node's level is one
-    above its highest dependency, and nodes of cycles, and above them, come last, with a null level.
-
-    Levels are peeled off until none is left, however many there are; a graph of at most
-    ``ONE_TASK`` edges, as counted, in one task. place orders by level and name over all nodes."""
-    left = materialize(nodes.select("node").distinct(), "topo")
-    deps = edges.where("src <> dst").select("src", "dst").distinct()
-    deps = materialize(deps.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "topo")
-    if _small(deps):
-        levels = _peeled(deps, dict(left.dtypes)["node"])
-        tied = left.join(levels, "node", "left").withColumn("level", F.when(F.col("known").isNull(), 0).otherwise(F.col("level"))).drop("known")
-        return with_place(tied, F.asc_nulls_last("level"), F.asc("node"))
-    levels = []
-    k = 0
+    above its highest dependency, and nodes of cycles, and above them, come last, with a null
+    level (``cycles`` tells which are which). Null nodes, edges from or to what is no node and
+    edges of a node to itself are left out. place orders by level and name over all nodes.
+
+    Levels rise ``HOPS`` to a plan, one row a node after each. If that isn't the end, chains are
+    drawn together first: a node of one dependency is as far above the first below that has
+    none or several as there are nodes between; pointers are doubled to find it, and it hands
+    its dependents down to it, as edges of that length. So rounds grow with the logarithm of a
+    chain's length."""
+    known = materialize(nodes.select("node").where("node is not null").distinct(), "topo")
+    deps = _hops(edges).where("src <> dst")
+    deps = deps.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return with_place(_all_levels(known, deps), F.asc_nulls_last("level"), F.asc("node"))
+
+
+def _all_levels(nodes: DataFrame, hops: DataFrame) -> DataFrame:
+    deps = materialize(hops.select("src", "dst", F.lit(1).alias("weight")), "topo")
+    levels, ended = _levels(nodes, deps, HOPS)
+    return levels if ended else _far_levels(nodes, deps)
+
+
+def _far_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    hung, left = [], nodes
     while True:
-        ready = left.join(deps, F.col("node") == F.col("src"), "left_anti")
-        ready = materialize(ready.withColumn("level", F.lit(k)), "topo")
-        if ready.isEmpty():
+        down = deps.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("up"), F.min("weight").alias("steps"))
+        single = materialize(down.where("n = 1").select(F.col("src").alias("node"), "up", "steps"), "single")
+        if not (n := single.count()) or n * 10 < down.count():
             break
-        levels = [*levels, ready] if len(levels) < 50 else [materialize(reduce(DataFrame.unionAll, [*levels, ready]), "topo")]
-        left = materialize(left.join(ready, "node", "left_anti"), "topo")
-        if left.isEmpty():
+        rooted = _hung(single)
+        hung.append(rooted)
+        # Nodes that hang on a cycle have no root: they stay, each above itself, which never ends.
+        left = materialize(left.join(rooted.select("node"), "node", "left_anti"), "left")
+        lost = single.join(rooted.select("node"), "node", "left_anti").select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("weight"))
+        moved = deps.join(single.select(F.col("node").alias("src")), "src", "left_anti").join(rooted.select(F.col("node").alias("dst"), "root", "steps"), "dst", "left")
+        moved = moved.select("src", F.coalesce("root", "dst").alias("dst"), (F.col("weight") + F.coalesce("steps", F.lit(0))).alias("weight")).unionAll(lost)
+        deps = materialize(moved.groupBy("src", "dst").agg(F.max("weight").alias("weight")), "topo")
+        if not lost.isEmpty():
+            break  # what points at itself would count as single for ever
+    levels = _levels(left, deps)[0]
+    for rooted in reversed(hung):
+        above = rooted.join(levels.select(F.col("node").alias("root"), "level"), "root").select("node", (F.col("level") + F.col("steps")).alias("level"))
+        levels = materialize(levels.unionAll(above), "levels")
+    return levels
+
+
+def _least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): of the nodes that reach each, the one whose hash is least.
+
+    A label is handed along every edge, and then a label's own label taken; in the order of
+    hashes the least of a stretch lies anywhere in it, so that stretches grow by a factor."""
+    order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id"))
+    rows = materialize(nodes.select("node", order.alias("label")), "labels")
+    while True:
+        handed = edges.join(rows, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label", F.lit(False).alias("own"))
+        both = rows.withColumn("own", F.lit(True)).unionByName(handed)
+        least = both.groupBy("node").agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("old"))
+        further = rows.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        after = least.join(further, F.col("label.id") == F.col("via")).select("node", F.least("label", "further").alias("label"), "old")
+        after = materialize(after, "labels")
+        if after.where("label <> old").isEmpty():
+            return rows.select("node", F.col("label.id").alias("label"))
+        rows = after.drop("old")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): nodes that reach themselves, in groups that reach each other (strongly
+    connected components of two nodes or more, and nodes with an edge to themselves); cycle is
+    the least node of the group. Edges with a null end are left out.
+
+    Nodes that are in or above cycles, and in or below them, are found by levels; of those
+    left, each is labelled with one that reaches it, and the group of that one is who, among
+    nodes of its label, reaches it back. Groups go, and the rest starts again."""
+    hops = materialize(_hops(edges), "hops")
+    found = [materialize(hops.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")), "cycles")]
+    hops = hops.where("src <> dst")
+    while True:
+        for _ in range(2):  # down, then up
+            nodes = hops.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+            bound = _all_levels(nodes, hops).where("level is null").select("node")
+            hops = hops.join(bound.withColumnRenamed("node", "src"), "src", "left_semi").join(bound.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            hops = materialize(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "hops")
+        if hops.isEmpty():
             break
-        deps = materialize(deps.join(ready, F.col("dst") == F.col("node"), "left_anti"), "topo")
-        k += 1
-    out = reduce(DataFrame.unionAll, [*levels, left.withColumn("level", F.lit(None).cast("int"))])
-    return with_place(out, F.asc_nulls_last("level"), F.asc("node"))
-
-
-def _peeled(deps: DataFrame, kind: str) -> DataFrame:
-    """(node, level, known) of the nodes that have edges; level null in and above cycles."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        table = pd.concat(rows)
-        waits = table.groupby("src").size().to_dict()
-        users = table.groupby("dst")["src"].apply(list).to_dict()
-        level = {x: 0 for x in users if x not in waits}
-        frontier = list(level)
-        while frontier:
-            found = []
-            for x in frontier:
-                for y in users.get(x, ()):
-                    waits[y] -= 1
-                    if not waits[y]:
-                        level[y] = level[x] + 1
-                        found.append(y)
-            frontier = found
-        names = list(dict.fromkeys([*users, *waits]))
-        yield pd.DataFrame({"node": names, "level": pd.array([level.get(x) for x in names], "Int32"), "known": True})
-
-    text = deps.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    peeled = text.coalesce(1).mapInPandas(run, "node string, level int, known boolean")
-    return peeled.select(F.col("node").cast(kind).alias("node"), "level", "known")
+        nodes = materialize(hops.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+        label = _least_labels(nodes, hops)
+        a, b = label.select(F.col("node").alias("src"), F.col("label").alias("x")), label.select(F.col("node").alias("dst"), F.col("label").alias("y"))
+        labelled = materialize(hops.join(a, "src").join(b, "dst"), "labelled")
+        back = reach(reverse(labelled.where("x = y").select("src", "dst")), label.where("node = label").select("node")).select("node")
+        group = materialize(label.join(back, "node").select("node", F.col("label").alias("cycle")), "cycles")
+        # One node alone is none: it lies between two cycles.
+        found.append(group.join(group.groupBy("cycle").count().where("count > 1").select("cycle"), "cycle", "left_semi").select("node", "cycle"))
+        gone = group.select("node")
+        hops = hops.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        hops = materialize(hops.select("src", "dst"), "hops")
+    # Nodes with an edge to themselves may be in a larger group, too.
+    larger = reduce(DataFrame.unionAll, found[1:]) if found[1:] else found[0].limit(0)
+    named = larger.join(larger.groupBy("cycle").agg(F.min("node").alias("least")), "cycle").select("node", F.col("least").alias("cycle"))
+    return named.unionAll(found[0].join(larger.select("node"), "node", "left_anti"))
 
 
 #: Fixed order of roles: what others rest on comes first.

@@ -94,6 +94,12 @@ def topological_order(spark, d):
     return G.topological_order(load(spark, d, "part").select(F.col("p_partkey").alias("node")), e)
 
 
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT src AS a, dst AS b FROM edges UNION SELECT w.a, e.dst FROM w JOIN edges e ON e.src = w.b)
+SELECT x.a AS node, min(x.b) AS cycle FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def import_cycles(spark, d):
+    return G.cycles(edges(spark, d))
+
+
 @query(f"""WITH {EDGES}, {FILES}, t AS (
   SELECT node, coalesce(fan_in, 0) AS fan_in, score, CASE WHEN regexp_matches(path, 'schema|model|entity|dto') THEN 0 WHEN regexp_matches(path, 'service|core|engine|logic') THEN 1
     WHEN regexp_matches(path, 'api|route|controller|handler') THEN 2 WHEN regexp_matches(path, 'ui|view|page|component') THEN 3 WHEN regexp_matches(path, 'test|spec') THEN 4 ELSE 5 END AS tier

@@ -97,25 +97,94 @@ def test_stale_cascade_reaches_the_end_of_a_chain(rows):
     assert got == {k: k - 1 for k in range(1, CHAIN + 1)}
 
 
-def test_reach_by_rounds_equals_one_task(rows, monkeypatch):
-    edges = rows("src string, dst string", ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("d", None))
-    seeds = rows("node string", ("a",), ("q",), (None,))
-    one = {(r.node, r.depth) for r in G.reach(edges, seeds).where("node is not null").collect()}
-    monkeypatch.setattr(G, "ONE_TASK", 0)
-    rounds = {(r.node, r.depth) for r in G.reach(edges, seeds).where("node is not null").collect()}
-    assert one == rounds == {("a", 0), ("q", 0), ("b", 1), ("c", 2), ("d", 3)}
-
+def plain_depths(edges, start):
+    depth, frontier = dict.fromkeys(start, 0), list(start)
+    while frontier:
+        frontier = list(dict.fromkeys(b for a in frontier for x, b in edges if x == a and b not in depth))
+        depth |= {b: max(depth.values()) + 1 for b in frontier}
+    return depth
+
+
+def test_reach_with_nulls_at_every_depth(rows, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("d", None), (None, "a"), ("d", "e"), ("e", "f")]
+    edges, some = rows("src string, dst string", *pairs), rows("node string", ("a",), ("q",), (None,), ("a",))
+    want = {("a", 0), ("q", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4), ("f", 5)}
+    for hops in (8, 2):
+        monkeypatch.setattr(G, "HOPS", hops)
+        for depth in (None, 20, 8, 3, 0):
+            got = {(r.node, r.depth) for r in G.reach(edges, some, depth).collect()}
+            assert got == {(n, d) for n, d in want if depth is None or d <= depth}
+
+
+def test_reach_over_chains_ladders_and_loops(rows, monkeypatch):
+    import random
 
-def test_topological_order_of_a_long_chain_and_cycles(rows, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(G, "HOPS", 3)
+    pairs = [(k, k + 1) for k in range(60)] + [(100 + k, 101 + k) for k in range(40)] + [(140, 100), (20, 100), (120, 30), (5, 50)]
+    pairs += [(200 + k, 200 + rng.randrange(40)) for k in range(40)] + [(60, 200), (300, 301), (301, 300), (301, 302), (301, 0)]
+    edges = rows("src long, dst long", *pairs)
+    got = {r.node: r.depth for r in G.reach(edges, rows("node long", (0,), (110,))).collect()}
+    assert got == plain_depths(pairs, [0, 110])
+
+
+def test_bounded_walks_are_one_plan(spark, rows):
+    """No table is written and nothing is counted before the result is asked for."""
+    edges = rows("src long, dst long, weight double", *[(k, (k * 7 + 3) % 50, 1.0) for k in range(50)], *[(k, (k * 3 + 1) % 50, 1.0) for k in range(50)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walks", "")
+    walks = [G.incoming(edges, rows("node long", (1,)), 5), G.blast_edges(edges, rows("node long", (1,)), 5), G.neighborhood(edges, rows("node long", (1,)), 3)]
+    assert len(tracker.getJobIdsForGroup("walks")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    pairs = [(r.dst, r.src) for r in edges.collect()]
+    assert {(r.node, r.depth) for r in walks[0].collect()} == {(n, d) for n, d in plain_depths(pairs, [1]).items() if 0 < d <= 5}
+
+
+def plain_levels(nodes, pairs):
+    deps, level = {n: {b for a, b in pairs if a == n and b in nodes and b != n} for n in nodes}, {}
+    while True:
+        ready = [n for n in nodes if n not in level and all(d in level for d in deps[n])]
+        if not ready:
+            return level | dict.fromkeys(set(nodes) - set(level))
+        level |= {n: max((level[d] + 1 for d in deps[n]), default=0) for n in ready}
+
+
+def test_topological_order_of_a_long_chain_and_cycles(rows):
     nodes = rows("node long", *[(k,) for k in range(CHAIN + 4)])
     loop = rows("src long, dst long, edge_type string", (CHAIN + 1, CHAIN + 2, None), (CHAIN + 2, CHAIN + 1, None), (CHAIN + 3, CHAIN + 1, None))
     got = {r.node: r.level for r in G.topological_order(nodes, chain(rows).unionAll(loop)).collect()}
     assert got == {k: CHAIN - k for k in range(CHAIN + 1)} | dict.fromkeys(range(CHAIN + 1, CHAIN + 4))
-    few = rows("src long, dst long", (1, 2), (2, 3), (4, 4), (5, 6), (6, 5), (7, 5), (1, 99))
-    some = rows("node long", *[(k,) for k in range(1, 9)])
-    want = sorted(map(tuple, G.topological_order(some, few).collect()), key=str)
-    monkeypatch.setattr(G, "ONE_TASK", 0)
-    assert sorted(map(tuple, G.topological_order(some, few).collect()), key=str) == want
+
+
+def test_topological_order_equals_peeling(rows, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(G, "HOPS", 2)
+    for seed in (0, 2):
+        nodes = list(range(80))
+        pairs = [(k, k - 1) for k in range(1, 40)] + [(k, rng.randrange(k)) for k in rng.choices(range(10, 80), k=40)] + [(k, rng.randrange(80)) for k in rng.choices(nodes, k=3 * seed)]
+        if seed == 2:
+            pairs += [(70, 71), (71, 72), (72, 70), (73, 70), (5, 5)]
+        edges = rows("src long, dst long", *pairs, (1, 999), (None, 2), (3, None))
+        got = {r.node: r.level for r in G.topological_order(rows("node long", *[(n,) for n in nodes], (None,), (1,)), edges).collect()}
+        assert got == plain_levels(nodes, pairs)
+
+
+def test_cycles_are_told_from_nodes_around_them(rows):
+    import random
+
+    rng = random.Random(5)
+    ring = [(1000 + k, 1000 + (k + 1) % 60) for k in range(60)]
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("z", "a"), ("e", "q"), ("m", "m"), ("m", "n"), (None, "a"), ("a", None)]
+    got = {r.node: r.cycle for r in G.cycles(rows("src string, dst string", *pairs)).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "c", "m": "m"}
+    some = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)]
+    down = {n: set(plain_depths(some, [n])) for n in range(60)}
+    want = {n: min(m for m in down[n] if n in down[m]) for n in range(60) if any(m != n and n in down[m] for m in down[n]) or (n, n) in some}
+    got = {r.node: r.cycle for r in G.cycles(rows("src long, dst long", *some, *ring, (5, 1000))).collect()}
+    assert got == want | {k: 1000 for k in range(1000, 1060)}
+    assert G.cycles(rows("src long, dst long", (1, 2))).count() == 0
 
 
 def test_sums_and_ancestors_of_deep_trees(rows):
