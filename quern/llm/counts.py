@@ -148,7 +148,7 @@ class Ledger:
             return False
         name = uuid.uuid4().hex
         data = f"{self.folder}/data/{name}"
-        _summed(reduce(DataFrame.unionAll, changes)).coalesce(1).write.parquet(data)
+        _summed(reduce(DataFrame.unionAll, changes)).write.parquet(data)
         if self._publish(name, "batches", self._name(batch_id)):
             return True
         delete(self.spark, data)
@@ -173,7 +173,7 @@ class Ledger:
         Totals don't change, and batches committed meanwhile count beside the snapshot."""
         number, batches, folders = self._state()
         name = uuid.uuid4().hex
-        _summed(self._rows(folders)).coalesce(1).write.parquet(f"{self.folder}/data/{name}")
+        _summed(self._rows(folders)).write.parquet(f"{self.folder}/data/{name}")
         return self._publish(json.dumps({"batches": batches, "data": [name]}), "snapshots", f"{number + 1:012d}")
 
     def vacuum(self) -> int:

@@ -14,6 +14,7 @@ name, decides where the text is.
 from __future__ import annotations
 
 from html import unescape
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -159,7 +160,8 @@ def parse(page: str) -> Node:
                 at = page.find(">", end.start()) + 1 or size if end else size
             continue
         block = tag in BLOCKS
-        suspect = 0 if closing else _suspect(tag, attrs if len(attrs) < 2000 else "") if attrs or tag in SUSPECT_TAGS else 0
+        known = _suspect if len(attrs) < 2000 else _suspect.__wrapped__  # long ones aren't remembered
+        suspect = 0 if closing else known(tag, attrs) if attrs or tag in SUSPECT_TAGS else 0
         if not closing and not block and (suspect or tag in SKIPPED):
             if tag not in unclosed:  # an element that never ends says nothing of what follows
                 end = _behind(page, tag, at)
@@ -249,26 +251,31 @@ def _settle(root: Node) -> None:
     beside an article or main element that is no suspect."""
     if not any(n.suspect for n in _walk(root)):
         return
-    prose, cleared = _prose(root), set()
-    for _ in range(50):
-        gain, chars, marked, tops = 0.0, 0, False, []
-        stack = [root]
-        while stack:
-            node = stack.pop()
+    prose = _prose(root)
+    holds: dict[int, bool] = {}  # an article or main element with prose
+    for node in reversed(list(_walk(root))):
+        holds[id(node)] = bool(node.tag in CONTAINERS and prose[id(node)][0]) or any(holds[id(p)] for p in node.parts if isinstance(p, Node))
+    gain, chars, marked, tops = 0.0, 0, False, []
+    shown = [(root, False)]
+    while True:
+        # What has been shown is the rest; a cleared suspect adds what is in it, so every node is seen once.
+        while shown:
+            node, cleared = shown.pop()
             for part, link in zip(node.parts, node.linked):
                 if not isinstance(part, Node):
-                    if id(node) in cleared and not points(part, link):
+                    if cleared and not points(part, link):
                         continue  # an advert's own few words
                     gain, chars = gain + points(part, link), chars + len(part) - link
                 elif part.suspect:
-                    tops.append(part)
+                    if part.suspect != COMMENTS:
+                        g, c = prose[id(part)]
+                        heapq.heappush(tops, (-g, -c, len(holds) - len(tops), id(part), part))
                 else:
                     marked = marked or part.tag in CONTAINERS
-                    stack.append(part)
-        tops = [n for n in tops if n.suspect != COMMENTS]
+                    shown.append((part, False))
         if not tops or marked:
             return
-        top = max(tops, key=lambda n: prose[id(n)])
+        top = heapq.heappop(tops)[-1]
         g, c = prose[id(top)]
         open_ = not top.closed and top.tag not in _CLOSED_BY and top.tag != "p"
         often = 1.5 if open_ else 3.0
@@ -278,11 +285,12 @@ def _settle(root: Node) -> None:
         elif top.tag in ("form", "fieldset"):
             clear = most or (c > 0 and not chars)
         else:
-            clear = most and g >= 10 and (top.tag not in SUSPECT_TAGS or any(n.tag in CONTAINERS and prose[id(n)][0] for n in _walk(top)))
+            clear = most and g >= 10 and (top.tag not in SUSPECT_TAGS or holds[id(top)])
         if not clear:
             return
-        cleared.add(id(top))
         top.suspect = 0
+        marked = marked or top.tag in CONTAINERS
+        shown.append((top, True))
         top.parts, top.linked = _without_asides(top)
 
 
@@ -381,20 +389,21 @@ def main_text(page: str | None) -> str:
             inside = top
     if inside:
         if inside.tag != "article":
-            own = [n for n in marked if n.tag == "article" and _above(inside, n)]
-            outer = [n for n in own if not any(_above(x, n) for x in own)]
+            below = {id(n) for n in _walk(inside)}
+            own = [n for n in marked if n.tag == "article" and id(n) in below]
+            outer = _outermost(inside, own)
             prose = _prose(inside)
             if not own or sum(prose[id(n)][0] for n in outer) < 0.8 * prose[id(inside)][0]:
                 return written(inside)
             inside = max(own, key=final)
         # Articles beside it, none inside another that is kept.
         kept: list[Node] = []
+        below, above, taken = {id(n) for n in _walk(inside)}, {id(n) for n in _ancestors(inside)}, set()
         for n in marked:
-            up = n.parent
-            while up and up not in kept:
-                up = up.parent
-            if n is inside or (n.tag == "article" and not up and not _above(n, inside) and not _above(inside, n) and final(n) >= 0.5 * final(inside)):
+            beside = n.tag == "article" and id(n) not in below and id(n) not in above and final(n) >= 0.5 * final(inside)
+            if n is inside or (beside and not any(id(up) in taken for up in _ancestors(n))):
                 kept.append(n)
+                taken.add(id(n))
         return written(*kept)
     if best is root or not best.parent:
         return "\n\n".join(_texts(best, lengths, False))
@@ -413,11 +422,23 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(out)
 
 
-def _above(a: Node, b: Node) -> bool:
-    up = b.parent
-    while up and up is not a:
+def _ancestors(node: Node) -> Iterator[Node]:
+    up = node.parent
+    while up:
+        yield up
         up = up.parent
-    return up is a
+
+
+def _outermost(root: Node, nodes: list[Node]) -> list[Node]:
+    """Those of the nodes below ``root`` that are in no other of them."""
+    wanted, out, stack = {id(n) for n in nodes}, [], [p for p in root.parts if isinstance(p, Node)]
+    while stack:
+        node = stack.pop()
+        if id(node) in wanted:
+            out.append(node)
+        else:
+            stack += [p for p in node.parts if isinstance(p, Node)]
+    return out
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "main_text") -> DataFrame:

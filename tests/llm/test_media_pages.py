@@ -169,11 +169,28 @@ def test_scoring_decides(html, text):
     assert pages.main_text(html) == text
 
 
+def test_prose_in_nested_suspects_of_any_depth_and_marks_of_any_length():
+    for depth in (1, 50, 51, 500):
+        for one in ("<div class=ad>", "<form>"):
+            assert pages.main_text(one * depth + "<p>" + PROSE) == pages.main_text("<p>" + PROSE)
+    for length in (10, 1_900, 2_100, 50_000):
+        box = f'<div class="newsletter box" data-x="{"y" * length}"><p>{PROSE}</p></div>'
+        assert pages.main_text(f"<article><p>{PROSE}</p>{box}<p>End of it, at last.</p></article>") == f"{pages.main_text('<p>' + PROSE)}\n\nEnd of it, at last."
+
+
+def test_nested_articles_take_no_quadratic_time():
+    import time
+
+    start = time.time()
+    assert "word" in pages.main_text("<main>" + "<article><p>word and word, and word.</p>" * 4_000 + "</main>")
+    assert time.time() - start < 20
+
+
 def test_hostile_pages_end_soon():
     import time
 
     start = time.time()
-    for page in ("<a " + "x" * 200_000 + '"', "<div>" * 20_000 + "deep", "<" * 100_000, "<p>" * 50_000 + "x", "&amp" * 50_000, "<form>" * 5_000 + PROSE, "<span class=ad>" * 20_000, "<div class=ad><p>" * 3_000 + PROSE):
+    for page in ("<a " + "x" * 200_000 + '"', "<div>" * 20_000 + "deep", "<" * 100_000, "<p>" * 50_000 + "x", "&amp" * 50_000, "<form>" * 5_000 + PROSE, "<span class=ad>" * 20_000, "<div class=ad><p>" * 3_000 + PROSE, "<div " + "a=" * 200_000 + ">x", "<div " + "x" * 300_000 + ">x", "<div " + "a='" * 100_000 + ">x"):
         pages.main_text(page)
     assert time.time() - start < 30
 
