@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.graph import ancestors, subtree_sums
+from quern.operators.graph import hung, subtree_sums
+from quern.storage import materialize
 
 NODE = ("id", "trajectory_id", "parent_id", "depth", "reward_score", "visit_count", "value_estimate", "is_solution", "is_pruned", "created_at")
 
@@ -54,9 +55,14 @@ def recorded(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     deepest = live.agg(F.max_by("id", F.struct("depth", "created_at", "id")).alias("deepest"))
     new = steps.withColumn("before", F.lag("id").over(place)).join(deepest, "trajectory_id", "left")
     new = new.withColumn("parent_id", F.coalesce("parent_id", "before", "deepest"))
-    chain = ancestors(new.select("id", "parent_id")).groupBy("node").agg(F.max("distance").alias("steps"), F.max_by("ancestor", "distance").alias("top"))
+    # How many of the new steps are above each, by doubling pointers, a row a step in each round.
+    known = new.select(F.col("id").alias("up"))
+    single = new.select("id", F.col("parent_id").alias("up")).join(known, "up", "left_semi")
+    chain = hung(materialize(single.select(F.col("id").alias("node"), "up", F.lit(1).alias("steps")), "steps"))
+    deep = new.select("id", "parent_id").join(chain.select(F.col("node").alias("id"), F.col("root"), "steps"), "id", "left")
+    deep = deep.select("id", F.coalesce("root", "id").alias("top"), F.coalesce("steps", F.lit(0)).alias("steps"))
     tops = new.select(F.col("id").alias("top"), F.col("parent_id").alias("on")).join(nodes.select(F.col("id").alias("on"), F.col("depth").alias("base")), "on", "left").select("top", "base")
-    deep = chain.join(tops, "top").select(F.col("node").alias("id"), (F.coalesce(F.col("base") + 1, F.lit(0)) + F.col("steps")).cast("int").alias("depth"))
+    deep = deep.join(tops, "top").select("id", (F.coalesce(F.col("base") + 1, F.lit(0)) + F.col("steps")).cast("int").alias("depth"))
     fresh = new.join(deep, "id").select("id", "trajectory_id", "parent_id", "depth", "reward_score", F.lit(0).cast("long").alias("visit_count"), F.lit(0.0).alias("value_estimate"), "is_solution", "is_pruned", F.col("at").alias("created_at"))
     both = nodes.select(*NODE).unionByName(fresh)
     touched = steps.select("trajectory_id").distinct()

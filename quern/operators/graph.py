@@ -92,7 +92,7 @@ def _reach_far(hops: DataFrame, seeds: DataFrame) -> DataFrame:
         single = materialize(single, "single")
         if not (n := single.count()) or n * 10 < into.count():
             break
-        rooted = _hung(single)
+        rooted = hung(single)
         hung.append(rooted)
         moved = hops.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(single.select(F.col("node").alias("src"), F.lit(1).alias("one")), "src", "left")
         moved = moved.join(rooted.select(F.col("node").alias("src"), "root", "steps"), "src", "left").where("one is null or root is not null")
@@ -110,7 +110,7 @@ def _reach_far(hops: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows
 
 
-def _hung(single: DataFrame) -> DataFrame:
+def hung(single: DataFrame) -> DataFrame:
     """(node, root, steps): for nodes with one pointer (node, up, steps), the first above that
     has none, and the sum of steps to it. Pointers double each round; nodes whose pointers run
     in a cycle, or into one, are left out."""
@@ -267,7 +267,7 @@ def _far_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
         single = materialize(down.where("n = 1").select(F.col("src").alias("node"), "up", "steps"), "single")
         if not (n := single.count()) or n * 10 < down.count():
             break
-        rooted = _hung(single)
+        rooted = hung(single)
         hung.append(rooted)
         # Nodes that hang on a cycle have no root: they stay, each above itself, which never ends.
         left = materialize(left.join(rooted.select("node"), "node", "left_anti"), "left")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.storage import materialize, new_folder
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -113,22 +116,32 @@ def diversify(candidates: DataFrame, by: str | None = None, most: float = 0.88)
     return rows.groupBy("group").applyInPandas(fold, "group long, id long, score double")
 
 
-def redundant(vectors: DataFrame, least: float = 0.90, most_rows: int = 100_000) -> DataFrame:
-    """(id, kept_id): greedy removal by id order of a bounded collection: a vector whose cosine
-    to an earlier kept one is ``least`` or more goes. The order matters, so one task folds it;
-    a collection of more than ``most_rows`` is refused: corpora need the near-duplicate operators."""
-    if vectors.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} vectors for an ordered greedy pass")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        unit, ids, kept, gone = _unit(np.array(pdf["embedding"].tolist(), np.float64)), pdf["id"].to_numpy(), [], []
-        for k in range(len(pdf)):
-            near = np.flatnonzero(unit[kept] @ unit[k] >= least - 1e-12) if kept else []
-            gone.append((ids[k], ids[kept[near[0]]])) if len(near) else kept.append(k)
-        return pd.DataFrame(gone, columns=["id", "kept_id"]).astype("int64")
-
-    return vectors.where("embedding is not null").select("id", "embedding", F.lit(0).alias("one")).groupBy("one").applyInPandas(fold, "id long, kept_id long")
+def redundant(vectors: DataFrame, least: float = 0.90) -> DataFrame:
+    """(id, kept_id): greedy removal by id order: a vector whose cosine to an earlier kept one is
+    ``least`` or more goes, and names the first such one. Ids are unique; rows with a null id or
+    vector are left out.
+
+    Near pairs come from a vector index by exact bounds. Who is kept is settled in rounds, one
+    row a pair: a vector is kept once all earlier ones near it have gone, and goes once one of
+    them is kept."""
+    from quern.operators.vector_index import VectorIndex
+
+    spark = vectors.sparkSession
+    rows = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    index = VectorIndex(spark, new_folder(spark, "vector-index")).build(rows)
+    pairs = index.within(rows.withColumnRenamed("id", "query_id"), least).where("id < query_id")
+    open_ = materialize(pairs.select(F.col("query_id").alias("id"), F.col("id").alias("before")), "near")
+    near, gone = open_, []
+    while not open_.isEmpty():
+        waiting = open_.select("id").distinct()
+        # Earlier ones that wait for none are kept; whoever is near them goes.
+        free = open_.join(waiting.withColumnRenamed("id", "before"), "before", "left_anti").select("id").distinct()
+        gone.append(materialize(free, "gone"))
+        later = open_.join(gone[-1], "id", "left_anti").join(gone[-1].withColumnRenamed("id", "before"), "before", "left_anti")
+        open_ = materialize(later.select("id", "before"), "near")
+    out = reduce(DataFrame.unionAll, gone) if gone else near.select("id").limit(0)
+    kept = near.join(out, "id").join(out.withColumnRenamed("id", "before"), "before", "left_anti")
+    return kept.groupBy("id").agg(F.min("before").alias("kept_id"))
 
 
 BOUNDARY = 1e-5

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators.index import TextIndex
+from quern.operators.vector_index import VectorIndex
 from quern.plans.roles import files, texts
+from quern.session import load
 from quern.storage import new_folder
 
 #: Fields of the documents' index and their weights.
@@ -40,3 +42,12 @@ def path_index(spark, d: str) -> TextIndex:
         return index
 
     return kept(spark, d, "paths", make)
+
+
+def vector_index(spark, d: str) -> VectorIndex:
+    """All embeddings by their ids."""
+    def make() -> VectorIndex:
+        vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+        return VectorIndex(spark, new_folder(spark, "vector-index")).build(vectors)
+
+    return kept(spark, d, "vectors", make)

@@ -8,6 +8,7 @@ from quern.operators import lexical as L
 from quern.operators import state as St
 from quern.operators import summaries as S
 from quern.operators import vector as V
+from quern.plans.indexes import vector_index
 from quern.plans.registry import query
 from quern.plans.roles import FILES, files, texts
 from quern.session import load
@@ -20,6 +21,7 @@ def as_of():
 
 
 SIM = "round(greatest(0, least(1, list_cosine_similarity(list_transform({}, lambda x: x::DOUBLE), list_transform({}, lambda x: x::DOUBLE)))), 6)"
+COS = "list_cosine_similarity(list_transform({}, lambda x: x::DOUBLE), list_transform({}, lambda x: x::DOUBLE))"
 
 
 @query(f"""SELECT e.vec_id AS id, {SIM.format('e.embedding', 'q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q
@@ -36,6 +38,14 @@ def cosine_nearest_per_query(spark, d):
     return V.nearest_per_query(e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 5)
 
 
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, {SIM.format('e.embedding', 'q.embedding')} AS similarity
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {COS.format('e.embedding', 'q.embedding')} >= 0.3 - 1e-12""")
+def indexed_vectors_within(spark, d):
+    """All vectors near each of a stated set, through an index that is built for it."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector_index(spark, d).within(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 0.3)
+
+
 @query(f"""SELECT label AS collection, vec_id AS id, {SIM.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 3)')} AS similarity FROM embeddings
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) <= 3""")
 def nearest_across_collections(spark, d):
@@ -70,7 +80,6 @@ def vector_rerank(spark, d):
 
 
 GREEDY = """kept AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS l UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(l, near)) > 0 THEN l ELSE list_append(l, i + 1) END FROM kept JOIN close ON rank = i + 1)"""
-COS = "list_cosine_similarity(list_transform({}, lambda x: x::DOUBLE), list_transform({}, lambda x: x::DOUBLE))"
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT vec_id AS id, embedding AS e, {SIM.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 3)')} AS sim FROM embeddings ORDER BY sim DESC, id LIMIT 100),

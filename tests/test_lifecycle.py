@@ -46,6 +46,13 @@ def test_steps_hang_on_the_deepest_live_node(rows):
     assert E.recorded(nodes, steps.where(F.lit(False))).count() == 4
 
 
+def test_a_long_batch_is_a_chain_without_pairs(spark, rows):
+    tail = (0, True, 0, False, None, None, False, False, False, False)
+    steps = E.judged(rows(STEP, *[(f"s{k:05d}", "t", None, k, *tail) for k in range(3_000)]))
+    got = {r.id: (r.depth, r.visit_count) for r in E.recorded(rows(NODE), steps).collect()}
+    assert got == {f"s{k:05d}": (k, 3_000 - k) for k in range(3_000)}
+
+
 def test_rollbacks_of_all_kinds(rows):
     nodes = rows(
         "id string, trajectory_id string, parent_id string, rollback_snapshot string",
