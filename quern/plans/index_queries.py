@@ -1,14 +1,16 @@
-"""Queries over indexes that have changed."""
+"""Queries over indexes and keyed tables that have changed."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quern.operators.index import TextIndex
+from quern.operators.runs import SortedRuns
 from quern.plans.indexes import FIELDS
 from quern.plans.registry import query
 from quern.plans.roles import texts
 from quern.plans.text_queries import QUERY, bm25_sql
+from quern.session import load
 from quern.storage import new_folder
 
 CHANGED = """changed AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || ' the of' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0)"""
@@ -36,3 +38,19 @@ def indexed_search_after_changes(spark, d):
 @query(f"WITH {CHANGED}, {bm25_sql('changed')} SELECT id, score FROM scored")
 def indexed_search_after_merge(spark, d):
     return _changed(spark, d, True).bm25(QUERY, FIELDS, n=None)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price
+FROM orders WHERE o_orderkey % 5 <> 1 AND o_orderkey BETWEEN 100 AND (SELECT max(o_orderkey) // 2 FROM orders)""")
+def orders_after_batches(spark, d):
+    """Orders put in two batches, a third of them put anew, a fifth removed, another removed and put again; compacted as batches come."""
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    runs = SortedRuns(spark, new_folder(spark, "runs"), "id", 3)
+    runs.write(o.where("id % 2 = 0"))
+    runs.write(o.where("id % 2 = 1"), o.where("id % 5 = 2").select("id"))
+    anew = o.where("id % 3 = 0").select("id", F.lit("late").alias("status"), (F.col("price") + 1).alias("price"))
+    runs.write(anew, o.where("id % 5 = 1").select("id"))
+    runs.write(removed=o.where("id % 5 in (1, 3)").select("id"))
+    runs.write(o.where("id % 5 in (2, 3) and id % 3 <> 0").unionAll(anew.where("id % 5 in (2, 3)")))
+    last = o.agg(F.max("id")).first()[0]
+    return runs.read(100, last // 2)
