@@ -505,8 +505,8 @@ def contract_drift(endpoints: DataFrame, consumers: DataFrame) -> DataFrame:
 
 def cross_edges(endpoints: DataFrame, consumers: DataFrame) -> DataFrame:
     """Distinct (src, dst): consumer files and the files of the endpoints they call."""
-    served = endpoints.select("path", F.col("file").alias("dst"))
-    return consumers.select("path", F.col("file").alias("src")).join(served, "path").select("src", "dst").distinct()
+    served = endpoints.select("path", F.col("file").alias("dst")).distinct()
+    return consumers.select("path", F.col("file").alias("src")).distinct().join(served, "path").select("src", "dst").distinct()
 
 
 def mermaid(edges: DataFrame, direction: str = "LR", most: int = 200) -> str:

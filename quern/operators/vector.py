@@ -35,33 +35,49 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, least: float =
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+#: Bytes of queries that every task gets at once; more are searched in several passes.
+QUERY_BYTES = 64 << 20
+
+
+def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, similarity, rank): exact k nearest for a stated set of queries.
 
-    ``queries`` (query_id, embedding) is sent to every task, so it has to be a bounded set:
-    it is collected once and its size checked. Each batch keeps its k best per query, and
-    those meet by query."""
-    rows = queries.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 queries: search them in blocks")
-    ids = [r["query_id"] for r in rows]
-    matrix = _unit(np.array([r["embedding"] for r in rows], np.float64)) if rows else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
-
-    def best(batches):
-        q = shared.value
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            if not len(pdf) or not len(q):
-                continue
-            v = _unit(np.array(pdf["embedding"].tolist(), np.float64))
-            sim = np.clip(q @ v.T, 0, 1).round(6)
-            key = pdf["id"].to_numpy()
-            for row, s in zip(ids, sim):
-                top = np.lexsort((key, -s))[:k]
-                yield pd.DataFrame({"query_id": row, "id": key[top], "similarity": s[top]})
-
-    found = vectors.select("id", "embedding").mapInPandas(best, "query_id long, id long, similarity double")
+    ``queries`` (query_id, embedding) go to every task in blocks of ``QUERY_BYTES``, a pass over
+    the vectors for each. Each batch keeps its k best per query, and those meet by query."""
+    schema = "query_id long, id long, similarity double"
+    found, ids, rows, held = [], [], [], 0
+
+    def search() -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids), _unit(np.array(rows, np.float64))))
+
+        def best(batches):
+            ids, q = shared.value
+            for pdf in batches:
+                pdf = pdf[pdf["embedding"].notna()]
+                if not len(pdf):
+                    continue
+                v, key = _unit(np.array(pdf["embedding"].tolist(), np.float64)), pdf["id"].to_numpy()
+                tops, sims = [], []
+                for a in range(0, len(q), 256):
+                    sim = np.clip(q[a : a + 256] @ v.T, 0, 1).round(6)
+                    top = np.lexsort((np.broadcast_to(key, sim.shape), -sim), axis=1)[:, :k]
+                    tops.append(key[top])
+                    sims.append(np.take_along_axis(sim, top, 1))
+                tops, sims = np.concatenate(tops), np.concatenate(sims)
+                yield pd.DataFrame({"query_id": np.repeat(ids, tops.shape[1]), "id": tops.reshape(-1), "similarity": sims.reshape(-1)})
+
+        return vectors.select("id", "embedding").mapInPandas(best, schema)
+
+    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        held += 8 * len(r[1])
+        if held >= QUERY_BYTES:
+            found.append(search())
+            ids, rows, held = [], [], 0
+    if ids:
+        found.append(search())
+    found = reduce(DataFrame.unionAll, found) if found else vectors.sparkSession.createDataFrame([], schema)
     place = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
