@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import payloads
 from quern.operators import history as H
 from quern.plans.registry import query
 from quern.plans.roles import HISTORY, edits, history, part_edits
@@ -158,3 +159,17 @@ def postmortem_edges(spark, d):
     commits = newest.select(F.col("o_orderkey").alias("commit"), F.concat(F.lit("fix "), "o_orderstatus").alias("subject"), F.col("o_orderdate").alias("ts"), F.array("o_orderkey").alias("files"))
     _, edges = H.postmortems(commits, spark.createDataFrame([("invariant-fix-o",)], "id string"))
     return edges.select(F.replace("src", F.lit("fix-"), F.lit("")).alias("id"), "dst", "edge_type", "weight")
+
+
+@query("""WITH p AS (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN props[:length(props) - 1] || ',}' WHEN event_id % 11 = 0 THEN 'free text' ELSE props END AS payload,
+  event_type = 'error' AS failed, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT id, CASE WHEN id % 7 = 0 THEN payload WHEN id % 11 = 0 THEN '{"raw_action":"free text","failed":' || failed || ',"validation_tag":"none"}'
+  ELSE '{"failed":' || failed || ',"k":' || k || ',"validation_tag":"none"}' END AS stamped, CASE WHEN id % 7 > 0 AND id % 11 > 0 THEN k END AS k FROM p""")
+def stamped_payloads(spark, d):
+    """Payloads of events, some of them broken or no objects, with what a receipt says."""
+    e = load(spark, d, "events")
+    broken = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(",}"))
+    payload = F.when(F.col("event_id") % 7 == 0, broken).when(F.col("event_id") % 11 == 0, "free text").otherwise(F.col("props"))
+    rows = e.select(F.col("event_id").alias("id"), payload.alias("payload"), (F.col("event_type") == "error").alias("failed"))
+    stamps = {"failed": F.col("failed"), "validation_tag": F.lit("none")}
+    return rows.select("id", payloads.stamped(F.col("payload"), "raw_action", **stamps).alias("stamped"), payloads.extracted(F.col("payload"), "$.k", "long").alias("k"))
