@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources import git
 
 #: Names and endings that are never indexed.
 LOCK_FILES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "cargo.lock", "poetry.lock", "composer.lock", "gemfile.lock")
@@ -109,11 +110,13 @@ def without_files(rows: DataFrame, removed: DataFrame, *columns: str) -> DataFra
     return rows
 
 
-def git_history(spark: SparkSession, repository: str, most: int = 500) -> DataFrame:
-    """History rows (commit, author, ts, subject, is_fix, file, insertions, deletions) of the
-    newest commits; binary files are left out. Git runs on the driver: ``most`` bounds it."""
-    log = _git(repository, "log", f"-{int(most)}", "--numstat", "--format=%x01%H%x1f%an%x1f%at%x1f%s")
-    return parse_history(spark.createDataFrame([(e,) for e in log.split("\x01")[1:]], "entry string"))
+def git_history(spark: SparkSession, repository: str, most: int | None = None, revision: str = "HEAD") -> DataFrame:
+    """History rows (commit, author, ts, subject, is_fix, file, insertions, deletions) of all
+    commits below a revision, or of the newest ``most``; read by tasks (``sources.git``)."""
+    git.register(spark)
+    log = spark.read.format("git_log").option("path", repository).option("revision", revision)
+    rows = (log.option("most", most) if most is not None else log).load()
+    return rows.select("commit", "author", F.timestamp_seconds("at").alias("ts"), "subject", T.is_fix(F.col("subject")).alias("is_fix"), "file", "insertions", "deletions")
 
 
 def parse_history(entries: DataFrame) -> DataFrame:
