@@ -85,7 +85,7 @@ def _reach_far(hops: DataFrame, seeds: DataFrame) -> DataFrame:
     distance found by doubling pointers; edges from it become longer edges from there. This
     is repeated as long as it takes away a tenth of the nodes; the walk goes over the rest."""
     seeds = materialize(seeds.select(F.col("node").alias("seed")), "seeds")
-    hung = []
+    layers = []
     while True:
         into = hops.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up"), F.min("weight").alias("steps"))
         single = into.where("n = 1").join(seeds, F.col("dst") == F.col("seed"), "left_anti").select(F.col("dst").alias("node"), "up", "steps")
@@ -93,7 +93,7 @@ def _reach_far(hops: DataFrame, seeds: DataFrame) -> DataFrame:
         if not (n := single.count()) or n * 10 < into.count():
             break
         rooted = hung(single)
-        hung.append(rooted)
+        layers.append(rooted)
         moved = hops.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(single.select(F.col("node").alias("src"), F.lit(1).alias("one")), "src", "left")
         moved = moved.join(rooted.select(F.col("node").alias("src"), "root", "steps"), "src", "left").where("one is null or root is not null")
         moved = moved.select(F.coalesce("root", "src").alias("src"), "dst", (F.col("weight") + F.coalesce("steps", F.lit(0))).alias("weight")).where("src <> dst")
@@ -104,7 +104,7 @@ def _reach_far(hops: DataFrame, seeds: DataFrame) -> DataFrame:
         if rows.where(F.col("fresh") == k).isEmpty():
             break
     rows = rows.select("node", "depth")
-    for rooted in reversed(hung):
+    for rooted in reversed(layers):
         below = rooted.join(rows.select(F.col("node").alias("root"), "depth"), "root").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
         rows = materialize(rows.unionAll(below), "reach")
     return rows
@@ -261,14 +261,14 @@ def _all_levels(nodes: DataFrame, hops: DataFrame) -> DataFrame:
 
 
 def _far_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
-    hung, left = [], nodes
+    layers, left = [], nodes
     while True:
         down = deps.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("up"), F.min("weight").alias("steps"))
         single = materialize(down.where("n = 1").select(F.col("src").alias("node"), "up", "steps"), "single")
         if not (n := single.count()) or n * 10 < down.count():
             break
         rooted = hung(single)
-        hung.append(rooted)
+        layers.append(rooted)
         # Nodes that hang on a cycle have no root: they stay, each above itself, which never ends.
         left = materialize(left.join(rooted.select("node"), "node", "left_anti"), "left")
         lost = single.join(rooted.select("node"), "node", "left_anti").select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("weight"))
@@ -278,7 +278,7 @@ def _far_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
         if not lost.isEmpty():
             break  # what points at itself would count as single for ever
     levels = _levels(left, deps)[0]
-    for rooted in reversed(hung):
+    for rooted in reversed(layers):
         above = rooted.join(levels.select(F.col("node").alias("root"), "level"), "root").select("node", (F.col("level") + F.col("steps")).alias("level"))
         levels = materialize(levels.unionAll(above), "levels")
     return levels
