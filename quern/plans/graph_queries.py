@@ -17,9 +17,18 @@ def seeds(spark, *ids: int):
     return spark.createDataFrame([(i,) for i in ids], "node long")
 
 
+def many_seeds(spark, d):
+    """A part in twenty, from 8 on."""
+    return load(spark, d, "part").where("p_partkey % 20 = 8").select(F.col("p_partkey").alias("node"))
+
+
+MANY = "p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 20 = 8"
+
+
 def _reach(start: str, depth: int, frm: str = "src", to: str = "dst", table: str = "edges") -> str:
+    begin = start if " " in start else f"{start} AS node, 0 AS depth"
     return f"""walk AS (
-  SELECT {start} AS node, 0 AS depth UNION SELECT e.{to}, w.depth + 1 FROM walk w JOIN {table} e ON e.{frm} = w.node WHERE w.depth < {depth}),
+  SELECT {begin} UNION SELECT e.{to}, w.depth + 1 FROM walk w JOIN {table} e ON e.{frm} = w.node WHERE w.depth < {depth}),
 reached AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
 
 
@@ -36,9 +45,9 @@ def impact_analysis(spark, d):
     return G.impact(edges(spark, d), seeds(spark, 1), files(spark, d), 6)
 
 
-@query(f"WITH RECURSIVE {EDGES}, {_reach('8', 5, 'dst', 'src')} SELECT node, depth FROM reached WHERE depth > 0")
+@query(f"WITH RECURSIVE {EDGES}, {_reach(MANY, 5, 'dst', 'src')} SELECT node, depth FROM reached WHERE depth > 0")
 def incoming_dependencies(spark, d):
-    return G.incoming(edges(spark, d), seeds(spark, 8), 5)
+    return G.incoming(edges(spark, d), many_seeds(spark, d), 5)
 
 
 @query(f"WITH {EDGES} SELECT dst AS node, 'out' AS direction FROM edges WHERE src = 8 UNION SELECT src, 'in' FROM edges WHERE dst = 8")
@@ -46,9 +55,9 @@ def neighbors(spark, d):
     return G.neighbors(edges(spark, d), 8)
 
 
-@query(f"WITH RECURSIVE {EDGES}, {_reach('8', 4, 'dst', 'src')} SELECT DISTINCT src, dst, depth + 1 AS depth FROM edges JOIN reached ON dst = node")
+@query(f"WITH RECURSIVE {EDGES}, {_reach(MANY, 4, 'dst', 'src')} SELECT DISTINCT src, dst, depth + 1 AS depth FROM edges JOIN reached ON dst = node")
 def reverse_blast_radius(spark, d):
-    return G.blast_edges(edges(spark, d), seeds(spark, 8), 5)
+    return G.blast_edges(edges(spark, d), many_seeds(spark, d), 5)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT [CAST(1 AS BIGINT)] AS path, CAST(1 AS BIGINT) AS node, 0 AS hops
@@ -191,10 +200,18 @@ def cross_repository_edges(spark, d):
     return G.cross_edges(*contracts(spark, d))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, {_reach('8', 3, 'dst', 'src')} SELECT count(*) AS files, CAST(sum(CAST(regexp_matches(lower(node::VARCHAR), '(page|view|sheet)') AS INT)) AS BIGINT) AS views,
+NAMED = "CASE WHEN {0} % 3 = 0 THEN 'web/page' || {0} || '.tsx' ELSE 'lib/part' || {0} || '.py' END"
+
+
+@query(f"""WITH RECURSIVE {EDGES}, named AS (SELECT {NAMED.format('src')} AS src, {NAMED.format('dst')} AS dst FROM edges),
+{_reach(NAMED.format('p_partkey') + ' ' + MANY.split(' ', 1)[1], 3, 'dst', 'src', 'named')}
+SELECT count(*) AS files, CAST(sum(CAST(regexp_matches(lower(node), '(page|view|sheet)[^/]*\\.(tsx|jsx)$') AS INT)) AS BIGINT) AS views,
 CASE WHEN count(*) <= 2 THEN 'LOW' WHEN count(*) <= 7 THEN 'MEDIUM' ELSE 'CRITICAL_BREAKING' END AS level FROM reached""")
 def frontend_blast_radius(spark, d):
-    return G.frontend_blast(edges(spark, d), seeds(spark, 8), 3)
+    """Consumers in files named after their numbers, a third of them pages."""
+    e = edges(spark, d)
+    named = e.select(F.expr(NAMED.format("src")).alias("src"), F.expr(NAMED.format("dst")).alias("dst"))
+    return G.frontend_blast(named, many_seeds(spark, d).select(F.expr(NAMED.format("node")).alias("node")), 3)
 
 
 @query(f"""WITH {NODES}, t AS (SELECT trajectory_id, count(*) AS total_nodes, max(depth) AS max_depth, CAST(sum(cost_tokens) AS BIGINT) AS total_tokens, CAST(sum(latency_ms) AS BIGINT) AS total_latency_ms,
