@@ -49,6 +49,39 @@ def test_communities_keep_components_apart(rows):
     assert alerts == {1: False, 2: True}
 
 
+def plain_communities(edges, rounds=4, least=0.3):
+    weight = {}
+    for a, b, w in edges:
+        if a != b:
+            weight[a, b] = weight[b, a] = max(w, weight.get((a, b), 0))
+    labels = {a: a for a, _ in weight}
+    for k in range(rounds):
+        after = {}
+        for n, own in labels.items():
+            pull = {}
+            for (a, b), w in weight.items():
+                if a == n:
+                    pull[labels[b]] = pull.get(labels[b], 0) + w
+            strong = {label: round(p, 9) for label, p in pull.items() if p > least}
+            stay, moved = round(pull.get(own, 0), 9), own
+            if strong:
+                label = min(x for x in strong if strong[x] == max(strong.values()))
+                if strong[label] > stay or (strong[label] == stay and label < own):
+                    moved = label
+            after[n] = moved if k % 2 else min(moved, own)
+        labels = after
+    return labels
+
+
+def test_communities_equal_brute_force(rows):
+    import random
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.randrange(1, 10) / 10) for _ in range(90)]
+    got = {r.node: r.community for r in G.communities(rows("src long, dst long, weight double", *edges)).collect()}
+    assert got == plain_communities(edges) and len(set(got.values())) > 3
+
+
 def test_topological_order_puts_cycles_last(rows):
     n = seeds(rows, "app", "core", "util", "x", "y")
     e = rows("src string, dst string", ("app", "core"), ("core", "util"), ("app", "util"), ("x", "y"), ("y", "x"))
