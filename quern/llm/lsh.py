@@ -2,8 +2,12 @@
 
 A vector is rotated by sign flips and fast Hadamard transforms, three rounds, and its hash
 is the nearest signed axis; two such hashes name a bucket of a table. Each vector lives in
-its home bucket of every table and also visits the buckets of its second-nearest axes. All
-candidates of a bucket are verified by their cosine in double precision.
+its home bucket of every table and also visits the buckets of its second-nearest axes.
+
+Buckets get ids and short codes, two bits a coordinate, whose angle to the vector is known:
+by the triangle inequality of angles a code tells pairs that cannot reach the cosine. Only
+rows that keep a partner bring their vectors, and those pairs are verified by their cosine in
+double precision.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ BLOCK = 4_096
 _BLOCKS = 1 << 10
 #: Rows that are compared with a block's at once.
 ROWS = 256
+#: Groups up to this size are compared many at once.
+SMALL = 64
+#: Step of the codes' quantiser, in standard deviations of a rotated coordinate.
+STEP = 0.996
 #: Split buckets (16 bytes each) that are broadcast; beyond, the join is a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -79,18 +87,12 @@ def bucket_keys(vectors: np.ndarray, tables: int | None = None, seed: int = SEED
     return out
 
 
-def _unit(rows: list[list[float] | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Unit vectors in double precision of the rows that can link, and their places."""
-    good, at = [], []
-    for k, row in enumerate(rows):
-        if row and None not in row:
-            v = np.array(row, np.float64)
-            top = np.abs(v).max()
-            if np.isfinite(top) and top > 0:
-                v = v / top
-                good.append(v / np.sqrt(v @ v))
-                at.append(k)
-    return good, np.array(at, int)
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """Vectors of a column of lists; empty where the list is null or holds a null."""
+    values = column.values.to_numpy(zero_copy_only=False)  # nulls become NaN, which links with nothing either
+    begin = column.offsets.to_numpy()
+    empty = column.is_null().to_numpy(zero_copy_only=False)
+    return [values[0:0] if none else values[a:b] for a, b, none in zip(begin[:-1].tolist(), begin[1:].tolist(), empty.tolist())]
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,12 +120,15 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str, dtype: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            good, at = _unit(rows)
+            rows = _rows(batch.column(1))
             key, vector, dim = [None] * len(rows), [None] * len(rows), [None] * len(rows)
-            for v, k in zip(good, at.tolist()):
-                vector[k], dim[k] = np.array(rows[k], dtype).tobytes(), len(v)
-                key[k] = hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest()
+            for k, row in enumerate(rows):
+                top = np.abs(row).max() if len(row) else 0.0
+                if np.isfinite(top) and top > 0:
+                    v = row / top
+                    v = v / np.sqrt(v @ v)
+                    vector[k], dim[k] = row.astype(dtype).tobytes(), len(v)
+                    key[k] = hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(key, pa.binary()), pa.array(dim, pa.int32()), pa.array(vector, pa.binary())], names=["vec_id", "key", "dim", "vector"]
             )
@@ -131,12 +136,33 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str, dtype: str) -> Data
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, VECTORS)
 
 
-ENTRIES = "bucket long, home boolean, node long, n long, vector binary"
+def codes(units: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of unit rows, two bits a coordinate after a rotation, and their angles to the rows."""
+    n, dim = units.shape
+    width = padded_width(dim)
+    padded = np.zeros((n, width))
+    padded[:, :dim] = units
+    signs = np.random.default_rng([seed, width, 2]).choice([-1.0, 1.0], width)
+    turned = hadamard(padded * signs)  # coordinates times the root of the width: about normal, of deviation 1
+    level = np.clip(np.floor(turned / STEP), -2, 1) + 2
+    bits = np.packbits(np.concatenate([level >= 2, level % 2 == 1], axis=1), axis=1)
+    cosine = np.einsum("ij,ij->i", turned, decoded(bits, width)) / np.sqrt(width)
+    return bits, np.arccos(np.clip(cosine, -1, 1))
+
+
+def decoded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Unit rows that codes stand for, in the rotated coordinates."""
+    planes = np.unpackbits(bits, axis=1, count=2 * width)
+    q = planes[:, :width] * 2.0 + planes[:, width:] - 1.5
+    return q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+
+
+HASHED = "node long, least long, n long, key binary, dim int, vector binary, buckets array<long>, code binary"
 
 
-def _entries(reps: DataFrame, tables: int | None, dtype: str) -> DataFrame:
-    """A row for each vector and bucket that it lives in or visits. Vectors of different
-    width may meet in a bucket; they are told apart there."""
+def _hashed(reps: DataFrame, tables: int | None, dtype: str) -> DataFrame:
+    """``reps`` with the buckets of each vector (of every table the home, then two visited) and
+    its code, which ends with its angle to the vector and the vector's width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,72 +171,102 @@ def _entries(reps: DataFrame, tables: int | None, dtype: str) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 for k in range(0, part.num_rows, 1024):
                     rows = part.slice(k, 1024)
-                    keys = bucket_keys(_units(rows.column("vector").to_pylist(), dtype, dim), tables)
-                    at = np.repeat(np.arange(len(keys)), keys.shape[1] * 3)
-                    spread = rows.take(pa.array(at))
+                    units = _units(rows.column("vector").to_pylist(), dtype, dim)
+                    keys = bucket_keys(units, tables).reshape(len(units), -1)
+                    bits, angle = codes(units)
+                    ends = np.stack([angle.astype(np.float32).view(np.int32), np.full(len(angle), dim, np.int32)], axis=1)
+                    whole = np.concatenate([bits, ends.view(np.uint8)], axis=1)
+                    offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys.reshape(-1)),
-                            pa.array(np.tile([True, False, False], len(keys) * keys.shape[1])),
-                            spread.column("node"),
-                            spread.column("n"),
-                            spread.column("vector"),
-                        ],
-                        names=["bucket", "home", "node", "n", "vector"],
-                    )
+                        [*(rows.column(c) for c in ("node", "least", "n", "key", "dim", "vector")), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), pa.array([r.tobytes() for r in whole], pa.binary())],
+                        names=["node", "least", "n", "key", "dim", "vector", "buckets", "code"],
+                    )
+
+    return reps.mapInArrow(run, HASHED)
+
+
+def _above(left: np.ndarray, right: np.ndarray, begin: np.ndarray, end: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of one group (rows begin to end) whose product left[x] right[y] is at least
+    ``floor``, in blocks of bounded size."""
+    sizes, most = end - begin, max(1, (1 << 20) // left.shape[1])
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        i, j = np.triu_indices(size, 1)
+        starts, step = begin[sizes == size], max(1, most // len(i))
+        for k in range(0, len(starts), step):
+            x, y = (starts[k : k + step, None] + i).ravel(), (starts[k : k + step, None] + j).ravel()
+            keep = np.einsum("ij,ij->i", left[x], right[y]) >= floor
+            yield x[keep], y[keep]
+    for a, b in zip(begin[sizes > SMALL], end[sizes > SMALL]):
+        for k in range(a, b, ROWS):
+            x, y = np.nonzero(left[k : min(k + ROWS, b)] @ right[k:b].T >= floor)
+            yield x[x < y] + k, y[x < y] + k
+
+
+def _alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], task: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of ``pairs`` that this task has to judge: one of the two is at home in the bucket,
+    and where the task is of two blocks, each is of another."""
+    home, block, cross = place % 2 == 1, place // 2, (task // _BLOCKS) % _BLOCKS != task % _BLOCKS
+    for x, y in pairs:
+        keep = (home[x] | home[y]) & (~cross[x] | (block[x] != block[y]))
+        if keep.any():
+            yield x[keep], y[keep]
+
+
+def _by_width(table: pa.Table, width: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Rows of one width by task, their tasks, and begin and end of each task's rows."""
+    for w in np.unique(width):
+        part = table.filter(pa.array(width == w)) if (width != w).any() else table
+        task = part["task"].to_numpy()
+        yield part, task, *runs(task), int(w)
+
+
+def _kept(least: float):
+    """Rows of each task that have a partner there which their codes don't rule out."""
+    names, limit = ["task", "node", "place"], float(np.arccos(np.clip(least, -1, 1)))
 
-    return reps.mapInArrow(run, ENTRIES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            width = np.array([int.from_bytes(c[-4:], "little") for c in table["code"].to_pylist()])
+            for part, task, begin, end, dim in _by_width(table, width):
+                place, size = part["place"].to_numpy(), padded_width(dim)
+                whole = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(task), -1)
+                q = decoded(whole[:, :-8], size).astype(np.float32)
+                angle = np.ascontiguousarray(whole[:, -8:-4]).view(np.float32)[:, 0].astype(np.float64)
+                # The angle of two vectors is at least that of their codes less both codes' own; a pair
+                # stays if cos(codes) >= cos(limit + one + other), one product by the sum of angles.
+                one = np.stack([-np.cos(limit + angle), np.sin(limit + angle)], axis=1)
+                other = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+                left, right = np.concatenate([q, one], axis=1, dtype=np.float32), np.concatenate([q, other], axis=1, dtype=np.float32)
+                wide = angle > (np.pi - limit) / 2 - 0.001  # sums of angles may pass a half turn: such rows rule nothing out
+                left[wide], right[wide] = 0, 0
+                some = np.zeros(len(task), bool)
+                for x, y in _alike(_above(left, right, begin, end, -1e-4), task, place):
+                    some[x] = some[y] = True
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(task[some]), part["node"].to_numpy()[some], pa.array(place[some])], names=names)
 
+    return run
 
-def _found(least: float, tables: int | None, dtype: str):
-    names = ["node", "links", "root"]
 
-    def group(bucket: int, i: int, j: int, home: np.ndarray, node: np.ndarray, n: np.ndarray, stored: list[bytes], block: np.ndarray):
-        width = len(stored[0])
-        if any(len(u) != width for u in stored):  # vectors of another width never link
-            for w in sorted({len(u) for u in stored}):
-                at = np.array([len(u) == w for u in stored])
-                yield from group(bucket, i, j, home[at], node[at], n[at], [u for u in stored if len(u) == w], block[at])
-            return
-        v = _units(stored, dtype, width // np.dtype(dtype).itemsize)
-        links, forest = np.zeros(len(v)), Forest(len(v))
-        keys, have = None, np.zeros(len(v), bool)
-        for k in range(0, len(v), ROWS):
-            x, y = np.nonzero(v[k : k + ROWS] @ v.T >= least)
-            x = x + k
-            keep = (x < y) & (home[x] | home[y])
-            keep &= (block[x] != block[y]) if i != j else True
-            x, y = x[keep], y[keep]
-            if not len(x):
-                continue
-            fresh = np.unique(np.concatenate([x, y]))
-            fresh = fresh[~have[fresh]]
-            if len(fresh):
-                found = bucket_keys(v[fresh], tables)
-                keys = np.zeros((len(v), *found.shape[1:]), np.int64) if keys is None else keys
-                keys[fresh], have[fresh] = found, True
-            first = np.concatenate([_meet(keys[x[c : c + 16_384]], keys[y[c : c + 16_384]]) for c in range(0, len(x), 16_384)]) == bucket
-            x, y = x[first], y[first]
-            links += np.bincount(x, n[y], len(v)) + np.bincount(y, n[x], len(v))
-            forest.join(x, y)
-        some = links > 0
-        if some.any():
-            yield node[some], links[some].astype(np.int64), node[forest.root[some]]
+def _found(least: float, dtype: str):
+    """Links of each row that its task counts, and the least row that it reaches there."""
+    names = ["node", "links", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):
-            task, home = table["task"].to_numpy(), table["home"].to_numpy()
-            node, n, block = table["node"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy()
-            stored = table["vector"]
-            out = []
-            for a, b in zip(*runs(task)):
-                if b - a < 2 or not home[a:b].any():
-                    continue
-                bucket, pair = divmod(int(task[a]), _BLOCKS * _BLOCKS)
-                i, j = divmod(pair, _BLOCKS)
-                out += group(bucket, i, j, home[a:b], node[a:b], n[a:b], stored.slice(a, b - a).to_pylist(), block[a:b])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=names)
+            for part, task, begin, end, dim in _by_width(table, table["dim"].to_numpy()):
+                v = _units(part["vector"].to_pylist(), dtype, dim)
+                keys = part["buckets"].combine_chunks().flatten().to_numpy().reshape(len(task), -1, 3)
+                node, n, bucket = part["node"].to_numpy(), part["n"].to_numpy(), task // (_BLOCKS * _BLOCKS)
+                links, forest = np.zeros(len(v)), Forest(len(v))
+                for x, y in _alike(_above(v, v, begin, end, least), task, part["place"].to_numpy()):
+                    first = np.concatenate([_meet(keys[x[c : c + 16_384]], keys[y[c : c + 16_384]]) for c in range(0, len(x), 16_384)]) == bucket[x]
+                    x, y = x[first], y[first]
+                    links += np.bincount(x, n[y], len(v)) + np.bincount(y, n[x], len(v))
+                    forest.join(x, y)
+                some = links > 0
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(node[forest.root[some]])], names=names)
 
     return run
 
@@ -227,26 +283,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     other columns are not read. ``tables`` is chosen from the width unless it is given.
 
     A pair that meets in several buckets counts in the one with the least key only, so
-    counts need no distinct. A task returns counts and a spanning forest, not pairs.
+    counts need no distinct. A task returns counts and a spanning forest, not pairs. Codes
+    rule out only pairs whose cosine is below ``least``, so they lose no link.
     """
     dtype = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
     rows = materialize(_prepared(vectors, id_col, vec_col, dtype), "vectors")
     reps = rows.where("key is not null").groupBy("key").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vector").alias("vector")
     )
-    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")  # numbered once, as written
-    entries = materialize(_entries(reps.select("node", "n", "dim", "vector"), tables, dtype), "entries")
+    reps = materialize(_hashed(reps.withColumn("node", F.monotonically_increasing_id()), tables, dtype), "representatives")  # numbered once, as written
+    entries = reps.select(F.posexplode("buckets").alias("at", "bucket"), "node", "code")
     large = entries.groupBy("bucket").count().where(F.col("count") > BLOCK)
     large = large.select("bucket", F.ceil(F.col("count") / F.greatest(F.lit(BLOCK), F.ceil(F.col("count") / (_BLOCKS - 1)))).cast("int").alias("blocks"))
     large = materialize(large, "large")
     few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     entries = entries.join(F.broadcast(large) if few else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     entries = entries.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    entries = entries.select("*", with_.alias("other"))
+    entries = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pair = F.least("block", "other") * _BLOCKS + F.greatest("block", "other")
-    tasks = entries.select((F.col("bucket") * (_BLOCKS * _BLOCKS) + pair).alias("task"), "home", "node", "n", "vector", "block")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_found(least, tables, dtype), "node long, links long, root long")
+    place = F.col("block") * 2 + (F.col("at") % 3 == 0).cast("int")
+    tasks = entries.select((F.col("bucket") * (_BLOCKS * _BLOCKS) + pair).alias("task"), "node", place.alias("place"), "code")
+    kept = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_kept(least), "task long, node long, place int")
+    kept = materialize(kept, "candidates").join(reps.select("node", "n", "dim", "vector", "buckets"), "node")
+    found = kept.repartition("task").sortWithinPartitions("task").mapInArrow(_found(least, dtype), "node long, links long, root long")
     found = materialize(found, "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.select("node", "root")).withColumnRenamed("component", "root")

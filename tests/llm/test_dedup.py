@@ -215,3 +215,25 @@ def test_embeddings_that_link_with_nothing(rows):
     assert [g for g in got if g[0] in (0, 1, 2, 10)] == [(0, 4, 1, False), (1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (10, 4, 1, False)]
     assert all(g[1] == 0 and g[3] for g in got if g[0] in (3, 4, 5, 6, 7, 8, 9))
     assert lsh.near_duplicates(e.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("dim", [2, 3, 64, 300])
+def test_codes_lose_no_link(dim):
+    """Rows kept by codes hold all pairs above the cosine: random ones, near pairs, single axes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(400, dim))
+    v[100:200] = v[:100] + 0.4 * rng.normal(size=(100, dim))
+    v[200:202] = np.eye(dim)[:2]
+    v[202:300] = lsh.hadamard(np.eye(lsh.padded_width(dim)))[rng.integers(0, dim, 98), :dim] + 0.1 * rng.normal(size=(98, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    bits, angle = lsh.codes(v)
+    code = [b.tobytes() + np.float32(a).tobytes() + np.int32(dim).tobytes() for b, a in zip(bits, angle)]
+    for task in (np.zeros(400, np.int64), np.repeat(np.arange(10) * lsh._BLOCKS**2, 40)):
+        batch = pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.arange(400)), pa.array(np.ones(400, np.int32)), pa.array(code)], names=["task", "node", "place", "code"])
+        kept = {n for b in lsh._kept(0.9)(iter([batch])) for n in b["node"].to_pylist()}
+        s = (v @ v.T >= 0.9) & (task[:, None] == task)
+        np.fill_diagonal(s, False)
+        assert set(np.flatnonzero(s.any(axis=1)).tolist()) <= kept
+        assert dim < 64 or len(kept) < 400
