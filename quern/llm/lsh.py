@@ -4,7 +4,7 @@ A vector is rotated by sign flips and fast Hadamard transforms, three rounds, an
 is the nearest signed axis; two such hashes name a bucket of a table. Each vector lives in
 its home bucket of every table and also visits the buckets of its second-nearest axes.
 
-Buckets get ids and short codes, two bits a coordinate, whose angle to the vector is known:
+Buckets get ids and short codes, a few bits a coordinate, whose angle to the vector is known:
 by the triangle inequality of angles a code tells pairs that cannot reach the cosine. Only
 rows that keep a partner bring their vectors, and those pairs are verified by their cosine in
 double precision.
@@ -33,8 +33,8 @@ _BLOCKS = 1 << 10
 ROWS = 256
 #: Groups up to this size are compared many at once.
 SMALL = 64
-#: Step of the codes' quantiser, in standard deviations of a rotated coordinate.
-STEP = 0.996
+#: Step of the codes' quantiser by bits, in standard deviations of a rotated coordinate.
+STEPS = {2: 0.996, 3: 0.586}
 #: Split buckets (16 bytes each) that are broadcast; beyond, the join is a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -136,24 +136,30 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str, dtype: str) -> Data
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, VECTORS)
 
 
+def _bits(width: int) -> int:
+    """Bits a coordinate: cosines of unlike vectors spread less the wider they are, so coarser codes tell them."""
+    return 3 if width <= 256 else 2
+
+
 def codes(units: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of unit rows, two bits a coordinate after a rotation, and their angles to the rows."""
+    """Codes of unit rows, 2 or 3 bits a coordinate after a rotation, and their angles to the rows."""
     n, dim = units.shape
     width = padded_width(dim)
     padded = np.zeros((n, width))
     padded[:, :dim] = units
     signs = np.random.default_rng([seed, width, 2]).choice([-1.0, 1.0], width)
     turned = hadamard(padded * signs)  # coordinates times the root of the width: about normal, of deviation 1
-    level = np.clip(np.floor(turned / STEP), -2, 1) + 2
-    bits = np.packbits(np.concatenate([level >= 2, level % 2 == 1], axis=1), axis=1)
+    half = 1 << (_bits(width) - 1)
+    level = (np.clip(np.floor(turned / STEPS[_bits(width)]), -half, half - 1) + half).astype(np.uint8)
+    bits = np.packbits(np.concatenate([level >> k & 1 for k in range(_bits(width))], axis=1), axis=1)
     cosine = np.einsum("ij,ij->i", turned, decoded(bits, width)) / np.sqrt(width)
     return bits, np.arccos(np.clip(cosine, -1, 1))
 
 
 def decoded(bits: np.ndarray, width: int) -> np.ndarray:
     """Unit rows that codes stand for, in the rotated coordinates."""
-    planes = np.unpackbits(bits, axis=1, count=2 * width)
-    q = planes[:, :width] * 2.0 + planes[:, width:] - 1.5
+    planes = np.unpackbits(bits, axis=1, count=_bits(width) * width).reshape(len(bits), _bits(width), width)
+    q = np.tensordot(planes, 2.0 ** np.arange(_bits(width)), (1, 0)) - ((1 << _bits(width)) - 1) / 2
     return q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
 
 
