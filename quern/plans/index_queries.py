@@ -12,6 +12,7 @@ from quern.plans.roles import texts
 from quern.plans.text_queries import QUERY, bm25_sql
 from quern.session import load
 from quern.storage import new_folder
+from quern.streaming.outbox import Outbox
 
 CHANGED = """changed AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || ' the of' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0)"""
 
@@ -54,3 +55,30 @@ def orders_after_batches(spark, d):
     runs.write(o.where("id % 5 in (2, 3) and id % 3 <> 0").unionAll(anew.where("id % 5 in (2, 3)")))
     last = o.agg(F.max("id")).first()[0]
     return runs.read(100, last // 2)
+
+
+@query("""SELECT event_id AS id, event_type, CASE WHEN event_type = 'error' AND value >= 50 THEN 'FAILED' ELSE 'PROCESSED' END AS status,
+  CASE WHEN event_type <> 'error' THEN 0 WHEN value >= 50 THEN 2 WHEN value >= 20 THEN 1 ELSE 0 END AS retry_count FROM events""")
+def outbox_of_two_consumers(spark, d):
+    """All events through a queue of two consumers: errors of 20 and more fail at first, those of 50 and more always.
+    One consumer dies with half of the parts claimed; the other gets them when the lease has ended."""
+    clock = [0.0]
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", "value")
+    queue = Outbox(spark, new_folder(spark, "outbox"), e.schema, 8, 60, 2, lambda: clock[0])
+    queue.put(e.where("id % 3 <> 0"), "w", 0)
+
+    def handler(pdf):
+        floor = pdf["retry_count"].map(lambda n: 50 if n else 20)
+        return ["too large" if large else None for large in (pdf["event_type"] == "error") & (pdf["value"] >= floor)]
+
+    lost = queue.claim("dies", 4)
+    folder = queue.handle(lost, "dies", lambda pdf: ["never counts"] * len(pdf))
+    queue.consume("lives", handler)
+    clock[0] = 61.0  # the dead one's lease has ended, and retries are due
+    queue.put(e.where("id % 3 = 0"), "w", 1)
+    claims = queue.claim("lives")
+    queue.settle(lost, folder)  # refused: claimed anew
+    queue.settle(claims, queue.handle(claims, "lives", handler))
+    clock[0] = 70.0
+    queue.consume("lives", handler)
+    return queue.events().select("id", "event_type", "status", "retry_count")

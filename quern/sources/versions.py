@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Callable
 
@@ -82,6 +83,10 @@ class Versions:
         for name in names:
             self._fs.delete(self._path(name), True)
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder of the table was last written."""
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def new(self, kind: str) -> str:
         """Name of a new data folder, relative to the table's."""
         return f"data/{kind}-{uuid.uuid4().hex}"
