@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}]+"
 #: Secrets and what stands for them, replaced in this order.
@@ -149,20 +154,42 @@ def prohibited_terms(rule: Column) -> Column:
     return F.concat(*[after(p) for p in PROHIBITIONS])
 
 
+def _bits(value: str) -> float:
+    n = len(value)
+    return 0.0 - sum(c / n * math.log2(c / n) for c in Counter(value).values())
+
+
+@F.pandas_udf(T.DoubleType())
+def _entropies(values: pd.Series) -> pd.Series:
+    return values.map(_bits).astype("float64")
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for null and empty texts."""
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
+    return _entropies(F.coalesce(text, F.lit("")))
+
+
+def token_entropy(text: Column) -> Column:
+    """As ``entropy``, for short texts: an expression that lambdas can hold.
+
+    Characters are sorted and folded in one pass, a run of equal ones at a time."""
+    text = F.coalesce(text, F.lit(""))
+    chars = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
+
+    def after(s: Column) -> Column:
+        """Bits with those of the run that ends."""
+        return F.when(s["run"] > 0, s["bits"] - s["run"] / s["n"] * F.log2(s["run"] / s["n"])).otherwise(0.0)
 
-    def share(c: Column) -> Column:
-        return F.size(F.filter(chars, lambda x: x == c)) / n
+    def step(s: Column, c: Column) -> Column:
+        same = F.struct(s["char"].alias("char"), (s["run"] + 1).alias("run"), s["bits"].alias("bits"), s["n"].alias("n"))
+        return F.when(s["char"] == c, same).otherwise(F.struct(c.alias("char"), F.lit(1.0).alias("run"), after(s).alias("bits"), s["n"].alias("n")))
 
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    return F.when(n > 0, bits).otherwise(0.0)
+    zero = F.struct(F.lit("").alias("char"), F.lit(0.0).alias("run"), F.lit(0.0).alias("bits"), F.length(text).cast("double").alias("n"))
+    return F.aggregate(chars, zero, step, after)
 
 
 def looks_secret(token: Column, least_bits: float = 4.5, least_length: int = 20) -> Column:
-    return (F.length(token) >= least_length) & (entropy(token) >= least_bits)
+    return (F.length(token) >= least_length) & (token_entropy(token) >= least_bits)
 
 
 def token_estimate(text: Column) -> Column:

@@ -86,6 +86,20 @@ def test_entropy_and_empty(rows):
     assert got == [2.0, 0.0, 0.0, 0.0]
 
 
+def test_entropy_of_long_texts_with_many_characters(rows):
+    """Work grows with the text, not with the text times its distinct characters."""
+    import time
+    from collections import Counter
+
+    text = "".join(chr(0x4E00 + k * k % 7919) for k in range(60_000)) + "\U0001f600\U0001f600a"
+    counts = Counter(text).values()
+    want = -sum(c / len(text) * math.log2(c / len(text)) for c in counts)
+    begin = time.time()
+    for of in (T.entropy, T.token_entropy):
+        assert rows("t string", (text,)).select(of(F.col("t"))).first()[0] == pytest.approx(want, abs=1e-9)
+    assert time.time() - begin < 20
+
+
 def test_prohibited_terms(rows):
     r = rows("t string", ("Never use eval, always parse.",)).select(T.prohibited_terms(F.col("t")).alias("x")).first().x
     assert set(r) == {"eval"}
