@@ -140,3 +140,20 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
         shared_dir(Session())
     Context.given = "hdfs:///shared/"
     assert shared_dir(Session()) == "hdfs:///shared"
+
+
+def test_promotion_holds_out_exactly_three_tenths(spark):
+    """0.7 * 90 is below 63 in binary: place 63 is not held out."""
+    from quern.operators import policy
+
+    n = spark.range(1, 91).select(F.col("id").alias("trajectory_id"), F.explode(F.array(F.lit(policy.BASELINE), F.lit("fast_reflex"))).alias("policy"), F.lit(1).alias("steps"), F.lit(1).alias("tokens"))
+    m = n.withColumn("solved", (F.col("policy") == "fast_reflex") & (F.col("trajectory_id") > 63))
+    assert tuple(policy.promotion(m, "fast_reflex").first()) == (27, 100.0, True)
+
+
+def test_promotion_judges_the_unrounded_mean(spark):
+    from quern.operators import policy
+
+    n = spark.range(20_000).select(F.col("id").alias("trajectory_id"), F.explode(F.array(F.lit(policy.BASELINE), F.lit("fast_reflex"))).alias("policy"), F.lit(0).alias("steps"), F.lit(True).alias("solved"))
+    m = n.withColumn("tokens", F.when((F.col("policy") == "fast_reflex") & (F.col("trajectory_id") == 19_999), 999).otherwise(1000))
+    assert tuple(policy.promotion(m, "fast_reflex").first()) == (6000, 0.0, True)
