@@ -87,10 +87,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def hashed_embedding(docs: DataFrame, dim: int = 384, column: str = "text") -> DataFrame:
-    """(id, embedding): a count sketch of tokens (letters, digits, '_'). The first eight bytes
+def hashed_cells(docs: DataFrame, dim: int = 384, column: str = "text") -> DataFrame:
+    """(id, place, v): a count sketch of tokens (letters, digits, '_'). The first eight bytes
     of a token's sha256, little-endian, give its place modulo dim and, by bit 16, its sign;
-    unit length. Texts without tokens, or whose signs cancel out, are the first axis.
+    v is the sum of signs, 0 at place 0 for texts without tokens.
     Built-in functions only; one small group per document."""
     low = F.lower(F.coalesce(F.col(column), F.lit("")))
     # Dealt by document once: all groupings below hold the id, so none of them exchanges rows.
@@ -105,13 +105,33 @@ def hashed_embedding(docs: DataFrame, dim: int = 384, column: str = "text") -> D
     place = F.pmod(F.pmod(number(4), F.lit(dim)) * ((1 << 32) % dim) + F.pmod(number(0), F.lit(dim)), F.lit(dim)).cast("int")
     sign = F.when(F.conv(F.substring("h", 6, 1), 16, 10).cast("int") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
     cells = tokens.select("id", place.alias("place"), F.when(F.col("token").isNotNull(), sign).otherwise(0).alias("v"))
-    sums = cells.groupBy("id", F.coalesce("place", F.lit(0)).alias("place")).agg(F.sum("v").alias("v"))
-    per_doc = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    axis = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise((i == 0).cast("double")),
-    )
-    return per_doc.select("id", F.transform(axis, lambda x: x.cast("float")).alias("embedding"))
+    return cells.groupBy("id", F.coalesce("place", F.lit(0)).alias("place")).agg(F.sum("v").alias("v"))
+
+
+def hashed_values(docs: DataFrame, dim: int = 384, column: str = "text") -> DataFrame:
+    """(id, place, value): the cells of ``hashed_embedding`` that are not zero, in double precision.
+    Texts without tokens, or whose signs cancel out, have none."""
+    cells = hashed_cells(docs, dim, column).where("v <> 0")
+    per_doc = cells.groupBy("id").agg(F.collect_list(F.struct("place", "v")).alias("cells"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return per_doc.select("id", "norm", F.inline("cells")).select("id", "place", (F.col("v") / F.col("norm")).alias("value"))
+
+
+def hashed_embedding(docs: DataFrame, dim: int = 384, column: str = "text") -> DataFrame:
+    """(id, embedding): the count sketch of ``hashed_cells``, dense and of unit length. Texts
+    without tokens, or whose signs cancel out, are the first axis."""
+    @F.pandas_udf("array<float>")
+    def dense(places: pd.Series, sums: pd.Series) -> pd.Series:
+        out = []
+        for at, v in zip(places, sums):
+            x = np.zeros(dim)
+            x[at] = v
+            norm = np.sqrt((x * x).sum())
+            out.append((x / norm if norm > 0 else np.eye(1, dim)[0]).astype(np.float32))
+        return pd.Series(out)
+
+    cells = F.collect_list(F.struct("place", "v"))
+    per_doc = hashed_cells(docs, dim, column).groupBy("id").agg(cells.alias("cells"))
+    return per_doc.select("id", dense(F.col("cells.place"), F.col("cells.v")).alias("embedding"))
 
 
 def diversify(candidates: DataFrame, by: str | None = None, most: float = 0.88) -> DataFrame:

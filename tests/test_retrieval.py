@@ -125,6 +125,26 @@ def test_hashed_embedding_matches_definition(rows):
     assert v[1].embedding[0] == 1.0 and v[2].embedding == v[1].embedding
 
 
+def test_hashed_values_keep_double_precision(rows):
+    """Floats moved values across the ties of a rounding; texts without tokens have no cells."""
+    import hashlib
+
+    tokens = [f"w{k}" for k in range(400)]
+    texts = [(n, " ".join(tokens[: n * 7])) for n in range(1, 50)]
+    got = {}
+    for r in V.hashed_values(rows("id int, text string", *texts, (0, "..."), (-1, None))).collect():
+        got.setdefault(r.id, {})[r.place] = r.value
+    want = {}
+    for n, text in texts:
+        cells = {}
+        for t in text.split():
+            h = int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "little")
+            cells[h % 384] = cells.get(h % 384, 0) + (1 if (h >> 16) & 1 == 0 else -1)
+        norm = math.sqrt(sum(v * v for v in cells.values()))
+        want[n] = {p: v / norm for p, v in cells.items() if v}
+    assert got == want
+
+
 def test_nearest_and_diversify(rows):
     e = rows("id long, embedding array<float>", (1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]))
     assert [r.id for r in V.nearest(e, [1.0, 0.0], 2).collect()] == [1, 2]
