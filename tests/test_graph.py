@@ -246,3 +246,16 @@ def test_speculative_contracts_of_a_lonely_file(rows):
     symbols = rows("node long, name string, start_line long", (2, "f", 1), (3, "g", 1))
     none = rows("src long, dst long", (3, 3))
     assert [r.name for r in G.speculative_contracts(none, symbols, 1, files=files).collect()] == ["f"]
+
+
+def test_cross_edges_exchange_no_pairs(rows):
+    """Files that share several paths are one edge, told without a distinct over the pairs."""
+    served = rows("path string, file string", *[(f"/p{k % 3}", f"s{k % 7}") for k in range(60)], (None, "s0"), ("/x", None))
+    used = rows("path string, file string", *[(f"/p{k % 4}", f"c{k % 9}") for k in range(60)], (None, "c0"), ("/x", "c0"))
+    pairs = served.withColumnRenamed("file", "dst").join(used.withColumnRenamed("file", "src"), "path").select("src", "dst")
+    for block in (2, 4096):
+        got = G.cross_edges(served, used, block)
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in pairs.collect()}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not plan.startswith(("Aggregate", "Deduplicate", "Distinct"))
