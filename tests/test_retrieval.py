@@ -170,3 +170,21 @@ def test_budget_and_references(rows):
 def test_gotchas(rows):
     g = rows("id int, severity string, status string, created_at int, applies_to array<string>", (1, "low", "active", 9, ["src/**"]), (2, "critical", "active", 1, ["a.py"]), (3, "critical", "resolved", 2, ["src/**"]), (4, "high", "active", 1, ["lib/*"]))
     assert [r.id for r in L.gotchas_for("src/x/a.py", g).collect()] == [2, 1]
+
+
+@pytest.mark.parametrize("least", [0.2, 0.35, 0.5, 0.8, 0.99])
+def test_similar_sets_bring_few_sets_and_lose_none(rows, monkeypatch, least):
+    """Random sets against brute force; sets are brought for hardly more pairs than are similar."""
+    import random
+
+    draw, sets = random.Random(7), {}
+    for k in range(0, 240, 4):
+        base = draw.sample(range(400), draw.randint(1, 60))
+        for n in range(4):
+            sets[k + n] = {f"w{x}" for x in base if draw.random() > 0.12 * n} | {f"w{draw.randint(0, 400)}" for _ in range(2 * n)}
+    seen, write = {}, L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label, *more: seen.setdefault(label, write(df, label, *more)))
+    got = {(r.a, r.b): r.similarity for r in L.similar_sets(rows("id int, words array<string>", *[(k, sorted(w)) for k, w in sets.items()]), least).collect()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert got == {k: v for k, v in share.items() if v >= least}
+    assert seen["met"].count() <= 3 * len(got) + 200
