@@ -188,3 +188,26 @@ def test_similar_sets_bring_few_sets_and_lose_none(rows, monkeypatch, least):
     share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
     assert got == {k: v for k, v in share.items() if v >= least}
     assert seen["met"].count() <= 3 * len(got) + 200
+
+
+@pytest.mark.parametrize("least", [0.5, 0.88])
+def test_cosine_rows_bring_few_counts_and_lose_none(rows, monkeypatch, least):
+    import random
+    from collections import Counter
+
+    draw, bags = random.Random(5), {}
+    for k in range(0, 200, 4):
+        base = [f"w{int(draw.paretovariate(0.6)) % 300}" for _ in range(draw.randint(1, 60))]
+        for n in range(4):
+            bags[k + n] = Counter([x for x in base if draw.random() > 0.1 * n] + [f"v{k}x{n}x{x}" for x in range(n)] or ["x"])
+    seen, write = {}, L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label, *more: seen.setdefault(label, write(df, label, *more)))
+    data = [(k, "xy"[k // 4 % 2], " ".join(v.elements())) for k, v in bags.items()]
+    got = {r.id: r.n_links for r in L.cosine_rows(rows("id int, category string, text string", *data), least).collect()}
+
+    def cosine(x, y):
+        return sum(v * y[t] for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    near = {a: sum(a != b and ca == cb and cosine(bags[a], bags[b]) >= least - 1e-9 for b, cb, _ in data) for a, ca, _ in data}
+    assert got == near
+    assert seen["met"].count() <= 2 * sum(near.values()) + 200
