@@ -103,30 +103,33 @@ COMMIT_BLOCK = 512
 def co_changes(edits: DataFrame, most_files: int | None = None) -> DataFrame:
     """(file_a, file_b, together): how often two files change in one commit, a before b.
 
-    Pairs are formed inside a commit, those of a sweeping one by pairs of blocks, so that no
-    key holds more than two blocks. ``most_files`` leaves out sweeping commits, as an explicit
-    choice of the caller; by default none is left out."""
+    A commit's files are gathered in one row and paired there; those of a sweeping commit are
+    paired by blocks, so that no row or key holds more than two blocks. ``most_files`` leaves out
+    sweeping commits, as an explicit choice of the caller; by default none is left out."""
     sizes = edits.groupBy("commit").agg(F.count("*").alias("n"))
     if most_files:
         edits = edits.join(sizes.where(F.col("n") <= most_files), "commit", "left_semi")
+    small = edits.join(sizes.where(F.col("n") <= COMMIT_BLOCK), "commit", "left_semi").groupBy("commit").agg(F.collect_list("file").alias("files"))
+    paired = small.select("files", F.explode("files").alias("file_a")).select("file_a", F.explode("files").alias("file_b")).where("file_a < file_b")
     large = sizes.where(F.col("n") > COMMIT_BLOCK).select("commit", F.ceil(F.col("n") / COMMIT_BLOCK).cast("int").alias("parts"))
-    placed = edits.join(large, "commit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int"))
+    placed = edits.join(large, "commit").withColumn("own", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("commit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "file")
     a = placed.select("commit", "i", "j", F.col("own").alias("own_a"), F.col("file").alias("file_a"))
     b = placed.select("commit", "i", "j", F.col("own").alias("own_b"), F.col("file").alias("file_b"))
     mine = (F.least("own_a", "own_b") == F.col("i")) & (F.greatest("own_a", "own_b") == F.col("j"))  # in one group only
-    return a.join(b, ["commit", "i", "j"]).where((F.col("file_a") < F.col("file_b")) & mine).groupBy("file_a", "file_b").agg(F.count("*").alias("together"))
+    swept = a.join(b, ["commit", "i", "j"]).where((F.col("file_a") < F.col("file_b")) & mine).select("file_a", "file_b")
+    return paired.unionAll(swept).groupBy("file_a", "file_b").agg(F.count("*").alias("together"))
 
 
 def habits(edits: DataFrame, least_confidence: float = 0.5, least_pairs: int = 2, most: int = 5) -> DataFrame:
     """Association rules trigger -> consequent with confidence together / edits of the trigger,
     at most five per trigger."""
-    pairs = co_changes(edits)
-    both = pairs.select(F.col("file_a").alias("trigger"), F.col("file_b").alias("consequent"), "together").unionAll(pairs.select("file_b", "file_a", "together"))
+    pairs = co_changes(edits).where(F.col("together") >= least_pairs)
+    ways = [F.struct(F.col(x).alias("trigger"), F.col(y).alias("consequent"), "together") for x, y in (("file_a", "file_b"), ("file_b", "file_a"))]
+    both = pairs.select(F.inline(F.array(*ways)))  # in one row each: pairs are made once
     counts = edits.groupBy("file").agg(F.count("*").alias("occurrences"))
-    rules = both.where(F.col("together") >= least_pairs).join(counts, F.col("trigger") == F.col("file")).drop("file")
+    rules = both.join(counts, F.col("trigger") == F.col("file")).drop("file")
     rules = rules.withColumn("confidence", F.col("together") / F.col("occurrences")).where(F.col("confidence") >= least_confidence)
     place = Window.partitionBy("trigger").orderBy(F.desc("confidence"), F.desc("together"), "consequent")
     return rules.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("trigger", "consequent", "together", "occurrences", F.round("confidence", 6).alias("confidence"), "place")

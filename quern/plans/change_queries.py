@@ -8,7 +8,7 @@ from quern.functions import payloads
 from quern.operators import history as H
 from quern.plans.registry import query
 from quern.plans.roles import HISTORY, edits, history, part_edits
-from quern.session import load
+from quern.session import load, small_tasks
 
 CHURN = f"""WITH {HISTORY}, c AS (
   SELECT file, sum(insertions + deletions) AS churn_score, sum(insertions) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions,
@@ -67,16 +67,19 @@ rules AS (SELECT trigger, consequent, together, occurrences, round(c, 6) AS conf
 
 @query(f"""WITH {EDITS} SELECT a.file AS file_a, b.file AS file_b, count(*) AS together FROM edits a JOIN edits b ON a.commit = b.commit AND a.file < b.file GROUP BY ALL""")
 def co_changes(spark, d):
+    small_tasks(spark)
     return H.co_changes(H.sessions(edits(spark, d)))
 
 
 @query(f"{RULES} SELECT * FROM rules")
 def habits(spark, d):
+    small_tasks(spark)
     return H.habits(H.sessions(edits(spark, d)), 0.08)
 
 
 @query(f"{RULES} SELECT trigger, string_agg(consequent::VARCHAR, ',' ORDER BY place) AS choreography, max(confidence) AS confidence, max(occurrences) AS occurrences FROM rules GROUP BY trigger")
 def choreographies(spark, d):
+    small_tasks(spark)
     return H.choreographies(H.habits(H.sessions(edits(spark, d)), 0.08))
 
 
@@ -92,16 +95,19 @@ rules AS (SELECT trigger, consequent, together, occurrences, round(c, 6) AS conf
 
 @query(f"""WITH {PART_EDITS} SELECT a.file AS file_a, b.file AS file_b, count(*) AS together FROM edits a JOIN edits b ON a.commit = b.commit AND a.file < b.file GROUP BY ALL""")
 def part_co_changes(spark, d):
+    small_tasks(spark)
     return H.co_changes(H.sessions(part_edits(spark, d)))
 
 
 @query(f"{PART_RULES} SELECT * FROM rules")
 def part_habits(spark, d):
+    small_tasks(spark)
     return H.habits(H.sessions(part_edits(spark, d)), 0.08)  # no pair of these tables reaches the default 0.5
 
 
 @query(f"{PART_RULES} SELECT trigger, string_agg(consequent::VARCHAR, ',' ORDER BY place) AS choreography, max(confidence) AS confidence, max(occurrences) AS occurrences FROM rules GROUP BY trigger")
 def part_choreographies(spark, d):
+    small_tasks(spark)
     return H.choreographies(H.habits(H.sessions(part_edits(spark, d)), 0.08))
 
 

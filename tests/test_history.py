@@ -101,3 +101,20 @@ def test_symbol_scars(rows):
     failures = rows("file string, id long, message string", ("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z"))
     got = {(r.path, r.name): r.threat_score for r in H.symbol_scars(failures, rows("path string, name string", ("a", "f"), ("c", "g"), ("b", "h"))).collect()}
     assert got == {("a", "f"): 0.75, ("b", "h"): 0.6}
+
+
+def test_rules_make_pairs_once(spark, rows):
+    from quern.session import small_tasks
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for given, kept in (("64MB", str(8 << 20)), ("4m", "4m")):
+        spark.conf.set(name, given)
+        small_tasks(spark)
+        assert spark.conf.get(name) == kept
+    spark.conf.unset(name)
+    edits = rows("commit long, file long", *[(c, f) for c in range(3) for f in range(4)], *[(9, f) for f in range(1200)])
+    plan = H.habits(edits)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
+    pairs = H.co_changes(edits)
+    assert pairs.count() == 1200 * 1199 // 2
+    assert pairs.where("together = 4").count() == 6 and pairs.where("together = 1").count() == 1200 * 1199 // 2 - 6
