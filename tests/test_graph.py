@@ -259,3 +259,16 @@ def test_cross_edges_exchange_no_pairs(rows):
         assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in pairs.collect()}
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert not plan.startswith(("Aggregate", "Deduplicate", "Distinct"))
+
+
+def test_long_walks_broadcast_nothing(rows, monkeypatch):
+    plans, write = [], G.materialize
+
+    def seen(df, label, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, *more)
+
+    monkeypatch.setattr(G, "materialize", seen)
+    edges = rows("src long, dst long", *[(k, k + 1) for k in range(20)], (20, 11))
+    assert {r.node: r.depth for r in G.reach(edges, rows("node long", (0,))).collect()} == {k: k for k in range(21)}
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
