@@ -18,8 +18,8 @@ from quern.functions import text
 from quern.operators.lexical import bm25_score, query_words
 from quern.sources.versions import Versions
 
-#: Documents whose postings of one bucket are in one file.
-FILE_DOCUMENTS = 2_000_000
+#: Tokens whose postings are in one file, and so sorted by one task.
+FILE_TOKENS = 2_000_000
 
 
 class TextIndex:
@@ -46,16 +46,18 @@ class TextIndex:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _write(self, docs: DataFrame, postings: DataFrame, folder: str, n: int) -> None:
+    def _write(self, postings: DataFrame, folder: str, tokens: int) -> None:
         root = f"{self.versions.folder}/{folder}"
-        docs.write.parquet(f"{root}/documents")
-        # A bucket is cut into files by id, so that a term of very many documents isn't one task's.
-        part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // FILE_DOCUMENTS))))
-        dealt = postings.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", part).sortWithinPartitions("bucket", "term", "id")
+        # A bucket is cut into files by id, as many as its tokens need, so that neither a bucket nor
+        # a term of very many documents is one task's. A given number of partitions stays.
+        parts = max(1, -(-tokens // (self.buckets * FILE_TOKENS)))
+        tasks = max(1, min(self.buckets * parts, -(-2 * tokens // FILE_TOKENS)))
+        part = F.pmod(F.xxhash64("id"), F.lit(parts))
+        dealt = postings.withColumn("bucket", self._bucket(F.col("term"))).repartition(tasks, "bucket", part).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").parquet(f"{root}/postings")
         kept = self.spark.read.schema(dealt.schema).parquet(f"{root}/postings")
         terms = kept.groupBy("bucket", "term").agg(F.count("*").alias("documents"))
-        terms.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{root}/terms")
+        terms.repartition(tasks, "bucket", F.pmod(F.hash("term"), F.lit(parts))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
 
     def _segment(self, docs: DataFrame) -> tuple[str, int, int, DataFrame] | None:
         """Folder, documents and length of a written segment, and its ids; None for no rows."""
@@ -63,7 +65,10 @@ class TextIndex:
         cut = docs.select("id", *self.stored, *[t.alias(f"t{k}") for k, t in enumerate(tokens)])
         length = reduce(Column.__add__, [F.size(f"t{k}") for k in range(len(tokens))]).cast("long").alias("length")
         listed = cut.select("id", length, *self.stored)
-        n, ids, total = listed.agg(F.count("*"), F.countDistinct("id"), F.sum("length")).first()
+        folder = self.versions.new("segment")
+        listed.write.parquet(f"{self.versions.folder}/{folder}/documents")
+        written = self.spark.read.schema(listed.schema).parquet(f"{self.versions.folder}/{folder}/documents")
+        n, ids, total = written.agg(F.count("*"), F.countDistinct("id"), F.sum("length")).first()
         if not n:
             return None
         if n != ids:
@@ -71,9 +76,8 @@ class TextIndex:
         fields = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"t{k}").alias("tokens")) for k in range(len(tokens))])
         each = cut.select("id", length, F.explode(fields).alias("f")).select("id", "length", "f.field", F.explode("f.tokens").alias("term"))
         counts = [F.count(F.when(F.col("field") == k, 1)).cast("int").alias(f"f{k}") for k in range(len(tokens))]
-        folder = self.versions.new("segment")
-        self._write(listed, each.groupBy("term", "id", "length").agg(*counts), folder, n)
-        return folder, n, total, self.spark.read.schema(listed.schema).parquet(f"{self.versions.folder}/{folder}/documents").select("id")
+        self._write(each.groupBy("term", "id", "length").agg(*counts), folder, total)
+        return folder, n, total, written.select("id")
 
     def add(self, docs: DataFrame) -> int:
         """Adds documents (id, fields, stored columns) as a segment; ids must be new (else ``update``)."""
@@ -120,7 +124,8 @@ class TextIndex:
         tombs = [t["folder"] for t in state["deleted"]]
         merged = []
         if state["documents"]:
-            self._write(self._documents(state), self._postings(state), folder, state["documents"])
+            self._documents(state).write.parquet(f"{self.versions.folder}/{folder}/documents")
+            self._write(self._postings(state), folder, state["length"])
             # It is as old as its newest part, so that later deletes hide its documents.
             merged = [{"folder": folder, "at": max(s["at"] for s in state["segments"]), "documents": state["documents"], "length": state["length"]}]
 
