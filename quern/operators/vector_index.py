@@ -24,6 +24,8 @@ MOST_CELLS = 4_096
 FILE_VECTORS = 100_000
 #: Bytes of a block of queries, which every task gets.
 BLOCK_BYTES = 32 << 20
+#: Cosines held at once, by the driver or by a task.
+MOST_COSINES = 1 << 20
 
 
 def _unit_rows(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +42,22 @@ def _unit_rows(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarr
     return np.array(good) if good else np.zeros((0, dim or 1)), np.array(at, int)
 
 
+def _slices(rows: int, others: int) -> Iterator[slice]:
+    """Rows in runs whose cosines with all others may be held at once."""
+    step = max(1, MOST_COSINES // max(1, others))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+def _homes(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector."""
+    return np.concatenate([(unit[some] @ centres.T).argmax(axis=1) for some in _slices(len(unit), len(centres))] or [np.zeros(0, int)])
+
+
 def _centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(7)
     centres = sample[np.sort(rng.choice(len(sample), cells, replace=False))]
     for _ in range(rounds):
-        own = (sample @ centres.T).argmax(axis=1)
+        own = _homes(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -54,7 +67,7 @@ def _centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
 
 def _probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
     """Cells to ask so that, on the sample, this share of the k nearest is found."""
-    own, some = (sample @ centres.T).argmax(axis=1), sample[:: max(1, len(sample) // 256)]
+    own, some = _homes(sample, centres), sample[:: max(1, len(sample) // 256)]
     near = np.argsort(-(some @ sample.T), axis=1)[:, 1 : k + 1]
     order = np.argsort(np.argsort(-(some @ centres.T), axis=1), axis=1)
     ranks = np.sort(np.take_along_axis(order, own[near], 1).reshape(-1))
@@ -86,12 +99,11 @@ class VectorIndex:
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres = shared.value
-            for batch in batches:
+            for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, whole.num_rows, 1024)):
                 unit, at = _unit_rows(batch.column(1).to_pylist(), centres.shape[1])
                 if len(at):
-                    sims = unit @ centres.T
-                    cell = sims.argmax(axis=1)
-                    cosine = sims[np.arange(len(at)), cell]
+                    cell = _homes(unit, centres)
+                    cosine = np.einsum("ij,ij->i", unit, centres[cell])
                     stored = pa.array([v.tobytes() for v in unit], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0).take(pa.array(at)), pa.array(cosine), stored], names=["cell", "id", "cosine", "vector"])
 
@@ -124,30 +136,34 @@ class VectorIndex:
         unit, at = _unit_rows(rows, dim)
         yield [ids[k] for k in at], unit
 
-    def _found(self, queries: DataFrame, cells_of, k: int | None, least: float) -> DataFrame:
+    def _found(self, queries: DataFrame, limits, k: int | None, least: float) -> DataFrame:
+        """``limits(state, unit)``: the least cosine with a centre at which a query asks its cell, by
+        query and cell, either axis 1 long. Tasks find a cell's queries when they come to it: lists
+        of the cells of all queries would grow with the number of cells."""
         state = self.versions.newest()[1]
         kind, asked_by = state["id"], queries.schema["query_id"].dataType.simpleString()
         schema, out = f"query_id {asked_by}, id {kind}, similarity double", []
-        table = self._table(state["folder"], kind)
+        table, centres = self._table(state["folder"], kind), np.array(state["centres"])
         for ids, unit in self._asked(queries):
-            probes = cells_of(state, unit)  # for each query its cells
-            wanted = sorted({int(c) for row in probes for c in row})
-            shared = self.spark.sparkContext.broadcast((np.array(ids, object), unit, probes))
+            bound = limits(state, unit)
+            limit = np.broadcast_to(bound, (len(unit), len(centres)))  # a view
+            asked = np.zeros(len(centres), bool)
+            for some in _slices(len(unit), len(centres)):
+                asked |= (unit[some] @ centres.T >= limit[some] - 1e-9).any(axis=0)
+            wanted = np.flatnonzero(asked).tolist()
+            shared = self.spark.sparkContext.broadcast((np.array(ids, object), unit, bound, centres))
 
             def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                ids, unit, probes = shared.value
-                by_cell: dict[int, list[int]] = {}
-                for q, row in enumerate(probes):
-                    for c in row:
-                        by_cell.setdefault(int(c), []).append(q)
+                ids, unit, limit, centres = shared.value
+                limit = np.broadcast_to(limit, (len(unit), len(centres)))
                 for batch in batches:
                     cells = batch.column("cell").to_numpy()
                     for cell in np.unique(cells):
-                        at, asking = np.flatnonzero(cells == cell), np.array(by_cell.get(int(cell), []), int)
+                        at, asking = np.flatnonzero(cells == cell), np.flatnonzero(unit @ centres[cell] >= limit[:, cell] - 1e-9)
                         stored = batch.column("vector").take(pa.array(at)).to_pylist()
                         v = np.frombuffer(b"".join(stored), np.float64).reshape(len(stored), -1)
-                        for a in range(0, len(asking), 512):
-                            some = asking[a : a + 512]
+                        for run in _slices(len(asking), max(v.shape)):
+                            some = asking[run]
                             exact = unit[some] @ v.T
                             sims = np.clip(exact, 0, 1).round(6)
                             if k and sims.shape[1] > k:
@@ -160,7 +176,7 @@ class VectorIndex:
                                 yield pa.RecordBatch.from_arrays([pa.array(ids[some[q]].tolist()), found, pa.array(sims[q, x])], names=["query_id", "id", "similarity"])
 
             if wanted:
-                rows = table.where(F.col("cell").isin(wanted)) if len(wanted) < len(state["centres"]) else table
+                rows = table.where(F.col("cell").isin(wanted)) if len(wanted) < len(centres) else table
                 out.append(rows.mapInArrow(best, schema))
         found = self.spark.createDataFrame([], schema)
         for part in out:
@@ -170,20 +186,20 @@ class VectorIndex:
     def nearest(self, queries: DataFrame, k: int = 10, probes: int | None = None, least: float = 0.0) -> DataFrame:
         """(query_id, id, similarity, rank): the k nearest of each query (query_id, embedding) in
         its ``probes`` nearest cells, by cosine from 0 to 1, exact to six digits, ties by id."""
-        def cells_of(state: dict, unit: np.ndarray) -> np.ndarray:
+        def limits(state: dict, unit: np.ndarray) -> np.ndarray:
             centres = np.array(state["centres"])
             n = min(len(centres), probes or state["probes"])
-            return np.argpartition(-(unit @ centres.T), n - 1, axis=1)[:, :n] if len(unit) else np.zeros((0, n), int)
+            kth = [-np.partition(-(unit[some] @ centres.T), n - 1, axis=1)[:, n - 1 : n] for some in _slices(len(unit), len(centres))]
+            return np.concatenate(kth or [np.zeros((0, 1))])
 
         place = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return self._found(queries, cells_of, k, least).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        return self._found(queries, limits, k, least).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
     def within(self, queries: DataFrame, least: float) -> DataFrame:
         """(query_id, id, similarity): all vectors of a cosine of ``least`` or more. A cell is left
         out only if the angle to its centre, less the widest in it, is too wide."""
-        def cells_of(state: dict, unit: np.ndarray) -> list[np.ndarray]:
-            angle = np.arccos(np.clip(unit @ np.array(state["centres"]).T, -1, 1)) if len(unit) else np.zeros((0, 1))
+        def limits(state: dict, unit: np.ndarray) -> np.ndarray:
             reach = np.arccos(np.clip(np.array(state["widest"]), -1, 1)) + math.acos(max(-1.0, least - 1e-6)) + 1e-6
-            return [np.flatnonzero(row <= reach) for row in angle]
+            return np.where(reach < np.pi, np.cos(np.minimum(reach, np.pi)), -2.0)[None, :]
 
-        return self._found(queries, cells_of, None, least - 1e-12)
+        return self._found(queries, limits, None, least - 1e-12)

@@ -1,5 +1,7 @@
 """The vector index against brute force."""
 
+import pickle
+
 import numpy as np
 import pytest
 
@@ -50,3 +52,19 @@ def test_all_pairs_within_an_angle_and_rows_without_a_direction(spark, rows, tmp
     assert [r.similarity for r in top] == [1.0] * 3 and VectorIndex(spark, f"{tmp_path}/none").build(table.where("id = 1000")).nearest(asked).count() == 0
     plan = index.nearest(asked.where("query_id = 9"), 3, probes=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell")
+
+
+def test_what_tasks_get_does_not_grow_with_the_cells(spark, tmp_path, monkeypatch):
+    """Lists of each query's cells took queries times cells; a task needs queries and centres."""
+    v = np.random.default_rng(5).normal(size=(600, 16))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], SCHEMA).repartition(2)
+    index = VectorIndex(spark, f"{tmp_path}/i").build(table, 200)
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(len(pickle.dumps(x))) or send(x))
+    monkeypatch.setattr("quern.operators.vector_index.MOST_COSINES", 1000, raising=False)  # several slices
+    asked = table.withColumnRenamed("id", "query_id")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = index.within(asked, 0.45).select("query_id", "id").collect()
+    assert {tuple(r) for r in found} == {(int(a), int(b)) for a, b in zip(*np.nonzero(u @ u.T >= 0.45))} and len(found) == len(set(found))
+    assert index.nearest(asked, 3, probes=200).count() == 3 * 600
+    assert max(sent) < 2 * (600 + 200) * 16 * 8
