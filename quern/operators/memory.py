@@ -270,8 +270,11 @@ def project_scale(files: Column) -> Column:
 
 
 def hyperbolic_coupling(points: DataFrame, pairs: DataFrame, tau: float = 1.0) -> DataFrame:
-    """(a, b, coupling): e^(-distance / tau) of path points (path, point) for pairs (a, b)."""
+    """(a, b, coupling): e^(-distance / tau) of path points (path, point) for pairs (a, b).
+
+    Points are joined by merge joins: they are far larger than the files that they are made from,
+    by which Spark would choose to broadcast them."""
     from quern.operators.vector import poincare_distance
 
     left, right = points.select(F.col("path").alias("a"), F.col("point").alias("pa")), points.select(F.col("path").alias("b"), F.col("point").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.exp(-poincare_distance(F.col("pa"), F.col("pb")) / tau).alias("coupling"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", F.exp(-poincare_distance(F.col("pa"), F.col("pb")) / tau).alias("coupling"))

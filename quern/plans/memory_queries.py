@@ -11,7 +11,7 @@ from quern.plans.indexes import FIELDS, text_index
 from quern.plans.registry import query
 from quern.plans.roles import EDGES, FILES, edges, files, texts
 from quern.plans.text_queries import BM25
-from quern.session import load
+from quern.session import load, small_tasks
 
 TURNS = """t AS (SELECT conv_id * 1000 + turn AS id, role AS title, coalesce(text, '') AS content, 'k' || (conv_id % 7) AS topic_key, conv_id % 5 AS project, CASE WHEN turn % 5 = 4 THEN 'now' END AS deleted_at FROM conversations)"""
 
@@ -169,16 +169,18 @@ dist AS (SELECT a, b, acosh(greatest(1.0, 1 + 2 * list_sum([(u[i] - v[i]) * (u[i
 @query(f"WITH {POINTS} SELECT a, b, round(exp(-h / 0.8), 6) AS coupling FROM dist")
 def hyperbolic_coupling(spark, d):
     """Coupling of given points; ``path_points`` gives those of paths."""
+    small_tasks(spark)
     p, k = load(spark, d, "part"), F.col("p_partkey")
     pts = p.select(k.alias("k"), F.concat("p_name", k).alias("path"), F.array(F.col("p_size") / 80, (k % 7) / 20, -(k % 5) / 20).alias("point"))
-    pairs = pts.select(F.col("path").alias("a"), (F.col("k") + 1).alias("k")).join(pts.select("k", F.col("path").alias("b")), "k").select("a", "b")
+    pairs = pts.select(F.col("path").alias("a"), (F.col("k") + 1).alias("k")).join(pts.select("k", F.col("path").alias("b")).hint("merge"), "k").select("a", "b")
     return M.hyperbolic_coupling(pts, pairs, 0.8).withColumn("coupling", F.round("coupling", 6))
 
 
 @query()
 def path_coupling(spark, d):
+    small_tasks(spark)
     f = files(spark, d)
-    pairs = f.select(F.col("path").alias("a"), (F.col("node") + 1).alias("k")).join(f.select(F.col("node").alias("k"), F.col("path").alias("b")), "k").select("a", "b")
+    pairs = f.select(F.col("path").alias("a"), (F.col("node") + 1).alias("k")).join(f.select(F.col("node").alias("k"), F.col("path").alias("b")).hint("merge"), "k").select("a", "b")
     return M.hyperbolic_coupling(V.path_points(f), pairs)
 
 

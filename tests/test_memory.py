@@ -45,3 +45,12 @@ def test_searches(rows):
     assert [r.id for r in M.search_gotchas(g, "a css").collect()] == [2] and [r.id for r in M.search_gotchas(g, "a b").collect()] == [1]
     r = rows("id int, project string, content string", *[(k, "p" if k % 3 else "q", "hit") for k in range(12)], (99, "p", "miss"))
     assert [x.id for x in M.cross_project_search(r, "HIT", 2).collect()] == [11, 10, 9, 6]
+
+
+def test_points_of_paths_are_not_broadcast(spark, sf_dir):
+    """Points grow with the files, whatever size Spark takes them to be."""
+    from quern.plans.catalog import QUERIES
+
+    for name in ("path_coupling", "hyperbolic_coupling"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
