@@ -13,19 +13,26 @@ from quern.functions import scores, text
 
 
 def file_churn(history: DataFrame) -> DataFrame:
-    """Churn, commits, authors, fixes and risk per file, in one shuffle.
-
-    Churn is insertions plus deletions; a null counts as 0."""
-    added, removed = F.coalesce("insertions", F.lit(0)), F.coalesce("deletions", F.lit(0))
-    per_file = history.groupBy("file").agg(
-        F.sum(added + removed).alias("churn_score"),
-        F.sum(added).alias("insertions"),
-        F.sum(removed).alias("deletions"),
-        F.countDistinct("commit").alias("commit_count"),
+    """Churn, commits, authors, fixes and risk per file.
+
+    Churn is insertions plus deletions; a null counts as 0. A commit is counted in its first row
+    of a file, which is found where the commit's rows are: so only authors are left to be told
+    apart, and no row is copied for each distinct count."""
+    first = F.row_number().over(Window.partitionBy("commit", "file").orderBy("author")) == 1
+    rows = history.select(
+        "file", "author", F.coalesce("insertions", F.lit(0)).alias("insertions"), F.coalesce("deletions", F.lit(0)).alias("deletions"),
+        F.col("is_fix").cast("int").alias("is_fix"), "ts", (first & F.col("commit").isNotNull()).cast("int").alias("first"),
+    )
+    per_file = rows.groupBy("file").agg(
+        F.sum("insertions").alias("insertions"),
+        F.sum("deletions").alias("deletions"),
+        F.sum("first").alias("commit_count"),
         F.countDistinct("author").alias("authors_count"),
-        F.sum(F.col("is_fix").cast("int")).alias("fix_commits"),
+        F.sum("is_fix").alias("fix_commits"),
         F.max("ts").alias("last_modified"),
     )
+    churn = (F.col("insertions") + F.col("deletions")).alias("churn_score")
+    per_file = per_file.select("file", churn, "insertions", "deletions", "commit_count", "authors_count", "fix_commits", "last_modified")
     score = scores.hotspot(F.col("churn_score"), F.col("commit_count"), F.col("fix_commits"))
     return per_file.withColumn("hotspot_score", score).withColumn("risk_level", scores.hotspot_risk(score, F.col("fix_commits")))
 

@@ -21,11 +21,13 @@ churn AS (SELECT *, CASE WHEN hotspot_score > 1000 OR fix_commits >= 5 THEN 'CRI
 
 @query(f"{CHURN} SELECT * FROM churn")
 def file_churn(spark, d):
+    small_tasks(spark)
     return H.file_churn(history(spark, d))
 
 
 @query(f"{CHURN} SELECT * FROM churn ORDER BY hotspot_score DESC, file LIMIT 15")
 def hotspots(spark, d):
+    small_tasks(spark)
     return H.top_hotspots(H.file_churn(history(spark, d)))
 
 

@@ -45,6 +45,19 @@ def test_churn_of_nulls_and_empty(rows):
     assert H.file_churn(rows(schema)).count() == 0
 
 
+def test_churn_copies_no_row_and_counts_a_commit_once(spark, rows, sf_dir):
+    from quern.plans.catalog import QUERIES
+
+    schema = "commit int, author int, file string, insertions int, deletions int, is_fix boolean, ts int"
+    data = [(1, 1), (1, 2), (1, 2), (2, None), (2, 1), (None, 3), (None, None), (3, 1)]
+    table = rows(schema, *[(c, a, f, 1, None, False, k) for f in ("x", None) for k, (c, a) in enumerate(data)])
+    got = {r.file: r[1:8] for r in H.file_churn(table).collect()}
+    assert got == dict.fromkeys(("x", None), (8, 8, 0, 3, 3, 0, 7))
+    for name in ("file_churn", "hotspots"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 4
+
+
 def test_divergence_of_equal_shares_is_zero(rows):
     p = rows("subsystem string, mass int", ("a", 1), ("b", 1))
     assert H.subsystem_divergence(p, p).first().kl == pytest.approx(0)
