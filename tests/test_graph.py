@@ -261,6 +261,17 @@ def test_cross_edges_exchange_no_pairs(rows):
         assert not plan.startswith(("Aggregate", "Deduplicate", "Distinct"))
 
 
+def test_cross_edges_deal_pairs_of_blocks_to_tasks(rows):
+    """Few callers and servers make many pairs: these are the work of many tasks, however small the tables."""
+    served = rows("path string, file string", *[("/p", f"s{k}") for k in range(40)], ("/q", "s1"), ("/q", None), ("/p", None))
+    used = rows("path string, file string", *[("/p", f"c{k}") for k in range(40)], ("/q", "c1"), ("/q", None))
+    got = G.cross_edges(served, used, 8)
+    assert got.rdd.getNumPartitions() >= 50
+    found = [tuple(r) for r in got.collect()]
+    want = {(f"c{k}", s) for k in range(40) for s in [None, *(f"s{n}" for n in range(40))]} | {(None, "s1"), (None, None)}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_long_walks_broadcast_nothing(rows, monkeypatch):
     plans, write = [], G.materialize
 
