@@ -225,3 +225,39 @@ def test_similar_sets_by_blocks_against_brute_force(rows, monkeypatch):
         got = [(r.a, r.b, r.similarity) for r in L.similar_sets_by_blocks(table, least).collect()]
         assert sorted(got) == sorted((a, b, s) for (a, b), s in want.items() if s >= least)
     assert L.similar_sets_by_blocks(table.limit(0), 0.35).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.88])
+def test_cosine_sums_against_brute_force(monkeypatch, least):
+    """Tokens with and without columns of their own, one block and two, cosines at the threshold itself."""
+    import numpy as np
+
+    monkeypatch.setattr(L, "HEAD", 4)
+    monkeypatch.setattr(L, "GROUPS", 6)
+    draw = np.random.default_rng(9)
+    table = draw.poisson(draw.random(60) ** 4 * 3, (500, 60)) + (np.arange(60) == 59)
+    table[:5, :60] = 0
+    table[:5, :2] = [[3, 4], [4, 3], [1, 0], [0, 1], [3, 4]]
+    row, token = np.nonzero(table)
+    lengths, copies, squares = np.bincount(row, minlength=500), draw.integers(1, 4, 500), (table**2).sum(1)
+    norms = np.sqrt(squares)
+    near = (table @ table.T) / (norms[:, None] * norms[None, :]) >= least - 1e-9
+    np.fill_diagonal(near, False)
+    ask = lambda first, same: L.cosine_sums(first, token * 7 - 2**40, table[row, token], lengths, squares, copies, least, same)
+    assert (ask(500, True) == near @ copies).all()
+    two = near.copy()
+    two[:170, :170] = two[170:, 170:] = False
+    assert (ask(170, False) == two @ copies).all()
+
+
+def test_cosine_rows_of_frequent_tokens_exchange_no_pairs(rows, monkeypatch):
+    """Rows that all share their tokens, and so have no rare ones, are compared without a table of pairs."""
+    seen, write = {}, L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label, *more: seen.setdefault(label, write(df, label, *more)))
+    monkeypatch.setattr(L, "BLOCK_ROWS", 60)
+    data = [(k, "x", "a " * (1 + k % 20) + "b " * (1 + k // 20)) for k in range(300)]
+    got = {r.id: r.n_links for r in L.cosine_rows(rows("id int, category string, text string", *data), 0.88).collect()}
+    bags = [(1 + k % 20, 1 + k // 20) for k in range(300)]
+    cosine = lambda x, y: (x[0] * y[0] + x[1] * y[1]) / math.sqrt((x[0] ** 2 + x[1] ** 2) * (y[0] ** 2 + y[1] ** 2))
+    assert got == {a: sum(a != b and cosine(bags[a], bags[b]) >= 0.88 - 1e-9 for b in range(300)) for a in range(300)}
+    assert seen["met"].count() <= 300 * 5
