@@ -283,3 +283,21 @@ def test_similar_lists_count_few_sets_whole(monkeypatch, least):
     assert least < 0.8 or 0 < sum(counted) < 0.5 * sum(len(sets[x]) for (x, y), s in share.items() if s)
     two = [(k + 100, x, s) for k, near, similarity in L.similar_lists(sets[:100], sizes[:100], sets[100:], sizes[100:], least) for x, s in zip(near.tolist(), similarity)]
     assert sorted(two) == sorted((x, y, s) for (x, y), s in share.items() if s >= least and y < 100 <= x)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words(rows):
+    """What tells most pairs of similar prefixes apart before they are exchanged, and loses none: sets that
+    share their rare words and differ in the others are dropped where they meet."""
+    import random
+
+    draw = random.Random(8)
+    base = [draw.sample(range(3000), draw.randint(1, 400)) for _ in range(12)]
+    sets = {k: sorted({x for x in base[k % 12] if draw.random() > k / 400} | {draw.randint(0, 3000) for _ in range(k % 5)}) for k in range(120)}
+    sketched = rows("id long, p array<long>", *sets.items()).select("id", *L._sketch(F.col("p")))
+    bits = {r[0]: [x & (2**64 - 1) for x in r[1:]] for r in sketched.collect()}
+    differ = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b]))
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    assert all(differ(a, b) <= len(set(sets[a]) ^ set(sets[b])) for a, b in pairs)
+    assert all(differ(a, b) % 2 == len(set(sets[a]) ^ set(sets[b])) % 2 for a, b in pairs)
+    far = [(a, b) for a, b in pairs if len(sets[a]) > 100 and len(sets[b]) > 100 and a % 12 != b % 12]
+    assert far and all(differ(a, b) > 0.1112 * (len(sets[a]) + len(sets[b])) for a, b in far)
